@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, mixing, simhash, tokens
-from tessera.llm.common import read, small_batches, text_or_empty
+from tessera.llm import chat, compression, decontam, mixing, repetition, simhash, tokens
+from tessera.llm.common import id_text, read, small_batches, text_or_empty
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,5 +91,87 @@ def op4_tokens(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op3_chat": op3_chat, "op4_tokens": op4_tokens}
-ORACLES = {"op2_mixing": OP2_SQL, "op3_chat": OP3_SQL}
+def op6_quality(spark: SparkSession, sf_dir: str, threshold: float = 0.3) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out("doc_id", 5, 0))
+    model = compression.train(docs.where(~F.col("held_out")), read(spark, sf_dir, "labels"))
+    scored = compression.score_documents(docs, model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def held_out(id_col: str, parts: int, part: int) -> Column:
+    """Whether crc32 of the id as text leaves the given remainder; a null id is the empty text."""
+    return F.pmod(F.crc32(id_text(F.col(id_col)).cast("binary")), F.lit(parts)) == part
+
+
+def op7_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = read(spark, sf_dir, "documents").select("doc_id", repetition.repetition(F.col("text")).alias("m"))
+    failed = (F.col("m.n_words") < 50) | (100 * F.col("m.n_repeat_words") > 50 * F.col("m.n_words"))
+    return docs.select("doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", failed.alias("base_failed"), (~failed & repetition.repetition_rules(F.col("m"))).alias("kept"))
+
+
+def _repeated_sql(k: int) -> str:
+    """Starts of k-word windows that occur twice or more in their text."""
+    return f"""SELECT row_no, i, {k} AS k FROM (
+    SELECT row_no, i, count(*) OVER (PARTITION BY row_no, hash(w[i:i + {k - 1}]), w[i], w[i + {k - 1}]) AS n FROM (
+      SELECT row_no, w, unnest(range(1, len(w) - {k - 2})) AS i FROM d WHERE len(w) >= {k})) WHERE n > 1"""
+
+
+#: A word is in a repeat of ten or more words just if it is in a ten-word window found twice; a repeat is longer than
+#: 100 words just if a 101-word window is found twice.
+OP7_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+starts AS ({_repeated_sql(3)} UNION ALL {_repeated_sql(10)} UNION ALL {_repeated_sql(101)}),
+spans AS (SELECT row_no, k, i, i + k AS e, max(i + k) OVER (PARTITION BY row_no, k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM starts),
+r AS (SELECT row_no, k, sum(e - greatest(i, least(coalesce(upto, i), e))) AS n FROM spans GROUP BY row_no, k),
+lines AS (
+  SELECT row_no, count(*) - count(DISTINCT line) AS n_dup FROM (SELECT row_no, unnest(string_split(text, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY row_no),
+m AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup, 0)::BIGINT AS n_dup_lines,
+    coalesce((SELECT n FROM r WHERE r.row_no = d.row_no AND k = 3), 0)::BIGINT AS n_repeat_words,
+    coalesce((SELECT n FROM r WHERE r.row_no = d.row_no AND k = 10), 0)::BIGINT AS n_covered,
+    EXISTS (SELECT 1 FROM r WHERE r.row_no = d.row_no AND k = 101) AS too_long
+  FROM d LEFT JOIN lines USING (row_no))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_covered <= 0.2::DOUBLE * n_words AND NOT too_long AS kept
+FROM m
+"""
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = decontam.contamination(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    c = F.col("contamination")
+    return docs.select(
+        "doc_id", c["n_words"].alias("n_words"), c["n_hit"].alias("n_hit"), F.size(c["item_ids"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(c["item_ids"], ","), 256).alias("items_sha256"), (c["n_hit"] > 0).alias("contaminated"),
+    )
+
+
+_WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP8_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, {_WORDS_SQL} AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, {_WORDS_SQL} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, w[i:i + 9] AS win FROM (SELECT item, w, unnest(range(1, len(w) - 8)) AS i FROM b WHERE len(w) >= 10)
+  UNION SELECT item, w FROM b WHERE len(w) BETWEEN 1 AND 9),
+sizes AS (SELECT DISTINCT len(win) AS n FROM windows),
+starts AS (
+  SELECT row_no, i, n, w[i:i + n - 1] AS win FROM (
+    SELECT row_no, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+found AS (SELECT row_no, i, n, item FROM starts JOIN windows USING (win)),
+hits AS (SELECT row_no, count(DISTINCT p) AS n_hit FROM (SELECT row_no, unnest(range(i, i + n)) AS p FROM found) GROUP BY row_no),
+owners AS (SELECT row_no, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM found GROUP BY row_no)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (row_no) LEFT JOIN owners USING (row_no)
+"""
+
+QUERIES = {
+    "op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op3_chat": op3_chat, "op4_tokens": op4_tokens,
+    "op6_quality": op6_quality, "op7_repetition": op7_repetition, "op8_decontamination": op8_decontamination,
+}
+ORACLES = {"op2_mixing": OP2_SQL, "op3_chat": OP3_SQL, "op7_repetition": OP7_SQL, "op8_decontamination": OP8_SQL}
