@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, compression, decontam, mixing, repetition, simhash, tokens
+from tessera.llm import chat, compression, decontam, lm_bloom, mixing, repetition, simhash, tokens
 from tessera.llm.common import id_text, read, small_batches, text_or_empty
 
 
@@ -170,8 +170,14 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hits USING (row_no) LEFT JOIN owners USING (row_no)
 """
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out("doc_id", 7, 2))
+    model, exact = lm_bloom.train(docs.where(~F.col("held_out")))
+    return lm_bloom.score(docs, model, exact, keep=("held_out",))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op3_chat": op3_chat, "op4_tokens": op4_tokens,
-    "op6_quality": op6_quality, "op7_repetition": op7_repetition, "op8_decontamination": op8_decontamination,
+    "op6_quality": op6_quality, "op7_repetition": op7_repetition, "op8_decontamination": op8_decontamination, "op9_language_model": op9_language_model,
 }
 ORACLES = {"op2_mixing": OP2_SQL, "op3_chat": OP3_SQL, "op7_repetition": OP7_SQL, "op8_decontamination": OP8_SQL}
