@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, compression, decontam, lm_bloom, mixing, repetition, simhash, tokens
+from tessera.llm import chat, compression, decontam, lm_bloom, mixing, pii, repetition, simhash, tokens
 from tessera.llm.common import id_text, read, small_batches, text_or_empty
 
 
@@ -91,6 +91,19 @@ def op4_tokens(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_email to n_phone count base spans; the n_added columns count what the model adds."""
+    small_batches(spark)
+    docs = read(spark, sf_dir, "documents").select("doc_id", pii.pii_spans(text_or_empty(F.col("text")), pii.train()).alias("found"))
+    base = F.filter("found", lambda s: s["base"])
+    count = lambda spans, k: F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return docs.select(
+        "doc_id", *[count(base, k).alias(f"n_{k}") for k in pii.KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"),
+        *[(count(F.col("found"), k) - count(base, k)).alias(f"n_added_{k}") for k in pii.KINDS],
+    )
+
+
 def op6_quality(spark: SparkSession, sf_dir: str, threshold: float = 0.3) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out("doc_id", 5, 0))
     model = compression.train(docs.where(~F.col("held_out")), read(spark, sf_dir, "labels"))
@@ -177,7 +190,7 @@ def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op3_chat": op3_chat, "op4_tokens": op4_tokens,
+    "op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op3_chat": op3_chat, "op4_tokens": op4_tokens, "op5_pii": op5_pii,
     "op6_quality": op6_quality, "op7_repetition": op7_repetition, "op8_decontamination": op8_decontamination, "op9_language_model": op9_language_model,
 }
 ORACLES = {"op2_mixing": OP2_SQL, "op3_chat": OP3_SQL, "op7_repetition": OP7_SQL, "op8_decontamination": OP8_SQL}
