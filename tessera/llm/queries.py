@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, compression, decontam, lm_bloom, mixing, pii, repetition, simhash, tokens
+from tessera.llm import chat, compression, decontam, lm_bloom, mixing, pii, repetition, simhash, suffix_dedup, tokens
 from tessera.llm.common import id_text, read, small_batches, text_or_empty
 
 
@@ -189,8 +189,18 @@ def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_bloom.score(docs, model, exact, keep=("held_out",))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = suffix_dedup.repeated_spans(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return docs.select(
+        "doc_id", F.octet_length(text_or_empty(F.col("text"))).cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2(suffix_dedup.kept_bytes(F.col("text"), F.col("spans")), 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     "op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op3_chat": op3_chat, "op4_tokens": op4_tokens, "op5_pii": op5_pii,
     "op6_quality": op6_quality, "op7_repetition": op7_repetition, "op8_decontamination": op8_decontamination, "op9_language_model": op9_language_model,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLES = {"op2_mixing": OP2_SQL, "op3_chat": OP3_SQL, "op7_repetition": OP7_SQL, "op8_decontamination": OP8_SQL}
