@@ -47,9 +47,9 @@ def odds(x: Column) -> Column:
 
 def pareto_mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS,
-    share: float = 1.5, most: float = 2.0, preference: Column | None = None, seed: int = 42,
+    share: float = 1.5, most: float = 2.0, preference: Column | None = None, seed: int = 42, keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(id, source, size, source_size, target, copies, taken) for each row.
+    """(id, source, size, source_size, target, copies, taken) for each row; keep names columns of docs to add, as struct `kept`.
 
     A row of a source with target / size = r is expected r times (with a preference column: more for
     preferred rows, at most `most`). Its whole part is taken for certain. For the rest the rows are
@@ -64,7 +64,7 @@ def pareto_mix(
     pref = F.lit(1.0) if preference is None else preference.cast("double")
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), pref.alias("pref"),
-        uniform(id_text(F.col(id_col)), seed).alias("u"),
+        uniform(id_text(F.col(id_col)), seed).alias("u"), *[F.struct(*keep).alias("kept")] * bool(keep),
     )
     rows = materialize(rows, "sizes")
     stats = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("pref")).alias("wanted"))
@@ -104,6 +104,6 @@ def pareto_mix(
     # without a cut bucket nothing more is wanted, or all is
     inside = F.when(F.col("rank").isNull(), 0).when(F.col("at_b2").isNull(), F.when(F.col("of_extra") > 0, 1).otherwise(0)).when(F.col("b2") < F.col("at_b2"), 1).otherwise(0)
     rest = out.where("not (b2 <=> at_b2) or rank is null").withColumn("more", inside)
-    cols = ["id", "source", "size", "source_size", "target", (F.col("whole") + F.col("more")).cast("long").alias("copies")]
+    cols = [*["kept"] * bool(keep), "id", "source", "size", "source_size", "target", (F.col("whole") + F.col("more")).cast("long").alias("copies")]
     both = rest.select(*cols).unionByName(edge.select(*cols))
-    return both.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return both.select(*["kept"] * bool(keep), F.col("id").alias(id_col), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

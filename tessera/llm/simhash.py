@@ -18,13 +18,19 @@ from tessera.llm.components import connected_components
 FULL = (1 << 64) - 1
 
 
-def simhash(text: bytes, shingle: int = 3, seed: int = 42, piece: int = 1 << 15) -> int:
+def shingles(words: list[bytes], n: int) -> Iterator[bytes]:
+    """Runs of n words; of fewer words, the whole sequence."""
+    return iter([b" ".join(words)]) if len(words) < n else map(b" ".join, zip(*(words[i:] for i in range(n)), strict=False))
+
+
+def simhash(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     """64-bit SimHash of word shingles, unsigned. No words: 0. Fewer words than a shingle: one shingle of all."""
     words = text.lower().split()  # bytes: A-Z and the six ASCII white spaces only
-    if not words:
-        return 0
-    grams = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    h = np.fromiter((xxhash.xxh64_intdigest(g, seed) for g in grams), np.uint64)
+    return majority(np.fromiter((xxhash.xxh64_intdigest(g, seed) for g in shingles(words, shingle)), np.uint64)) if words else 0
+
+
+def majority(h: np.ndarray, piece: int = 1 << 15) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), piece):
         ones += np.unpackbits(h[i : i + piece].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -66,68 +72,80 @@ def finer(mask: int, distance: int) -> list[int]:
 
 
 def _keyed(df: DataFrame, masks: Column) -> DataFrame:
-    return df.select("fp", F.explode(masks).alias("mask")).withColumn("bucket", F.col("fp").bitwiseAND(F.col("mask")))
+    return df.select("fp", "node", "check", F.explode(masks).alias("mask")).withColumn("bucket", F.col("fp").bitwiseAND(F.col("mask")))
 
 
 def _mask_array(masks: list[int]) -> Column:
     return F.array(*[F.lit(signed(m)) for m in masks])
 
 
-def spanning_links(values: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links that connect what is connected within the distance among distinct values: one fewer than members each.
+def spanning_links(fp: np.ndarray, distance: int, check: np.ndarray | None = None, check_distance: int = 0) -> Iterator[tuple[int, np.ndarray]]:
+    """Links (one index, many indexes) that connect all that close pairs connect: one fewer than members each.
 
-    A value that has been reached is not compared again, so a dense group costs few comparisons and
-    emits a tree of links rather than all its pairs.
+    Pairs are close within the distance, and by their check words within check_distance. A value that
+    has been reached is not compared again, so a dense group costs few comparisons and emits a tree of
+    links rather than all its pairs.
     """
-    rest = values
+    rest = np.arange(len(fp))
     while len(rest) > 1:
         root, frontier, rest = rest[0], [rest[0]], rest[1:]
         while frontier and len(rest):
-            near = np.bitwise_count(rest ^ frontier.pop()) <= distance
+            x = frontier.pop()
+            near = np.bitwise_count(fp[rest] ^ fp[x]) <= distance
+            if check is not None and near.any():
+                near[near] = np.bitwise_count(check[rest[near]] ^ check[x]).sum(axis=1) <= check_distance
             if near.any():
                 found, rest = rest[near], rest[~near]
                 frontier.extend(found)
-                yield np.full(len(found), root), found
+                yield root, found
 
 
-def _link(distance: int):
+def _link(distance: int, check_distance: int | None):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, check: np.ndarray | None) -> Iterator[pa.RecordBatch]:
             cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(fp)]])
-            out = [x for i in np.flatnonzero(ends - starts > 1) for x in spanning_links(fp[starts[i] : ends[i]], distance)]
-            if out:
-                a, b = (np.concatenate([x[i] for x in out]).view(np.int64) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
-
-        key, fp = np.empty((0, 2), np.int64), np.empty(0, np.uint64)
+            starts, ends = np.concatenate([[0], cut]), np.append(cut, len(fp))
+            a, b = [], []
+            for i in np.flatnonzero(ends - starts > 1):
+                s, e = starts[i], ends[i]
+                for one, many in spanning_links(fp[s:e], distance, None if check is None else check[s:e], check_distance or 0):
+                    a.append(np.full(len(many), node[s + one]))
+                    b.append(node[s + many])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], schema=schema)
+
+        held: list[np.ndarray] = []
         for x in batches:
             if not x.num_rows:
                 continue
-            key = np.concatenate([key, np.stack([x.column(i).to_numpy() for i in (0, 1)], axis=1)])
-            fp = np.concatenate([fp, x.column(2).to_numpy().view(np.uint64)])
-            last = len(key) - int(np.argmax((key[::-1] != key[-1]).any(axis=1))) if (key != key[-1]).any() else 0
-            if last:
-                yield from links(key[:last], fp[:last])
-                key, fp = key[last:], fp[last:]
-        if len(key):
-            yield from links(key, fp)
+            n = x.num_rows
+            new = [np.stack([x.column(i).to_numpy() for i in (0, 1)], axis=1), x.column(2).to_numpy().view(np.uint64), x.column(3).to_numpy()]
+            new.append(None if check_distance is None else x.column(4).flatten().to_numpy().view(np.uint64).reshape(n, -1))
+            held = [u if u is None else np.concatenate([h, u]) for h, u in zip(held, new, strict=True)] if held else new
+            other = np.flatnonzero((held[0] != held[0][-1]).any(axis=1))
+            if len(other):
+                last = int(other[-1]) + 1  # the last bucket may go on
+                yield from links(*[h if h is None else h[:last] for h in held])
+                held = [h if h is None else h[last:] for h in held]
+        if held:
+            yield from links(*held)
 
     return run
 
 
-def near_links(prints: DataFrame, column: str, distance: int = 3, blocks: int = 5, max_bucket: int = 20_000) -> DataFrame:
+def near_links(prints: DataFrame, column: str, distance: int = 3, blocks: int = 5, node: str | None = None, check: str | None = None, check_distance: int = 0, max_bucket: int = 20_000) -> DataFrame:
     """(a, b): links between distinct 64-bit values, enough to connect all that lie within the distance.
 
     Values are cut into blocks; each choice of blocks - distance blocks is a key on which close pairs
     must meet. A bucket of over max_bucket distinct values is dealt out again by shares of its
     remaining bits, level by level, until the buckets are small (the free bits bound them), so no
-    bucket grows with the data and none is cut short.
+    bucket grows with the data and none is cut short. node: the ids to link (the values themselves if
+    none); check: an array of longs of which check_distance bits may differ at most.
     """
     spark = prints.sparkSession
-    prints = prints.select(F.col(column).alias("fp"))
+    prints = prints.select(F.col(column).alias("fp"), F.col(node or column).alias("node"), (F.col(check) if check else F.lit(None).cast("array<long>")).alias("check"))
     masks = block_masks(distance, blocks)
     level, done = _keyed(prints, _mask_array(masks)), []
     while True:
@@ -138,13 +156,14 @@ def near_links(prints: DataFrame, column: str, distance: int = 3, blocks: int =
             break
         done.append(level.join(big, ["mask", "bucket"], "left_anti"))
         table = spark.createDataFrame([(signed(m), [signed(c) for c in cs]) for m, cs in children.items()], "mask long, masks array<long>")
-        hot = materialize(level.join(big, ["mask", "bucket"], "left_semi").join(F.broadcast(table), "mask").select("fp", "masks"), "hot")  # one row a mask, fixed by the parameters
-        level, masks = _keyed(hot, F.col("masks")).distinct(), [c for cs in children.values() for c in cs]
-    rows = done[0]
+        hot = materialize(level.join(big, ["mask", "bucket"], "left_semi").join(F.broadcast(table), "mask").select("fp", "node", "check", "masks"), "hot")  # one row a mask, fixed by the parameters
+        level, masks = _keyed(hot, F.col("masks")).distinct(), sorted({c for cs in children.values() for c in cs})
+    names = ["mask", "bucket", "fp", "node"] + ["check"] * bool(check)
+    rows = done[0].select(*names)
     for x in done[1:]:
-        rows = rows.unionByName(x)
-    rows = rows.select("mask", "bucket", "fp").repartition("mask", "bucket").sortWithinPartitions("mask", "bucket", "fp")
-    return rows.mapInArrow(_link(distance), "a long, b long")
+        rows = rows.unionByName(x.select(*names))
+    rows = rows.repartition("mask", "bucket").sortWithinPartitions("mask", "bucket", "fp")
+    return rows.mapInArrow(_link(distance, check_distance if check else None), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3, seed: int = 42) -> DataFrame:
@@ -161,5 +180,63 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comps = materialize(connected_components(near_links(prints, "fp", distance), "a", "b").select(F.col("node").alias("fp"), "root"), "components")
     named = prints.join(comps, "fp").groupBy("root").agg(F.min("first_id").alias("component"))
     known = comps.join(named, "root").select("fp", "component")
-    labels = prints.join(known, "fp", "left").select("fp", F.coalesce("component", "first_id").alias("component_id"))
+    labels = materialize(prints.join(known, "fp", "left").select("fp", F.coalesce("component", "first_id").alias("component_id")), "labels")
     return rows.join(labels, "fp", "left").select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint_bits"), "component_id")
+
+
+def signature(text: Column, shingle: int = 5, seed: int = 42) -> Column:
+    """[SimHash of the distinct words, two SimHashes of the distinct shingles]: the first finds, the others verify."""
+
+    @F.arrow_udf("array<long>")
+    def of(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts.cast(pa.binary()).to_pylist():
+            w = (t or b"").lower().split()
+            if not w:
+                out.append([0, 0, 0])
+                continue
+            grams = set(shingles(w, shingle))
+            hs = [np.fromiter((xxhash.xxh64_intdigest(g, s) for g in fs), np.uint64, len(fs)) for fs, s in ((set(w), seed), (grams, seed + 1), (grams, seed + 2))]
+            out.append([signed(majority(h)) for h in hs])
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return of(text)
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 6, blocks: int = 9, check_distance: int = 24) -> DataFrame:
+    """(id, text_hash, component) for each row: groups of texts with some 0.8 or more of their five-word shingles in common.
+
+    A SimHash of shingles is too far apart for such pairs (9 of 64 bits at a similarity of 0.8, so no
+    block is likely to be shared); of their distinct words it is 3 or 4 bits apart, and 6 or fewer in
+    95 of 100 pairs. So pigeonhole blocks join on the words' SimHash, and the Hamming distance of 128
+    bits of shingle SimHash verifies: 24 bits are expected at a similarity of 0.74, 19 at 0.8.
+    component is the least text_hash (64 bits) of the group. Null and empty texts are one group.
+    """
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), signature(F.col(text_col), shingle).alias("s"))
+    rows = materialize(rows, "signatures")
+    prints = rows.select(F.col("s")[0].alias("fp"), F.slice("s", 2, 2).alias("check"), F.xxhash64("s").alias("node"), "text_hash")
+    named = materialize(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min(F.col("check")[0]).alias("c0"), F.min(F.col("check")[1]).alias("c1"), F.min("text_hash").alias("least")), "prints")
+    links = near_links(named.select("fp", "node", F.array("c0", "c1").alias("check")), "fp", distance, blocks, "node", "check", check_distance)
+    comps = materialize(connected_components(links, "a", "b"), "components")
+    least = comps.join(named.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("component"))
+    labels = named.select("node", "least").join(comps.join(least, "root").select("node", "component"), "node", "left")
+    labels = materialize(labels.select("node", F.coalesce("component", "least").alias("component")), "labels")
+    return rows.select("id", "text_hash", F.xxhash64("s").alias("node")).join(labels, "node", "left").select(F.col("id").alias(id_col), "text_hash", "component")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs without near copies: of each group of similar_documents() the row of least id stays (nulls last), whole.
+
+    Rows equal in id and text are copies of each other and one stays. All columns are kept.
+    """
+    groups = similar_documents(docs, id_col, text_col, **how).withColumnRenamed(id_col, "id")
+    first = groups.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "text_hash")).alias("f")).select("f.id", "f.text_hash")
+    count = groups.groupBy("id", "text_hash").agg(F.count("*").alias("n"))
+    keep = materialize(first.join(count, first["id"].eqNullSafe(count["id"]) & (first["text_hash"] == count["text_hash"])).select(first["id"].alias("__id"), first["text_hash"].alias("__h"), F.col("n").alias("__n")), "kept")
+    h = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    out = docs.join(keep, docs[id_col].eqNullSafe(keep["__id"]) & (h == keep["__h"]))
+    single = out.where("__n = 1").select(*docs.columns)
+    if keep.where("__n > 1").isEmpty():
+        return single
+    return single.unionByName(out.where("__n > 1").dropDuplicates(["__id", "__h"]).select(*docs.columns))

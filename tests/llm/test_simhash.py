@@ -127,3 +127,38 @@ def test_components_of_random_links(spark, seed):
         if not changed:
             break
     assert got == set(label.items())
+
+
+def jaccard(a, b, k=5):
+    s, t = (set(simhash.shingles((x or "").encode().lower().split(), k)) for x in (a, b))
+    return len(s & t) / max(1, len(s | t))
+
+
+def test_similar_documents(spark):
+    r = random.Random(6)
+    words = ["".join(r.choices("abcdefgh", k=r.randrange(2, 9))) for _ in range(3000)]
+    rows, i = [], 0
+    for _ in range(60):
+        base = r.choices(words, k=r.choice([60, 300, 900]))
+        rows.append((i, " ".join(base), "en"))
+        i += 1
+        for _ in range(3):
+            w = list(base)
+            for _ in range(max(1, len(w) // 100)):
+                w[r.randrange(len(w))] = r.choice(words)
+            rows.append((i, " ".join(w), "en"))
+            i += 1
+    rows += [(9000, None, None), (9001, "", ""), (None, "one two", ""), (9003, "two one", ""), (9003, "two one", "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component string").repartition(4)
+    text = {x[0]: x[1] for x in rows}
+    got = simhash.similar_documents(df).collect()
+    assert len(got) == len(rows)
+    label = {x.doc_id: x.component for x in got}
+    close = [(a, a + k) for a in range(0, i, 4) for k in (1, 2, 3) if jaccard(text[a], text[a + k]) >= 0.8]
+    assert len(close) > 120 and sum(label[a] == label[b] for a, b in close) > 0.95 * len(close)
+    assert len({label[a] for a in range(0, i, 4)}) == 60 and label[None] != label[9003]
+    kept = simhash.one_of_each(df).collect()
+    assert len(kept) == len({x.component for x in got})
+    ids = {x.doc_id for x in kept}
+    assert {0, 4, 8, None, 9000, 9003} <= ids and 9001 not in ids
+    assert simhash.one_of_each(df.limit(0)).count() == 0
