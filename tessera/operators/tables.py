@@ -5,16 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder (spark.checkpoint.dir; a new one where it is unset, as in tests) and read again."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors see: spark.checkpoint.dir; where it is unset, as in tests, a new local one."""
+    sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not d:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
         d = sc.getCheckpointDir()
-    path = f"{d}/tessera-table-{uuid.uuid4().hex}"
+    return d
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read again."""
+    path = f"{shared_dir(df.sparkSession)}/tessera-table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,15 +6,19 @@ are its operator's own top-k reports.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera import streaming
 from tessera.functions import text as T
 from tessera.functions import vector as V
-from tessera.operators import crossfile, detect, graph, memory, patterns, rank, verify
+from tessera.operators import crossfile, detect, graph, memory, patterns, rank, tables, verify
 from tessera.plans import standin
 from tessera.plans.standin import EDGES_SQL, GROW_SQL, NODES_SQL, read, score_sql
+from tessera.sources import extract
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -691,3 +695,26 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
     """Properties stand for parts of a report."""
     v = F.try_parse_json("props")
     return read(spark, d, "events").select("event_id", F.try_variant_get(v, "$.k", "string").alias("k"), F.try_variant_get(v, "$.k", "bigint").isNotNull().alias("ok"))
+
+
+# Extraction and streams
+
+
+@query()
+def extract_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Calls in the inline scripts of pages."""
+    facts = extract.extract_facts(extract.scripts_of_pages(read(spark, d, "pages")))
+    return extract.table(facts, "call").select("file", "callee", "fn", "line")
+
+
+@query("""SELECT doc_id::VARCHAR AS path, 'sha256:' || sha256(coalesce(CASE WHEN lang = 'de' THEN text || '!' ELSE text END, '')) AS content_hash FROM documents""")
+def incremental_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Documents land as files in two batches, the German ones again with other texts; the table holds the last of each."""
+    root = f"{tables.shared_dir(spark)}/tessera-stream-{uuid.uuid4().hex}"
+    docs = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"), "lang")
+    docs.select("path", "content", F.timestamp_seconds(F.lit(0)).alias("ts")).coalesce(1).write.parquet(f"{root}/in")
+    streaming.watch(spark, f"{root}/in", f"{root}/table", f"{root}/state").awaitTermination()
+    again = docs.where("lang = 'de'").select("path", F.concat("content", F.lit("!")).alias("content"), F.timestamp_seconds(F.lit(60)).alias("ts"))
+    again.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    streaming.watch(spark, f"{root}/in", f"{root}/table", f"{root}/state").awaitTermination()
+    return streaming.current(spark, f"{root}/table").select("path", "content_hash")

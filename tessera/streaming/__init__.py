@@ -1 +1,42 @@
+"""Continuous upkeep: files as they arrive, patched into stored tables by content hash."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from tessera.functions.text import content_hash
+from tessera.operators.graph import changed_files, first_by
+
+
+def upsert(batch: DataFrame, table: str, version: int) -> dict[str, int]:
+    """Puts a batch of files (path, content, ts) on a table of versions and says what changed.
+
+    The table is appended to, a version at a time: a batch that runs again writes its version again and
+    readers take the last row of each path, so an executor or driver may be lost at any point.
+    """
+    spark = batch.sparkSession
+    last = first_by(batch, ["path"], F.desc("ts"), F.desc("content")).select("path", "content", content_hash(F.col("content")).alias("content_hash"))
+    try:
+        stored = current(spark, table, version)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        stored = last.limit(0)
+    changed = changed_files(last, stored.join(last.select("path"), "path", "left_semi"))
+    last.join(changed, "path").withColumn("version", F.lit(version)).write.mode("overwrite").parquet(f"{table}/version={version}")
+    return {r.status: r.n for r in spark.read.parquet(f"{table}/version={version}").groupBy("status").agg(F.count("*").alias("n")).collect()}
+
+
+def current(spark: SparkSession, table: str, before: int | None = None) -> DataFrame:
+    """(path, content, content_hash): the last version of each file."""
+    rows = spark.read.parquet(table)
+    rows = rows.where(F.col("version") < before) if before is not None else rows
+    return first_by(rows, ["path"], F.desc("version")).select("path", "content", "content_hash")
+
+
+def watch(spark: SparkSession, landing: str, table: str, checkpoint: str, schema: str = "path string, content string, ts timestamp", source: str = "parquet", files_a_batch: int = 1000) -> StreamingQuery:
+    """Starts a stream that takes files as they land and patches the table; it ends when nothing is left."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).format(source).load(landing)
+    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, i: upsert(df, table, i) and None).start()
