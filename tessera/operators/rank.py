@@ -98,8 +98,11 @@ def expand(seeds: DataFrame, edges: DataFrame, semantic: DataFrame | None = None
 
 def _local(rows: list, like: DataFrame) -> DataFrame:
     """A few rows (id, score) as a table with their place as rank."""
-    kind = dict(like.dtypes)["source"]
-    return like.sparkSession.createDataFrame([(r.id, r.score, i) for i, r in enumerate(rows)], f"id {kind}, score double, rank long")
+    kind, spark = dict(like.dtypes)["source"], like.sparkSession
+    if not rows:
+        return spark.createDataFrame([], f"id {kind}, score double, rank long")
+    items = [F.struct(F.lit(r.id).cast(kind).alias("id"), F.lit(float(r.score)).alias("score"), F.lit(i).cast("long").alias("rank")) for i, r in enumerate(rows)]
+    return spark.range(1).select(F.inline(F.array(*items)))
 
 
 def route(nodes: DataFrame, edges: DataFrame, symptom: str, max_files: int = 12, semantic: DataFrame | None = None) -> DataFrame:
@@ -169,15 +172,17 @@ def frontier(files: DataFrame, imports: DataFrame, calls: DataFrame, symptom: st
         return files.select("file")
     words = [w for w in spark.range(1).select(symptom_words(F.lit(symptom)).alias("w")).first().w]
     scored = frontier_scores(files, imports, words)
-    seed = scored.orderBy(F.desc("score"), "ord").limit(1).select("file")
+    seed = files.sparkSession.createDataFrame(scored.orderBy(F.desc("score"), "ord").limit(1).select("file").collect(), scored.select("file").schema)  # one row
     known = files.select("file")
     links = imports.select(F.col("file").alias("a"), F.col("from_file").alias("b")).unionByName(calls.select(F.col("caller").alias("a"), F.col("callee").alias("b")))
-    links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().join(known.withColumnRenamed("file", "b"), "b", "left_semi")
+    links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(known.withColumnRenamed("file", "b"), "b", "left_semi")
+    links = materialize(links)
     chosen = front = seed
     for _ in range(depth):
         if chosen.count() >= max_files:
             break
         front = links.join(front.withColumnRenamed("file", "a"), "a").select(F.col("b").alias("file")).distinct().join(chosen, "file", "left_anti")
+        front = materialize(front)
         chosen = chosen.unionByName(front)
     if chains is not None and words:
         chosen = chosen.unionByName(chains.where(F.exists(lit_array(words), lambda w: F.contains(F.lower("var"), w))).select("file")).distinct()

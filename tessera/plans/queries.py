@@ -234,8 +234,9 @@ WITH {NODES_SQL}, {EDGES_SQL}, s AS (SELECT *, {score_sql(SYMPTOM.split())} AS s
 seeds AS (SELECT id, row_number() OVER (ORDER BY score DESC, ord) AS rank FROM s WHERE score >= 0.1 QUALIFY row_number() OVER (ORDER BY score DESC, ord) <= 3), {GROW_SQL}
 SELECT id, round(score, 6) AS score FROM grown""")
 def graph_beam(spark: SparkSession, d: str) -> DataFrame:
-    seeds = rank.search(standin.nodes(spark, d), SYMPTOM, limit=3).select("id", F.row_number().over(W.orderBy(F.desc("score"), "ord")).alias("ord"))
-    return rank.expand(seeds, standin.edges(spark, d)).select("id", F.round("score", 6).alias("score"))
+    hits = rank.search(standin.nodes(spark, d), SYMPTOM, limit=3).collect()
+    seeds = spark.createDataFrame([(x.id, i) for i, x in enumerate(hits)], "id string, ord long")
+    return rank.expand(seeds, tables.materialize(standin.edges(spark, d))).select("id", F.round("score", 6).alias("score"))
 
 
 @query(f"""
@@ -246,7 +247,7 @@ files AS (SELECT file_path, max(score) AS score, min(ord) AS o FROM pool JOIN no
 SELECT row_number() OVER (ORDER BY round(score, 9) DESC, o) AS rank, file_path, round(score, 6) AS score FROM files ORDER BY rank LIMIT 12""")
 def route_files(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: which files to read for a symptom."""
-    return rank.route(standin.nodes(spark, d), standin.edges(spark, d), SYMPTOM).select(long_("rank"), "file_path", F.round("score", 6).alias("score"))
+    return rank.route(standin.nodes(spark, d), tables.materialize(standin.edges(spark, d)), SYMPTOM).select(long_("rank"), "file_path", F.round("score", 6).alias("score"))
 
 
 FRONTIER_SQL = f"""
@@ -266,7 +267,7 @@ SELECT file FROM c3 WHERE (SELECT count(*) FROM c3) >= 3 UNION ALL SELECT file F
 @query(FRONTIER_SQL)
 def frontier_bfs(spark: SparkSession, d: str) -> DataFrame:
     """Nodes of graph P stand for files, with their names and summaries as contents."""
-    n, e = standin.nodes(spark, d), standin.edges(spark, d)
+    n, e = standin.nodes(spark, d), tables.materialize(standin.edges(spark, d))
     files = n.select(F.col("id").alias("file"), F.concat_ws(" ", "name", "summary").alias("content"), "ord")
     imports = e.where("type = 'imports'").select(F.col("source").alias("file"), F.col("target").alias("from_file"))
     return rank.frontier(files, imports, e.where("type = 'calls'").select(F.col("source").alias("caller"), F.col("target").alias("callee")), SYMPTOM)
