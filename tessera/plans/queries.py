@@ -336,7 +336,7 @@ def symbol_origins(spark: SparkSession, d: str) -> DataFrame:
 CHAIN_SQL = """
 WITH acc AS (SELECT l_suppkey AS file, l_partkey AS var, CASE WHEN l_returnflag = 'R' THEN 'write' ELSE 'read' END AS kind, l_linestatus AS fn, l_orderkey AS line FROM lineitem),
 imp AS (SELECT DISTINCT l_suppkey AS file, l_partkey AS var, s_nationkey AS origin_file FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_returnflag = 'A'),
-exp AS (SELECT DISTINCT s_nationkey AS origin_file, p_partkey AS origin_var FROM supplier, part WHERE p_size <= 10),
+exp AS (SELECT DISTINCT s_nationkey AS origin_file, l_partkey AS origin_var FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey WHERE p_size <= 10),
 a AS (SELECT acc.*, imp.origin_file, acc.var AS origin_var FROM acc JOIN imp USING (file, var) JOIN exp ON exp.origin_file = imp.origin_file AND exp.origin_var = acc.var),
 b AS (SELECT acc.*, acc.file AS origin_file, acc.var AS origin_var FROM acc JOIN exp ON exp.origin_file = acc.file AND exp.origin_var = acc.var WHERE (acc.file, acc.var) NOT IN (SELECT (file, var) FROM imp)),
 c AS (SELECT * FROM a UNION ALL SELECT * FROM b)
@@ -344,11 +344,12 @@ c AS (SELECT * FROM a UNION ALL SELECT * FROM b)
 
 
 def _chains(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers stand for files, parts for variables; returned lines write, and accepted ones import from the nation's file, which exports small parts."""
+    """Suppliers stand for files, parts for variables; returned lines write, and accepted ones import from the nation's file, which exports the small parts that it supplies."""
     li, s, p = (read(spark, d, t) for t in ("lineitem", "supplier", "part"))
     acc = li.select(F.col("l_suppkey").alias("file"), F.col("l_partkey").alias("var"), F.when(F.col("l_returnflag") == "R", "write").otherwise("read").alias("kind"), F.col("l_linestatus").alias("fn"), F.col("l_orderkey").alias("line"))
     imp = li.where("l_returnflag = 'A'").join(s, li["l_suppkey"] == s["s_suppkey"]).select(F.col("l_suppkey").alias("file"), F.col("l_partkey").alias("local_name"), F.col("s_nationkey").cast("long").alias("from_file"), F.col("l_partkey").alias("original_name")).distinct()
-    exp = p.where("p_size <= 10").select(F.col("p_partkey").alias("name")).withColumn("k", F.lit(1)).join(s.select(F.col("s_nationkey").cast("long").alias("file")).distinct().withColumn("k", F.lit(1)), "k").select("file", "name", F.lit(0).alias("line"))
+    small = li.select("l_suppkey", "l_partkey").distinct().join(p.where("p_size <= 10").select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_semi")
+    exp = small.join(s, small["l_suppkey"] == s["s_suppkey"]).select(F.col("s_nationkey").cast("long").alias("file"), F.col("l_partkey").alias("name"), F.lit(0).alias("line")).distinct()
     return crossfile.expand_chains(acc, imp, exp)
 
 
