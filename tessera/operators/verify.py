@@ -165,12 +165,13 @@ def coverage_alert(symptom: Column) -> Column:
     return F.when(F.length(symptom) < 50, None).when(count(r"^\d+[.)]") >= 2, "numbered list").when(count("^[-*•]") >= 2, "bullet list").when(symptom.rlike(stated), "stated number")
 
 
-def recalibrate(confidence: Column, n_survivors: Column, unverifiable: Column, evidence_missing: Column, single_hypothesis: Column, orthogonal: Column) -> Column:
-    """A confidence under the caps that hold: .70 if something cannot be verified or evidence is missing, .75 or .82 for one hypothesis, .85 or .65 for several survivors."""
+def recalibrate(confidence: Column, unverifiable: Column, chain_incomplete: Column, elimination: Column, n_survivors: Column, independent: Column) -> Column:
+    """A confidence under the caps that hold: .70 if a hypothesis cannot be verified, .70 if the causal chain has gaps, .75 or .82
+    if the survivor won by default or weakly (elimination DEFAULT or WEAK), and for several survivors .85 if they are independent causes, else .65."""
     cap = F.least(
-        F.when(unverifiable, 0.70).otherwise(1.0), F.when(evidence_missing, 0.70).otherwise(1.0),
-        F.when(single_hypothesis & evidence_missing, 0.75).when(single_hypothesis, 0.82).otherwise(1.0),
-        F.when((n_survivors > 1) & orthogonal, 0.85).when(n_survivors > 1, 0.65).otherwise(1.0),
+        F.when(unverifiable, 0.70).otherwise(1.0), F.when(chain_incomplete, 0.70).otherwise(1.0),
+        F.when(elimination == "DEFAULT", 0.75).when(elimination == "WEAK", 0.82).otherwise(1.0),
+        F.when((n_survivors > 1) & independent, 0.85).when(n_survivors > 1, 0.65).otherwise(1.0),
     )
     return F.least(confidence, cap)
 
@@ -209,3 +210,67 @@ def file_completeness(files: DataFrame) -> DataFrame:
 def score_diagnosis(rows: DataFrame) -> DataFrame:
     """Totals of graded runs (rca, pfr, cfr, hallucination, verify_passed, top_k_hit)."""
     return rows.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("rca", "pfr", "cfr")], *[F.count_if(F.col(c)).alias(c) for c in ("hallucination", "verify_passed", "top_k_hit")])
+
+
+# Phrases by which a fix says that it lies elsewhere.
+ABSENT_PHRASES = [
+    "not provided in the files", "not provided in the provided files", "is not provided", "injected dependency", "implementation is not available", "implementation is not included",
+    "not included in the", "cannot see the implementation", "which is not in the", "file was not provided", "files were not provided",
+]
+# Complaints about events; growth with use; moves between pages; files that control them.
+EVENT_PHRASES = ["not firing", "never fires", "never triggered", "not triggered", "event not", "doesn't fire", "doesn't trigger", "not called", "not working", "doesn't work", "never called"]
+GROWTH = r"(?i)grows?\s+with\s+(session|navigation|page|route|usage)|increases?\s+with\s+(navigation|page|route|each)|accumulate|scales?\s+with|per\s+(navigation|page\s+navigation|route\s+change)|each\s+time\s+(i\s+)?(navigate|visit|go\s+to)|\d+\s*(?:pages?|navigations?|routes?|visits?)\s*(?:has|have|→|->|=|causes?)?\s*\d*x\b|[nx]\s*(?:times?|events?|listeners?|calls?)\s+(?:per|after|with)|count\s+grows|more\s+(?:events?|listeners?|calls?)\s+(?:per|after|with|each)|\d+x\s+the\s+expected"
+NAVIGATION = r"(?i)\bnavigate\b|\bnavigation\b|\bpage\s+change\b|\broute\s+change\b|\bunmount\b|\bswitch\s+(?:pages?|routes?|views?)\b|\bgo\s+(?:back|forward|to\s+another)\b"
+ROUTER_FILE = r"(?i)router|routes?|app\.(jsx?|tsx?)|layout\.(jsx?|tsx?)|parent"
+
+
+def contradictions(symptoms: DataFrame, files: DataFrame, accesses: DataFrame, timing: DataFrame) -> DataFrame:
+    """(symptom_id, alert, subject): where a symptom (symptom_id, text) and the facts disagree.
+
+    listener_gap: an event said not to fire has a listener; listener_present: others have; crash_site: a function that is
+    accused only reads; lifecycle_context: a count grows with navigation and no file controls it.
+    """
+    listens = timing.where(F.col("api").startswith("addEventListener")).select(F.lower(F.regexp_extract("api", r'\("([^"]+)"\)', 1)).alias("event")).distinct()
+    events = listens.agg(F.array_sort(F.collect_set("event")).alias("events"))  # names of events: a short list
+    s = symptoms.select("symptom_id", "text", F.lower("text").alias("low")).crossJoin(F.broadcast(events))  # one row
+    named = F.filter("events", lambda e: (e != "") & F.contains(F.col("low"), e))
+    complains = contains_any(F.col("low"), EVENT_PHRASES) & (F.size("events") > 0)
+    a = s.where(complains).select("symptom_id", F.when(F.size(named) > 0, "listener_gap").otherwise("listener_present").alias("alert"), F.array_join(F.when(F.size(named) > 0, named).otherwise(F.col("events")), ",").alias("subject"))
+    accused = symptoms.select("symptom_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([a-zA-Z_$][a-zA-Z0-9_$]*)\s*\(\)"), 1))).alias("fn"))
+    of = lambda k: accesses.where(F.col("kind") == k).select("fn").distinct()
+    b = accused.join(of("read"), "fn", "left_semi").join(of("write"), "fn", "left_anti").select("symptom_id", F.lit("crash_site").alias("alert"), F.col("fn").alias("subject"))
+    routers = files.agg(F.coalesce(F.bool_or(F.col("path").rlike(ROUTER_FILE)), F.lit(False)).alias("r"))
+    c = symptoms.where(F.col("text").rlike(GROWTH) & F.col("text").rlike(NAVIGATION)).crossJoin(F.broadcast(routers)).where("not r")  # one row
+    return a.unionByName(b).unionByName(c.select("symptom_id", F.lit("lifecycle_context").alias("alert"), F.lit("").alias("subject")))
+
+
+def missing_fix_target(fixes: DataFrame, files: DataFrame, most: int = 3) -> DataFrame:
+    """(claim_id, reason, needed): fixes (claim_id, minimal_fix, code_location) that lie in files that were not given: by phrase, or all places named are unknown."""
+    known = files.select(F.lower(F.element_at(F.split("path", "/"), -1)).alias("b")).distinct()
+    refs = lambda c: F.transform(file_refs(c), F.lower)
+    f = fixes.select("claim_id", contains_any(F.lower("minimal_fix"), ABSENT_PHRASES).alias("phrase"), refs(F.col("code_location")).alias("at"), refs(F.col("minimal_fix")).alias("said"), F.array_distinct(F.regexp_extract_all("minimal_fix", F.lit(r"\b(\w+(?:Service|Provider|Impl|Manager|Handler|Repository))\b"), 1)).alias("services"))
+    names = f.select("claim_id", F.posexplode(F.concat("at", "said", F.transform("services", lambda x: F.concat(F.lower(x), F.lit(".ts"))))).alias("i", "b"))
+    unknown = names.join(known, "b", "left_anti").groupBy("claim_id", "b").agg(F.min("i").alias("i")).groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct("i", "b"))).alias("u"))
+    at_known = f.select("claim_id", F.explode("at").alias("b")).join(known, "b", "left_semi").select("claim_id").distinct().withColumn("k", F.lit(True))
+    j = f.join(unknown, "claim_id", "left").join(at_known, "claim_id", "left")
+    elsewhere = (F.size("at") > 0) & F.col("k").isNull()
+    needed = F.slice(F.transform(F.coalesce("u", F.array().cast("array<struct<i:int,b:string>>")), lambda x: x["b"]), 1, most)
+    out = j.where(F.col("phrase") | elsewhere).select("claim_id", F.when(F.col("phrase"), "phrase").otherwise("location").alias("reason"), needed.alias("needed"), "phrase")
+    return out.where(F.col("phrase") | (F.size("needed") > 0)).drop("phrase")
+
+
+def file_refs(text: Column) -> Column:
+    from tessera.functions.text import file_references
+
+    return F.coalesce(file_references(text), F.array().cast("array<string>"))
+
+
+def external_fix_target(claims: DataFrame) -> DataFrame:
+    """Claims (claim_id, cross_repo, whitelisted) whose root cause lies in another repository."""
+    return claims.where(F.col("cross_repo") & ~F.col("whitelisted")).select("claim_id", F.lit("external").alias("reason"))
+
+
+def unverifiable(claims: DataFrame, most: int = 3) -> DataFrame:
+    """(claim_id, hypothesis_id, needed): the first hypothesis of evidence_map (hypothesis_id, verdict, missing) that cannot be verified, with the files it needs."""
+    first = F.get(F.filter("evidence_map", lambda e: e["verdict"] == "UNVERIFIABLE"), F.lit(0))
+    return claims.select("claim_id", first.alias("e")).where(F.size("e.missing") > 0).select("claim_id", F.col("e.hypothesis_id").alias("hypothesis_id"), F.slice("e.missing", 1, most).alias("needed"))

@@ -615,7 +615,8 @@ def confidence_caps(spark: SparkSession, d: str) -> DataFrame:
     s = read(spark, d, "events").groupBy("user_id").agg(of("purchase").alias("a"), of("error").alias("b"))
     n, orth = (F.size("a") > 0).cast("int") + (F.size("b") > 0).cast("int"), verify.pairwise_disjoint(F.array("a", "b"))
     s = s.select("user_id", n.cast("long").alias("survivors"), orth.alias("orth"), "b")
-    conf = verify.recalibrate(F.lit(0.95), F.col("survivors"), F.lit(False), F.size("b") == 0, F.col("survivors") == 1, F.col("orth"))
+    quality = F.when(F.col("survivors") == 1, F.when(F.size("b") == 0, "DEFAULT").otherwise("WEAK"))
+    conf = verify.recalibrate(F.lit(0.95), F.lit(False), F.size("b") == 0, quality, F.col("survivors"), F.col("orth"))
     return s.select("user_id", "survivors", "orth", F.round(conf, 6).alias("confidence"))
 
 

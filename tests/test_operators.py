@@ -160,3 +160,37 @@ def test_cycles(spark):
     assert {x.id for x in graph.cycle_nodes(e(("a", "b"), ("b", "a"), ("b", "c"), ("z", "a"))).collect()} == {"a", "b"}
     assert {tuple(x) for x in graph.reachable(e(("a", "b"), ("b", "c")), depth=1).collect()} == {("a", "b"), ("b", "c")}
     assert graph.reachable(e(("a", "b"), ("b", "c"), ("c", "a"))).count() == 9
+
+
+def test_contradictions(spark):
+    s = spark.createDataFrame([(1, "the click handler is not firing, render() is wrong"), (2, "count grows with navigation, 5 pages 5x"), (3, "fine")], "symptom_id int, text string")
+    files = spark.createDataFrame([("src/view.js",)], "path string")
+    acc = spark.createDataFrame([("v", "read", "render"), ("v", "write", "update")], "var string, kind string, fn string")
+    timing = spark.createDataFrame([('addEventListener("click")',), ("fetch",)], "api string")
+    got = {tuple(x) for x in verify.contradictions(s, files, acc, timing).collect()}
+    assert got == {(1, "listener_gap", "click"), (1, "crash_site", "render"), (2, "lifecycle_context", "")}
+
+
+def test_fix_targets(spark):
+    files = spark.createDataFrame([("src/a.ts",)], "path string")
+    f = spark.createDataFrame([(1, "change b.ts", "src/b.ts:3"), (2, "change it", "src/a.ts:3"), (3, "UserService is not provided", ""), (4, None, None)], "claim_id int, minimal_fix string, code_location string")
+    assert {(x.claim_id, x.reason, tuple(x.needed)) for x in verify.missing_fix_target(f, files).collect()} == {(1, "location", ("b.ts",)), (3, "phrase", ("userservice.ts",))}
+
+
+def test_json_in_prose(spark):
+    from tessera.functions.jsontext import find_object, mended_json
+
+    assert find_object('{"a": 1}') == {"a": 1} and find_object(None) is None and find_object("no") is None
+    assert find_object('text ```json\n{"a": "x\ny"}\n``` more') == {"a": "x\ny"}
+    assert find_object('small {"b": 1} and {"report": {}} here') == {"report": {}}
+    assert find_object('so: {"report": {"a": [1, 2, {"b": "c"}, {"d": "cut he') == {"report": {"a": [1, 2, {"b": "c"}, {}]}}
+    assert find_object('{"a": 1, "b": tru') == {"a": 1} and find_object('{"a": "x", "b') == {"a": "x"}
+    assert spark.createDataFrame([('x {"a": 1',), (None,)], "t string").select(mended_json(F.col("t")).alias("j")).collect()[0].j is not None
+
+
+def test_recalibration(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    t, f = F.lit(True), F.lit(False)
+    assert one(verify.recalibrate(F.lit(0.9), f, f, F.lit(None).cast("string"), F.lit(1), f)) == 0.9
+    assert one(verify.recalibrate(F.lit(0.9), f, f, F.lit("WEAK"), F.lit(1), f)) == 0.82
+    assert one(verify.recalibrate(F.lit(0.9), f, f, F.lit("x"), F.lit(2), t)) == 0.85 and one(verify.recalibrate(F.lit(0.9), t, f, F.lit("x"), F.lit(2), f)) == 0.65
