@@ -150,7 +150,7 @@ m AS (
   FROM d LEFT JOIN lines USING (row_no))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_covered <= 0.2::DOUBLE * n_words AND NOT too_long AS kept
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_covered <= 0.4::DOUBLE * n_words AND NOT too_long AS kept
 FROM m
 """
 

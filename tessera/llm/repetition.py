@@ -124,7 +124,7 @@ def repetition(text: Column, least: int = 10, piece: int = 1 << 20) -> Column:
     return of(text)
 
 
-def repetition_rules(measured: Column, max_fraction: float = 0.2, max_longest: int = 100) -> Column:
+def repetition_rules(measured: Column, max_fraction: float = 0.4, max_longest: int = 100) -> Column:
     """True if repeats cover at most that fraction of the words and none is longer than that many words."""
     m = measured
     return (m["n_covered"] <= F.lit(max_fraction) * m["n_words"]) & (m["longest_repeat"] <= max_longest)

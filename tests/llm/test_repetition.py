@@ -45,7 +45,7 @@ def test_windows_of_three_found_twice():
 def test_rules_and_odd_rows(spark):
     r = random.Random(2)
     clean = " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(400))
-    half = clean[:600]
+    half = clean[:1800]
     rows = [(None,), ("",), (" \n",), (clean,), (clean + " " + half,), (clean * 2,), ("x " * 20000,), (clean,)]
     m = repetition.repetition(F.col("t"), piece=1000)
     got = spark.createDataFrame(rows, "t string").select("t", m.alias("m")).select("t", "m.*", repetition.repetition_rules(F.col("m")).alias("kept")).collect()
