@@ -194,3 +194,15 @@ def test_recalibration(spark):
     assert one(verify.recalibrate(F.lit(0.9), f, f, F.lit(None).cast("string"), F.lit(1), f)) == 0.9
     assert one(verify.recalibrate(F.lit(0.9), f, f, F.lit("WEAK"), F.lit(1), f)) == 0.82
     assert one(verify.recalibrate(F.lit(0.9), f, f, F.lit("x"), F.lit(2), t)) == 0.85 and one(verify.recalibrate(F.lit(0.9), t, f, F.lit("x"), F.lit(2), f)) == 0.65
+
+
+def test_embedder(spark):
+    def lengths(ts):
+        if "bad" in ts:
+            raise RuntimeError("down")
+        return [[float(len(t))] for t in ts]
+
+    df = spark.createDataFrame([("a",), (None,), ("",), ("bad",), ("four",)], "t string").coalesce(1)
+    assert [x.v for x in df.select(V.embed(F.col("t"), lengths, batch=1).alias("v")).collect()] == [[1.0], None, None, None, [4.0]]
+    m = spark.createDataFrame([("a.JPG",), ("data:image/webp;base64,x",), (None,)], "t string").select(V.mime_type(F.col("t")).alias("m"))
+    assert [x.m for x in m.collect()] == ["image/jpeg", "image/webp", "image/png"]
