@@ -57,7 +57,7 @@ def test_base_and_model(spark):
     held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 7 == 2
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, score int, n_tokens string").repartition(6)
     df = df.withColumn("held_out", queries.held_out("doc_id", 7, 2))
-    m, exact = lm_bloom.train(df.where("not held_out"), frequent=50, flush=5000, slice_bytes=1000)
+    m, exact = lm_bloom.train(df.where("not held_out"), frequent=50, flush=5000, slice_bytes=1000, fan_out=8)
     got = lm_bloom.score(df, m, exact, keep=("held_out", "text")).collect()
     n, want = base(rows, held)
     assert len(got) == len(rows)
