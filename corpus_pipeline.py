@@ -24,8 +24,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a ten-word window of a benchmark item occurs go."""
-    marked = decontam.contamination(docs, read(spark, sf_dir, "benchmark"))
-    return marked.where(F.col("contamination")["n_hit"] == 0).select(*docs.columns)
+    marked = decontam.contamination(docs.select(F.struct(*docs.columns).alias("d"), F.col("text")), read(spark, sf_dir, "benchmark"))
+    return marked.where(F.col("contamination")["n_hit"] == 0).select("d.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

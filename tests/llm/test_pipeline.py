@@ -2,6 +2,8 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tessera.llm import compression, decontam, mixing, pii
 from tessera.llm.common import materialize
@@ -102,3 +104,20 @@ def test_run(spark):
     d = "/root/testdata/sf0.001"
     got = corpus_pipeline.run(spark, d).toPandas()
     assert len(got) and got.doc_id.is_unique and {"copies", "taken"} <= set(got.columns)
+
+
+def test_odd_and_empty_tables(spark):
+    d = "/root/testdata/sf0.001"
+    rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (1, "", "en", "a", 0), (2, "some words here and there " * 30, "en", None, 5), (2, "some words here and there " * 30, "en", None, 5), (3, "mail me at a.b@c.de " + "many other words " * 4000, "en", "a", 9)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for data in (rows, []):
+        docs = spark.createDataFrame(data, schema).withColumn("contamination", F.lit(1)).withColumn("d", F.lit("x"))
+        for name, f in corpus_pipeline.STAGES:
+            out = f(spark, docs, d)
+            assert set(docs.columns) <= set(out.columns)
+            got = out.collect()
+            assert len(got) <= len(data)
+            if name in ("decontaminate", "personal_data"):
+                assert len(got) == len(data)
+            if name == "near_copies" and data:
+                assert sorted(str(x.doc_id) for x in got) == ["1", "2", "3"]
