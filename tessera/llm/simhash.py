@@ -203,13 +203,13 @@ def signature(text: Column, shingle: int = 5, seed: int = 42) -> Column:
     return of(text)
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 6, blocks: int = 9, check_distance: int = 24) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 6, blocks: int = 9, check_distance: int = 30) -> DataFrame:
     """(id, text_hash, component) for each row: groups of texts with some 0.8 or more of their five-word shingles in common.
 
     A SimHash of shingles is too far apart for such pairs (9 of 64 bits at a similarity of 0.8, so no
     block is likely to be shared); of their distinct words it is 3 or 4 bits apart, and 6 or fewer in
     95 of 100 pairs. So pigeonhole blocks join on the words' SimHash, and the Hamming distance of 128
-    bits of shingle SimHash verifies: 24 bits are expected at a similarity of 0.74, 19 at 0.8.
+    bits of shingle SimHash verifies: 19 bits are expected at a similarity of 0.8, 29 at 0.6, 64 for others.
     component is the least text_hash (64 bits) of the group. Null and empty texts are one group.
     """
     small_batches(docs.sparkSession)
