@@ -3,8 +3,10 @@
 Learning: tasks hash tokens and pairs, add up what they have and send sorted, packed blocks by hash
 range; each range is added up once. The filter stores (n-gram, 1 .. q) for an n-gram of quantised log
 count q. Scoring probes an n-gram with 1, 2, ... until a probe misses; probabilities are smoothed from
-the counts so found. Exact token counts, which the add-one base score needs, are kept beside it: the
-most frequent in every worker (a fixed number), the rest joined by shuffle.
+the counts so found. The filter in every worker is bounded; what it does not know is asked of the hash
+ranges by shuffle, a block a chunk of texts and range, so no count is left out at any size. Exact token
+counts, which the add-one base score needs, are kept beside it: the most frequent in every worker (a
+fixed number), the rest joined by shuffle.
 """
 
 from __future__ import annotations
@@ -160,13 +162,13 @@ def _count(slices: int, flush: int):
 
 def _gather():
     """Adds up the blocks of each hash range; a range is one group of consecutive rows."""
-    schema = pa.schema([("slice", pa.int32()), ("u", pa.binary()), ("b", pa.binary()), ("n_tokens", pa.int64()), ("levels_u", pa.list_(pa.int64())), ("levels_b", pa.list_(pa.int64())), ("once", pa.int64()), ("mass", pa.list_(pa.int64()))])
+    schema = pa.schema([("slice", pa.int32()), ("u", pa.binary()), ("b", pa.binary()), ("n_tokens", pa.int64()), ("levels_u", pa.list_(pa.int64())), ("levels_b", pa.list_(pa.int64())), ("once", pa.int64())])
 
     def done(s: int, us: list[bytes], bs: list[bytes]) -> pa.RecordBatch:
         (u, cu), (b, cb) = (add_up(*(np.concatenate(x) for x in zip(*map(unpack, z), strict=True))) for z in (us, bs))
         many = cb > 1
         qu = level_of(cu)
-        row = [s, pack(u, cu), pack(b[many], cb[many]), int(cu.sum()), np.bincount(qu, minlength=LEVELS).tolist(), np.bincount(level_of(cb[many]), minlength=LEVELS).tolist(), int((cu == 1).sum()), np.bincount(qu, cu, LEVELS).astype(np.int64).tolist()]
+        row = [s, pack(u, cu), pack(b[many], cb[many]), int(cu.sum()), np.bincount(qu, minlength=LEVELS).tolist(), np.bincount(level_of(cb[many]), minlength=LEVELS).tolist(), int((cu == 1).sum())]
         return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,9 +264,39 @@ def _or_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Levels of the asked n-grams, in their order; in each range the model's blocks come first."""
+    now, held, table, out = None, [], None, []
+    done = lambda: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "range", "u", "b"])
+    for x in batches:
+        for r, chunk, *blocks in zip(*(x.column(i).to_pylist() for i in range(4)), strict=True):
+            if r != now:
+                now, held, table = r, [], None
+            grams = [unpack(g) for g in blocks]
+            if chunk is None:
+                held.append([(h, level_of(c).astype(np.uint8)) for h, c in grams])
+                continue
+            if table is None:
+                table = [tuple(np.concatenate(y) for y in zip(*z, strict=True)) for z in zip(*held, strict=True)] if held else [(np.empty(0, np.uint64), np.empty(0, np.uint8))] * 2
+                held = []
+            found = []
+            for (h, q), (key, _) in zip(table, grams, strict=True):
+                at = np.minimum(np.searchsorted(h, key), max(len(h) - 1, 0))
+                found.append(np.where(h[at] == key, q[at], 0).astype(np.uint8).tobytes() if len(h) else bytes(len(key)))
+            out.append((chunk, r, *found))
+            if len(out) >= 1000:
+                yield done()
+                out = []
+    if out:
+        yield done()
+
+
 @dataclass
 class Model:
-    """What scoring needs. frequent: hashes, in order, and log10(count + 1) of the most frequent tokens."""
+    """What scoring needs. frequent: hashes, in order, and log10(count + 1) of the most frequent tokens.
+
+    grams: all n-grams and counts as blocks of hash ranges, `slices` in all, for what the filter has no room for.
+    """
 
     filter: Filter
     n_tokens: int
@@ -274,20 +306,26 @@ class Model:
     known_mass: float  # sum of the filter's token counts
     weight: float  # how many observations the token's own probability counts for after a context
     frequent: tuple[np.ndarray, np.ndarray]
+    least: tuple[int, int] = (1, 1)  # levels below are not in the filter
+    grams: DataFrame | None = None
+    slices: int = 1
 
     def parts(self) -> tuple:
         f = self.filter
-        return f.bits, f.blocks, f.block_bits, f.probes, self.n_tokens, self.n_words, self.n_texts, self.unknown, self.known_mass, self.weight, self.frequent
+        return f.bits, f.blocks, f.block_bits, f.probes, self.n_tokens, self.n_words, self.n_texts, self.unknown, self.known_mass, self.weight, self.frequent, self.least
 
     def log_probs(self, h: np.ndarray, n: np.ndarray, weight: float | None = None, left_out: int = 0) -> np.ndarray:
         """log10 probability of each token after the one before it; left_out: 1 takes one observation from each count."""
-        w = self.weight if weight is None else weight
         u, back = np.unique(h, return_inverse=True)
-        c = np.maximum(WORTH[self.filter.levels(u, 0)] - left_out, 0)[back]
-        both = np.maximum(WORTH[self.filter.levels(pairs(h, n), 1)] - left_out, 0)
+        c = WORTH[self.filter.levels(u, 0)][back]
         before = np.empty_like(c)
         before[1:] = c[:-1]
-        before[np.cumsum(n) - n] = self.n_texts - left_out
+        before[np.cumsum(n) - n] = self.n_texts
+        return self.terms(c, before, WORTH[self.filter.levels(pairs(h, n), 1)], self.weight if weight is None else weight, left_out)
+
+    def terms(self, c: np.ndarray, before: np.ndarray, both: np.ndarray, w: float, left_out: int | np.ndarray = 0) -> np.ndarray:
+        """log10 probabilities from the counts of tokens, of those before them and of the pairs."""
+        c, before, both = (np.maximum(x - left_out, 0) for x in (c, before, both))
         own = np.where(c > 0, (1 - self.unknown) * c / max(self.known_mass, 1), self.unknown)
         both = np.where(c > 0, np.minimum(both, before), 0)
         return np.log10(np.maximum((both + w * own) / (before + w), 1e-300))
@@ -303,7 +341,7 @@ def train(docs: DataFrame, text_col: str = "text", max_bits: int = 1 << 28, bits
     Tokens are lower-cased (A-Z) words and one end a text. Pairs seen once are not held: they get the
     backed-off probability, and what they made up of a context's count is given to no token. The filter takes bits_per_item bits for each (n-gram, level), up to max_bits (32 MB),
     beyond which the least counts that it holds rise, pairs first: its size is bounded, whatever the
-    corpus. The smoothing weight is fitted, leaving one out, on the `sample` texts of least hash.
+    corpus. score() asks the model's blocks for all that the filter leaves out. The smoothing weight is fitted, leaving one out, on the `sample` texts of least hash.
     Null texts are empty; no texts give a model that knows no token.
     """
     small_batches(docs.sparkSession)
@@ -316,10 +354,10 @@ def train(docs: DataFrame, text_col: str = "text", max_bits: int = 1 << 28, bits
     while wide < slices:
         wide = min(slices, wide * fan_out)
         rows = rows.repartition("slice").sortWithinPartitions("slice").mapInArrow(_deal_finer(wide, flush), "slice int, u binary, b binary")
-    grams = rows.repartition("slice").sortWithinPartitions("slice").mapInArrow(_gather(), "slice int, u binary, b binary, n_tokens long, levels_u array<long>, levels_b array<long>, once long, mass array<long>")
+    grams = rows.repartition("slice").sortWithinPartitions("slice").mapInArrow(_gather(), "slice int, u binary, b binary, n_tokens long, levels_u array<long>, levels_b array<long>, once long")
     grams = materialize(grams, "grams")
     n_tokens, once = (x or 0 for x in grams.agg(F.sum("n_tokens"), F.sum("once")).first())
-    hist = {k: np.zeros(LEVELS, np.int64) for k in ("levels_u", "levels_b", "mass")}
+    hist = {k: np.zeros(LEVELS, np.int64) for k in ("levels_u", "levels_b")}
     for k, h in hist.items():
         for r in grams.select(F.posexplode(k).alias("q", "n")).groupBy("q").agg(F.sum("n").alias("n")).collect():
             h[r.q] = r.n
@@ -355,10 +393,9 @@ def train(docs: DataFrame, text_col: str = "text", max_bits: int = 1 << 28, bits
     top = counts(from_level).toArrow()
     h, c = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy()
     o = np.argsort(h)
-    pruned = int(hist["mass"][: least[0]].sum())
-    unknown = min(0.5, max(once + pruned, 1) / max(n_tokens, 2))
-    known_mass = float((hist["levels_u"][least[0] :] * WORTH[least[0] :]).sum())
-    m = Model(shape, n_tokens, int(hist["levels_u"].sum()), n_texts, unknown, known_mass, 1000.0, (h[o], np.log10(c[o] + 1.0)))
+    unknown = min(0.5, max(once, 1) / max(n_tokens, 2))
+    known_mass = float((hist["levels_u"] * WORTH).sum())
+    m = Model(shape, n_tokens, int(hist["levels_u"].sum()), n_texts, unknown, known_mass, 1000.0, (h[o], np.log10(c[o] + 1.0)), tuple(least), grams.select("slice", "u", "b"), slices)
     tried = [r.text.encode() for r in texts.where(F.col("text").isNotNull()).orderBy(F.xxhash64("text"), "text").limit(sample).collect()]
     if tried:
         t, n = tokens(tried)
@@ -366,45 +403,138 @@ def train(docs: DataFrame, text_col: str = "text", max_bits: int = 1 << 28, bits
     return m, exact
 
 
-def score(docs: DataFrame, model: Model, exact: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, *keep, n_tokens, n_known, train_tokens, base_score, score) for each row.
+def _look_up(shared, kind: str, flush: int, ranges: int):
+    """Rows with what the worker's filter and frequent counts tell, and what each chunk of texts has to ask.
 
-    base_score adds log10((c + 1) / (N + V + 1)) over the tokens with exact counts c; score is the
-    model's log10 probability. A null text is empty and has one token, its end. Repeated rows are each
-    scored; other columns are only read if kept.
+    `open` has three values for each token that waits: the level of the token, of the one before (LEVELS: a
+    text's start) and of the pair, or -1 - i for the chunk's i-th asked token or pair.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(model.parts())
-    chosen = docs.select(F.col(text_col).alias("__text"), F.struct(F.col(id_col).alias("id"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]).alias("row"))
-    kind = chosen.schema["row"].dataType.simpleString()
+    doc_names = ["row_no", "chunk", "row", "n_tokens", "known", "base", "score", "tail", "open"]
+    ask_names = ["slice", "u", "b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model_of(shared.value)
         top, logs = m.frequent
+        worth = np.append(WORTH, m.n_texts)
         number = TaskContext.get().partitionId() << 33
+
+        def out() -> Iterator[pa.RecordBatch]:
+            h, n = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+            row = pa.chunked_array([x[2] for x in held]).combine_chunks()
+            start = np.cumsum(n) - n
+            at = np.minimum(np.searchsorted(top, h), max(len(top) - 1, 0))
+            hit = top[at] == h if len(top) else np.zeros(len(h), bool)
+            base = np.add.reduceat(np.where(hit, logs[at] if len(top) else 0.0, 0.0), start)
+            known = np.add.reduceat(hit.astype(np.int64), start)
+            lists = lambda where, per, x: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.add.reduceat(where.astype(np.int64), start)) * per]).astype(np.int32)), pa.array(x))
+            tail = lists(~hit, 1, h[~hit].view(np.int64))
+            code, asked = [], []
+            for kind_no, x in enumerate((h, pairs(h, n))):
+                key, back = np.unique(x, return_inverse=True)
+                q = m.filter.levels(key, kind_no)
+                miss = q < m.least[kind_no]
+                q[miss] = -1 - np.arange(miss.sum())
+                code.append(q.astype(np.int32)[back])
+                asked.append((key[miss], np.ones(int(miss.sum()), np.int64)))
+            own, both = code
+            before = np.empty_like(own)
+            before[1:] = own[:-1]
+            before[start] = LEVELS
+            waits = (own < 0) | (before < 0) | (both < 0)
+            prob = np.zeros(len(h))
+            prob[~waits] = m.terms(*(worth[x[~waits]] for x in (own, before, both)), m.weight)
+            late = lists(waits, 3, np.stack([own[waits], before[waits], both[waits]], axis=1).reshape(-1))
+            ids = pa.array(np.arange(number, number + len(n)))
+            docs = [ids, pa.array(np.full(len(n), number)), row, pa.array(n), pa.array(known), pa.array(base), pa.array(np.add.reduceat(prob, start)), tail, late]
+            nothing = [pa.nulls(len(n), t) for t in (pa.int32(), pa.binary(), pa.binary())]
+            yield pa.RecordBatch.from_arrays(docs + nothing, names=doc_names + ask_names)
+            ask = dealt(*asked, ranges)
+            if ask.num_rows:
+                empty = [pa.nulls(ask.num_rows, x.type) for x in docs]
+                empty[1] = pa.array(np.full(ask.num_rows, number))
+                yield pa.RecordBatch.from_arrays(empty + ask.columns, names=doc_names + ask_names)
+
+        held, size = [], 0
         for x in batches:
             for i in range(0, x.num_rows, 500):
                 part = x.slice(i, 500)
                 h, n = tokens(part.column(0).cast(pa.binary()).to_pylist())
-                start = np.cumsum(n) - n
-                at = np.minimum(np.searchsorted(top, h), max(len(top) - 1, 0))
-                hit = top[at] == h if len(top) else np.zeros(len(h), bool)
-                base = np.add.reduceat(np.where(hit, logs[at] if len(top) else 0.0, 0.0), start)
-                known = np.add.reduceat(hit.astype(np.int64), start)
-                prob = np.add.reduceat(m.log_probs(h, n), start)
-                rest = np.concatenate([[0], np.cumsum(np.add.reduceat((~hit).astype(np.int64), start))]).astype(np.int32)
-                tail = pa.ListArray.from_arrays(pa.array(rest), pa.array(h[~hit].view(np.int64)))
-                ids = pa.array(np.arange(number, number + len(n)))
-                number += len(n)
-                yield pa.RecordBatch.from_arrays([ids, part.column(1), pa.array(n), pa.array(known), pa.array(base), pa.array(prob), tail], names=["row_no", "row", "n_tokens", "known", "base", "score", "tail"])
-
-    rows = materialize(chosen.mapInArrow(run, f"row_no long, row {kind}, n_tokens long, known long, base double, score double, tail array<long>"), "scored")
-    rare = rows.select("row_no", F.explode("tail").alias("h")).join(exact, "h").groupBy("row_no").agg(F.sum(F.log10(F.col("c") + F.lit(1.0))).alias("more"), F.count("*").alias("also"))
-    out = rows.drop("tail").join(rare, "row_no", "left")
+                held.append((h, n, part.column(1)))
+                size += len(h)
+                if size >= flush:
+                    yield from out()
+                    number += sum(len(y[1]) for y in held)
+                    held, size = [], 0
+        if held:
+            yield from out()
+
+    return run, f"row_no long, chunk long, row {kind}, n_tokens long, known long, base double, score double, tail array<long>, open array<int>, slice int, u binary, b binary"
+
+
+def _resolve(shared):
+    """Sums of the log probabilities that waited; of each chunk the answers come first, in the order of ranges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model_of(shared.value)
+        worth = np.append(WORTH, m.n_texts)
+        now, answers = None, [[], []]
+        levels: list[np.ndarray] | None = None
+        for x in batches:
+            chunk = x.column(0).to_numpy()
+            is_answer = x.column(1).is_valid().to_numpy(zero_copy_only=False)
+            cut = np.flatnonzero((chunk[1:] != chunk[:-1]) | (is_answer[1:] != is_answer[:-1])) + 1
+            for s, e in zip([0, *cut], [*cut, len(chunk)], strict=True):
+                if s == e:
+                    continue
+                if chunk[s] != now:
+                    now, answers, levels = chunk[s], [[], []], None
+                if is_answer[s]:
+                    for a, i in zip(answers, (2, 3), strict=True):
+                        a += x.column(i).slice(s, e - s).to_pylist()
+                    continue
+                if levels is None:
+                    levels = [np.frombuffer(b"".join(a), np.uint8) for a in answers]
+                part = x.column(5).slice(s, e - s)
+                n = part.value_lengths().to_numpy() // 3
+                code = part.flatten().to_numpy().reshape(-1, 3)
+                counts = []
+                for j, q in enumerate((levels[0], levels[0], levels[1])):
+                    c = code[:, j].astype(np.int64)
+                    c[c < 0] = q[-1 - c[c < 0]]
+                    counts.append(worth[c])
+                late = np.add.reduceat(m.terms(*counts, m.weight), np.cumsum(n) - n)
+                yield pa.RecordBatch.from_arrays([x.column(4).slice(s, e - s), pa.array(late)], names=["row_no", "late"])
+
+    return run
+
+
+def score(docs: DataFrame, model: Model, exact: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), flush: int = 1_000_000, fan_out: int = 4096) -> DataFrame:
+    """(id, *keep, n_tokens, n_known, train_tokens, base_score, score) for each row.
+
+    base_score adds log10((c + 1) / (N + V + 1)) over the tokens with exact counts c; score is the
+    model's log10 probability. A null text is empty and has one token, its end. Repeated rows are each
+    scored; other columns are only read if kept.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(model.parts())
+    chosen = docs.select(F.col(text_col).alias("__text"), F.struct(F.col(id_col).alias("id"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]).alias("row"))
+    ranges = min(model.slices, fan_out)
+    rows = materialize(chosen.mapInArrow(*_look_up(shared, chosen.schema["row"].dataType.simpleString(), flush, ranges)), "scored")
+    asks = rows.where("slice IS NOT NULL").select(F.col("slice").alias("range"), "chunk", "u", "b", F.lit(0).alias("slice"))
+    rows = rows.where("slice IS NULL")
+    coarse = (model.slices // ranges).bit_length() - 1
+    held = model.grams.select(F.shiftright("slice", coarse).alias("range"), F.lit(None).cast("long").alias("chunk"), "u", "b", "slice")
+    answers = held.unionByName(asks).repartition("range").sortWithinPartitions("range", "chunk", "slice").mapInArrow(_answer, "chunk long, range int, u binary, b binary")
+    waiting = rows.where(F.size("open") > 0).select("chunk", F.lit(None).cast("int").alias("range"), F.lit(None).cast("binary").alias("u"), F.lit(None).cast("binary").alias("b"), "row_no", "open")
+    answers = answers.withColumns({"row_no": F.lit(None).cast("long"), "open": F.lit(None).cast("array<int>")})
+    late = waiting.unionByName(answers).repartition("chunk").sortWithinPartitions("chunk", F.col("range").isNull(), "range").mapInArrow(_resolve(shared), "row_no long, late double")
+    rare = rows.select("row_no", F.explode("tail").alias("h")).join(exact, "h").select("row_no", F.log10(F.col("c") + F.lit(1.0)).alias("more"), F.lit(1).alias("also"), F.lit(0.0).alias("late"))
+    rest = rare.unionByName(late.select("row_no", F.lit(0.0).alias("more"), F.lit(0).alias("also"), "late")).groupBy("row_no").agg(*(F.sum(c).alias(c) for c in ("more", "also", "late")))
+    out = rows.select("row_no", "row", "n_tokens", "known", "base", "score").join(rest, "row_no", "left")
     each = float(np.log10(model.n_tokens + model.n_words + 1.0))
     return out.select(
         F.col("row.id").alias(id_col), *[F.col(f"row.k{i}").alias(c) for i, c in enumerate(keep)], "n_tokens",
         (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(model.n_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * each).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * each).alias("base_score"), (F.col("score") + F.coalesce("late", F.lit(0.0))).alias("score"),
     )

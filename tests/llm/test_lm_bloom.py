@@ -109,3 +109,14 @@ def test_nothing_to_learn(spark):
     assert lm_bloom.score(e, m, exact).count() == 0
     got = lm_bloom.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), m, exact).first()
     assert (got.n_tokens, got.n_known, got.base_score) == (3, 0, 0.0) and math.isfinite(got.score)
+
+
+def test_scores_do_not_depend_on_the_room_of_the_filter(spark):
+    df = spark.createDataFrame(docs(200), "doc_id long, text string").repartition(3)
+    got = []
+    for bits in (1 << 14, 1 << 28):
+        m, exact = lm_bloom.train(df, max_bits=bits, bits_per_item=30, slice_bytes=1000)
+        assert bits > 1 << 14 or min(m.least) > 2  # levels of both kinds have no room
+        m.weight = 10.0
+        got.append({x.doc_id: x.score for x in lm_bloom.score(df, m, exact, flush=3000, fan_out=8).collect()})
+    assert len(got[0]) == 200 and all(math.isclose(x, got[1][i], rel_tol=1e-9) for i, x in got[0].items())
