@@ -166,9 +166,8 @@ def _gather():
 
     def done(s: int, us: list[bytes], bs: list[bytes]) -> pa.RecordBatch:
         (u, cu), (b, cb) = (add_up(*(np.concatenate(x) for x in zip(*map(unpack, z), strict=True))) for z in (us, bs))
-        many = cb > 1
         qu = level_of(cu)
-        row = [s, pack(u, cu), pack(b[many], cb[many]), int(cu.sum()), np.bincount(qu, minlength=LEVELS).tolist(), np.bincount(level_of(cb[many]), minlength=LEVELS).tolist(), int((cu == 1).sum())]
+        row = [s, pack(u, cu), pack(b, cb), int(cu.sum()), np.bincount(qu, minlength=LEVELS).tolist(), np.bincount(level_of(cb), minlength=LEVELS).tolist(), int((cu == 1).sum())]
         return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,10 +337,9 @@ def model_of(p: tuple) -> Model:
 def train(docs: DataFrame, text_col: str = "text", max_bits: int = 1 << 28, bits_per_item: int = 12, frequent: int = 1 << 18, sample: int = 64, slice_bytes: int = 2 << 20, flush: int = 2_000_000, fan_out: int = 4096) -> tuple[Model, DataFrame]:
     """A pair model of all texts, and (h, c): the exact count of every token by its 64-bit hash.
 
-    Tokens are lower-cased (A-Z) words and one end a text. Pairs seen once are not held: they get the
-    backed-off probability, and what they made up of a context's count is given to no token. The filter takes bits_per_item bits for each (n-gram, level), up to max_bits (32 MB),
+    Tokens are lower-cased (A-Z) words and one end a text. The filter takes bits_per_item bits for each (n-gram, level), up to max_bits (32 MB),
     beyond which the least counts that it holds rise, pairs first: its size is bounded, whatever the
-    corpus. score() asks the model's blocks for all that the filter leaves out. The smoothing weight is fitted, leaving one out, on the `sample` texts of least hash.
+    corpus. It has no pairs seen once. score() asks the model's blocks for all that the filter leaves out. The smoothing weight is fitted, leaving one out, on the `sample` texts of least hash.
     Null texts are empty; no texts give a model that knows no token.
     """
     small_batches(docs.sparkSession)
@@ -362,7 +360,7 @@ def train(docs: DataFrame, text_col: str = "text", max_bits: int = 1 << 28, bits
         for r in grams.select(F.posexplode(k).alias("q", "n")).groupBy("q").agg(F.sum("n").alias("n")).collect():
             h[r.q] = r.n
     # the filter's size, and what it holds
-    least = [1, 1]
+    least = [1, 2]  # pairs seen once, most of all, would fill it; scoring asks for them
     items = lambda: sum(int((hist[k][m:] * np.arange(m, LEVELS)).sum()) for k, m in zip(("levels_u", "levels_b"), least, strict=True))
     while items() * bits_per_item > max_bits:
         k = 1 if least[1] <= least[0] + 2 else 0

@@ -120,3 +120,29 @@ def test_scores_do_not_depend_on_the_room_of_the_filter(spark):
         m.weight = 10.0
         got.append({x.doc_id: x.score for x in lm_bloom.score(df, m, exact, flush=3000, fan_out=8).collect()})
     assert len(got[0]) == 200 and all(math.isclose(x, got[1][i], rel_tol=1e-9) for i, x in got[0].items())
+
+
+def exact_scores(rows, m):
+    """Scores from quantised exact counts of all rows."""
+    hashed = [(i, *lm_bloom.tokens([(t or "").encode()])) for i, t in rows]
+    c1, c2 = Counter(x for _, h, _ in hashed for x in h.tolist()), Counter(x for _, h, n in hashed for x in lm_bloom.pairs(h, n).tolist())
+    worth = lambda c, keys: np.array([lm_bloom.WORTH[lm_bloom.level_of(np.array([c[k]]))[0]] if c[k] else 0.0 for k in keys.tolist()])
+    out = {}
+    for i, h, n in hashed:
+        own = worth(c1, h)
+        out[i] = m.terms(own, np.append(m.n_texts, own[:-1]), worth(c2, lm_bloom.pairs(h, n)), m.weight).sum()
+    return out
+
+
+def test_pairs_seen_once_count(spark):
+    rows = docs(200)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    m, exact = lm_bloom.train(df, bits_per_item=30)
+    m.weight = 10.0
+    want = exact_scores(rows, m)
+    assert all(math.isclose(x.score, want[x.doc_id], rel_tol=1e-9) for x in lm_bloom.score(df, m, exact).collect())
+    seen = spark.createDataFrame([(0, "zz1 zz2 zz1 zz3 zz4 zz5")], df.schema)
+    m, exact = lm_bloom.train(df.union(seen), bits_per_item=30)
+    m.weight = 10.0
+    a, b = (lm_bloom.score(spark.createDataFrame([(0, t)], df.schema), m, exact).first().score for t in ("zz4 zz5", "zz5 zz4"))
+    assert a > b + 0.5  # the same words
