@@ -47,9 +47,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes what materialize() wrote so far. Call it when no result that reads it is still wanted."""
-    while _SCRATCH:
+def written() -> int:
+    """How many tables materialize() has written that are not released."""
+    return len(_SCRATCH)
+
+
+def release(spark: SparkSession, but: int = 0) -> None:
+    """Deletes what materialize() wrote so far, but for the first tables. Call it when no result that reads it is still wanted."""
+    while len(_SCRATCH) > but:
         p = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -146,3 +147,22 @@ def test_pairs_seen_once_count(spark):
     m.weight = 10.0
     a, b = (lm_bloom.score(spark.createDataFrame([(0, t)], df.schema), m, exact).first().score for t in ("zz4 zz5", "zz5 zz4"))
     assert a > b + 0.5  # the same words
+
+
+def test_the_weight_is_fitted_on_all_distinct_texts(spark):
+    rows = docs(200)
+    signed = lambda t: int.from_bytes(xxhash.xxh64(t.encode(), seed=42).digest(), "big", signed=True)
+    least = min(signed(t) for _, t in rows)
+    copied = next(t for t in (f"copy {k} of a page that is here many times" for k in range(10**6)) if signed(t) < least)
+    rows += [(1000 + k, copied) for k in range(90)]  # first in the order of hashes
+    m, _ = lm_bloom.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), bits_per_item=30)
+    hashed = [lm_bloom.tokens([t.encode()]) for _, t in rows]
+    c1, c2 = Counter(x for h, _ in hashed for x in h.tolist()), Counter(x for h, n in hashed for x in lm_bloom.pairs(h, n).tolist())
+    worth = lambda c, keys: lm_bloom.WORTH[lm_bloom.level_of(np.array([c[k] for k in keys.tolist()]))]
+    total = Counter()
+    for t, k in Counter(t for _, t in rows).items():
+        h, n = lm_bloom.tokens([t.encode()])
+        own = worth(c1, h)
+        for w in (10.0**e for e in range(-1, 9)):
+            total[w] += m.terms(own, np.append(m.n_texts, own[:-1]), worth(c2, lm_bloom.pairs(h, n)), w, lm_bloom.WORTH[lm_bloom.level_of(np.array([k]))[0]]).sum()
+    assert m.weight == max(total, key=total.get) > 0.1
