@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tessera.llm.common import materialize, small_batches
 from tessera.llm.components import connected_components
@@ -184,8 +185,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(labels, "fp", "left").select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint_bits"), "component_id")
 
 
-def signature(text: Column, shingle: int = 5, seed: int = 42) -> Column:
-    """[SimHash of the distinct words, two SimHashes of the distinct shingles]: the first finds, the others verify."""
+def min_bands(h: np.ndarray, bands: int, width: int, piece: int = 1 << 12) -> np.ndarray:
+    """A key for each band: its `width` least values of the hashes under as many orders. Sets of similarity s share one with s ** width."""
+    odd = np.random.default_rng(7).integers(0, 1 << 63, (2, bands * width), np.uint64) << np.uint64(1) | np.uint64(1)
+    least = np.full(bands * width, FULL, np.uint64)
+    for i in range(0, len(h), piece):
+        x = h[i : i + piece, None] * odd[0]
+        np.minimum(least, (x ^ (x >> np.uint64(29))).min(axis=0), out=least)
+    return (least * odd[1]).reshape(bands, width).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def signature(text: Column, shingle: int = 5, seed: int = 42, bands: int = 24, width: int = 6) -> Column:
+    """[SimHash of the distinct words, two SimHashes of the distinct shingles, keys of min-hash bands of these]."""
 
     @F.arrow_udf("array<long>")
     def of(texts: pa.Array) -> pa.Array:
@@ -193,36 +204,101 @@ def signature(text: Column, shingle: int = 5, seed: int = 42) -> Column:
         for t in texts.cast(pa.binary()).to_pylist():
             w = (t or b"").lower().split()
             if not w:
-                out.append([0, 0, 0])
+                out.append([0] * (3 + bands))
                 continue
             grams = set(shingles(w, shingle))
             hs = [np.fromiter((xxhash.xxh64_intdigest(g, s) for g in fs), np.uint64, len(fs)) for fs, s in ((set(w), seed), (grams, seed + 1), (grams, seed + 2))]
-            out.append([signed(majority(h)) for h in hs])
+            out.append([signed(majority(h)) for h in hs] + min_bands(hs[1], bands, width).tolist())
         return pa.array(out, pa.list_(pa.int64()))
 
     return of(text)
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 6, blocks: int = 9, check_distance: int = 30) -> DataFrame:
-    """(id, text_hash, component) for each row: groups of texts with some 0.8 or more of their five-word shingles in common.
+def similar_groups(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """The least index that each set reaches over pairs of at least that Jaccard similarity.
+
+    Lists of the sets that hold a value give intersections. A set that has been reached leaves the lists,
+    so a dense group costs few comparisons.
+    """
+    sizes = np.array([len(x) for x in sets], np.int64)
+    ends = np.cumsum(sizes)
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    o = np.argsort(ids, kind="stable")
+    holder, of = np.repeat(np.arange(len(sets)), sizes)[o], ids[o]
+    label = np.full(len(sets), -1, np.int64)
+    left = listed = len(sets)
+    first = np.searchsorted(of, np.arange(len(values) + 1))
+    for i in range(len(sets)):
+        if label[i] >= 0:
+            continue
+        label[i], frontier = i, [i]
+        left -= 1
+        while frontier and left:
+            x = frontier.pop()
+            mine = ids[ends[x] - sizes[x] : ends[x]]
+            n = first[mine + 1] - first[mine]
+            met = holder[np.repeat(first[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            other, both = np.unique(met[label[met] < 0], return_counts=True)
+            found = other[both >= similarity * (sizes[x] + sizes[other] - both) - 1e-9]
+            label[found] = i
+            left -= len(found)
+            frontier.extend(found.tolist())
+            if 2 * left < listed:
+                keep = label[holder] < 0
+                holder, of, listed = holder[keep], of[keep], left
+                first = np.searchsorted(of, np.arange(len(values) + 1))
+    return label
+
+
+def _verify(shingle: int, similarity: float):
+    """Groups of similar texts among the candidates of each root, which are consecutive rows; equal texts follow each other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: int | None = None
+        nodes: list[int] = []
+        sets: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            a = np.array(nodes, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(a[similar_groups(sets, similarity)])], names=["node", "component"])
+
+        for x in batches:
+            for root, node, text in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), x.column(2).cast(pa.binary()).to_pylist(), strict=True):
+                if root != now:
+                    if nodes:
+                        yield out()
+                    now, nodes, sets = root, [], []
+                if not nodes or node != nodes[-1]:
+                    grams = set(shingles((text or b"").lower().split(), shingle))
+                    nodes.append(node)
+                    sets.append(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64, len(grams)))
+        if nodes:
+            yield out()
+
+    return run
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 6, blocks: int = 9, check_distance: int = 30, similarity: float = 0.8) -> DataFrame:
+    """(id, text_hash, component) for each row: groups of texts linked by pairs with 0.8 or more of their five-word shingles in common.
 
-    A SimHash of shingles is too far apart for such pairs (9 of 64 bits at a similarity of 0.8, so no
-    block is likely to be shared); of their distinct words it is 3 or 4 bits apart, and 6 or fewer in
-    95 of 100 pairs. So pigeonhole blocks join on the words' SimHash, and the Hamming distance of 128
-    bits of shingle SimHash verifies: 19 bits are expected at a similarity of 0.8, 29 at 0.6, 64 for others.
+    Two searches find candidates. A SimHash of shingles is too far apart for such pairs (9 of 64 bits at a
+    similarity of 0.8), so pigeonhole blocks join on the SimHash of the distinct words (3 or 4 bits apart, 6
+    or fewer in 95 of 100 pairs) and 128 bits of shingle SimHash; and bands of min-hashes of the shingles are
+    shared by 999 of 1,000 pairs at 0.8. What either links is a set of candidates, in which the Jaccard
+    similarity of the shingles themselves decides. A task holds the shingles of one such set of distinct texts.
     component is the least text_hash (64 bits) of the group. Null and empty texts are one group.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), signature(F.col(text_col), shingle).alias("s"))
-    rows = materialize(rows, "signatures")
-    prints = rows.select(F.col("s")[0].alias("fp"), F.slice("s", 2, 2).alias("check"), F.xxhash64("s").alias("node"), "text_hash")
-    named = materialize(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min(F.col("check")[0]).alias("c0"), F.min(F.col("check")[1]).alias("c1"), F.min("text_hash").alias("least")), "prints")
-    links = near_links(named.select("fp", "node", F.array("c0", "c1").alias("check")), "fp", distance, blocks, "node", "check", check_distance)
-    comps = materialize(connected_components(links, "a", "b"), "components")
-    least = comps.join(named.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("component"))
-    labels = named.select("node", "least").join(comps.join(least, "root").select("node", "component"), "node", "left")
-    labels = materialize(labels.select("node", F.coalesce("component", "least").alias("component")), "labels")
-    return rows.select("id", "text_hash", F.xxhash64("s").alias("node")).join(labels, "node", "left").select(F.col("id").alias(id_col), "text_hash", "component")
+    hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    rows = materialize(docs.select(F.col(id_col).alias("id"), hashed.alias("text_hash"), signature(F.col(text_col), shingle).alias("s")), "signatures")
+    named = materialize(rows.groupBy(F.col("text_hash").alias("node")).agg(F.first("s").alias("s")), "prints")
+    links = near_links(named.select(F.col("s")[0].alias("fp"), "node", F.slice("s", 2, 2).alias("check")), "fp", distance, blocks, "node", "check", check_distance)
+    keys = named.select("node", F.posexplode(F.slice("s", 4, 1 << 20)).alias("band", "key"))
+    shared = keys.select("node", F.min("node").over(Window.partitionBy("band", "key")).alias("a")).where("a != node")
+    comps = materialize(connected_components(links.unionByName(shared.select("a", F.col("node").alias("b"))), "a", "b"), "components")
+    texts = docs.select(hashed.alias("node"), F.col(text_col).alias("text")).join(comps, "node").select("root", "node", "text")
+    labels = materialize(texts.repartition("root").sortWithinPartitions("root", "node").mapInArrow(_verify(shingle, similarity), "node long, component long"), "labels")
+    return rows.select("id", "text_hash").join(labels, F.col("text_hash") == F.col("node"), "left").select(F.col("id").alias(id_col), "text_hash", F.coalesce("component", "text_hash").alias("component"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

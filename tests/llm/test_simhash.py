@@ -162,3 +162,27 @@ def test_similar_documents(spark):
     ids = {x.doc_id for x in kept}
     assert {0, 4, 8, None, 9000, 9003} <= ids and 9001 not in ids
     assert simhash.one_of_each(df.limit(0)).count() == 0
+
+
+def test_similar_documents_against_all_pairs(spark):
+    """Groups are those of all pairs at 0.8 or more: none is missed and none is joined below."""
+    r = random.Random(8)
+    words = ["".join(r.choices("abcdefgh", k=r.randrange(2, 9))) for _ in range(3000)]
+    rows = []
+    for _ in range(40):
+        base = r.choices(words, k=r.choice([12, 30, 60, 300]))
+        for k in range(8):
+            w = list(base)
+            for _ in range(k * len(w) // 100 + (k > 0)):
+                w[r.randrange(len(w))] = r.choice(words)
+            rows.append((len(rows), " ".join(w)))
+    rows += [(len(rows) + k, t) for k, t in enumerate([None, "", " \n", "one two", "ONE  two", "two one"])]
+    got = {x.doc_id: x.component for x in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    sets = [set(simhash.shingles((t or "").encode().lower().split(), 5)) for _, t in rows]
+    label = list(range(len(rows)))
+    for i in label:
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and label[i] != label[j]:
+                label = [label[j] if x == label[i] else x for x in label]
+    groups = lambda of: sorted(sorted(i for i in range(len(rows)) if of[i] == c) for c in {of[i] for i in range(len(rows))})
+    assert groups(got) == groups(label) and 60 < len(set(label)) < 300
