@@ -36,6 +36,12 @@ def only_digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def octet(digits: str) -> bool:
+    """Whether the number is at most 255, however many zeros lead it."""
+    n = digits.lstrip("0")
+    return len(n) <= 3 and int(n or "0") <= 255
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Matches of the patterns that hold, leftmost and not overlapping within a kind, by kind and start."""
     out, end, at = [], 0, text.find("@")
@@ -47,7 +53,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
             out.append(("email", start, m.end()))
             end = m.end()
         at = text.find("@", max(at + 1, end))
-    out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(octet(p) for p in m[0].split("."))]
     out += [("card", *m.span()) for m in CARD.finditer(text) if 16 <= len(d := only_digits(m[0])) <= 19 and luhn(d)]
     out += [("phone", *m.span()) for m in PHONE.finditer(text) if 8 <= len(only_digits(m[0])) <= 15]
     return out
@@ -95,7 +101,7 @@ def segment_features(text: str, toks: list[tuple[int, int]], i: int, j: int) ->
     f.append(f"open={s[0] in '+('},{s.count('(') - s.count(')')}")
     if 13 <= len(d) <= 19:
         f.append(f"luhn={luhn(d)},{len(d)}")
-    if len(parts) == 4 and all(p.isdigit() for p in parts):
+    if len(parts) == 4 and all(p.isascii() and p.isdigit() for p in parts):
         f.append(f"octets={all(len(p) <= 3 and int(p) <= 255 for p in parts)}")
     if re.fullmatch(r"[\w.+-]+\s?[(\[]\s?at\s?[)\]]\s?[\w-]+(\s?[(\[]\s?dot\s?[)\]]\s?|\.)[A-Za-z]{2,}", s, re.IGNORECASE):
         f.append("spelt")
@@ -164,6 +170,25 @@ def decode(x: Lattice, w: dict, sure: float) -> list[tuple[str, int, int]]:
     return out[::-1]
 
 
+def decode_zone(text: str, zone: list[tuple[int, int]], w: dict, sure: float, piece: int = 256) -> list[tuple[str, int, int]]:
+    """The entities of a zone of any length, `piece` tokens at a time.
+
+    An entity that the edge of a piece could cut is left to the next piece, which begins before it.
+    """
+    out, s = [], 0
+    while s < len(zone):
+        part = zone[s : s + piece]
+        found = decode(Lattice(text, part), w, sure)
+        if s + piece >= len(zone):
+            return out + found
+        s += piece - LONGEST
+        whole = [x for x in found if x[1] < zone[s][0]]
+        while whole and s < len(zone) and zone[s][0] < whole[-1][2]:
+            s += 1
+        out += whole
+    return out
+
+
 def zones(text: str, taken: list[tuple[int, int]], reach: int = 60) -> list[list[tuple[int, int]]]:
     """Tokens around digits, @ and spelt-out at signs, up to a few tokens away; tokens in taken spans break a zone."""
     windows: list[list[int]] = []
@@ -207,7 +232,7 @@ def find(text: str, w: dict, sure: float = 0.9) -> list[tuple[str, int, int, boo
     if not TRIGGER.search(text):
         return []
     base = base_spans(text)
-    more = [s for z in zones(text, [x[1:] for x in base]) for s in decode(Lattice(text, z), w, sure)] if w else []
+    more = [s for z in zones(text, [x[1:] for x in base]) for s in decode_zone(text, z, w, sure)] if w else []
     return sorted([(*x, True) for x in base] + [(*x, False) for x in more], key=lambda x: (KINDS.index(x[0]), x[1:]))
 
 
@@ -308,7 +333,9 @@ def train(seed: int = 7, n: int = 900, epochs: int = 4, rate: float = 0.3, ridge
 def pii_spans(text: Column, weights: dict, sure: float = 0.9) -> Column:
     """All spans of a whole text, in code points, by kind and start; base tells the patterns' spans from the model's.
 
-    The model adds spans where no base span is; base spans always stay. A null text is empty: no spans.
+    The model adds spans where no base span is; base spans always stay. A null text is empty: no spans. Equal
+    rows have equal spans, ties between segmentations go to the one met first, no rows give none, and a long
+    text is read whole: the model works on zones around its digits and @ signs, whose tokens are bounded.
     """
 
     @F.arrow_udf(SPANS)

@@ -42,6 +42,55 @@ def test_base_spans(text):
     assert pii.base_spans(text) == brute(text)
 
 
+def test_numbers_of_any_length():
+    for t in ("x 1.2.3." + "0" * 5000 + "1 y", "1.2.3." + "9" * 5000, "0" * 5000 + "1.2.3.4", "1.2.3.²", "1.2.3.٣", "+" + "1" * 5000, "4 " * 5000):
+        assert pii.base_spans(t) == brute_octets(t) and pii.find(t, pii.train()) is not None
+
+
+def brute_octets(text):
+    import sys
+
+    old = sys.get_int_max_str_digits()
+    sys.set_int_max_str_digits(0)
+    try:
+        return brute(text)
+    finally:
+        sys.set_int_max_str_digits(old)
+
+
+def test_a_zone_of_any_length_is_read_in_pieces():
+    w = pii.train()
+    text = " ".join(f"anna{i % 90 + 10} (at) mail (dot) com wrote" for i in range(400))
+    got = [(k, a, b) for k, a, b, base in pii.find(text, w) if not base]
+    zone = pii.zones(text, [])[0]
+    assert len(zone) > 2000 and got == pii.decode(pii.Lattice(text, zone), w, 0.9) and len(got) == 400
+
+
+#: Written by hand: what the patterns miss in forms and sentences that the generator of examples does not make, and what is none.
+FORMS = {
+    "Please reach Anna at anna.k (at) mail (dot) com before noon": "anna.k (at) mail (dot) com",
+    "mail joe[at]host.org, or come by": "joe[at]host.org",
+    "Kontakt: m.weber[at]firma[dot]de (Buero)": "m.weber[at]firma[dot]de",
+    "Anrufen: 212-555-1000, danke": "212-555-1000",
+    "tel (212) 555-1000 or write": "(212) 555-1000",
+    "The hotline is 1-800-555-0199 and free": "1-800-555-0199",
+    "fax no. 415.555.2671 (office hours)": "415.555.2671",
+    "charged to 4111/1111/1111/1111 in May": "4111/1111/1111/1111",
+    "4111.1111.1111.1111 is the number on it": "4111.1111.1111.1111",
+    "amex 3782 822463 10005 expired": "3782 822463 10005",
+    "id 0049 30 1234567 home": "0049 30 1234567",
+    "joe AT host DOT org is how to spell it": "joe AT host DOT org",
+}
+PLAIN_TEXT = ["room 12 (at) 14:30", "version 10.2.33 of 2021-03-04", "pages 212-555 and 1000", "sold 1,234,567 in 2019-2020", "call me at 5", "look [at] line 44", "ISBN 978-3-16-148410-0", "4111/1111/1111/1112 is wrong", "a 1:0 win, 3.5 %, 20 x 30"]
+
+
+def test_hand_written_forms():
+    w = pii.train()
+    right = sum(any(t[a:b] == want for _, a, b, base in pii.find(t, w) if not base) for t, want in FORMS.items())
+    wrong = sum(len(pii.find(t, w)) for t in PLAIN_TEXT)
+    assert right >= 9 and wrong <= 1, (right, wrong)
+
+
 def test_base_spans_are_linear():
     for t in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+" * 300_000, "1 " * 150_000, "+1 " * 100_000, "@" * 200_000, "a@" * 100_000):
         pii.base_spans(t)
