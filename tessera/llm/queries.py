@@ -124,19 +124,22 @@ def op7_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _repeated_sql(k: int) -> str:
-    """Starts of k-word windows that occur twice or more in their text."""
-    return f"""SELECT row_no, i, {k} AS k FROM (
-    SELECT row_no, i, count(*) OVER (PARTITION BY row_no, hash(w[i:i + {k - 1}]), w[i], w[i + {k - 1}]) AS n FROM (
-      SELECT row_no, w, unnest(range(1, len(w) - {k - 2})) AS i FROM d WHERE len(w) >= {k})) WHERE n > 1"""
+    """Starts of k-word windows that occur twice or more in their text; later: not the first such start."""
+    return f"""SELECT row_no, i, {k} AS k, later FROM (
+    SELECT row_no, i, count(*) OVER same AS n, i > min(i) OVER same AS later FROM (
+      SELECT row_no, w, unnest(range(1, len(w) - {k - 2})) AS i FROM d WHERE len(w) >= {k})
+    WINDOW same AS (PARTITION BY row_no, hash(w[i:i + {k - 1}]), w[i], w[i + {k - 1}])) WHERE n > 1"""
 
 
-#: A word is in a repeat of ten or more words just if it is in a ten-word window found twice; a repeat is longer than
-#: 100 words just if a 101-word window is found twice.
+#: A word is in a later occurrence of a repeat of ten or more words just if it is in a ten-word window found before; a
+#: repeat is longer than 50 words just if a 51-word window is found twice.
 OP7_SQL = f"""
 WITH d AS (
   SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-starts AS ({_repeated_sql(3)} UNION ALL {_repeated_sql(10)} UNION ALL {_repeated_sql(101)}),
-spans AS (SELECT row_no, k, i, i + k AS e, max(i + k) OVER (PARTITION BY row_no, k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM starts),
+starts AS ({_repeated_sql(3)} UNION ALL {_repeated_sql(10)} UNION ALL {_repeated_sql(51)}),
+spans AS (
+  SELECT row_no, k, i, i + k AS e, max(i + k) OVER (PARTITION BY row_no, k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto
+  FROM starts WHERE k <> 10 OR later),
 r AS (SELECT row_no, k, sum(e - greatest(i, least(coalesce(upto, i), e))) AS n FROM spans GROUP BY row_no, k),
 lines AS (
   SELECT row_no, count(*) - count(DISTINCT line) AS n_dup FROM (SELECT row_no, unnest(string_split(text, chr(10))) AS line FROM d)
@@ -145,12 +148,12 @@ m AS (
   SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup, 0)::BIGINT AS n_dup_lines,
     coalesce((SELECT n FROM r WHERE r.row_no = d.row_no AND k = 3), 0)::BIGINT AS n_repeat_words,
-    coalesce((SELECT n FROM r WHERE r.row_no = d.row_no AND k = 10), 0)::BIGINT AS n_covered,
-    EXISTS (SELECT 1 FROM r WHERE r.row_no = d.row_no AND k = 101) AS too_long
+    coalesce((SELECT n FROM r WHERE r.row_no = d.row_no AND k = 10), 0)::BIGINT AS n_later,
+    EXISTS (SELECT 1 FROM r WHERE r.row_no = d.row_no AND k = 51) AS too_long
   FROM d LEFT JOIN lines USING (row_no))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_covered <= 0.4::DOUBLE * n_words AND NOT too_long AS kept
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_later <= 0.15::DOUBLE * n_words AND NOT too_long AS kept
 FROM m
 """
 

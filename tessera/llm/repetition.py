@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 SPACES = "\x20\t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-KIND = T.StructType([T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered", "longest_repeat")])
+KIND = T.StructType([T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered", "n_later", "longest_repeat")])
 
 
 def suffix_order(key: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -77,6 +77,21 @@ def covered(repeat: np.ndarray, least: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
+def repeated_again(sa: np.ndarray, lcp: np.ndarray, least: int) -> np.ndarray:
+    """Which places lie in a second or later occurrence of a run of `least` elements.
+
+    Neighbours in the suffix array that share as much are an interval; all of its places but the first start one.
+    """
+    first = np.flatnonzero(lcp < least)
+    later = np.ones(len(sa), bool)
+    later[np.minimum.reduceat(sa, first)] = False
+    step = np.zeros(len(sa) + 1, np.int64)
+    start = np.flatnonzero(later)
+    step[start] += 1
+    np.subtract.at(step, start + least, 1)
+    return np.cumsum(step[:-1]) > 0
+
+
 def measure(texts: list[str], least: int) -> list[tuple[int, ...]]:
     """The fields of KIND for each text. One suffix array serves them all: words of different texts never match."""
     words = [t.encode().split() for t in texts]  # bytes: the six ASCII white spaces only
@@ -84,26 +99,31 @@ def measure(texts: list[str], least: int) -> list[tuple[int, ...]]:
     of = np.repeat(np.arange(len(texts)), sizes)
     ids: dict[bytes, int] = {}
     key = np.fromiter((ids.setdefault(x, len(ids)) for w in words for x in w), np.int64, int(sizes.sum()))
-    counts = np.zeros((3, len(texts)), np.int64)
+    counts = np.zeros((4, len(texts)), np.int64)
     if len(key):
         sa, levels = suffix_order(key + of * (len(ids) + 1))
-        repeat = longest_repeats(sa, common_prefixes(sa, levels))
+        lcp = common_prefixes(sa, levels)
+        repeat = longest_repeats(sa, lcp)
         counts[0] = np.bincount(of, covered(repeat, 3), len(texts))
         counts[1] = np.bincount(of, covered(repeat, least), len(texts))
+        counts[2] = np.bincount(of, repeated_again(sa, lcp, least), len(texts))
         full = sizes > 0
-        counts[2, full] = np.maximum.reduceat(repeat, (np.cumsum(sizes) - sizes)[full])
+        counts[3, full] = np.maximum.reduceat(repeat, (np.cumsum(sizes) - sizes)[full])
     out = []
     for t, n, c in zip(texts, sizes.tolist(), counts.T.tolist(), strict=True):
         lines = [x for x in t.split("\n") if x.strip(SPACES)]
-        out.append((n, len(t) - sum(map(t.count, SPACES)), sum(map(t.count, SYMBOLS)), len(lines) - len(set(lines)), c[0], c[1], c[2]))
+        out.append((n, len(t) - sum(map(t.count, SPACES)), sum(map(t.count, SYMBOLS)), len(lines) - len(set(lines)), *c))
     return out
 
 
 def repetition(text: Column, least: int = 10, piece: int = 1 << 20) -> Column:
     """A struct of counts of the whole text: words, code points in words, symbols, repeated lines, words in
-    repeated windows of three, words covered by repeats of at least `least` words, and the longest repeat.
+    repeated windows of three, words covered by repeats of at least `least` words (all occurrences, and those
+    but the first), and the longest repeat.
 
-    A null text is empty, and an empty text has zeros. Texts are worked on some `piece` characters at a time.
+    A null text is empty, and an empty text has zeros. Equal rows have equal counts, no rows give none, and
+    ties between equal suffixes do not matter to any count. Texts are worked on some `piece` characters at a
+    time; a longer text is worked on whole.
     """
 
     @F.arrow_udf(KIND)
@@ -124,8 +144,10 @@ def repetition(text: Column, least: int = 10, piece: int = 1 << 20) -> Column:
     return of(text)
 
 
-def repetition_rules(measured: Column, max_fraction: float = 0.4, max_longest: int = 100) -> Column:
-    """True if repeats cover at most that fraction of the words and none is longer than that many words."""
-    m = measured
-    return (m["n_covered"] <= F.lit(max_fraction) * m["n_words"]) & (m["longest_repeat"] <= max_longest)
+def repetition_rules(measured: Column, max_fraction: float = 0.15, max_longest: int = 50) -> Column:
+    """True if second and later occurrences of repeats cover at most that fraction of the words and no repeat is longer than that.
 
+    The first occurrence is not counted, so one repeated line does not weigh double in a short text.
+    """
+    m = measured
+    return (m["n_later"] <= F.lit(max_fraction) * m["n_words"]) & (m["longest_repeat"] <= max_longest)

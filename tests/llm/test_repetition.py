@@ -21,8 +21,9 @@ def brute(text, least):
                 share[i][j] = share[i + 1][j + 1] + 1
                 longest[i], longest[j] = max(longest[i], share[i][j]), max(longest[j], share[i][j])
     cover = lambda k: len({p for i in range(n) if longest[i] >= k for p in range(i, i + longest[i])})
+    later = {p for i in range(n) if any(w[j : j + least] == w[i : i + least] for j in range(i)) and i + least <= n for p in range(i, i + least)}
     lines = [x for x in text.split("\n") if WORDS.search(x)]
-    return (n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), cover(3), cover(least), max(longest, default=0))
+    return (n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), cover(3), cover(least), len(later), max(longest, default=0))
 
 
 @settings(max_examples=80, deadline=None)
@@ -54,6 +55,23 @@ def test_rules_and_odd_rows(spark):
     assert spark.createDataFrame([], "t string").select(m).count() == 0
 
 
+def test_the_method_rejects_what_the_base_rule_keeps(spark):
+    r = random.Random(3)
+    words = lambda n: " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(n))
+    passage, line = words(45), words(12)
+    texts = {
+        "four times": " ".join(words(150) + " " + passage for _ in range(4)) + " " + words(100),
+        "ten times": " ".join(words(40) + " " + line for _ in range(10)),
+        "one long repeat": (p := words(60)) + " " + words(900) + " " + p,
+        "a line twice": words(30) + " " + line + " " + words(30) + " " + line,
+        "no repeats": words(500),
+    }
+    df = spark.createDataFrame(list(texts.items()), "name string, t string").select("name", repetition.repetition(F.col("t")).alias("m"))
+    got = {x.name: x for x in df.select("name", "m.*", repetition.repetition_rules(F.col("m")).alias("ok")).collect()}
+    assert all(x.n_words >= 50 and 100 * x.n_repeat_words <= 50 * x.n_words for x in got.values())  # the base rule keeps all
+    assert {n for n, x in got.items() if x.ok} == {"a line twice", "no repeats"}
+
+
 def test_query_against_sql(spark, sf_dir, duck):
     got = queries.op7_repetition(spark, sf_dir).toPandas()
     want = duck.sql(queries.OP7_SQL).df()[got.columns.tolist()]
