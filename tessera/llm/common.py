@@ -27,6 +27,24 @@ def text_or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def clear_of(columns: list[str], added: list[str]) -> list[str]:
+    """The columns' names, those that clash with an added name (in any case) ending in _in."""
+    taken, out = {c.lower() for c in [*columns, *added]}, []
+    for c in columns:
+        name = c
+        if c.lower() in {a.lower() for a in added}:
+            while name.lower() in taken:
+                name += "_in"
+            taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def beside(columns: list[str], row: Column, added: list[str]) -> list[Column]:
+    """The columns of a table, taken from a struct of them, under names that are clear of the added ones."""
+    return [row[c].alias(n) for c, n in zip(columns, clear_of(columns, added), strict=True)]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: spark.checkpoint.dir; where that is unset, as in tests, a new local one."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
@@ -47,14 +65,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def written() -> int:
-    """How many tables materialize() has written that are not released."""
-    return len(_SCRATCH)
-
-
-def release(spark: SparkSession, but: int = 0) -> None:
-    """Deletes what materialize() wrote so far, but for the first tables. Call it when no result that reads it is still wanted."""
-    while len(_SCRATCH) > but:
+def release(spark: SparkSession) -> None:
+    """Deletes what materialize() wrote so far. Call it when no result that reads it is still wanted."""
+    while _SCRATCH:
         p = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 

@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import small_batches, text_or_empty
+from tessera.llm.common import beside, small_batches, text_or_empty
 
 
 @dataclass
 class Model:
-    """Two dictionaries, and the weights that turn compressed sizes into a score."""
+    """Two dictionaries, and the calibration: the log odds of a good text are linear in its normalised difference."""
 
     good: bytes
     bad: bytes
@@ -32,16 +32,13 @@ def compressors(good: bytes, bad: bytes, level: int) -> list:
         if kept:
             kept.precompute_compress(level=level)
         out.append(zstandard.ZstdCompressor(level=level, dict_data=kept, write_content_size=False, write_checksum=False, write_dict_id=False))
-    return out + [zstandard.ZstdCompressor(level=level, write_content_size=False)]
+    return out
 
 
-def features(text: bytes, zs: list) -> list[float]:
-    """The compressed-size difference normalised two ways, and what normalises it: sizes by length."""
-    n = len(text) + 1
-    g, b, p = (len(z.compress(text)) for z in zs)
-    d, r = (b - g) / (b + g), g / n
-    ln = math.log(n)
-    return [1.0, d, (b - g) / n, r, b / n, p / n, ln, ln * ln, d * ln, r * ln, r * r, d * d, (b - g) / math.sqrt(n)]
+def difference(text: bytes, zs: list) -> float:
+    """Bytes saved by the good dictionary over the bad one, by byte of text: the normalised compressed-size difference."""
+    g, b = (len(z.compress(text)) for z in zs)
+    return (b - g) / (len(text) + 1)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -71,29 +68,29 @@ def dictionary(texts: list[bytes], size: int, piece: int = 2048) -> bytes:
         return b"\n".join(texts)[-size:]
 
 
-def fit(sample: list[tuple[str | None, int]], dict_size: int = 1 << 18, level: int = 3, folds: int = 2) -> Model:
+def fit(sample: list[tuple[str | None, int]], dict_size: int = 1 << 16, level: int = 3, folds: int = 2) -> Model:
     """Dictionaries from all of the sample; the calibration is fitted on folds that the dictionaries have not seen.
 
     With one class, or none, the score is the share of good rows throughout.
     """
     texts, y = [(t or "").encode() for t, _ in sample], np.array([q for _, q in sample], float)
     share = min(max((y.sum() + 1) / (len(y) + 2), 1e-3), 1 - 1e-3)
-    only = [math.log(share / (1 - share))] + [0.0] * 12
     if not (0 < y.sum() < len(y)) or min(y.sum(), len(y) - y.sum()) < 2 * folds:
-        return Model(b"", b"", level, only)
+        return Model(b"", b"", level, [math.log(share / (1 - share)), 0.0])
     pick = lambda q, f: [t for i, t in enumerate(texts) if y[i] == q and (f is None or i % folds != f)]
-    x = np.zeros((len(y), 13))
+    x = np.ones((len(y), 2))
     for f in range(folds):
         zs = compressors(dictionary(pick(1, f), dict_size), dictionary(pick(0, f), dict_size), level)
         for i in range(f, len(y), folds):
-            x[i] = features(texts[i], zs)
+            x[i, 1] = difference(texts[i], zs)
     return Model(dictionary(pick(1, None), dict_size), dictionary(pick(0, None), dict_size), level, fit_logistic(x, y).tolist())
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int) -> list[tuple[str | None, int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int, max_bytes: int) -> list[tuple[str | None, int]]:
     """At most per_class labelled rows of each class, those with the least hash of their id, in that order.
 
-    A document with several labels counts as bad if one says so; null labels and ids do not count.
+    Of these, whole texts as long as all before them and they make max_bytes at most. A document with several
+    labels counts as bad if one says so; null labels and ids do not count.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.min(label_col) > 0).cast("int").alias("y"))
     known = known.withColumn("o", F.xxhash64("id"))
@@ -103,27 +100,46 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     kind = dict(labels.dtypes)[id_col]
     ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], f"id {kind}").join(known, "id")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(ids), "id")  # 2 * per_class ids at most
-    return [(r.t, r.y) for r in rows.orderBy("o", "id", "t").limit(4 * per_class).collect()]
+    order = [F.col(c) for c in ("o", "id", "size", "digest")]
+    each = rows.withColumns({"size": F.coalesce(F.octet_length("t"), F.lit(0)).cast("long"), "digest": F.xxhash64("t")})
+    sizes = each.select(*order).orderBy(*order).limit(4 * per_class).collect()  # numbers only, so that no more texts than the bound leave their task
+    total, last = 0, None
+    for r in sizes:
+        if total + r["size"] > max_bytes:
+            break
+        total, last = total + r["size"], r
+    if last is None:
+        return []
+    within = F.struct(*order) <= F.struct(*[F.lit(last[c]).cast(dict(each.dtypes)[c]) for c in ("o", "id", "size", "digest")])
+    return [(r.t, r.y) for r in each.where(within).orderBy(*order).limit(4 * per_class).collect()]
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 2000, dict_size: int = 1 << 18) -> Model:
-    """A model from a bounded sample: 2 * per_class labelled rows, whole texts, the same at every size of input."""
-    return fit(labelled_sample(docs, labels, id_col, text_col, label_col, per_class), dict_size)
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+    per_class: int = 2000, max_bytes: int = 64 << 20, dict_size: int = 1 << 16,
+) -> Model:
+    """A model from a bounded sample: 2 * per_class labelled rows and max_bytes of whole texts, the same at every size of input."""
+    return fit(labelled_sample(docs, labels, id_col, text_col, label_col, per_class, max_bytes), dict_size)
 
 
 def quality_score(text: Column, model: Model) -> Column:
-    """The probability that a whole text is good, 0 to 1, from compressed sizes alone; null counts as empty."""
+    """The probability that a whole text is good, 0 to 1, from its normalised compressed-size difference alone; null counts as empty."""
 
     @F.arrow_udf(T.DoubleType())
     def of(texts: pa.Array) -> pa.Array:
-        zs = compressors(model.good, model.bad, model.level)
-        x = np.array([features(t or b"", zs) for t in texts.cast(pa.binary()).to_pylist()]).reshape(-1, 13)
-        return pa.array(1 / (1 + np.exp(-np.clip(x @ np.array(model.weights), -30, 30))))
+        zs, (a, b) = compressors(model.good, model.bad, model.level), model.weights
+        x = np.array([difference(t or b"", zs) for t in texts.cast(pa.binary()).to_pylist()], float)
+        return pa.array(1 / (1 + np.exp(-np.clip(a + b * x, -30, 30))))
 
     return of(text_or_empty(text))
 
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with score; every row and column is kept."""
+    """docs with score, the probability of a good text; every row and column is kept.
+
+    Null and empty texts have the score of no difference; repeated rows are each scored; an empty table gives
+    no rows. A column of docs named score stays as score_in.
+    """
     small_batches(docs.sparkSession)
-    return docs.withColumn("score", quality_score(F.col(text_col), model))
+    scored = docs.select(F.struct(*docs.columns).alias("d"), quality_score(F.col(text_col), model).alias("s"))
+    return scored.select(*beside(docs.columns, F.col("d"), ["score"]), F.col("s").alias("score"))

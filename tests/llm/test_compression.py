@@ -28,13 +28,25 @@ def test_score_depends_on_text_alone(spark):
     odd = [(1000, None, None), (1001, "", ""), (None, "the good words", None), (1002, "x" * 300_000, ""), (1, "### $$$ ***", "")]
     docs = spark.createDataFrame(rows + odd, "doc_id long, text string, score string")
     labels = spark.createDataFrame([(i, int(i < 100), 0) for i, _, _ in rows] + [(None, 1, 0), (1000, None, 0), (3, 1, 1)], "doc_id long, quality int, toxic int")
-    m = compression.train(docs.drop("score"), labels)
-    got = compression.score_documents(docs.drop("score"), m).collect()
+    m = compression.train(docs, labels)
+    got = compression.score_documents(docs, m).collect()
+    assert {x.score_in for x in got} == {"en", None, ""}
     assert len(got) == len(rows) + len(odd) and all(0 <= x.score <= 1 for x in got)
     by = {x.doc_id: x.score for x in got}
     assert by[1000] == by[1001] and by[5] > 0.5 > by[105]
-    assert compression.train(docs.drop("score").repartition(7), labels) == m
-    assert compression.score_documents(docs.drop("score").limit(0), m).count() == 0
+    assert compression.train(docs.repartition(7), labels) == m
+    assert compression.score_documents(docs.limit(0), m).count() == 0
+    assert compression.train(docs, labels, max_bytes=0).weights[1] == 0 != compression.train(docs, labels, max_bytes=4000).weights[1]
+
+
+def test_the_score_is_the_calibrated_difference():
+    good, bad = [f"the words of a good text {i * 7919} and more of them" for i in range(60)], [f"### $$$ *** {i} " * 9 for i in range(60)]
+    m = compression.fit([(t, 1) for t in good] + [(t, 0) for t in bad])
+    zs = compression.compressors(m.good, m.bad, m.level)
+    for t in [*good[:5], *bad[:5], "", "x" * 10_000]:
+        g, b = (len(z.compress(t.encode())) for z in zs)
+        assert compression.difference(t.encode(), zs) == (b - g) / (len(t) + 1)
+    assert m.weights[1] > 0  # the more the good dictionary saves, the better
 
 
 def test_few_or_no_labels(spark):
