@@ -85,9 +85,7 @@ FROM t GROUP BY conv_id
 def op4_tokens(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k.json", limit: int = 1024) -> DataFrame:
     import public_tokenizers
 
-    small_batches(spark)
-    docs = read(spark, sf_dir, "documents").select("doc_id", text_or_empty(F.col("text")).alias("text"))
-    counted = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), tokens.n_tokens(F.col("text"), public_tokenizers.path(vocabulary)).alias("n_tokens"))
+    counted = tokens.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path(vocabulary))
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
