@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, release, small_batches, written
+from tessera.llm.common import clear_of, materialize, small_batches
 
 END, START = xxhash.xxh64_intdigest(b" "), xxhash.xxh64_intdigest(b"\t")  # no word has white space
 BASE = 1.5  # of the log that quantises counts
@@ -313,18 +313,17 @@ class Model:
         f = self.filter
         return f.bits, f.blocks, f.block_bits, f.probes, self.n_tokens, self.n_words, self.n_texts, self.unknown, self.known_mass, self.weight, self.frequent, self.least
 
-    def log_probs(self, h: np.ndarray, n: np.ndarray, weight: float | None = None, left_out: int = 0) -> np.ndarray:
-        """log10 probability of each token after the one before it; left_out: 1 takes one observation from each count."""
+    def log_probs(self, h: np.ndarray, n: np.ndarray, weight: float | None = None) -> np.ndarray:
+        """log10 probability of each token after the one before it, by what the filter alone knows."""
         u, back = np.unique(h, return_inverse=True)
         c = WORTH[self.filter.levels(u, 0)][back]
         before = np.empty_like(c)
         before[1:] = c[:-1]
         before[np.cumsum(n) - n] = self.n_texts
-        return self.terms(c, before, WORTH[self.filter.levels(pairs(h, n), 1)], self.weight if weight is None else weight, left_out)
+        return self.terms(c, before, WORTH[self.filter.levels(pairs(h, n), 1)], self.weight if weight is None else weight)
 
-    def terms(self, c: np.ndarray, before: np.ndarray, both: np.ndarray, w: float, left_out: int | np.ndarray = 0) -> np.ndarray:
+    def terms(self, c: np.ndarray, before: np.ndarray, both: np.ndarray, w: float) -> np.ndarray:
         """log10 probabilities from the counts of tokens, of those before them and of the pairs."""
-        c, before, both = (np.maximum(x - left_out, 0) for x in (c, before, both))
         own = np.where(c > 0, (1 - self.unknown) * c / max(self.known_mass, 1), self.unknown)
         both = np.where(c > 0, np.minimum(both, before), 0)
         return np.log10(np.maximum((both + w * own) / (before + w), 1e-300))
@@ -339,14 +338,16 @@ def train(docs: DataFrame, text_col: str = "text", max_bits: int = 1 << 28, bits
 
     Tokens are lower-cased (A-Z) words and one end a text. The filter takes bits_per_item bits for each (n-gram, level), up to max_bits (32 MB),
     beyond which the least counts that it holds rise, pairs first: its size is bounded, whatever the
-    corpus. It has no pairs seen once. score() asks the model's blocks for all that the filter leaves out. The smoothing weight is fitted on all texts, each distinct one once,
-    leaving out one observation and its copies in the text's copies.
+    corpus. It has no pairs seen once. score() asks the model's blocks for all that the filter leaves out. The smoothing weight comes from all
+    counts (matched_weight).
     Null texts are empty; no texts give a model that knows no token.
     """
     small_batches(docs.sparkSession)
-    spark, texts = docs.sparkSession, docs.select(F.col(text_col).alias("text"))
-    n_texts, volume = texts.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
-    slices = 1 << max(4, ((volume or 0) // slice_bytes).bit_length())
+    texts = docs.select(F.col(text_col).alias("text"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
+    distinct = texts.groupBy(F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2")).agg(F.count("*").alias("copies"), F.max(size).alias("size"))
+    n_texts, volume, single = (x or 0 for x in distinct.agg(F.sum("copies"), F.sum(F.col("copies") * F.col("size")), F.sum(F.when(F.col("copies") == 1, F.col("size")))).first())
+    slices = 1 << max(4, (volume // slice_bytes).bit_length())
     # a task deals to fan_out ranges at most, so blocks stay large; more ranges are reached by dealing again
     wide = min(slices, fan_out)
     rows = texts.mapInArrow(_count(wide, flush), "slice int, u binary, b binary")
@@ -394,57 +395,32 @@ def train(docs: DataFrame, text_col: str = "text", max_bits: int = 1 << 28, bits
     o = np.argsort(h)
     unknown = min(0.5, max(once, 1) / max(n_tokens, 2))
     known_mass = float((hist["levels_u"] * WORTH).sum())
-    m = Model(shape, n_tokens, int(hist["levels_u"].sum()), n_texts, unknown, known_mass, 1000.0, (h[o], np.log10(c[o] + 1.0)), tuple(least), grams.select("slice", "u", "b"), slices)
-    m.weight = fitted_weight(texts, m)
-    return m, exact
+    weight = matched_weight(hist["levels_u"], int(hist["levels_b"][1]), n_tokens * single / max(volume, 1))
+    return Model(shape, n_tokens, int(hist["levels_u"].sum()), n_texts, unknown, known_mass, weight, (h[o], np.log10(c[o] + 1.0)), tuple(least), grams.select("slice", "u", "b"), slices), exact
 
 
-def fitted_weight(texts: DataFrame, m: Model) -> float:
-    """The weight on a grid under which the distinct texts are likeliest, one observation left out; the model's if there are none.
+def matched_weight(levels: np.ndarray, once: int, tokens_of_single_texts: float) -> float:
+    """The weight under which the tokens' own probabilities get the mass that pairs not seen have (Good and Turing).
 
-    Of a text with copies as many observations are left out, quantised as counts are.
+    levels: how many tokens have each quantised count. Of the tokens in texts without exact copies the share in
+    pairs seen once is what would be new if a text were left out; copies say nothing of that. With weight w a context of count c leaves
+    w / (c + w) to the tokens' own probabilities; the mean over all tokens' contexts is to equal the share.
     """
-    grid = [10.0**k for k in range(-1, 9)]
-    before = written()
-    each = texts.where(F.col("text").isNotNull()).groupBy("text").agg(F.count("*").alias("copies"))
-    rows, late = _sums(each.select(F.col("text").alias("__text"), F.struct("copies").alias("row")), m, grid, True)
-    per = lambda df: np.array([x or 0.0 for x in df.agg(*[F.sum(F.element_at("score", i + 1)) for i in range(len(grid))]).first()])
-    total = per(rows) + per(late)
-    release(texts.sparkSession, before)
-    return grid[int(np.argmax(total))] if total.any() else m.weight
-
-
-def _sums(chosen: DataFrame, model: Model, weights: list[float], leave_out: bool = False, flush: int = 1_000_000, fan_out: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """Rows of (__text, row) as _look_up() has them, and what their waiting tokens add to the log probabilities (row_no, score).
-
-    score has a sum for each weight. leave_out: row.copies says how many observations to take from each count.
-    """
-    small_batches(chosen.sparkSession)
-    shared = chosen.sparkSession.sparkContext.broadcast(model.parts())
-    ranges = min(model.slices, fan_out)
-    rows = materialize(chosen.mapInArrow(*_look_up(shared, chosen.schema["row"].dataType.simpleString(), flush, ranges, weights, leave_out)), "scored")
-    asks = rows.where("slice IS NOT NULL").select(F.col("slice").alias("range"), "chunk", "u", "b", F.lit(0).alias("slice"))
-    rows = rows.where("slice IS NULL")
-    coarse = (model.slices // ranges).bit_length() - 1
-    held = model.grams.select(F.shiftright("slice", coarse).alias("range"), F.lit(None).cast("long").alias("chunk"), "u", "b", "slice")
-    answers = held.unionByName(asks).repartition("range").sortWithinPartitions("range", "chunk", "slice").mapInArrow(_answer, "chunk long, range int, u binary, b binary")
-    waiting = rows.where(F.size("open") > 0).select("chunk", F.lit(None).cast("int").alias("range"), F.lit(None).cast("binary").alias("u"), F.lit(None).cast("binary").alias("b"), "row_no", "open", (F.col("row.copies") if leave_out else F.lit(0)).cast("long").alias("copies"))
-    answers = answers.withColumns({"row_no": F.lit(None).cast("long"), "open": F.lit(None).cast("array<int>"), "copies": F.lit(None).cast("long")})
-    late = waiting.unionByName(answers).repartition("chunk").sortWithinPartitions("chunk", F.col("range").isNull(), "range").mapInArrow(_resolve(shared, weights), "row_no long, score array<double>")
-    return rows, late
-
-
-def left_out(copies: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """What to take from the counts of each token of texts with so many copies and n tokens."""
-    return np.repeat(np.where(copies > 0, WORTH[level_of(copies)], 0.0), n)
-
-
-def lists_of(sums: list[np.ndarray]) -> pa.ListArray:
-    """A list for each row of one value from each array."""
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(sums) * len(sums[0]) + 1, len(sums), dtype=np.int32)), pa.array(np.stack(sums, axis=1).reshape(-1)))
-
-
-def _look_up(shared, kind: str, flush: int, ranges: int, weights: list[float], leave_out: bool):
+    c = WORTH[: len(levels)]
+    if not once or tokens_of_single_texts <= 0:
+        return 1000.0
+    share = min(once / tokens_of_single_texts, 0.999)
+    low, high = -7.0, 30.0
+    for _ in range(60):
+        w = np.exp((low + high) / 2)
+        if (levels * c * w / (c + w)).sum() < share * (levels * c).sum():
+            low = np.log(w)
+        else:
+            high = np.log(w)
+    return float(np.exp(high))
+
+
+def _look_up(shared, kind: str, flush: int, ranges: int):
     """Rows with what the worker's filter and frequent counts tell, and what each chunk of texts has to ask.
 
     `open` has three values for each token that waits: the level of the token, of the one before (LEVELS: a
@@ -468,8 +444,7 @@ def _look_up(shared, kind: str, flush: int, ranges: int, weights: list[float], l
             base = np.add.reduceat(np.where(hit, logs[at] if len(top) else 0.0, 0.0), start)
             known = np.add.reduceat(hit.astype(np.int64), start)
             lists = lambda where, per, x: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.add.reduceat(where.astype(np.int64), start)) * per]).astype(np.int32)), pa.array(x))
-            rest = np.zeros(len(h), bool) if leave_out else ~hit
-            tail = lists(rest, 1, h[rest].view(np.int64))
+            tail = lists(~hit, 1, h[~hit].view(np.int64))
             code, asked = [], []
             for kind_no, x in enumerate((h, pairs(h, n))):
                 key, back = np.unique(x, return_inverse=True)
@@ -483,14 +458,11 @@ def _look_up(shared, kind: str, flush: int, ranges: int, weights: list[float], l
             before[1:] = own[:-1]
             before[start] = LEVELS
             waits = (own < 0) | (before < 0) | (both < 0)
-            less = left_out(row.field("copies").to_numpy(), n)[~waits] if leave_out else 0
-            counts, prob, sums = [worth[x[~waits]] for x in (own, before, both)], np.zeros(len(h)), []
-            for w in weights:
-                prob[~waits] = m.terms(*counts, w, less)
-                sums.append(np.add.reduceat(prob, start))
+            prob = np.zeros(len(h))
+            prob[~waits] = m.terms(*(worth[x[~waits]] for x in (own, before, both)), m.weight)
             late = lists(waits, 3, np.stack([own[waits], before[waits], both[waits]], axis=1).reshape(-1))
             ids = pa.array(np.arange(number, number + len(n)))
-            docs = [ids, pa.array(np.full(len(n), number)), row, pa.array(n), pa.array(known), pa.array(base), lists_of(sums), tail, late]
+            docs = [ids, pa.array(np.full(len(n), number)), row, pa.array(n), pa.array(known), pa.array(base), pa.array(np.add.reduceat(prob, start)), tail, late]
             nothing = [pa.nulls(len(n), t) for t in (pa.int32(), pa.binary(), pa.binary())]
             yield pa.RecordBatch.from_arrays(docs + nothing, names=doc_names + ask_names)
             ask = dealt(*asked, ranges)
@@ -513,10 +485,10 @@ def _look_up(shared, kind: str, flush: int, ranges: int, weights: list[float], l
         if held:
             yield from out()
 
-    return run, f"row_no long, chunk long, row {kind}, n_tokens long, known long, base double, score array<double>, tail array<long>, open array<int>, slice int, u binary, b binary"
+    return run, f"row_no long, chunk long, row {kind}, n_tokens long, known long, base double, score double, tail array<long>, open array<int>, slice int, u binary, b binary"
 
 
-def _resolve(shared, weights: list[float]):
+def _resolve(shared):
     """Sums of the log probabilities that waited; of each chunk the answers come first, in the order of ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -547,9 +519,8 @@ def _resolve(shared, weights: list[float]):
                     c = code[:, j].astype(np.int64)
                     c[c < 0] = q[-1 - c[c < 0]]
                     counts.append(worth[c])
-                less = left_out(x.column(6).slice(s, e - s).to_numpy(), n)
-                late = lists_of([np.add.reduceat(m.terms(*counts, w, less), np.cumsum(n) - n) for w in weights])
-                yield pa.RecordBatch.from_arrays([x.column(4).slice(s, e - s), late], names=["row_no", "score"])
+                late = np.add.reduceat(m.terms(*counts, m.weight), np.cumsum(n) - n)
+                yield pa.RecordBatch.from_arrays([x.column(4).slice(s, e - s), pa.array(late)], names=["row_no", "score"])
 
     return run
 
@@ -559,16 +530,30 @@ def score(docs: DataFrame, model: Model, exact: DataFrame, id_col: str = "doc_id
 
     base_score adds log10((c + 1) / (N + V + 1)) over the tokens with exact counts c; score is the
     model's log10 probability. A null text is empty and has one token, its end. Repeated rows are each
-    scored; other columns are only read if kept.
+    scored, ties in chunks do not matter, and no rows give none; a long text is scored whole. Other columns are
+    only read if kept; a kept column with the name of a result ends in _in.
     """
+    small_batches(docs.sparkSession)
     chosen = docs.select(F.col(text_col).alias("__text"), F.struct(F.col(id_col).alias("id"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]).alias("row"))
-    rows, late = _sums(chosen, model, [model.weight], flush=flush, fan_out=fan_out)
+    shared = docs.sparkSession.sparkContext.broadcast(model.parts())
+    ranges = min(model.slices, fan_out)
+    rows = materialize(chosen.mapInArrow(*_look_up(shared, chosen.schema["row"].dataType.simpleString(), flush, ranges)), "scored")
+    asks = rows.where("slice IS NOT NULL").select(F.col("slice").alias("range"), "chunk", "u", "b", F.lit(0).alias("slice"))
+    rows = rows.where("slice IS NULL")
+    coarse = (model.slices // ranges).bit_length() - 1
+    held = model.grams.select(F.shiftright("slice", coarse).alias("range"), F.lit(None).cast("long").alias("chunk"), "u", "b", "slice")
+    answers = held.unionByName(asks).repartition("range").sortWithinPartitions("range", "chunk", "slice").mapInArrow(_answer, "chunk long, range int, u binary, b binary")
+    waiting = rows.where(F.size("open") > 0).select("chunk", F.lit(None).cast("int").alias("range"), F.lit(None).cast("binary").alias("u"), F.lit(None).cast("binary").alias("b"), "row_no", "open")
+    answers = answers.withColumns({"row_no": F.lit(None).cast("long"), "open": F.lit(None).cast("array<int>")})
+    late = waiting.unionByName(answers).repartition("chunk").sortWithinPartitions("chunk", F.col("range").isNull(), "range").mapInArrow(_resolve(shared), "row_no long, score double")
     rare = rows.select("row_no", F.explode("tail").alias("h")).join(exact, "h").select("row_no", F.log10(F.col("c") + F.lit(1.0)).alias("more"), F.lit(1).alias("also"), F.lit(0.0).alias("late"))
-    rest = rare.unionByName(late.select("row_no", F.lit(0.0).alias("more"), F.lit(0).alias("also"), F.col("score")[0].alias("late"))).groupBy("row_no").agg(*(F.sum(c).alias(c) for c in ("more", "also", "late")))
-    out = rows.select("row_no", "row", "n_tokens", "known", "base", F.col("score")[0].alias("score")).join(rest, "row_no", "left")
+    rest = rare.unionByName(late.select("row_no", F.lit(0.0).alias("more"), F.lit(0).alias("also"), F.col("score").alias("late"))).groupBy("row_no").agg(*(F.sum(c).alias(c) for c in ("more", "also", "late")))
+    out = rows.select("row_no", "row", "n_tokens", "known", "base", "score").join(rest, "row_no", "left")
     each = float(np.log10(model.n_tokens + model.n_words + 1.0))
+    made = [id_col, "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    names = clear_of(list(keep), made)
     return out.select(
-        F.col("row.id").alias(id_col), *[F.col(f"row.k{i}").alias(c) for i, c in enumerate(keep)], "n_tokens",
+        F.col("row.id").alias(id_col), *[F.col(f"row.k{i}").alias(c) for i, c in enumerate(names)], "n_tokens",
         (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(model.n_tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * each).alias("base_score"), (F.col("score") + F.coalesce("late", F.lit(0.0))).alias("score"),
     )

@@ -4,7 +4,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -66,6 +65,7 @@ def test_base_and_model(spark):
         w = want[x.doc_id, x.text]
         assert (x.n_tokens, x.n_known, x.train_tokens, x.held_out) == (w[0], w[1], n, held(x.doc_id))
         assert math.isclose(x.base_score, w[2], rel_tol=1e-9) and x.score < 0
+    assert lm_bloom.score(df, m, exact, keep=("score", "n_tokens")).columns[:3] == ["doc_id", "score_in", "n_tokens_in"]
     out = [x for x in got if x.held_out and x.n_known == x.n_tokens > 50]
     assert sum(x.score for x in out) > sum(x.base_score for x in out)
 
@@ -104,6 +104,17 @@ def test_probabilities_of_a_context_sum_to_one_at_most(spark):
         assert 0.3 < p[1::3].sum() < 1.1  # counts are quantised, pairs seen once are not held
 
 
+def test_query(spark, sf_dir):
+    got = queries.op9_language_model(spark, sf_dir).toPandas().set_index("doc_id")
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    n, want = base(rows, held)
+    for i, t in rows:
+        x, w = got.loc[i], want[i, t]
+        assert (x.n_tokens, x.n_known, x.train_tokens, x.held_out) == (w[0], w[1], n, held(i)) and math.isclose(x.base_score, w[2], rel_tol=1e-9)
+    assert got.score.sum() > got.base_score.sum()
+
+
 def test_nothing_to_learn(spark):
     e = spark.createDataFrame([], "doc_id long, text string")
     m, exact = lm_bloom.train(e)
@@ -149,20 +160,26 @@ def test_pairs_seen_once_count(spark):
     assert a > b + 0.5  # the same words
 
 
-def test_the_weight_is_fitted_on_all_distinct_texts(spark):
+def test_the_weight_matches_the_mass_of_new_pairs(spark):
     rows = docs(200)
-    signed = lambda t: int.from_bytes(xxhash.xxh64(t.encode(), seed=42).digest(), "big", signed=True)
-    least = min(signed(t) for _, t in rows)
-    copied = next(t for t in (f"copy {k} of a page that is here many times" for k in range(10**6)) if signed(t) < least)
-    rows += [(1000 + k, copied) for k in range(90)]  # first in the order of hashes
-    m, _ = lm_bloom.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), bits_per_item=30)
+    copied = " ".join(f"c{k}" for k in range(50))
+    fit = lambda x: lm_bloom.train(spark.createDataFrame(x, "doc_id long, text string").repartition(3))[0]
+    m = fit(rows)
     hashed = [lm_bloom.tokens([t.encode()]) for _, t in rows]
     c1, c2 = Counter(x for h, _ in hashed for x in h.tolist()), Counter(x for h, n in hashed for x in lm_bloom.pairs(h, n).tolist())
-    worth = lambda c, keys: lm_bloom.WORTH[lm_bloom.level_of(np.array([c[k] for k in keys.tolist()]))]
-    total = Counter()
-    for t, k in Counter(t for _, t in rows).items():
-        h, n = lm_bloom.tokens([t.encode()])
-        own = worth(c1, h)
-        for w in (10.0**e for e in range(-1, 9)):
-            total[w] += m.terms(own, np.append(m.n_texts, own[:-1]), worth(c2, lm_bloom.pairs(h, n)), w, lm_bloom.WORTH[lm_bloom.level_of(np.array([k]))[0]]).sum()
-    assert m.weight == max(total, key=total.get) > 0.1
+    single = sum(len(t) + 1 for _, t in rows if sum(t == u for _, u in rows) == 1) / sum(len(t) + 1 for _, t in rows)
+    share = sum(c == 1 for c in c2.values()) / (sum(c1.values()) * single)
+    c = lm_bloom.WORTH[lm_bloom.level_of(np.array(list(c1.values())))]
+    assert math.isclose((c * m.weight / (c + m.weight)).sum() / c.sum(), share, rel_tol=1e-6)
+    many = fit(rows + [(1000 + k, copied) for k in range(300)])  # copies of one text say little of new pairs
+    assert 0.3 < many.weight / m.weight < 3
+
+
+def test_a_fitted_weight_does_better_than_far_ones(spark):
+    df = spark.createDataFrame(docs(400, seed=4), "doc_id long, text string")
+    m, exact = lm_bloom.train(df.where("doc_id < 300"), bits_per_item=30)
+    fitted, likely = m.weight, []
+    for w in (fitted, fitted * 100, fitted / 1000):
+        m.weight = w
+        likely.append(lm_bloom.score(df.where("doc_id >= 300"), m, exact).agg({"score": "sum"}).first()[0])
+    assert likely[0] > max(likely[1:])
