@@ -46,11 +46,14 @@ def beside(columns: list[str], row: Column, added: list[str]) -> list[Column]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir; where that is unset, as in tests, a new local one."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """The folder all executors see: spark.checkpoint.dir. Where that is unset a new local one, which only a local master may use."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
-        found = spark.sparkContext.getCheckpointDir()
+        if not (sc.master or "local").startswith("local") or "cluster" in sc.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
+        found = sc.getCheckpointDir()
     return found
 
 
@@ -58,20 +61,49 @@ _SCRATCH: list[str] = []
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: lineage ends there and any executor can read it."""
+    """df, written to the shared folder and read again: lineage ends there and any executor can read it.
+
+    Nothing refers to the shuffles behind it any more, but their files stay on the executors until the driver
+    collects its garbage; so that is asked for.
+    """
     path = f"{shared_dir(df.sparkSession)}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _SCRATCH.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.sparkSession._jvm.System.gc()
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def written() -> int:
+    """How many tables materialize() has written that are not released; a mark for release()."""
+    return len(_SCRATCH)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes what materialize() wrote so far. Call it when no result that reads it is still wanted."""
-    while _SCRATCH:
-        p = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+def release(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Deletes what materialize() wrote after a mark, but for the tables to keep. Call it when no result that reads it is still wanted."""
+    kept = {k.scratch_path for k in keep}
+    for path in [p for p in _SCRATCH[since:] if p not in kept]:
+        _SCRATCH.remove(path)
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def may_be_among(rows: DataFrame, key: Column, keys: DataFrame, column: str, name: str, most_bits: int = 25) -> DataFrame:
+    """rows with a boolean column: false where the key (a hash, long) is surely not in the column of keys.
+
+    Keys set bits of a table of 2 ** most_bits at most, 16 a key while they fit, which is broadcast as words
+    of 64 bits (8 MB at most): with very many keys it tells less, and what it lets through is right still.
+    """
+    m = 1 << max(10, min(most_bits, (16 * keys.count()).bit_length()))
+    spot = lambda k: F.pmod(k, F.lit(m))
+    words = keys.select(spot(F.col(column)).alias("s")).groupBy(F.shiftright("s", 6).alias("__word")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("__bits"))
+    at = rows.withColumn("__spot", spot(key)).withColumn("__at", F.shiftright("__spot", 6))
+    out = at.join(F.broadcast(words), F.col("__at") == F.col("__word"), "left")  # 2 ** (most_bits - 6) rows at most
+    hit = F.expr("coalesce(shiftright(__bits, cast(__spot % 64 as int)) & 1L, 0L) = 1L")
+    return out.withColumn(name, hit).select(*rows.columns, name)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keeps the memory of a Python worker low where texts are long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -18,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -86,6 +87,16 @@ def unpack(b: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(h, dtype=np.uint64), c
 
 
+def pack_codes(codes: np.ndarray) -> bytes | None:
+    """Three rows of codes as their byte planes, which compress well; none if there are none."""
+    return zstandard.compress(np.ascontiguousarray(codes).view(np.uint8).reshape(3, -1, 4).transpose(0, 2, 1).tobytes(), 1) if codes.size else None
+
+
+def unpack_codes(b: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(b), np.uint8).reshape(3, 4, -1)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.int32).reshape(3, -1)
+
+
 def level_of(c: np.ndarray) -> np.ndarray:
     """Quantised log counts: 1 for 1, then a step for each power of BASE."""
     return 1 + np.floor(np.log(np.maximum(c, 1)) / np.log(BASE) + 1e-9).astype(np.int64)
@@ -423,8 +434,8 @@ def matched_weight(levels: np.ndarray, once: int, tokens_of_single_texts: float)
 def _look_up(shared, kind: str, flush: int, ranges: int):
     """Rows with what the worker's filter and frequent counts tell, and what each chunk of texts has to ask.
 
-    `open` has three values for each token that waits: the level of the token, of the one before (LEVELS: a
-    text's start) and of the pair, or -1 - i for the chunk's i-th asked token or pair.
+    `open` has three packed values for each token that waits, null if none does: the level of the token, of the one
+    before (LEVELS: a text's start) and of the pair, or -1 - i for the chunk's i-th asked token or pair.
     """
     doc_names = ["row_no", "chunk", "row", "n_tokens", "known", "base", "score", "tail", "open"]
     ask_names = ["slice", "u", "b"]
@@ -443,8 +454,8 @@ def _look_up(shared, kind: str, flush: int, ranges: int):
             hit = top[at] == h if len(top) else np.zeros(len(h), bool)
             base = np.add.reduceat(np.where(hit, logs[at] if len(top) else 0.0, 0.0), start)
             known = np.add.reduceat(hit.astype(np.int64), start)
-            lists = lambda where, per, x: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.add.reduceat(where.astype(np.int64), start)) * per]).astype(np.int32)), pa.array(x))
-            tail = lists(~hit, 1, h[~hit].view(np.int64))
+            ends = np.concatenate([[0], np.cumsum(np.add.reduceat((~hit).astype(np.int64), start))])
+            tail = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h[~hit].view(np.int64)))
             code, asked = [], []
             for kind_no, x in enumerate((h, pairs(h, n))):
                 key, back = np.unique(x, return_inverse=True)
@@ -460,7 +471,8 @@ def _look_up(shared, kind: str, flush: int, ranges: int):
             waits = (own < 0) | (before < 0) | (both < 0)
             prob = np.zeros(len(h))
             prob[~waits] = m.terms(*(worth[x[~waits]] for x in (own, before, both)), m.weight)
-            late = lists(waits, 3, np.stack([own[waits], before[waits], both[waits]], axis=1).reshape(-1))
+            codes, cut = np.stack([own, before, both]).astype(np.int32), np.concatenate([[0], np.cumsum(n)])
+            late = pa.array([pack_codes(codes[:, i:j][:, waits[i:j]]) for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary())
             ids = pa.array(np.arange(number, number + len(n)))
             docs = [ids, pa.array(np.full(len(n), number)), row, pa.array(n), pa.array(known), pa.array(base), pa.array(np.add.reduceat(prob, start)), tail, late]
             nothing = [pa.nulls(len(n), t) for t in (pa.int32(), pa.binary(), pa.binary())]
@@ -485,7 +497,7 @@ def _look_up(shared, kind: str, flush: int, ranges: int):
         if held:
             yield from out()
 
-    return run, f"row_no long, chunk long, row {kind}, n_tokens long, known long, base double, score double, tail array<long>, open array<int>, slice int, u binary, b binary"
+    return run, f"row_no long, chunk long, row {kind}, n_tokens long, known long, base double, score double, tail array<long>, open binary, slice int, u binary, b binary"
 
 
 def _resolve(shared):
@@ -511,12 +523,12 @@ def _resolve(shared):
                     continue
                 if levels is None:
                     levels = [np.frombuffer(b"".join(a), np.uint8) for a in answers]
-                part = x.column(5).slice(s, e - s)
-                n = part.value_lengths().to_numpy() // 3
-                code = part.flatten().to_numpy().reshape(-1, 3)
+                parts = [unpack_codes(b) for b in x.column(5).slice(s, e - s).to_pylist()]
+                n = np.array([y.shape[1] for y in parts])
+                code = np.concatenate(parts, axis=1)
                 counts = []
                 for j, q in enumerate((levels[0], levels[0], levels[1])):
-                    c = code[:, j].astype(np.int64)
+                    c = code[j].astype(np.int64)
                     c[c < 0] = q[-1 - c[c < 0]]
                     counts.append(worth[c])
                 late = np.add.reduceat(m.terms(*counts, m.weight), np.cumsum(n) - n)
@@ -543,8 +555,9 @@ def score(docs: DataFrame, model: Model, exact: DataFrame, id_col: str = "doc_id
     coarse = (model.slices // ranges).bit_length() - 1
     held = model.grams.select(F.shiftright("slice", coarse).alias("range"), F.lit(None).cast("long").alias("chunk"), "u", "b", "slice")
     answers = held.unionByName(asks).repartition("range").sortWithinPartitions("range", "chunk", "slice").mapInArrow(_answer, "chunk long, range int, u binary, b binary")
-    waiting = rows.where(F.size("open") > 0).select("chunk", F.lit(None).cast("int").alias("range"), F.lit(None).cast("binary").alias("u"), F.lit(None).cast("binary").alias("b"), "row_no", "open")
-    answers = answers.withColumns({"row_no": F.lit(None).cast("long"), "open": F.lit(None).cast("array<int>")})
+    answers = materialize(answers, "answers")
+    waiting = rows.where("open IS NOT NULL").select("chunk", F.lit(None).cast("int").alias("range"), F.lit(None).cast("binary").alias("u"), F.lit(None).cast("binary").alias("b"), "row_no", "open")
+    answers = answers.withColumns({"row_no": F.lit(None).cast("long"), "open": F.lit(None).cast("binary")})
     late = waiting.unionByName(answers).repartition("chunk").sortWithinPartitions("chunk", F.col("range").isNull(), "range").mapInArrow(_resolve(shared), "row_no long, score double")
     rare = rows.select("row_no", F.explode("tail").alias("h")).join(exact, "h").select("row_no", F.log10(F.col("c") + F.lit(1.0)).alias("more"), F.lit(1).alias("also"), F.lit(0.0).alias("late"))
     rest = rare.unionByName(late.select("row_no", F.lit(0.0).alias("more"), F.lit(0).alias("also"), F.col("score").alias("late"))).groupBy("row_no").agg(*(F.sum(c).alias(c) for c in ("more", "also", "late")))
