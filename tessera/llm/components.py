@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import materialize, release, written
 
 
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
@@ -25,7 +25,9 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(floor, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        since = written()
         e = materialize(small.unionByName(floor.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        release(e.sparkSession, since - 1, (e,))  # the edges of the round before
         now = _print_of(e)
         if now == said:
             break

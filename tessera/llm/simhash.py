@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tessera.llm.common import materialize, small_batches
+from tessera.llm.common import materialize, may_be_among, release, small_batches, written
 from tessera.llm.components import connected_components
 
 FULL = (1 << 64) - 1
@@ -175,6 +175,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null id is kept and never a component's id unless all ids of the component are null. Other columns
     are not read. An empty table gives no rows.
     """
+    since = written()
     small_batches(docs.sparkSession)
     rows = materialize(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), shingle, seed).alias("fp")), "fingerprints")
     prints = materialize(rows.groupBy("fp").agg(F.min("id").alias("first_id")), "prints")
@@ -182,6 +183,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = prints.join(comps, "fp").groupBy("root").agg(F.min("first_id").alias("component"))
     known = comps.join(named, "root").select("fp", "component")
     labels = materialize(prints.join(known, "fp", "left").select("fp", F.coalesce("component", "first_id").alias("component_id")), "labels")
+    release(docs.sparkSession, since, (rows, labels))
     return rows.join(labels, "fp", "left").select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint_bits"), "component_id")
 
 
@@ -195,7 +197,7 @@ def min_bands(h: np.ndarray, bands: int, width: int, piece: int = 1 << 12) -> np
     return (least * odd[1]).reshape(bands, width).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
-def signature(text: Column, shingle: int = 5, seed: int = 42, bands: int = 24, width: int = 6) -> Column:
+def signature(text: Column, shingle: int = 5, seed: int = 42, bands: int = 12, width: int = 5) -> Column:
     """[SimHash of the distinct words, two SimHashes of the distinct shingles, keys of min-hash bands of these]."""
 
     @F.arrow_udf("array<long>")
@@ -278,25 +280,28 @@ def _verify(shingle: int, similarity: float):
     return run
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 6, blocks: int = 9, check_distance: int = 30, similarity: float = 0.8) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 6, blocks: int = 8, check_distance: int = 30, similarity: float = 0.8) -> DataFrame:
     """(id, text_hash, component) for each row: groups of texts linked by pairs with 0.8 or more of their five-word shingles in common.
 
     Two searches find candidates. A SimHash of shingles is too far apart for such pairs (9 of 64 bits at a
     similarity of 0.8), so pigeonhole blocks join on the SimHash of the distinct words (3 or 4 bits apart, 6
     or fewer in 95 of 100 pairs) and 128 bits of shingle SimHash; and bands of min-hashes of the shingles are
-    shared by 999 of 1,000 pairs at 0.8. What either links is a set of candidates, in which the Jaccard
+    shared by 991 of 1,000 pairs at 0.8. What either links is a set of candidates, in which the Jaccard
     similarity of the shingles themselves decides. A task holds the shingles of one such set of distinct texts.
-    component is the least text_hash (64 bits) of the group. Null and empty texts are one group.
+    component is the least text_hash (64 bits) of the group. Null and empty texts are one group. Only texts that
+    may stand for a set's member are shuffled, one row a distinct text.
     """
     small_batches(docs.sparkSession)
     hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     rows = materialize(docs.select(F.col(id_col).alias("id"), hashed.alias("text_hash"), signature(F.col(text_col), shingle).alias("s")), "signatures")
-    named = materialize(rows.groupBy(F.col("text_hash").alias("node")).agg(F.first("s").alias("s")), "prints")
+    named = materialize(rows.groupBy(F.col("text_hash").alias("node")).agg(F.first("s").alias("s"), F.min("id").alias("id")), "prints")
     links = near_links(named.select(F.col("s")[0].alias("fp"), "node", F.slice("s", 2, 2).alias("check")), "fp", distance, blocks, "node", "check", check_distance)
     keys = named.select("node", F.posexplode(F.slice("s", 4, 1 << 20)).alias("band", "key"))
     shared = keys.select("node", F.min("node").over(Window.partitionBy("band", "key")).alias("a")).where("a != node")
     comps = materialize(connected_components(links.unionByName(shared.select("a", F.col("node").alias("b"))), "a", "b"), "components")
-    texts = docs.select(hashed.alias("node"), F.col(text_col).alias("text")).join(comps, "node").select("root", "node", "text")
+    stands = materialize(comps.join(named.select("node", "id"), "node").select("node", "root", F.xxhash64("node", "id").alias("key")), "stands")
+    first = docs.select(hashed.alias("node"), F.xxhash64(hashed, F.col(id_col)).alias("key"), F.col(text_col).alias("text"))
+    texts = may_be_among(first, F.col("key"), stands, "key", "maybe").where("maybe").select("node", "key", "text").join(stands, ["key", "node"]).select("root", "node", "text")
     labels = materialize(texts.repartition("root").sortWithinPartitions("root", "node").mapInArrow(_verify(shingle, similarity), "node long, component long"), "labels")
     return rows.select("id", "text_hash").join(labels, F.col("text_hash") == F.col("node"), "left").select(F.col("id").alias(id_col), "text_hash", F.coalesce("component", "text_hash").alias("component"))
 
@@ -304,15 +309,23 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs without near copies: of each group of similar_documents() the row of least id stays (nulls last), whole.
 
-    Rows equal in id and text are copies of each other and one stays. All columns are kept.
+    Ties of ids go to the text of least hash. Rows equal in id and text are copies of each other and one stays.
+    Null and empty texts are one group. All columns are kept, whatever their names; an empty table stays empty.
+    Rows that surely stay are passed on as they are; only those that may go are shuffled.
     """
+    since = written()
     groups = similar_documents(docs, id_col, text_col, **how).withColumnRenamed(id_col, "id")
-    first = groups.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "text_hash")).alias("f")).select("f.id", "f.text_hash")
-    count = groups.groupBy("id", "text_hash").agg(F.count("*").alias("n"))
-    keep = materialize(first.join(count, first["id"].eqNullSafe(count["id"]) & (first["text_hash"] == count["text_hash"])).select(first["id"].alias("__id"), first["text_hash"].alias("__h"), F.col("n").alias("__n")), "kept")
+    first = groups.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "text_hash")).alias("f"))
+    each = groups.groupBy("id", "text_hash", "component").agg(F.count("*").alias("n")).join(first, "component")
+    stays = F.col("id").eqNullSafe(F.col("f.id")) & (F.col("text_hash") == F.col("f.text_hash"))
+    acted = each.select(F.col("id").alias("__id"), F.col("text_hash").alias("__h"), F.xxhash64("text_hash", "id").alias("__key"), stays.alias("__stays"), F.col("n").alias("__n"))
+    acted = materialize(acted.where("not __stays or __n > 1"), "acted")
+    release(docs.sparkSession, since, (acted,))
     h = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    out = docs.join(keep, docs[id_col].eqNullSafe(keep["__id"]) & (h == keep["__h"]))
-    single = out.where("__n = 1").select(*docs.columns)
-    if keep.where("__n > 1").isEmpty():
-        return single
-    return single.unionByName(out.where("__n > 1").dropDuplicates(["__id", "__h"]).select(*docs.columns))
+    key = F.xxhash64(h, F.col(id_col))
+    marked = may_be_among(docs, key, acted, "__key", "__maybe")
+    found = marked.where("__maybe").join(acted, (key == acted["__key"]) & marked[id_col].eqNullSafe(acted["__id"]) & (h == acted["__h"]), "left")
+    out = marked.where("not __maybe").select(*docs.columns).unionByName(found.where("__stays is null").select(*docs.columns))
+    if acted.where("__stays").isEmpty():
+        return out
+    return out.unionByName(found.where("__stays").dropDuplicates(["__key", "__id", "__h"]).select(*docs.columns))

@@ -1,14 +1,15 @@
 """Each stage on its predecessor's rows, held against plain code."""
 
-import pytest
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import compression, decontam, mixing, pii
 from tessera.llm.common import materialize
 
-from .test_simhash import jaccard
+from .test_simhash import shingle_set
 
 
 @pytest.fixture(scope="module")
@@ -38,20 +39,35 @@ def test_quality(spark, kept):
     m = compression.train(docs.where(~corpus_pipeline.held_out("doc_id", 5, 0)), spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
     zs = compression.compressors(m.good, m.bad, m.level)
     for _, x in kept[0].head(200).iterrows():
-        z = sum(a * b for a, b in zip(compression.features(x.text.encode(), zs), m.weights, strict=True))
+        z = m.weights[0] + m.weights[1] * compression.difference(x.text.encode(), zs)
         assert (z >= -0.8472978603872034) == (x.doc_id in set(kept[1].doc_id))  # log(0.3 / 0.7)
 
 
 def test_near_copies(kept):
-    before, after = kept[1], set(kept[2].doc_id)
-    text = before.set_index("doc_id").text
-    gone = [i for i in before.doc_id if i not in after]
-    first = {}
-    for i in sorted(before.doc_id):
-        first.setdefault(text[i], i)
-    assert {i for i in before.doc_id if first[text[i]] != i} <= set(gone)  # exact copies
-    for i in gone:
-        assert max(jaccard(text[i], text[j]) for j in before.doc_id if j != i) > 0.5
+    """All pairs of 0.8 or more by brute force: of each group they make, the least id stays, and nothing else goes."""
+    text = kept[1].set_index("doc_id").text
+    holders, sets = {}, {}
+    for i in text.index:
+        sets[i] = shingle_set(text[i])
+        for g in sets[i]:
+            holders.setdefault(g, []).append(i)
+    root = {i: i for i in text.index}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in text.index:
+        both = Counter(j for g in sets[i] for j in holders[g] if j < i)
+        for j, n in both.items():
+            if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n) - 1e-9:
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    groups = Counter(map(top, text.index))
+    assert sum(n > 1 for n in groups.values()) > 10
+    want, got = set(groups), set(kept[2].doc_id)
+    assert len(got - want) <= 0.01 * (len(text) - len(want)) and not want - got, (len(got - want), len(want - got))
 
 
 def test_decontaminate(spark, kept):

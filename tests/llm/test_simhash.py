@@ -6,7 +6,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm import components, simhash
+from tessera.llm import components, queries, simhash
 
 SCHEMA = "doc_id long, text string, lang string, fp long, component_id string"
 
@@ -108,6 +108,21 @@ def test_dense_bucket_is_dealt_again(spark):
     assert sorted(map(sorted, got.values())) == want
 
 
+def test_query(spark, sf_dir):
+    """op1_simhash as it is registered, against all pairs of fingerprints."""
+    got = queries.op1_simhash(spark, sf_dir).toPandas().set_index("doc_id")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").toPandas().set_index("doc_id").text
+    fp = {i: simhash.simhash((docs[i] or "").encode()) for i in docs.index}
+    assert {i: f"{x:016x}" for i, x in fp.items()} == got.fingerprint.to_dict()
+    label = {i: i for i in fp}
+    for i in sorted(fp):
+        for j in sorted(fp):
+            if j < i and (fp[i] ^ fp[j]).bit_count() <= 3 and label[i] != label[j]:
+                a, b = sorted((label[i], label[j]))
+                label = {k: a if v == b else v for k, v in label.items()}
+    assert label == got.component_id.to_dict()
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
@@ -129,8 +144,12 @@ def test_components_of_random_links(spark, seed):
     assert got == set(label.items())
 
 
+def shingle_set(t, k=5):
+    return set(simhash.shingles((t or "").encode().lower().split(), k))
+
+
 def jaccard(a, b, k=5):
-    s, t = (set(simhash.shingles((x or "").encode().lower().split(), k)) for x in (a, b))
+    s, t = shingle_set(a, k), shingle_set(b, k)
     return len(s & t) / max(1, len(s | t))
 
 
