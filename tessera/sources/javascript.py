@@ -52,6 +52,9 @@ def scan(code: str, base: int = 0) -> list[Tok]:
                 elif code.startswith("${", j):
                     k, depth = j + 2, 1
                     while k < n and depth:
+                        if code[k] in "'\"":  # braces in strings do not count
+                            k = TOKEN.match(code, k).end()
+                            continue
                         depth += {"{": 1, "}": -1}.get(code[k], 0)
                         k += 1
                     parts.append((j + 2, k - 1))
@@ -105,6 +108,7 @@ class Source:
                 self.pair[i] = stack.pop()
         self.unmatched = len(stack)
         self.fns = self._functions()
+        self.by_head = sorted((f.head, k) for k, f in enumerate(self.fns))
         self._nest()
         self._bindings()
 
@@ -234,6 +238,20 @@ class Source:
                 stack.append(k)
             self.inside[i] = stack[-1] if stack else -1
 
+    def heads_in(self, a: int, b: int) -> list[Fn]:
+        """Functions that begin after token a and up to b, outer ones first."""
+        i, j = bisect.bisect_right(self.by_head, (a, 1 << 60)), bisect.bisect_right(self.by_head, (b, 1 << 60))
+        return [self.fns[k] for k in sorted(k for _, k in self.by_head[i:j])]
+
+    def commas(self, a: int, b: int) -> list[int]:
+        """Commas between tokens a and b that no bracket in between encloses."""
+        out = []
+        while a < b:
+            if self.text(a) == ",":
+                out.append(a)
+            a = self.pair[a] + 1 if self.toks[a].kind == "op" and self.text(a) in ("(", "[", "{") and a in self.pair else a + 1
+        return out
+
     def fn_name(self, i: int) -> str:
         k = self.inside[i]
         while k >= 0 and self.fns[k].name == ANONYMOUS and self.fns[k].parent >= 0:
@@ -271,6 +289,7 @@ class Source:
                     j = end + 2
 
     module_kinds: dict[str, str]
+    module_words: set[int]  # tokens of import declarations
 
     # Calls and accesses
 
@@ -323,7 +342,7 @@ def _unquote(s: str) -> str:
 def extract(code: str) -> list[tuple[str, dict]]:
     """(fact, fields) rows of one source."""
     s = Source.__new__(Source)
-    s.module_kinds = {}
+    s.module_kinds, s.module_words = {}, set()
     s.__init__(code)
     out: list[tuple[str, dict]] = []
     add = lambda fact, **f: out.append((fact, f))
@@ -344,13 +363,14 @@ def extract(code: str) -> list[tuple[str, dict]]:
     _modules(s, add)
     reads: set[tuple] = set()
     heads = {f.head for f in s.fns}
+    named = heads | {i for f in s.fns for i in range(f.head, f.start) if s.text(i) in f.params} | s.module_words
     for i, t in enumerate(s.toks):
         if t.kind == "op" and t.text in ASSIGN and i:
             j = i - 1
             if s.text(j) in ("]", "}") and j in s.pair and s.text(s.pair[j]) in ("[", "{") and not s.is_id(s.pair[j] - 1) and j not in s.declared and t.text == "=" and s.text(s.pair[j] - 1) in (";", "(", "{", "}", ""):
                 for name in s._names_in(s.pair[j] + 1, j):
                     add("access", var=name, kind="write", fn=s.fn_name(i), line=s.line(j), write_type="reassigned", conditional=s.conditional(i), computed=False)
-            elif s.text(j) == "]" and j in s.pair and s.is_id(s.pair[j] - 1):
+            elif s.text(j) == "]" and j in s.pair and s.is_id(s.pair[j] - 1) and s.text(s.pair[j] - 1) not in KEYWORDS:
                 _, name = s.chain(s.pair[j] - 1)
                 add("access", var=f"{name}[]", kind="write", fn=s.fn_name(i), line=s.line(i), write_type="written", conditional=s.conditional(i), computed=True)
             elif s.is_id(j) and s.text(j) not in KEYWORDS and not (s.text(j - 1) in ("{", ",") and s.inside[i] >= 0 and i < s.fns[s.inside[i]].start):
@@ -363,7 +383,7 @@ def extract(code: str) -> list[tuple[str, dict]]:
                 while s.text(j + 1) in (".", "?.") and s.is_id(j + 2):
                     j += 2
                 add("access", var=s.chain(j)[1], kind="write", fn=s.fn_name(i), line=s.line(j), write_type="reassigned", conditional=s.conditional(i), computed=False)
-        elif t.kind == "id" and t.text not in KEYWORDS and t.text not in GLOBALS and s.text(i - 1) not in (".", "?.", "function", "class", "let", "const", "var") and i not in s.declared:
+        elif t.kind == "id" and t.text not in KEYWORDS and t.text not in GLOBALS and s.text(i - 1) not in (".", "?.", "function", "class", "let", "const", "var") and i not in s.declared and i not in named:
             key_like = s.text(i + 1) == ":" and s.text(i - 1) in ("{", ",")
             if not key_like and not (s.text(i + 1) in ASSIGN and s.text(i + 1) == "="):
                 r = (t.text, s.fn_name(i), s.line(i))
@@ -396,9 +416,9 @@ def _call(s: Source, i: int, add) -> None:
     arg = s.text(first) if s.is_id(first) and s.text(first + 1) in (",", ")") else None
     if callee in TIMING:
         event = _unquote(s.text(first)) if callee.endswith("EventListener") and first < len(s.toks) and s.toks[first].kind == "str" else None
-        comma = next((j for j in range(first, close) if s.text(j) == "," and s.inside[j] == s.inside[i]), None)
+        comma = next(iter(s.commas(first, close)), None)
         handler = s.text(comma + 1) if event is not None and comma and s.is_id(comma + 1) else arg
-        inner = next((f.name for f in s.fns if i < f.head <= close), None)
+        inner = next((f.name for f in s.heads_in(i, close)), None)
         add("timing", api=f'{callee}("{event}")' if event is not None else callee, callback=handler if handler and handler not in KEYWORDS else inner, line=line, fn=fn, is_awaited=awaited)
         if event is not None:
             opts = s.toks[comma + 2 : close] if comma else []
@@ -406,7 +426,7 @@ def _call(s: Source, i: int, add) -> None:
             flag = lambda w: next((words[k + 2] == "true" for k in range(len(words) - 2) if words[k] == w and words[k + 1] == ":"), None)
             bare = words[1] == "true" if len(words) >= 2 and words[0] == "," and words[1] in ("true", "false") else None
             add("listener", added=callee.startswith("add"), event=event, handler=handler or ANONYMOUS, line=line, capture=flag("capture") if bare is None else bare, passive=flag("passive"), has_options=bool(words))
-    inner = [f for f in s.fns if i < f.head <= close and f.parent == s.inside[i]]
+    inner = [f for f in s.heads_in(i, close) if f.parent == s.inside[i]]
     if inner:
         add("callback", method=callee, is_async=inner[0].is_async, fn=fn, line=line)
         if callee == "forEach" and receiver:
@@ -415,7 +435,7 @@ def _call(s: Source, i: int, add) -> None:
     elif callee == "forEach" and receiver and arg:
         add("loop", line=line, collection=receiver, callback=arg)
     if re.fullmatch(r"use[A-Z]\w*", callee):
-        commas = [j for j in range(first, close) if s.text(j) == "," and not any(a < j < s.pair[a] for a in range(first, j) if s.text(a) in ("(", "[", "{") and a in s.pair)]
+        commas = s.commas(first, close)
         deps = None
         if commas and s.text(commas[0] + 1) == "[":
             deps = [t.text for t in s.toks[commas[0] + 2 : s.pair.get(commas[0] + 1, commas[0] + 2)] if t.kind == "id"]
@@ -434,6 +454,7 @@ def _modules(s: Source, add) -> None:
             while j < len(s.toks) and s.toks[j].kind != "str" and s.text(j) != ";":
                 j += 1
             source = _unquote(s.text(j))
+            s.module_words.update(range(i, j))
             add("import_source", source=source)
             words = [x.text for x in s.toks[i + 1 : j]]
             if "{" in words:
