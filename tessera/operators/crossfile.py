@@ -15,9 +15,9 @@ from tessera.operators.graph import first_by
 # Extensions and index files that an import may leave out, in order.
 SUFFIXES = ("", ".js", ".ts", ".jsx", ".tsx", ".mjs", ".cjs", "/index.js", "/index.ts", "/index.jsx", "/index.tsx")
 # Stems so common that a file is not looked for by them.
-AMBIGUOUS_STEMS = "index types utils helpers constants common shared base config main core hooks styles theme api model models service services".split()
+AMBIGUOUS_STEMS = ["index", "types", "utils", "helpers", "constants", "common", "shared", "base", "config", "main", "core", "hooks", "styles", "theme", "api", "model", "models", "service", "services"]
 # Names of calls that give promises.
-ASYNC_CALLS = "fetch axios got request then catch finally readFile writeFile readdir connect query findOne save create send post put patch".split()
+ASYNC_CALLS = ["fetch", "axios", "got", "request", "then", "catch", "finally", "readFile", "writeFile", "readdir", "connect", "query", "findOne", "save", "create", "send", "post", "put", "patch"]
 
 
 def folded(path: Column) -> Column:

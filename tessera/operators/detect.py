@@ -11,14 +11,14 @@ from tessera.operators.crossfile import ASYNC_CALLS
 from tessera.operators.graph import first_by
 
 # Methods that change an array, map or set in place.
-STATE_MUTATORS = "push pop shift unshift splice sort reverse fill copyWithin delete set add clear".split()
+STATE_MUTATORS = ["push", "pop", "shift", "unshift", "splice", "sort", "reverse", "fill", "copyWithin", "delete", "set", "add", "clear"]
 # Of these, those that change what a running forEach visits.
-LOOP_MUTATORS = "delete add set clear push pop shift unshift splice".split()
+LOOP_MUTATORS = ["delete", "add", "set", "clear", "push", "pop", "shift", "unshift", "splice"]
 # Iterators that drop the promises of their callbacks, and receivers that are never asynchronous.
-VOID_ITERATORS = "forEach find findIndex some every filter reduce".split()
-SYNC_RECEIVERS = "Object Array Math JSON Promise Symbol Number String Boolean".split()
+VOID_ITERATORS = ["forEach", "find", "findIndex", "some", "every", "filter", "reduce"]
+SYNC_RECEIVERS = ["Object", "Array", "Math", "JSON", "Promise", "Symbol", "Number", "String", "Boolean"]
 # Variable names that say nothing across functions.
-NOISE_NAMES = "i j k n m x y _ a b c d f g h p q r s t v w z err error e res result temp tmp key val value item el elem node cb fn idx len count index event evt ctx resolve reject".split()
+NOISE_NAMES = ["i", "j", "k", "n", "m", "x", "y", "_", "a", "b", "c", "d", "f", "g", "h", "p", "q", "r", "s", "t", "v", "w", "z", "err", "error", "e", "res", "result", "temp", "tmp", "key", "val", "value", "item", "el", "elem", "node", "cb", "fn", "idx", "len", "count", "index", "event", "evt", "ctx", "resolve", "reject"]
 # Names of predicates.
 PREDICATE = r"^(is[A-Z_]|can[A-Z_]|has[A-Z_]|should[A-Z_]|meets?[A-Z_]?$|meets[A-Z_]|passes?[A-Z_]?$|passes[A-Z_]|eligible[A-Z_]?$|ready[A-Z_]?$|allows?[A-Z_]?$|allows[A-Z_]|permits?[A-Z_]?$|permits[A-Z_]|qualifies?[A-Z_]?$)"
 PREDICATE_SNAKE = r"^(is_|can_|has_|should_|meets_|passes_|eligible_|allows_|permits_|qualifies_)"
@@ -165,11 +165,18 @@ def user_async_floats(unawaited: DataFrame, async_functions: DataFrame, known: D
     return unawaited.join(async_functions.select(F.col("name").alias("api")), "api", "left_semi").join(known.select("file", "line", "api"), ["file", "line", "api"], "left_anti")
 
 
-def cross_function_filter(accesses: DataFrame, keys: tuple[str, ...] = ("file", "var"), forced: DataFrame | None = None, noise: list[str] | None = None) -> DataFrame:
-    """(keys, writers, readers): variables that some function reads and another writes. Forced ones (keys) always stay, noise names go."""
-    of = lambda k: F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("fn"))))
-    g = accesses.groupBy(*keys).agg(of("write").alias("writers"), of("read").alias("readers"))
-    ok = (F.size("writers") > 0) & (F.size(F.array_except("readers", "writers")) > 0)
+def cross_function_filter(accesses: DataFrame, keys: tuple[str, ...] = ("file", "var"), forced: DataFrame | None = None, noise: list[str] | None = None, names: bool = False) -> DataFrame:
+    """(keys, n_writers, n_readers, n_only_read): variables that some function reads and another writes. Forced ones (keys) always stay, noise names go.
+
+    Functions are counted; with `names` the sorted arrays writers and readers are added, for code, where they are short.
+    """
+    each = accesses.groupBy(*keys, "fn").agg(F.bool_or(F.col("kind") == "write").alias("w"), F.bool_or(F.col("kind") == "read").alias("r"))
+    of = lambda k: F.array_sort(F.collect_list(F.when(F.col(k), F.col("fn"))))
+    g = each.groupBy(*keys).agg(
+        F.count_if("w").alias("n_writers"), F.count_if("r").alias("n_readers"), F.count_if(F.col("r") & ~F.col("w")).alias("n_only_read"),
+        *[of(k).alias(n) for k, n in (("w", "writers"), ("r", "readers")) if names],
+    )
+    ok = (F.col("n_writers") > 0) & (F.col("n_only_read") > 0)
     if noise is None or noise:
         ok = ok & ~F.col(keys[-1]).isin(*(noise or NOISE_NAMES))
     if forced is None:

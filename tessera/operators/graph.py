@@ -15,15 +15,15 @@ from tessera.functions.text import basename, content_hash, contains_any, languag
 STORED_WEIGHT = {"contains": 1.0, "imports": 0.7, "calls": 0.8}
 # Layers in the order in which they are tried, with what their paths contain.
 LAYERS = [
-    ("API Layer", ["route", "controller", "handler", "endpoint", "api"], "HTTP endpoints, route handlers, and API controllers"),
-    ("Service Layer", ["service", "usecase", "use-case", "business"], "Business logic and application services"),
-    ("Data Layer", ["model", "entity", "schema", "database", "db", "migration", "repository", "repo"], "Data models, database access, and persistence"),
-    ("UI Layer", ["component", "view", "page", "screen", "layout", "widget", "ui"], "User interface components and views"),
-    ("Middleware Layer", ["middleware", "interceptor", "guard", "filter", "pipe"], "Request/response middleware and interceptors"),
-    ("Utility Layer", ["util", "helper", "lib", "common", "shared"], "Shared utilities, helpers, and common libraries"),
-    ("Test Layer", ["test", "spec"], "Test files and test utilities"),
-    ("Configuration Layer", ["config", "setting", "env"], "Application configuration and environment settings"),
-    ("Core Layer", ["core", "engine", "pipeline"], "Core engine logic and pipeline orchestration"),
+    ("API Layer", ["route", "controller", "handler", "endpoint", "api"], "What answers requests from outside"),
+    ("Service Layer", ["service", "usecase", "use-case", "business"], "What the application does for its users"),
+    ("Data Layer", ["model", "entity", "schema", "database", "db", "migration", "repository", "repo"], "What is stored, and how it is reached"),
+    ("UI Layer", ["component", "view", "page", "screen", "layout", "widget", "ui"], "What people see and touch"),
+    ("Middleware Layer", ["middleware", "interceptor", "guard", "filter", "pipe"], "What stands between a request and its answer"),
+    ("Utility Layer", ["util", "helper", "lib", "common", "shared"], "Small tools that other files share"),
+    ("Test Layer", ["test", "spec"], "What holds the code to its promises"),
+    ("Configuration Layer", ["config", "setting", "env"], "What can be set from outside the code"),
+    ("Core Layer", ["core", "engine", "pipeline"], "The engine, and the order of its steps"),
 ]
 
 
@@ -125,7 +125,7 @@ def _exists_any(parts: Column, words: list[str]) -> Column:
 
 def detect_layers(nodes: DataFrame) -> DataFrame:
     """(layer_id, name, description, node_ids) of file nodes."""
-    said = F.coalesce(*[F.when(F.col("name") == n, d) for n, _, d in LAYERS], F.lit("Core application files"))
+    said = F.coalesce(*[F.when(F.col("name") == n, d) for n, _, d in LAYERS], F.lit("All other files"))
     files = nodes.where("type = 'file'").select("id", layer_name(F.col("file_path")).alias("name"))
     g = files.groupBy("name").agg(F.array_sort(F.collect_list("id")).alias("node_ids"))
     return g.select(F.concat(F.lit("layer:"), F.regexp_replace(F.lower("name"), r"\s+", "-")).alias("layer_id"), "name", said.alias("description"), "node_ids")

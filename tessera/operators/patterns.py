@@ -10,32 +10,37 @@ from tessera.operators.graph import first_by
 
 # The patterns a new store holds (id, events, type, severity, CWE, weight).
 STARTERS = [
-    ("race_condition_write_await_read", "write_shared await_boundary read_shared", "race_condition", "critical", "CWE-362", 0.95),
-    ("global_write_race", "global_write await_expression", "race_condition", "critical", "CWE-362", 0.90),
-    ("foreach_collection_mutation", "forEach_loop collection_mutate", "foreach_mutation", "high", "CWE-362", 0.90),
-    ("stale_closure_async_delay", "closure_capture async_delay stale_var_access", "stale_closure", "high", "CWE-416", 0.85),
-    ("orphan_listener", "addEventListener no_removeEventListener", "orphan_listener", "high", "CWE-401", 0.88),
-    ("ghost_reference_constructor", "constructor_capture module_reassign", "ghost_reference", "medium", "CWE-476", 0.80),
-    ("react_direct_state_mutation", "state_property_write no_setState", "direct_state_mutation", "high", "CWE-362", 0.88),
-    ("zustand_array_mutation", "state_array_push zustand_store", "direct_state_mutation", "high", "CWE-362", 0.90),
-    ("floating_promise", "async_call no_await expression_statement", "floating_promise", "medium", "CWE-362", 0.75),
-    ("cross_file_mutation", "exported_var mutation_in_importer", "cross_file_mutation", "high", "CWE-362", 0.85),
-    ("interval_without_clear", "setInterval no_clearInterval", "orphan_listener", "high", "CWE-401", 0.85),
-    ("numeric_string_strict_compare", "string_input strict_numeric_comparison", "type_confusion", "high", "CWE-704", 0.87),
-    ("unvalidated_user_input", "req_query_access no_type_check downstream_numeric", "trusted_input", "high", "CWE-20", 0.88),
-    ("use_effect_no_cleanup", "useEffect_call addEventListener_inside no_return_cleanup", "orphan_listener", "high", "CWE-401", 0.82),
-    ("conditional_state_mutation", "conditional_write shared_state", "race_condition", "medium", "CWE-362", 0.70),
-    ("non_reactive_read_after_write", "state_write immediate_state_read async_context", "race_condition", "medium", "CWE-362", 0.72),
-    ("promise_all_no_catch", "promise_all_call no_catch_handler", "floating_promise", "medium", "CWE-390", 0.72),
-    ("dynamic_require_in_loop", "loop_body require_call", "performance", "low", "CWE-400", 0.60),
-    ("missing_async_return", "async_function conditional_branch missing_return", "floating_promise", "medium", "CWE-252", 0.68),
-    ("mutable_default_argument", "function_param_default mutable_object_literal param_mutation", "stale_closure", "medium", "CWE-375", 0.65),
+    ("race_condition_write_await_read", ["write_shared", "await_boundary", "read_shared"], "race_condition", "critical", "CWE-362", 0.95),
+    ("global_write_race", ["global_write", "await_expression"], "race_condition", "critical", "CWE-362", 0.90),
+    ("foreach_collection_mutation", ["forEach_loop", "collection_mutate"], "foreach_mutation", "high", "CWE-362", 0.90),
+    ("stale_closure_async_delay", ["closure_capture", "async_delay", "stale_var_access"], "stale_closure", "high", "CWE-416", 0.85),
+    ("orphan_listener", ["addEventListener", "no_removeEventListener"], "orphan_listener", "high", "CWE-401", 0.88),
+    ("ghost_reference_constructor", ["constructor_capture", "module_reassign"], "ghost_reference", "medium", "CWE-476", 0.80),
+    ("react_direct_state_mutation", ["state_property_write", "no_setState"], "direct_state_mutation", "high", "CWE-362", 0.88),
+    ("zustand_array_mutation", ["state_array_push", "zustand_store"], "direct_state_mutation", "high", "CWE-362", 0.90),
+    ("floating_promise", ["async_call", "no_await", "expression_statement"], "floating_promise", "medium", "CWE-362", 0.75),
+    ("cross_file_mutation", ["exported_var", "mutation_in_importer"], "cross_file_mutation", "high", "CWE-362", 0.85),
+    ("interval_without_clear", ["setInterval", "no_clearInterval"], "orphan_listener", "high", "CWE-401", 0.85),
+    ("numeric_string_strict_compare", ["string_input", "strict_numeric_comparison"], "type_confusion", "high", "CWE-704", 0.87),
+    ("unvalidated_user_input", ["req_query_access", "no_type_check", "downstream_numeric"], "trusted_input", "high", "CWE-20", 0.88),
+    ("use_effect_no_cleanup", ["useEffect_call", "addEventListener_inside", "no_return_cleanup"], "orphan_listener", "high", "CWE-401", 0.82),
+    ("conditional_state_mutation", ["conditional_write", "shared_state"], "race_condition", "medium", "CWE-362", 0.70),
+    ("non_reactive_read_after_write", ["state_write", "immediate_state_read", "async_context"], "race_condition", "medium", "CWE-362", 0.72),
+    ("promise_all_no_catch", ["promise_all_call", "no_catch_handler"], "floating_promise", "medium", "CWE-390", 0.72),
+    ("dynamic_require_in_loop", ["loop_body", "require_call"], "performance", "low", "CWE-400", 0.60),
+    ("missing_async_return", ["async_function", "conditional_branch", "missing_return"], "floating_promise", "medium", "CWE-252", 0.68),
+    ("mutable_default_argument", ["function_param_default", "mutable_object_literal", "param_mutation"], "stale_closure", "medium", "CWE-375", 0.65),
 ]
 SCHEMA = "id string, hash string, signature array<string>, bug_type string, description string, severity string, cwe string, weight double, hit_count int"
 
 
+def descriptions() -> list[str]:
+    """What each starter is about, in the words of its id and events: symptoms are held against these words."""
+    return [f"{i.replace('_', ' ')}: {' '.join(s).replace('_', ' ')}" for i, s, *_ in STARTERS]
+
+
 def starters(spark: SparkSession) -> DataFrame:
-    rows = [(i, fnv_signature(s.split()), s.split(), t, i.replace("_", " "), sev, cwe, w, 0) for i, s, t, sev, cwe, w in STARTERS]
+    rows = [(i, fnv_signature(s), s, t, said, sev, cwe, w, 0) for (i, s, t, sev, cwe, w), said in zip(STARTERS, descriptions(), strict=True)]
     return spark.createDataFrame(rows, SCHEMA)
 
 

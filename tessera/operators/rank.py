@@ -111,9 +111,15 @@ def route(nodes: DataFrame, edges: DataFrame, symptom: str, max_files: int = 12,
     Hits of the whole text (20, from 0.1) and of each token (5, from 0.25) are seeds; a file scores its best
     node after expansion, and a file with a hit 1.5 and the hit's score at least. No hits give no files.
     """
-    hits = search(nodes, symptom, 20, 0.1).select("id", "score", F.lit(0).alias("pass"), "ord")
-    for i, t in enumerate(search_tokens(symptom)):
-        hits = hits.unionByName(search(nodes, t, 5, 0.25).select("id", "score", F.lit(i + 1).alias("pass"), "ord"))
+    # one scan of the nodes scores all passes; what scores in none goes
+    passes = [(symptom, 20, 0.1), *((t, 5, 0.25) for t in search_tokens(symptom))]
+    fields = [F.col(c) for c in ("name", "tags", "summary", "file_path")]
+    scored = nodes.select("id", "ord", *[keyword_score(search_tokens(q), *fields).alias(f"s{i}") for i, (q, _, _) in enumerate(passes)])
+    scored = materialize(scored.where(F.greatest(*[F.col(f"s{i}") for i in range(len(passes))], F.lit(0.0)) > 0))
+    hits = None
+    for i, (_, most, least) in enumerate(passes):
+        top = scored.select("id", F.col(f"s{i}").alias("score"), F.lit(i).alias("pass"), "ord").where(F.col("score") >= least).orderBy(F.desc("score"), "ord").limit(most)
+        hits = top if hits is None else hits.unionByName(top)
     hits = hits.groupBy("id").agg(F.min(F.struct("pass", -F.col("score"), "ord", "score")).alias("h")).select("id", "h.score", "h.pass", "h.ord")
     rows = hits.orderBy("pass", F.desc("score"), "ord").collect()  # 20 + 5 a token at most
     seeds = _local(rows, edges).withColumnRenamed("rank", "ord")
@@ -156,7 +162,7 @@ def node_boosts(nodes: DataFrame, matches: DataFrame, top: int = 5) -> DataFrame
     m = matches.orderBy(F.desc("confidence"), "id").limit(top).select(F.filter(F.split(F.lower("bug_type"), "_"), lambda w: F.length(w) > 3).alias("ws"), "confidence")
     m = m.agg(F.collect_list(F.struct("ws", "confidence")).alias("ms"))  # one row of `top` structs
     hits = F.transform(F.filter("ms", lambda x: F.exists(x["ws"], lambda w: F.contains(F.lower("name"), w))), lambda x: x["confidence"] * 0.5)
-    return nodes.join(F.broadcast(m)).select("id", F.array_max(hits).alias("score")).where("score is not null")
+    return nodes.crossJoin(F.broadcast(m)).select("id", F.array_max(hits).alias("score")).where("score is not null")
 
 
 def frontier(files: DataFrame, imports: DataFrame, calls: DataFrame, symptom: str, chains: DataFrame | None = None, max_files: int = 15, depth: int = 3) -> DataFrame:

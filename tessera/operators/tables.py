@@ -9,17 +9,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir; where it is unset, as in tests, a new local one."""
+    """The folder that all executors see: spark.checkpoint.dir. Where it is unset a new local one, which only a local master may use."""
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not d:
+        if not (sc.master or "local").startswith("local") or "cluster" in sc.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
         d = sc.getCheckpointDir()
     return d
 
 
+_SCRATCH: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the tables written so far. Call it when no result that reads them is still wanted."""
+    while _SCRATCH:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read again."""
     path = f"{shared_dir(df.sparkSession)}/tessera-table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _SCRATCH.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -53,28 +53,27 @@ def literal_candidates(text: Column) -> Column:
 def literal_exists(claims: DataFrame, files: DataFrame, claim_id: str = "claim_id", text: str = "text", path: str = "path", content: str = "content") -> DataFrame:
     """(claim_id, path): files in which a literal of the claim stands, both with normalized quotes and blanks.
 
-    A literal's longest inner word is a word of any text that holds it, so files and literals meet on that word
-    and are compared then. Literals of two words or fewer are compared as they are with the files that hold
-    a word which contains their longest part: their number is checked before they are broadcast.
+    A literal's inner words are words of any text that holds it, so files and literals meet on the one that the fewest
+    files have, and are compared then. The longest part of a literal of two words or fewer lies within one word: it
+    meets the words by its first characters, five at most, and those words' files are compared.
     """
     lits = claims.select(F.col(claim_id).alias("claim_id"), F.explode(literal_candidates(F.col(text))).alias("lit")).distinct()
     parts = F.split("lit", " ")
-    inner = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    lits = lits.withColumn("key", F.when(F.size(parts) > 2, longest))
     docs = files.select(F.col(path).alias("path"), normalized(F.col(content)).alias("content"))
     words = docs.select("path", F.explode(F.array_distinct(F.split("content", " "))).alias("key"))
-    pairs = words.join(lits.where("key is not null"), "key").select("path", "claim_id", "lit")
-    hits = pairs.join(docs, "path").where(F.contains("content", F.col("lit"))).select("claim_id", "path")
-    short = lits.where("key is null").select("claim_id", "lit")
-    n = short.count()
-    if n:
-        near = short.withColumn("probe", F.array_max(F.transform(F.split("lit", " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
-        vocabulary = words.select("key").distinct()
-        match = F.contains(vocabulary["key"], near["probe"])
-        met = (vocabulary.join(F.broadcast(near), match) if n <= 10_000 else vocabulary.join(near, match)).select("key", "claim_id", "lit")
-        hits = hits.unionByName(words.join(met, "key").select("path", "claim_id", "lit").distinct().join(docs, "path").where(F.contains("content", F.col("lit"))).select("claim_id", "path"))
-    return hits.distinct()
+    inner = lits.where(F.size(parts) > 2).select("claim_id", "lit", F.explode(F.array_distinct(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))))).alias("key"))
+    met = words.join(inner.select("key").distinct(), "key", "left_semi")
+    rare = inner.join(met.groupBy("key").agg(F.count("*").alias("n")), "key", "left").groupBy("claim_id", "lit").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("r"))
+    pairs = met.join(rare.where("r.n > 0").select("claim_id", "lit", F.col("r.key").alias("key")), "key").select("path", "claim_id", "lit")
+    longest = F.array_max(F.transform(parts, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    short = lits.where(F.size(parts) <= 2).select("claim_id", "lit", longest.alias("probe")).withColumn("gram", F.left("probe", F.lit(5)))
+    sizes = [r[0] for r in short.select(F.length("gram")).distinct().collect()]  # numbers from 1 to 5
+    if sizes:
+        pieces = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("key") - n + 1, F.lit(1))), lambda i: F.substring(F.col("key"), i, F.lit(n)))
+        cuts = F.array_distinct(F.flatten(F.array(*[F.when(F.length("key") >= n, pieces(n)).otherwise(lit_array([])) for n in sizes])))
+        near = words.select("key").distinct().select("key", F.explode(cuts).alias("gram")).join(short, "gram").where(F.contains("key", F.col("probe"))).select("key", "claim_id", "lit").distinct()
+        pairs = pairs.unionByName(words.join(near, "key").select("path", "claim_id", "lit").distinct())
+    return pairs.join(docs, "path").where(F.contains("content", F.col("lit"))).select("claim_id", "path").distinct()
 
 
 def fill_down(rows: DataFrame, keys: list[str], order: list[str], value: Column, name: str = "filled") -> DataFrame:
@@ -231,8 +230,8 @@ def contradictions(symptoms: DataFrame, files: DataFrame, accesses: DataFrame, t
     accused only reads; lifecycle_context: a count grows with navigation and no file controls it.
     """
     listens = timing.where(F.col("api").startswith("addEventListener")).select(F.lower(F.regexp_extract("api", r'\("([^"]+)"\)', 1)).alias("event")).distinct()
-    events = listens.agg(F.array_sort(F.collect_set("event")).alias("events"))  # names of events: a short list
-    s = symptoms.select("symptom_id", "text", F.lower("text").alias("low")).crossJoin(F.broadcast(events))  # one row
+    events = listens.agg(F.array_sort(F.collect_set("event")).alias("events"))  # the names that an alert lists
+    s = symptoms.select("symptom_id", "text", F.lower("text").alias("low")).crossJoin(events)  # one row
     named = F.filter("events", lambda e: (e != "") & F.contains(F.col("low"), e))
     complains = contains_any(F.col("low"), EVENT_PHRASES) & (F.size("events") > 0)
     a = s.where(complains).select("symptom_id", F.when(F.size(named) > 0, "listener_gap").otherwise("listener_present").alias("alert"), F.array_join(F.when(F.size(named) > 0, named).otherwise(F.col("events")), ",").alias("subject"))

@@ -28,7 +28,7 @@ class Project:
 def load(files: DataFrame) -> Project:
     """Extracts the facts of all files once."""
     facts = materialize(extract.extract_facts(files))
-    known = files.select("path", F.xxhash64("path").alias("ord"))
+    known = files.select("path", F.col("path").alias("ord"))  # a project is read in the order of its paths
     imports = crossfile.resolve_paths(extract.table(facts, "import"), known)
     return Project(files, facts, materialize(imports.withColumnRenamed("target", "from_file")))
 
@@ -55,7 +55,7 @@ def build_map(project: Project) -> tuple[DataFrame, DataFrame, DataFrame]:
     none = F.array().cast("array<string>")
     meta = meta.withColumns({"fn_names": F.coalesce("fn_names", none), "sources": F.coalesce("sources", none), "n_async": F.coalesce("n_async", F.lit(0)), "degree": F.coalesce("degree", F.lit(0)), "n_lines": F.size(F.split("content", "\n"))})
     meta = extract.node_metadata(meta).select(F.col("path").alias("file_path"), F.lit("file").alias("type"), "tags", "complexity", "summary")
-    nodes = nodes.join(meta, ["file_path", "type"], "left").withColumns({"tags": F.coalesce("tags", none), "summary": F.coalesce("summary", F.lit("")), "ord": F.xxhash64("id")})
+    nodes = nodes.join(meta, ["file_path", "type"], "left").withColumns({"tags": F.coalesce("tags", none), "summary": F.coalesce("summary", F.lit("")), "ord": F.concat_ws("\x01", "file_path", "id")})
     return nodes, edges.withColumn("ord", F.concat_ws("\x01", "type", "source", "target")), graph.file_hashes(project.files)
 
 
@@ -134,7 +134,7 @@ def analyze(project: Project, symptom: str, store: DataFrame) -> dict[str, DataF
     return {
         "findings": found,
         "patterns": patterns.match_patterns(events, store).orderBy(F.desc("confidence"), "pattern_id").limit(5),
-        "variables": detect.cross_function_filter(project.table("access"), forced=races),
+        "variables": detect.cross_function_filter(project.table("access"), forced=races, names=True),
         "files": rank.route(materialize(nodes), materialize(edges), symptom),
         "warnings": verify.file_completeness(project.files),
     }
@@ -145,7 +145,7 @@ def check_claims(claims: DataFrame, files: DataFrame) -> DataFrame:
 
     Files are known by path, base name or suffix; evidence must stand in some file.
     """
-    known = files.select("path", F.xxhash64("path").alias("ord"), F.size(F.split("content", "\n")).alias("n_lines"))
+    known = files.select("path", F.col("path").alias("ord"), F.size(F.split("content", "\n")).alias("n_lines"))
     gate = F.coalesce(verify.hypothesis_gate(F.col("hypotheses")), verify.citation_gate(F.col("root_cause")))
     p = r"([\w\-./\\]+\.(?:js|jsx|ts|tsx|mjs|cjs|py|vue|svelte))\s*(?::|\s+L|\s+line\s+)?\s*(\d+)?"
     c = claims.withColumn("gate", gate).withColumn("root_file", F.regexp_extract("root_cause", p, 1)).withColumn("root_line", F.coalesce(F.expr(r"try_cast(nullif(regexp_extract(root_cause, '[\\w./-]+\\.(js|jsx|ts|tsx|mjs|cjs|py|vue|svelte)\\s*(:|\\s+L|\\s+line\\s+)\\s*(\\d+)', 3), '') as int)"), F.lit(0)))

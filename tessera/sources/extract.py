@@ -39,7 +39,7 @@ FACTS = {
     "statement": "block_id string, stmt_idx int, write_subject string, write_kind string, line int, await_line int",
     "parse": "n_tokens int, errors int",
 }
-SCRIPT_EXTENSIONS = "js jsx ts tsx mjs cjs".split()
+SCRIPT_EXTENSIONS = ["js", "jsx", "ts", "tsx", "mjs", "cjs"]
 
 
 def extract_facts(files: DataFrame, extractor: Callable[[str], list[tuple[str, dict]]] = javascript.extract) -> DataFrame:

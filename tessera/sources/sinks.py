@@ -82,7 +82,7 @@ def with_notes(new: DataFrame, old: DataFrame) -> DataFrame:
 
 def mermaid(edges: DataFrame) -> DataFrame:
     """One row (diagram): edges (source, target, type) as a Mermaid graph."""
-    line = F.format_string('  %s["%s"] -->|%s| %s["%s"]', F.concat(F.lit("n"), F.crc32(F.col("source").cast("binary"))), "source", "type", F.concat(F.lit("n"), F.crc32(F.col("target").cast("binary"))), "target")
+    line = F.format_string('  %s["%s"] -->|%s| %s["%s"]', F.concat(F.lit("n"), F.hex(F.xxhash64("source"))), "source", "type", F.concat(F.lit("n"), F.hex(F.xxhash64("target"))), "target")
     return edges.agg(F.concat(F.lit("graph LR\n"), F.array_join(F.array_sort(F.collect_set(line)), "\n")).alias("diagram"))
 
 

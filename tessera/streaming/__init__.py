@@ -19,23 +19,29 @@ def upsert(batch: DataFrame, table: str, version: int) -> dict[str, int]:
     spark = batch.sparkSession
     last = first_by(batch, ["path"], F.desc("ts"), F.desc("content")).select("path", "content", content_hash(F.col("content")).alias("content_hash"))
     try:
-        stored = current(spark, table, version)
+        stored = current(spark, table, version, last)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         stored = last.limit(0)
-    changed = changed_files(last, stored.join(last.select("path"), "path", "left_semi"))
+    changed = changed_files(last, stored)
     last.join(changed, "path").withColumn("version", F.lit(version)).write.mode("overwrite").parquet(f"{table}/version={version}")
     return {r.status: r.n for r in spark.read.parquet(f"{table}/version={version}").groupBy("status").agg(F.count("*").alias("n")).collect()}
 
 
-def current(spark: SparkSession, table: str, before: int | None = None) -> DataFrame:
-    """(path, content, content_hash): the last version of each file."""
+def current(spark: SparkSession, table: str, before: int | None = None, of: DataFrame | None = None) -> DataFrame:
+    """(path, content, content_hash): the last version of each file; of: only of these paths, so that a batch sorts no more than its own files."""
     rows = spark.read.parquet(table)
+    rows = rows if of is None else rows.join(of.select("path"), "path", "left_semi")
     rows = rows.where(F.col("version") < before) if before is not None else rows
     return first_by(rows, ["path"], F.desc("version")).select("path", "content", "content_hash")
 
 
+def compact(spark: SparkSession, table: str, to: str) -> None:
+    """Writes the last version of each file as the only one of a new table, which readers and streams then take."""
+    current(spark, table).withColumns({"ts": F.lit(None).cast("timestamp"), "status": F.lit("compacted")}).write.mode("overwrite").parquet(f"{to}/version=-1")
+
+
 def watch(spark: SparkSession, landing: str, table: str, checkpoint: str, schema: str = "path string, content string, ts timestamp", source: str = "parquet", files_a_batch: int = 1000) -> StreamingQuery:
     """Starts a stream that takes files as they land and patches the table; it ends when nothing is left."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).format(source).load(landing)
