@@ -17,26 +17,13 @@ from tessera.functions import text as T
 from tessera.functions import vector as V
 from tessera.operators import crossfile, detect, graph, memory, patterns, rank, tables, verify
 from tessera.plans import standin
+from tessera.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from tessera.plans.standin import EDGES_SQL, GROW_SQL, NODES_SQL, read, score_sql
-from tessera.sources import extract
+from tessera.sources import extract, sinks
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
 SYMPTOM = "red widget promo"
 
 
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 def long_(c):
     return F.col(c).cast("long").alias(c) if isinstance(c, str) else c.cast("long")
 
@@ -81,9 +68,10 @@ SELECT count(*) FILTER (status = 'changed')::BIGINT AS changed, count(*) FILTER
 def incremental_gate(spark: SparkSession, d: str) -> DataFrame:
     now, was = _hashes(spark, d)
     n = lambda s: F.count_if(F.col("status") == s).alias(s)
-    counts = graph.changed_files(now, was).agg(n("changed"), n("added"), n("deleted"), F.count("*").alias("all"))
-    total = read(spark, d, "documents").agg(F.count("*").alias("total"))
-    return counts.crossJoin(total).select("changed", "added", "deleted", "total", ((F.col("all") > 0) & (F.col("all") < 0.3 * F.col("total"))).alias("patch"))  # two single rows
+    counts = graph.changed_files(now, was).agg(n("changed"), n("added"), n("deleted"), F.count("*").alias("all")).first()
+    total = read(spark, d, "documents").count()
+    row = (counts["changed"], counts["added"], counts["deleted"], total, graph.should_patch(counts["all"], total))
+    return spark.createDataFrame([row], "changed long, added long, deleted long, total long, patch boolean")
 
 
 @query("""
@@ -110,10 +98,24 @@ def graph_merge(spark: SparkSession, d: str) -> DataFrame:
     return rows.unionByName(h2.select(F.lit("hash").alias("kind"), F.col("path").alias("source"), F.lit("").alias("target"), F.col("content_hash").alias("version")))
 
 
-@query(f"WITH {NODES_SQL}, {EDGES_SQL} SELECT 'node' AS kind, id, type, file_path AS target, ord::VARCHAR AS ord FROM nodes UNION ALL SELECT 'edge', source, type, target, ord FROM edges")
+@query("""
+WITH e(source, target, type) AS (
+  SELECT 'file:' || n_name, 'func:' || n_name || ':' || s_name, 'contains' FROM supplier JOIN nation ON n_nationkey = s_nationkey UNION ALL SELECT 'file:' || n_name, 'class:' || n_name || ':' || c_name, 'contains' FROM customer JOIN nation ON n_nationkey = c_nationkey
+  UNION ALL SELECT 'file:' || n_name, 'file:' || r_name, 'imports' FROM nation JOIN region ON r_regionkey = n_regionkey
+  UNION ALL SELECT 'func:' || n_name || ':' || s_name, 'file:' || n_name, 'calls' FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 2 = 0)
+SELECT 'edge' AS kind, source AS id, type, target, CASE type WHEN 'contains' THEN 1.0 WHEN 'imports' THEN 0.7 ELSE 0.8 END::DOUBLE AS weight FROM e
+UNION ALL SELECT 'node', 'file:' || n_name, 'file', n_name, NULL FROM nation UNION ALL SELECT 'node', 'file:' || r_name, 'file', r_name, NULL FROM region
+UNION ALL SELECT 'node', 'func:' || n_name || ':' || s_name, 'function', n_name, NULL FROM supplier JOIN nation ON n_nationkey = s_nationkey UNION ALL SELECT 'node', 'class:' || n_name || ':' || c_name, 'class', n_name, NULL FROM customer JOIN nation ON n_nationkey = c_nationkey""")
 def graph_nodes_edges(spark: SparkSession, d: str) -> DataFrame:
-    n = standin.nodes(spark, d).select(F.lit("node").alias("kind"), "id", "type", F.col("file_path").alias("target"), F.col("ord").cast("string").alias("ord"))
-    return n.unionByName(standin.edges(spark, d).select(F.lit("edge").alias("kind"), F.col("source").alias("id"), "type", "target", "ord"))
+    """Nations and regions stand for files, suppliers for functions, customers for classes; nations import their regions, and every second supplier calls."""
+    n, r, s, c = (read(spark, d, t) for t in ("nation", "region", "supplier", "customer"))
+    files = n.select(F.col("n_name").alias("path")).union(r.select("r_name"))
+    part = lambda df, key, name: df.join(n, df[key] == n["n_nationkey"]).select(F.col("n_name").alias("path"), F.col(name).alias("name"), F.lit(1).alias("line_start"), F.lit(2).alias("line_end"))
+    imports = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.col("n_name").alias("path"), F.col("r_name").alias("target"))
+    calls = part(s.where("s_suppkey % 2 = 0"), "s_nationkey", "s_name").select(F.concat(F.lit("func:"), "path", F.lit(":"), "name").alias("caller_id"), F.concat(F.lit("file:"), "path").alias("callee_id"))
+    nodes, edges = graph.build_graph(files, part(s, "s_nationkey", "s_name"), part(c, "c_nationkey", "c_name"), imports, calls)
+    rows = nodes.select(F.lit("node").alias("kind"), "id", "type", F.col("file_path").alias("target"), F.lit(None).cast("double").alias("weight"))
+    return rows.unionByName(edges.select(F.lit("edge").alias("kind"), F.col("source").alias("id"), "type", "target", F.col("weight").cast("double").alias("weight")))
 
 
 @query("""
@@ -138,10 +140,10 @@ def node_degree_topk(spark: SparkSession, d: str) -> DataFrame:
     return graph.hubs(standin.edges(spark, d))
 
 
-@query(f"WITH {EDGES_SQL} SELECT type, count(*) AS n, count(DISTINCT source) AS sources, count(DISTINCT target) AS targets FROM edges GROUP BY type")
+@query(f"WITH {NODES_SQL}, {EDGES_SQL} SELECT (SELECT count(*) FROM nodes) AS nodes, 0::BIGINT AS embedded, count(*) AS edges, count(*) FILTER (type = 'contains') AS contains_edges, count(*) FILTER (type = 'imports') AS imports_edges, count(*) FILTER (type = 'calls') AS calls_edges FROM edges")
 def diagnostics(spark: SparkSession, d: str) -> DataFrame:
-    """Edges by type, as a project report counts them."""
-    return standin.edges(spark, d).groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources"), F.countDistinct("target").alias("targets"))
+    """Nodes and edges by type, as a project report counts them."""
+    return sinks.diagnostics_report(standin.nodes(spark, d), standin.edges(spark, d))
 
 
 LANG_CASE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.LANGUAGES.items())
@@ -155,8 +157,9 @@ def language_of_path(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1))) AS source FROM pages")
 def import_sources(spark: SparkSession, d: str) -> DataFrame:
-    """Links stand for imports."""
-    return read(spark, d, "pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1))).alias("source"))
+    """Links, written as imports, stand for imports."""
+    written = F.regexp_replace("html", 'href="([^"]+)"', "import '$1'")
+    return read(spark, d, "pages").select("page_id", F.explode(extract.import_sources(written)).alias("source"))
 
 
 RESOLVE_SQL = r"""
@@ -195,12 +198,11 @@ def _layer_sql(parts: str) -> str:
 @query(f"""
 WITH p AS (SELECT page_id, string_split(lower(url), '/') AS s FROM pages),
 t AS (SELECT page_id, list_concat(s[1:len(s) - 1], [regexp_replace(s[-1], '\\.[^.]+$', '')]) AS parts FROM p)
-SELECT {_layer_sql("parts")} AS layer, count(*) AS n, md5(string_agg(page_id::VARCHAR, ',' ORDER BY page_id)) AS ids FROM t GROUP BY 1""")
+SELECT {_layer_sql("parts")} AS layer, count(*) AS n, sum(page_id)::BIGINT AS ids, sum(page_id * page_id % 1000003)::BIGINT AS squares FROM t GROUP BY 1""")
 def layers(spark: SparkSession, d: str) -> DataFrame:
     """Addresses stand for file paths."""
     named = read(spark, d, "pages").select("page_id", graph.layer_name(F.col("url")).alias("layer"))
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("page_id")), lambda x: x.cast("string")), ",")
-    return named.groupBy("layer").agg(F.count("*").alias("n"), F.md5(ids.cast("binary")).alias("ids"))
+    return named.groupBy("layer").agg(F.count("*").alias("n"), F.sum("page_id").alias("ids"), F.sum(F.col("page_id") * F.col("page_id") % 1000003).alias("squares"))
 
 
 # Search
@@ -490,8 +492,7 @@ def cross_function_filter(spark: SparkSession, d: str) -> DataFrame:
     """The key of an event's properties stands for a variable, users for functions, purchases for writes."""
     e = read(spark, d, "events").select(F.get_json_object("props", "$.k").alias("var"), F.col("user_id").alias("fn"), F.when(F.col("event_type") == "purchase", "write").otherwise("read").alias("kind"))
     out = detect.cross_function_filter(e, keys=("var",), noise=[])
-    n = lambda c: F.size(c).cast("long")
-    return out.select("var", n("writers").alias("n_writers"), n("readers").alias("n_readers"), n(F.array_except("readers", "writers")).alias("n_only_read"))
+    return out.select("var", "n_writers", "n_readers", "n_only_read")
 
 
 # Patterns
@@ -505,7 +506,7 @@ e AS (SELECT user_id, list_filter([
   CASE WHEN muts > 0 THEN 'collection_mutate' END, CASE WHEN muts > 0 THEN 'forEach_loop' END,
   CASE WHEN floats > 0 THEN 'async_call' END, CASE WHEN floats > 0 THEN 'no_await' END, CASE WHEN floats > 0 THEN 'expression_statement' END], lambda x: x IS NOT NULL) AS events FROM f)
 """
-STARTER_SQL = "p(id, sig, weight) AS (VALUES " + ", ".join(f"('{i}', {s.split()!r}, {w}::DOUBLE)" for i, s, _, _, _, w in patterns.STARTERS) + ")"
+STARTER_SQL = "p(id, sig, weight) AS (VALUES " + ", ".join(f"('{i}', {s!r}, {w}::DOUBLE)" for i, s, _, _, _, w in patterns.STARTERS) + ")"
 
 
 def _user_events(spark: SparkSession, d: str) -> DataFrame:
@@ -541,14 +542,6 @@ def pattern_feedback(spark: SparkSession, d: str) -> DataFrame:
     return good.select("id", F.round("weight", 6).alias("after_pass"), long_("hit_count")).join(bad.select("id", F.round("weight", 6).alias("after_fail")), "id")
 
 
-@query()
-def fnv_hash(spark: SparkSession, d: str) -> DataFrame:
-    """Hashes of the starters' signatures, and of each user's events."""
-    p = patterns.starters(spark).select(F.col("id").alias("subject"), F.col("signature").alias("events"))
-    u = _user_events(spark, d).select(F.col("user_id").cast("string").alias("subject"), F.array_sort("events").alias("events"))
-    return p.unionByName(u).select("subject", T.signature_hash(F.col("events")).alias("hash"))
-
-
 # Verification
 
 NORM = "trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
@@ -666,15 +659,14 @@ def index_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents),
-p AS (SELECT doc_id, unnest(s) AS section, generate_subscripts(s, 1) - 1 AS pos FROM l),
-c AS (SELECT *, (contains(lower(section), 'the')::INT + contains(lower(section), 'tion')::INT + contains(lower(section), 'der')::INT) AS score FROM p)
-SELECT doc_id, sum(score)::BIGINT AS total, max(score)::BIGINT AS best, count(*) FILTER (score > 0) AS n FROM c GROUP BY doc_id""")
+WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS section, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+c AS (SELECT *, (contains(lower(section), 'ing')::INT + contains(lower(section), 'tion')::INT + contains(lower(section), 'der')::INT) AS score FROM p)
+SELECT doc_id, sum(score)::BIGINT AS total, max(score)::BIGINT AS best, count(*) AS n FROM c WHERE score > 0 GROUP BY doc_id""")
 def section_rank(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of documents stand for sections, scored by query words."""
-    words = T.lit_array(["the", "tion", "der"])
-    p = read(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("s")).withColumn("score", F.size(F.filter(words, lambda w: F.contains(F.lower("s"), w))))
-    return p.groupBy("doc_id").agg(F.sum("score").alias("total"), F.max("score").cast("long").alias("best"), F.count_if(F.col("score") > 0).alias("n"))
+    """Lines of documents stand for sections of notes, scored by the words of a question; all that score fit."""
+    notes = F.concat(F.lit("# "), F.regexp_replace(F.regexp_replace("text", "(?m)^#+ ", "x"), "\n", "\n# "))
+    p = rank.sections(read(spark, d, "documents").select("doc_id", notes.alias("t")), "doc_id", "t", "tion der ing", budget=1 << 40)
+    return p.groupBy(F.col("id").alias("doc_id")).agg(F.sum("score").alias("total"), F.max("score").cast("long").alias("best"), F.count("*").alias("n"))
 
 
 @query("""
@@ -703,11 +695,13 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
 # Extraction and streams
 
 
-@query()
+@query(r"""WITH s AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1)) AS code, generate_subscripts(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1), 1) - 1 AS i FROM pages),
+c AS (SELECT page_id, i, unnest(regexp_extract_all(regexp_replace(code, '"(?:\\.|[^"\\])*"', '""', 'g'), '([A-Za-z_$][A-Za-z0-9_$]*)\(', 1)) AS callee FROM s)
+SELECT DISTINCT 'page' || page_id || '-' || i || '.js' AS file, callee FROM c""")
 def extract_functions(spark: SparkSession, d: str) -> DataFrame:
     """Calls in the inline scripts of pages."""
     facts = extract.extract_facts(extract.scripts_of_pages(read(spark, d, "pages")))
-    return extract.table(facts, "call").select("file", "callee", "fn", "line")
+    return extract.table(facts, "call").select("file", "callee").distinct()
 
 
 @query("""SELECT doc_id::VARCHAR AS path, 'sha256:' || sha256(coalesce(CASE WHEN lang = 'de' THEN text || '!' ELSE text END, '')) AS content_hash FROM documents""")
@@ -715,9 +709,9 @@ def incremental_stream(spark: SparkSession, d: str) -> DataFrame:
     """Documents land as files in two batches, the German ones again with other texts; the table holds the last of each."""
     root = f"{tables.shared_dir(spark)}/tessera-stream-{uuid.uuid4().hex}"
     docs = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"), "lang")
-    docs.select("path", "content", F.timestamp_seconds(F.lit(0)).alias("ts")).coalesce(1).write.parquet(f"{root}/in")
+    docs.select("path", "content", F.timestamp_seconds(F.lit(0)).alias("ts")).write.parquet(f"{root}/in")
     streaming.watch(spark, f"{root}/in", f"{root}/table", f"{root}/state").awaitTermination()
     again = docs.where("lang = 'de'").select("path", F.concat("content", F.lit("!")).alias("content"), F.timestamp_seconds(F.lit(60)).alias("ts"))
-    again.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    again.write.mode("append").parquet(f"{root}/in")
     streaming.watch(spark, f"{root}/in", f"{root}/table", f"{root}/state").awaitTermination()
     return streaming.current(spark, f"{root}/table").select("path", "content_hash")
