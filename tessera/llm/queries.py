@@ -191,11 +191,12 @@ def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_passages counts runs covered by repeats of over 50 words, which can be shorter than the strings that are removed."""
     docs = suffix_dedup.repeated_spans(read(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return docs.select(
         "doc_id", F.octet_length(text_or_empty(F.col("text"))).cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
-        F.sha2(suffix_dedup.kept_bytes(F.col("text"), F.col("spans")), 256).alias("kept_sha256"),
+        F.sha2(suffix_dedup.kept_bytes(F.col("text"), F.col("spans")), 256).alias("kept_sha256"), F.size("passages").cast("long").alias("n_passages"),
     )
 
 
