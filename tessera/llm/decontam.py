@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, materialize, small_batches, text_or_empty
+from tessera.llm.common import ascii_lower, beside, materialize, may_be_among, small_batches, text_or_empty
 
 #: Words are runs outside this class: ASCII but for digits and letters.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -61,19 +61,27 @@ def find(words: list[bytes], places: dict, owners: dict) -> tuple[int, set[str]]
     return hit, items
 
 
-def _word_counts(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
-    """How often each benchmark word occurs in all documents: as many rows as the benchmark has words at most."""
-    known = docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
+def _counted(docs: DataFrame, vocabulary: frozenset[bytes] | None, flush: int = 1 << 20) -> DataFrame:
+    """(w, n): how often words occur in all documents (text), of a vocabulary or all; tasks add up some `flush` words before they are shuffled."""
+    known = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, counts = known.value, Counter()
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["w", "n"])
         for b in batches:
             for t in b.column(0).cast(pa.binary()).to_pylist():
-                counts.update(filter(vocab.__contains__, words_of(t)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["w", "n"])
+                counts.update(words_of(t) if vocab is None else filter(vocab.__contains__, words_of(t)))
+            if len(counts) > flush:
+                yield out()
+                counts.clear()
+        yield out()
+
+    return docs.select("text").mapInArrow(run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
-    rows = docs.select("text").mapInArrow(run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
-    return {bytes(r.w): r.n for r in rows}
+
+def _word_counts(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
+    """How often each benchmark word occurs in all documents: as many rows as the benchmark has words at most."""
+    return {bytes(r.w): r.n for r in _counted(docs, frozenset(vocabulary)).collect()}
 
 
 def contamination(
@@ -84,8 +92,9 @@ def contamination(
 
     A window is `size` consecutive words of an item, or a whole shorter item; a document word is hit if
     it lies in an occurrence of one. Null texts have no words; items without words never occur; items
-    that share an id are one item; a null item id reads as the empty string. All rows and columns of
-    docs are kept. Items of up to max_broadcast bytes in all (measured first) go to the tasks as an
+    that share an id are one item; a null item id reads as the empty string. Of equally rare words of a
+    window one is taken; repeated rows each have their result; long texts are read whole; no documents give no
+    rows. All rows and columns of docs are kept; one named contamination stays as contamination_in. Items of up to max_broadcast bytes in all (measured first) go to the tasks as an
     index; larger sets are joined by shuffles instead.
     """
     small_batches(docs.sparkSession)
@@ -107,24 +116,26 @@ def contamination(
         a, b, c = zip(*out, strict=True) if out else ([], [], [])
         return pa.StructArray.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.list_(pa.string()))], names=["n_words", "n_hit", "item_ids"])
 
-    return docs.withColumn("contamination", of(F.col(text_col)))
+    both = docs.select(F.struct(*docs.columns).alias("d"), of(F.col(text_col)).alias("c"))
+    return both.select(*beside(docs.columns, F.col("d"), ["contamination"]), F.col("c").alias("contamination"))
 
 
 def _by_shuffle(docs: DataFrame, bench: DataFrame, text_col: str, size: int) -> DataFrame:
     """The same for benchmarks of any size: windows and documents meet on the window's rarest word.
 
-    Only documents' words of the benchmark's vocabulary are shuffled; candidate starts go back to their
-    documents, where the window is compared.
+    How rare words are is counted in the tasks first, so that of the documents only occurrences of windows' rarest
+    words are shuffled; candidate starts go back to their documents, where the window is compared.
     """
     words = lambda c: F.filter(F.split(ascii_lower(c), BREAK), lambda x: x != "")
     numbered = materialize(docs.select(F.monotonically_increasing_id().alias("row_no"), F.struct(*docs.columns).alias("d")), "rows")
     w = words(F.col("text"))
     slices = F.when(F.size(w) >= size, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - size + 1, F.lit(1))), lambda i: F.slice(w, i, size))).when(F.size(w) > 0, F.array(w))
     windows = materialize(bench.select("item", F.explode(slices).alias("window")).groupBy("window").agg(F.collect_set("item").alias("items")), "windows")
-    vocabulary = windows.select(F.explode("window").alias("w")).distinct()
-    tokens = numbered.select("row_no", F.posexplode(words(text_or_empty(F.col("d")[text_col]))).alias("pos", "w")).join(vocabulary, "w")
-    seen = tokens.groupBy("w").agg(F.count("*").alias("n"))
-    rare = windows.select("window", F.posexplode("window").alias("at", "w")).join(seen, "w", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "w", "at")).alias("r"))
+    seen = _counted(numbered.select(F.col("d")[text_col].alias("text")), None).select(F.decode("w", "UTF-8").alias("w"), "n")
+    rare = windows.select("window", F.posexplode("window").alias("at", "w")).join(seen, "w", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w", "at")).alias("r"))
+    rare = materialize(rare.where("r.n > 0"), "rare")
+    tokens = numbered.select("row_no", F.posexplode(words(text_or_empty(F.col("d")[text_col]))).alias("pos", "w"))
+    tokens = may_be_among(tokens, F.xxhash64("w"), rare.select(F.xxhash64("r.w").alias("key")).distinct(), "key", "maybe").where("maybe")
     starts = tokens.join(rare.select("window", F.col("r.w").alias("w"), F.col("r.at").alias("at")), "w").select("row_no", "window", (F.col("pos") - F.col("at")).alias("s")).where("s >= 0")
     texts = numbered.select("row_no", words(text_or_empty(F.col("d")[text_col])).alias("ws"))
     found = starts.join(texts, "row_no").where(F.slice("ws", F.col("s") + 1, F.size("window")) == F.col("window")).join(windows, "window")
@@ -134,7 +145,7 @@ def _by_shuffle(docs: DataFrame, bench: DataFrame, text_col: str, size: int) ->
     out = numbered.join(hits, "row_no", "left").join(owners, "row_no", "left")
     n_words = F.size(words(text_or_empty(F.col("d")[text_col]))).cast("long")
     result = F.struct(n_words.alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("ids", F.array().cast("array<string>")).alias("item_ids"))
-    return out.select(*[F.col("d")[c].alias(c) for c in docs.columns], result.alias("contamination"))
+    return out.select(*beside(docs.columns, F.col("d"), ["contamination"]), result.alias("contamination"))
 
 
 def digest(ids: list[str]) -> str:

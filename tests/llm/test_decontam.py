@@ -37,11 +37,11 @@ def case():
 @pytest.mark.parametrize("way", [1 << 20, 0])
 def test_against_brute_force(spark, case, way):
     docs, items = case
-    d = spark.createDataFrame([(i, t, "e", 1, "w", 5) for i, t in docs], "doc_id long, text string, item_id string, n_hit int, w string, row int").repartition(5)
+    d = spark.createDataFrame([(i, t, "e", 1, "w", 5) for i, t in docs], "doc_id long, text string, item_id string, contamination int, w string, row int").repartition(5)
     got = decontam.contamination(d, spark.createDataFrame(items, "item_id string, text string"), size=4, max_broadcast=way).collect()
     order = lambda x: (str(x[0]), x[1] or "", x[2])
     assert sorted(((x.doc_id, x.text, tuple(x.contamination)) for x in got), key=order) == sorted(((i, t, brute(t, items, 4)) for i, t in docs), key=order)
-    assert got[0].item_id == "e"
+    assert got[0].item_id == "e" and got[0].contamination_in == 1
 
 
 @pytest.mark.parametrize("way", [1 << 20, 0])
