@@ -11,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.llm.common import small_batches
 
@@ -60,9 +61,13 @@ def _at(x: object, path: str) -> object:
     return x
 
 
-def turns_of(record: object, layouts: list[dict], roles: dict[str, str]) -> tuple[str | None, list[tuple[str, str]]]:
-    """The layout's name and the turns; None and no turns if no layout has the record's fingerprint."""
-    by = {schema_fingerprint(m["paths"]): m for m in layouts}
+def registry(layouts: list[dict]) -> dict[str, dict]:
+    """The layouts by the fingerprints of their paths."""
+    return {schema_fingerprint(m["paths"]): m for m in layouts}
+
+
+def turns_of(record: object, by: dict[str, dict], roles: dict[str, str]) -> tuple[str | None, list[tuple[str, str]]]:
+    """The layout's name and the turns; None and no turns if no layout of the registry has the record's fingerprint."""
     m = by.get(schema_fingerprint(field_paths(record)))
     if m is None:
         return None, []
@@ -78,9 +83,10 @@ def canonical_turns(df: DataFrame, id_col: str, order_col: str, record_col: str,
 
     The record's nested field paths are hashed and the hash selects the mapping. A conversation is the
     rows of one id by ord, each giving one turn or more (seq). A null text is empty. A record that is
-    null, no JSON or of no known layout is kept as one row with null layout, role and text.
+    null, no JSON or of no known layout is kept as one row with null layout, role and text. Repeated rows
+    are each kept, long texts whole, an empty table gives no rows, and other columns are not read.
     """
-    layouts, roles = layouts or LAYOUTS, ROLES if roles is None else roles
+    by, roles = registry(layouts or LAYOUTS), ROLES if roles is None else roles
     names = ["id", "ord", "record"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +94,7 @@ def canonical_turns(df: DataFrame, id_col: str, order_col: str, record_col: str,
             out = []
             for i, o, r in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 try:
-                    name, turns = turns_of(json.loads(r), layouts, roles) if r else (None, [])
+                    name, turns = turns_of(json.loads(r), by, roles) if r else (None, [])
                 except ValueError:
                     name, turns = None, []
                 out += [(i, o, k, a, t, name) for k, (a, t) in enumerate(turns)] or [(i, o, 0, None, None, name)]
@@ -133,9 +139,10 @@ def format_turns(turns: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> D
 def read_back(formatted: DataFrame) -> DataFrame:
     """One row a conversation, parsed from its segments and mask: counts and digests of turns and learnt text.
 
-    Rows of a conversation arrive in order and only running digests are held, whatever its length.
+    Rows of a conversation arrive in order (ord, seq, then role and text for ties) and only running digests are
+    held, whatever its length. A digest of all turns is made in their order, so one conversation is one task's.
     """
-    kind = dict(formatted.dtypes)["id"]
+    kind, pa_kind = dict(formatted.dtypes)["id"], to_arrow_type(formatted.schema["id"].dataType)
     pattern = re.compile(f"{re.escape(OPEN)}(.*?){re.escape(SEP)}(.*?){re.escape(CLOSE)}", re.DOTALL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,6 +171,5 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if state:
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(done(), schema, strict=True)], schema=schema)
 
-    pa_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     ordered = formatted.repartition("id").sortWithinPartitions("id", "ord", "seq", "role", "text").select("id", "segment", "loss_start", "loss_end")
     return ordered.mapInArrow(run, f"id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -67,6 +67,14 @@ def test_query_against_sql(spark, sf_dir, duck):
     assert got[got.conv_id == -1].n_turns.tolist() == [2]
 
 
+def test_ids_of_any_kind(spark):
+    df = spark.createDataFrame([("2024-01-01", 1.5, 0, "user", "a")], "d string, x double, ord int, role string, text string")
+    df = df.select(F.lit(0).alias("seq"), F.lit("l").alias("layout"), "*")
+    for kind in ("date", "decimal(5,2)", "binary", "short"):
+        ids = F.col("d").cast(kind) if kind in ("date", "binary") else F.col("x").cast(kind)
+        assert chat.read_back(chat.format_turns(df.withColumn("id", ids))).first().n_turns == 1
+
+
 def test_ties_nulls_and_long_conversations(spark):
     rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (None, None, "assistant", "z"), (None, 1, None, None)] + [(2, i, "assistant", "x" * 50) for i in range(5000)]
     df = spark.createDataFrame(rows, "id long, ord long, role string, text string").select("*", F.lit(0).alias("seq"), F.lit("l").alias("layout"), F.lit(1).alias("segment0"))
