@@ -200,9 +200,29 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10_suffix_dedup without its column of passages, which SQL does not express."""
+    return op10_suffix_dedup(spark, sf_dir).drop("n_passages")
+
+
+#: 400-byte strings by their hashes, on texts as hex digits.
+REPEATED_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT r, i, hash(h[2 * i + 1 : 2 * i + 800]) AS k FROM (SELECT r, h, unnest(range(0, len(h) // 2 - 399)) AS i FROM d WHERE len(h) >= 800)),
+hit AS (SELECT r, i FROM s WHERE k IN (SELECT k FROM s GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT r, i, i > 400 + max(i) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS fresh FROM hit),
+runs AS (SELECT r, i, sum(CASE WHEN coalesce(fresh, true) THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS n FROM g),
+spans AS (SELECT r, n, min(i) AS a, max(i) + 400 AS b FROM runs GROUP BY r, n),
+kept AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM spans),
+parts AS (SELECT k.r, string_agg(d.h[2 * before + 1 : 2 * a], '' ORDER BY a) AS head, max(b) AS last, sum(b - a)::BIGINT AS removed, count(*) AS n FROM kept k JOIN d ON d.r = k.r GROUP BY k.r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN n IS NULL THEN h ELSE head || h[2 * last + 1 :] END)) AS kept_sha256 FROM d LEFT JOIN parts ON parts.r = d.r
+"""
+
+
 QUERIES = {
     "op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op3_chat": op3_chat, "op4_tokens": op4_tokens, "op5_pii": op5_pii,
     "op6_quality": op6_quality, "op7_repetition": op7_repetition, "op8_decontamination": op8_decontamination, "op9_language_model": op9_language_model,
-    "op10_suffix_dedup": op10_suffix_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup, "repeated_strings": repeated_strings,
 }
-ORACLES = {"op2_mixing": OP2_SQL, "op3_chat": OP3_SQL, "op7_repetition": OP7_SQL, "op8_decontamination": OP8_SQL}
+ORACLES = {"op2_mixing": OP2_SQL, "op3_chat": OP3_SQL, "op7_repetition": OP7_SQL, "op8_decontamination": OP8_SQL, "repeated_strings": REPEATED_SQL}
