@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import compression, decontam, mixing, pii, simhash
-from tessera.llm.common import beside, materialize, read, small_batches
+from tessera.llm.common import beside, materialize, read, release, small_batches, written
 from tessera.llm.queries import held_out
 
 
@@ -77,7 +77,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, since = read(spark, sf_dir, "documents"), written()
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        release(spark, since, (docs,))  # the stage before, and what this one wrote on its way
     return STAGES[-1][1](spark, docs, sf_dir)
