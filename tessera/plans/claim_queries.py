@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import jsontext
 from tessera.functions import text as T
 from tessera.functions import vector as V
-from tessera.operators import graph, memory, patterns, rank, verify
+from tessera.operators import detect, graph, memory, patterns, rank, verify
 from tessera.plans import standin
 from tessera.plans.registry import query
 from tessera.plans.standin import EDGES_SQL, NODES_SQL, read
@@ -374,3 +374,23 @@ def sample_files(spark: SparkSession, d: str) -> DataFrame:
 def reachable_pairs(spark: SparkSession, d: str) -> DataFrame:
     """What regions and nations contain, directly or not."""
     return graph.reachable(standin.edges(spark, d).where("type = 'contains'"), depth=3)
+
+
+@query("""SELECT event_id, event_type AS category, 'r' || event_id % 4 AS rule_id FROM events WHERE event_type IN ('error', 'purchase') AND event_id % 4 <> 3 AND event_id % 5 <> 0""")
+def known_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Events stand for findings of another analyzer: two categories, without one rule and without level none."""
+    i = F.col("event_id")
+    f = read(spark, d, "events").select(
+        i, F.col("event_type").alias("category"), F.concat(F.lit("r"), i % 4).alias("rule_id"), F.when(i % 5 == 0, "none").otherwise("warning").alias("level"),
+        F.when(i % 2 == 0, "high").otherwise("low").alias("severity"), F.col("user_id").alias("file"), F.lit(1).alias("line"),
+    )
+    return detect.known_findings(f, ["error", "purchase"], ["r3"]).select("event_id", "category", "rule_id")
+
+
+@query("""WITH t AS (SELECT user_id AS claim_id, event_id, event_type, last_value(CASE WHEN event_type = 'signup' THEN 'f' || event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS file FROM events)
+SELECT DISTINCT claim_id, file, event_id % 50 AS line FROM t WHERE event_type = 'error' AND file IS NOT NULL""")
+def file_line_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """A user's signups stand for files that a claim names, errors for line numbers that follow."""
+    e = read(spark, d, "events")
+    t = e.select(F.col("user_id").alias("claim_id"), F.col("event_id").alias("offset"), F.when(F.col("event_type") == "signup", F.concat(F.lit("f"), "event_id")).alias("file"), F.when(F.col("event_type") == "error", F.col("event_id") % 50).alias("line"))
+    return verify.file_line_pairs(t)
