@@ -346,23 +346,26 @@ def pii_spans(text: Column, weights: dict, sure: float = 0.9) -> Column:
     return of(text)
 
 
-def redact(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in angle brackets; overlapping spans become one, named by the first."""
+def covered(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """The text with each span (kind, start, end) replaced by its kind in angle brackets; overlapping spans become one, named by the first."""
+    merged: list[list] = []
+    for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if merged and a < merged[-1][2]:
+            merged[-1][2] = max(merged[-1][2], b)
+        else:
+            merged.append([kind, a, b])
+    out, at = [], 0
+    for kind, a, b in merged:
+        out += [text[at:a], f"<{kind}>"]
+        at = b
+    return "".join([*out, text[at:]])
+
+
+def redact(text: Column, weights: dict, sure: float = 0.9) -> Column:
+    """The whole text with each span that pii_spans() finds covered; null stays null. Found and covered in one pass, by one worker a task."""
 
     @F.arrow_udf("string")
-    def of(texts: pa.Array, found: pa.Array) -> pa.Array:
-        out = []
-        for t, ss in zip(texts.to_pylist(), found.to_pylist(), strict=True):
-            if t is not None and ss:
-                merged: list[list] = []
-                for s in sorted(ss, key=lambda s: (s["start"], -s["end"])):
-                    if merged and s["start"] < merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], s["end"])
-                    else:
-                        merged.append([s["start"], s["end"], s["kind"]])
-                for a, b, k in reversed(merged):
-                    t = f"{t[:a]}<{k}>{t[b:]}"
-            out.append(t)
-        return pa.array(out, pa.string())
-
-    return of(text, spans)
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([t and covered(t, [x[:3] for x in find(t, weights, sure)]) for t in texts.to_pylist()], pa.string())
+
+    return of(text)
