@@ -48,7 +48,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     ones too, with all its columns, whatever their names.
     """
     small_batches(spark)
-    text = pii.redact(F.col("text"), pii.pii_spans(F.col("text"), pii.train()))
+    text = pii.redact(F.col("text"), pii.train())
     out = docs.withColumn("text", text)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
