@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import jsontext
+from tessera.functions import jsontext, reports
 from tessera.functions import text as T
 from tessera.functions import vector as V
 from tessera.operators import detect, graph, memory, patterns, rank, verify
@@ -394,3 +394,52 @@ def file_line_pairs(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events")
     t = e.select(F.col("user_id").alias("claim_id"), F.col("event_id").alias("offset"), F.when(F.col("event_type") == "signup", F.concat(F.lit("f"), "event_id")).alias("file"), F.when(F.col("event_type") == "error", F.col("event_id") % 50).alias("line"))
     return verify.file_line_pairs(t)
+
+
+# Reports
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN NULL ELSE 0 END::BIGINT AS n_chain, CASE event_id % 4 WHEN 1 THEN NULL ELSE '' END AS adversarial, CASE event_id % 4 WHEN 1 THEN NULL WHEN 2 THEN true ELSE false END AS reentered,
+  CASE event_id % 4 WHEN 0 THEN 'DEFAULT' WHEN 2 THEN 'WEAK' END AS quality FROM events""")
+def migrated_reports(spark: SparkSession, d: str) -> DataFrame:
+    """Events stand for reports: of no version, of the present one, of an older one, and without any field."""
+    i = F.col("event_id") % 4
+    said = F.when(i == 0, '{"report": {"causalChain": ["a"], "hypothesisTree": [{"id": "h1"}]}}').when(i == 1, '{"_provenance": {"schemaVersion": "2.0"}, "report": {"confidence": 1}}')
+    said = said.when(i == 2, '{"report": {"wasReentered": true, "hypothesisTree": [{"id": "h", "eliminationQuality": "WEAK"}], "_provenance": {"schemaVersion": "1.4"}}}').otherwise("{}")
+    r = read(spark, d, "events").select("event_id", reports.migrated(said).alias("r"))
+    return r.select("event_id", F.when(F.col("r.causalChain").isNotNull(), F.size("r.causalChain")).cast("long").alias("n_chain"), F.col("r.adversarialCheck").alias("adversarial"), F.col("r.wasReentered").alias("reentered"), F.get("r.hypothesisTree", F.lit(0))["eliminationQuality"].alias("quality"))
+
+
+@query("""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_name WHEN 1 THEN '' END AS summary, CASE p_size % 3 WHEN 0 THEN p_type || ',x' WHEN 1 THEN '' END AS tags, CASE p_size % 3 WHEN 0 THEN 'complex' WHEN 1 THEN 'moderate' END AS complexity,
+  CASE p_size % 3 WHEN 0 THEN 'ui,' || p_brand WHEN 1 THEN '' END AS layers FROM part""")
+def model_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Parts stand for a model's summaries of files and projects: whole, with fields of other types, and no JSON."""
+    r = F.col("p_size") % 3
+    file = F.when(r == 0, F.concat(F.lit('{"fileSummary": "'), "p_name", F.lit('", "tags": ["'), "p_type", F.lit('", 3, "x"], "complexity": "complex"}'))).when(r == 1, '{"fileSummary": 7, "tags": "no", "complexity": "odd"}').otherwise("no JSON {")
+    project = F.when(r == 0, F.concat(F.lit('{"layers": [{"name": "ui", "filePatterns": ["a", 1]}, {"description": "nameless"}, {"name": "'), "p_brand", F.lit('"}]}'))).when(r == 1, '{"layers": {}}').otherwise("[]")
+    p = read(spark, d, "part").select("p_partkey", reports.file_summary(file).alias("f"), reports.project_summary(project).alias("g"))
+    return p.select("p_partkey", "f.summary", F.array_join("f.tags", ",").alias("tags"), "f.complexity", F.array_join(F.transform("g.layers", lambda x: x["name"]), ",").alias("layers"))
+
+
+@query("""SELECT p AS preset, c AS col, count(*) AS n FROM (VALUES ('quick', 'rootCause'), ('quick', 'confidence'), ('quick', 'minimalFix'), ('developer', 'rootCause'), ('developer', 'confidence'), ('developer', 'minimalFix'), ('developer', 'timeline')) v(p, c), nation GROUP BY p, c""")
+def report_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Nations stand for reports of five columns; the presets ask for some, and no others are read."""
+    r = read(spark, d, "nation").select(F.col("n_name").alias("rootCause"), F.lit(1.0).alias("confidence"), F.lit("f").alias("minimalFix"), F.lit("t").alias("timeline"), F.lit("o").alias("other"))
+    out = None
+    for preset in ("quick", "developer", "custom"):
+        columns = reports.section_columns(preset, r.columns)
+        if columns:
+            x = r.select(*columns).select(F.lit(preset).alias("preset"), F.explode(F.array(*[F.lit(c) for c in columns])).alias("col"))
+            out = x if out is None else out.unionByName(x)
+    return out.groupBy("preset", "col").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH b AS (SELECT o_orderkey, (CASE WHEN o_orderstatus = 'F' THEN 45 ELSE 15 END + least(o_custkey % 20 * 4, 45) + least(o_orderkey % 9000 / 150.0::DOUBLE, 30.0)) * (CASE o_orderstatus WHEN 'F' THEN 0.6 ELSE 1.0 END)::DOUBLE * (CASE WHEN o_custkey % 2 = 0 THEN 1.1 ELSE 1.0 END)::DOUBLE * (CASE WHEN o_custkey % 3 = 0 THEN 1.15 ELSE 1.0 END)::DOUBLE AS s FROM orders),
+m AS (SELECT o_orderkey, floor(s * 0.75::DOUBLE + 0.5::DOUBLE)::BIGINT AS a, floor(s * 1.4::DOUBLE + 0.5::DOUBLE)::BIGINT AS b FROM b)
+SELECT o_orderkey, CASE WHEN b < 60 THEN '~' || a || '–' || b || ' sec' WHEN a // 60 = (b + 59) // 60 THEN '~' || (a // 60) || ' min' ELSE '~' || (a // 60) || '–' || ((b + 59) // 60) || ' min' END AS estimate FROM m""")
+def runtime_estimates(spark: SparkSession, d: str) -> DataFrame:
+    """Orders stand for runs of several sizes, sources, presets, providers and modes."""
+    k, done = F.col("o_custkey"), F.col("o_orderstatus") == "F"
+    e = reports.runtime_estimate(k % 20, F.col("o_orderkey") % 9000, F.when(k % 2 == 0, "openai").otherwise("other"), F.when(done, "quick").otherwise("full"), F.when(done, "github").otherwise("local"), F.when(k % 3 == 0, "security").otherwise("debug"))
+    return read(spark, d, "orders").select("o_orderkey", e.alias("estimate"))
