@@ -54,3 +54,22 @@ def test_few_or_no_labels(spark):
     for labels in ([], [(1, 1)], [(1, 1), (2, 0)]):
         m = compression.train(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
         assert all(0 < x.score < 1 for x in compression.score_documents(docs, m).collect())
+
+
+def test_query_against_plain_code(spark, sf_dir):
+    """Every row's score from sizes that zstandard itself gives, and which rows are held out."""
+    import zstandard
+
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    m = compression.train(docs.where(~queries.held_out("doc_id", 5, 0)), labels)
+    used = {t for t, _ in compression.labelled_sample(docs.where(~queries.held_out("doc_id", 5, 0)), labels, "doc_id", "text", "quality", 2000, 64 << 20)}
+    marked = {r.doc_id for r in labels.where("quality is not null").collect()}
+    rows = docs.collect()
+    assert used == {r.text for r in rows if r.doc_id in marked and zlib.crc32(str(r.doc_id).encode()) % 5}
+    size = lambda d, t: len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False).compress(t))
+    got = queries.op6_quality(spark, sf_dir).toPandas().set_index("doc_id")
+    for r in rows:
+        t = (r.text or "").encode()
+        want = 1 / (1 + np.exp(-(m.weights[0] + m.weights[1] * (size(m.bad, t) - size(m.good, t)) / (len(t) + 1))))
+        x = got.loc[r.doc_id]
+        assert abs(x.score - want) < 1e-9 and x.predicted == (want >= 0.3) and x.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
