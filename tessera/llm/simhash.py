@@ -315,9 +315,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     since = written()
     groups = similar_documents(docs, id_col, text_col, **how).withColumnRenamed(id_col, "id")
-    first = groups.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "text_hash")).alias("f"))
-    each = groups.groupBy("id", "text_hash", "component").agg(F.count("*").alias("n")).join(first, "component")
-    stays = F.col("id").eqNullSafe(F.col("f.id")) & (F.col("text_hash") == F.col("f.text_hash"))
+    first = groups.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "text_hash")).alias("f")).select(F.col("f.id").alias("first_id"), F.col("f.text_hash").alias("first_hash"))
+    each = groups.groupBy("id", "text_hash").agg(F.count("*").alias("n"))  # rows meet the first ones by what they are, not by their group, which may be a third of all
+    each = each.join(first, (F.col("text_hash") == F.col("first_hash")) & F.col("id").eqNullSafe(F.col("first_id")), "left")
+    stays = F.col("first_hash").isNotNull()
     acted = each.select(F.col("id").alias("__id"), F.col("text_hash").alias("__h"), F.xxhash64("text_hash", "id").alias("__key"), stays.alias("__stays"), F.col("n").alias("__n"))
     acted = materialize(acted.where("not __stays or __n > 1"), "acted")
     release(docs.sparkSession, since, (acted,))
