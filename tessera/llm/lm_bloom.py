@@ -537,7 +537,7 @@ def _resolve(shared):
     return run
 
 
-def score(docs: DataFrame, model: Model, exact: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), flush: int = 1_000_000, fan_out: int = 4096) -> DataFrame:
+def score(docs: DataFrame, model: Model, exact: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), flush: int = 500_000, fan_out: int = 4096) -> DataFrame:
     """(id, *keep, n_tokens, n_known, train_tokens, base_score, score) for each row.
 
     base_score adds log10((c + 1) / (N + V + 1)) over the tokens with exact counts c; score is the
