@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,12 +65,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: lineage ends there and any executor can read it.
 
     Nothing refers to the shuffles behind it any more, but their files stay on the executors until the driver
-    collects its garbage; so that is asked for.
+    collects its garbage; so that is asked for, when the listeners have let go of the finished job, and once more before
+    the next table is written.
     """
-    path = f"{shared_dir(df.sparkSession)}/tessera-{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+    spark._jvm.System.gc()
     df.write.parquet(path)
     _SCRATCH.append(path)
-    df.sparkSession._jvm.System.gc()
+    try:
+        spark._jsc.sc().listenerBus().waitUntilEmpty(2000)
+    except Py4JJavaError:  # they are slow; the files go later
+        pass
+    spark._jvm.System.gc()
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
