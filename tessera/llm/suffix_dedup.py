@@ -88,9 +88,7 @@ def contexts(docs: list[bytes], length: int, gram: int = GRAM, window: int | Non
         a = np.flatnonzero(into % longest == 0)
         cut = a[1:]
     b = np.append(cut, len(m)) - 1
-    again = h[at] == m
-    again[b] = False  # the gram at a run's last start ends it; at another start it must come again
-    twice = np.logical_or.reduceat(again, a)
+    twice = _occurs_twice(h, least, w, m[a], at[a], at[b])
     s, e = at[a], np.minimum(at[b] + length, (start + size)[doc[a]])
     ch = np.fromiter((xxhash.xxh3_64_intdigest(buf[i:j]) for i, j in zip(s.tolist(), e.tolist(), strict=True)), np.uint64, len(s))
     d, low = doc[a], m[a]
@@ -105,6 +103,20 @@ def contexts(docs: list[bytes], length: int, gram: int = GRAM, window: int | Non
     return d, low.view(np.int64), s - start[d], e - s, b - a + 1, twice, ch.view(np.int64), left, right
 
 
+def _occurs_twice(h: np.ndarray, least: np.ndarray, w: int, low: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether a run's least hash stands at two places or more of its windows, which start from first to last.
+
+    Such a place is the least of a window that holds it, so it is equal to the greatest of these windows' least values.
+    """
+    around = np.zeros(len(least) + 2 * (w - 1), np.uint64)
+    around[w - 1 : w - 1 + len(least)] = least
+    places = np.flatnonzero(h == ~sliding_least(~around, w))
+    values, of = np.unique(h[places], return_inverse=True)
+    key = np.sort(of * len(h) + places)
+    base = np.searchsorted(values, low) * len(h)
+    return np.searchsorted(key, base + last + w - 1, "right") - np.searchsorted(key, base + first) > 1
+
+
 def _digests(buf: bytes, at: np.ndarray, size: int, wanted: np.ndarray) -> np.ndarray:
     """Hashes of `size` bytes from each place that is wanted."""
     out = np.zeros(len(at), np.uint64)

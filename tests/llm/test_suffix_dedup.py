@@ -87,6 +87,37 @@ def corpus(seed):
     return texts
 
 
+def lines_again(seed, length, pairs):
+    """Pairs of documents that share one string of some `length` bytes, in which a line comes again, so that a gram does."""
+    r = random.Random(seed)
+    noise = lambda n: "".join(r.choices("abcdefghijklmnop", k=n))
+    texts = []
+    for _ in range(pairs):
+        line, shared = noise(r.randrange(33, 60)), ""
+        while len(shared) < length + r.randrange(60):
+            shared += line if r.random() < 0.5 else noise(r.randrange(1, length // 4))
+        texts += [noise(r.randrange(length)) + shared + noise(r.randrange(length)) for _ in range(2)]
+    return texts
+
+
+@pytest.mark.parametrize(("length", "window", "pairs"), [(100, 80, 400), (400, 340, 1500)])
+def test_a_line_that_comes_again_in_a_shared_string(spark, length, window, pairs):
+    texts = lines_again(length, length, pairs)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: [tuple(s) for s in x.spans] for x in suffix_dedup.repeated_spans(df, length=length, window=window).collect()}
+    assert [got[i] for i in range(len(texts))] == brute([t.encode() for t in texts], length)
+
+
+def test_grams_that_stand_twice_in_a_run():
+    texts = [t.encode() for t in lines_again(7, 100, 40)]
+    buf, w = b"".join(texts), 80 - 32 + 1
+    h = suffix_dedup.gram_hashes(buf)
+    start = [sum(map(len, texts[:i])) for i in range(len(texts))]
+    d, low, s, _, own, twice, *_ = suffix_dedup.contexts(texts, 100, 32, 80)
+    want = [int((h[start[i] + a : start[i] + a + n - 1 + w].view("int64") == m).sum()) > 1 for i, m, a, n in zip(d, low, s, own, strict=True)]
+    assert twice.tolist() == want and any(want)
+
+
 @pytest.mark.parametrize(("seed", "shard"), [(1, 1 << 20), (2, 2000), (3, 300)])
 def test_against_brute_force(spark, seed, shard):
     """Small shards make many minimizers overfill one, so that their strings are dealt again by longer grams."""
