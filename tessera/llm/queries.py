@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, compression, decontam, lm_bloom, mixing, pii, repetition, simhash, suffix_dedup, tokens
+from tessera.llm import chat, compression, decontam, lm_bloom, mixing, packing, pii, repetition, simhash, suffix_dedup, tokens
 from tessera.llm.common import id_text, read, small_batches, text_or_empty
 
 
@@ -220,9 +220,16 @@ SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS
 """
 
 
+def op11_packing(spark: SparkSession, sf_dir: str, vocabulary: str = "word_bpe_49k.json") -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(vocabulary))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op3_chat": op3_chat, "op4_tokens": op4_tokens, "op5_pii": op5_pii,
     "op6_quality": op6_quality, "op7_repetition": op7_repetition, "op8_decontamination": op8_decontamination, "op9_language_model": op9_language_model,
     "op10_suffix_dedup": op10_suffix_dedup, "repeated_strings": repeated_strings,
+    "op11_packing": op11_packing,
 }
 ORACLES = {"op2_mixing": OP2_SQL, "op3_chat": OP3_SQL, "op7_repetition": OP7_SQL, "op8_decontamination": OP8_SQL, "repeated_strings": REPEATED_SQL}
