@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, compression, decontam, lm_bloom, mixing, packing, pii, repetition, simhash, suffix_dedup, tokens
-from tessera.llm.common import id_text, read, small_batches, text_or_empty
+from tessera.llm import chat, compression, decontam, lm_bloom, mixing, packing, periodic, pii, repetition, simhash, suffix_dedup, tokens
+from tessera.llm.common import WORD, id_text, read, small_batches, text_or_empty
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,10 +226,37 @@ def op11_packing(spark: SparkSession, sf_dir: str, vocabulary: str = "word_bpe_4
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(vocabulary))
 
 
+def with_periodic_ends(text: Column, doc_id: Column) -> Column:
+    """The text, of every tenth id by its checksum as words of which the last ones repeat: each word i from a on is word a + (i - a) % p."""
+    h = F.crc32(id_text(doc_id).cast("binary"))
+    g = F.floor(h / 10).cast("long")
+
+    def made(w: Column) -> Column:
+        n = F.size(w)
+        a = F.pmod(g, n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        block = F.slice(w, a + 1, p)
+        return F.array_join(F.concat(F.slice(w, F.lit(1), a), F.slice(F.flatten(F.array_repeat(block, F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)), " ")
+
+    words = F.regexp_extract_all(text, F.lit(WORD), 0)
+    return F.when((h % 10 == 0) & text.rlike(WORD), F.transform(F.array(words), made)[0]).otherwise(text)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = read(spark, sf_dir, "documents")
+    found = docs.select("doc_id", periodic.periodic_runs(with_periodic_ends(F.col("text"), F.col("doc_id"))).alias("m")).select("doc_id", "m.runs", "m.collapsed")
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    docs = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    start, length, period = F.col("b")["s"], -F.col("b")["l"], F.col("b")["p"]
+    return docs.select("doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"), F.expr("(-1000 * b.l) div b.p").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op3_chat": op3_chat, "op4_tokens": op4_tokens, "op5_pii": op5_pii,
     "op6_quality": op6_quality, "op7_repetition": op7_repetition, "op8_decontamination": op8_decontamination, "op9_language_model": op9_language_model,
     "op10_suffix_dedup": op10_suffix_dedup, "repeated_strings": repeated_strings,
-    "op11_packing": op11_packing,
+    "op11_packing": op11_packing, "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES = {"op2_mixing": OP2_SQL, "op3_chat": OP3_SQL, "op7_repetition": OP7_SQL, "op8_decontamination": OP8_SQL, "repeated_strings": REPEATED_SQL}
