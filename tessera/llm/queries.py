@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, compression, decontam, lm_bloom, mixing, packing, periodic, pii, repetition, simhash, suffix_dedup, tokens
+from tessera.llm import chat, collocations, compression, decontam, lm_bloom, mixing, packing, periodic, pii, repetition, simhash, suffix_dedup, tokens
 from tessera.llm.common import WORD, id_text, read, small_batches, text_or_empty
 
 
@@ -226,6 +226,31 @@ def op11_packing(spark: SparkSession, sf_dir: str, vocabulary: str = "word_bpe_4
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(vocabulary))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+#: Words are numbered in a document; a word of another piece starts after a gap in the numbers.
+OP12_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT r, lang, unnest(regexp_extract_all(text, '[^.,;:!?\x0A-\x0D]+')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+grams AS (SELECT lang, k, w[i:i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS ks(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, g, count(*)::HUGEINT AS f FROM grams GROUP BY lang, k, g),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, g, f AS a FROM f WHERE k > 1 AND f >= 10),
+cuts AS (
+  SELECT c.lang, c.k, c.g, c.a, x.cut, l.f AS l, r.f AS r, (1000000::HUGEINT * c.a * c.a) // (l.f * r.f) AS score
+  FROM c JOIN (VALUES (1), (2)) AS x(cut) ON x.cut < c.k JOIN f l ON l.lang = c.lang AND l.g = c.g[1:x.cut] JOIN f r ON r.lang = c.lang AND r.g = c.g[x.cut + 1:c.k]),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+inner2 AS (SELECT lang, a, unnest([g[1:2], g[2:3]]) AS g FROM c WHERE k = 3),
+kept AS (SELECT b.* FROM best b WHERE NOT EXISTS (SELECT 1 FROM inner2 i WHERE i.lang = b.lang AND i.g = b.g AND 100 * i.a >= 50 * b.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM kept)
+SELECT lang, rank, array_to_string(g, ' ') AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 def with_periodic_ends(text: Column, doc_id: Column) -> Column:
     """The text, of every tenth id by its checksum as words of which the last ones repeat: each word i from a on is word a + (i - a) % p."""
     h = F.crc32(id_text(doc_id).cast("binary"))
@@ -257,6 +282,6 @@ QUERIES = {
     "op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op3_chat": op3_chat, "op4_tokens": op4_tokens, "op5_pii": op5_pii,
     "op6_quality": op6_quality, "op7_repetition": op7_repetition, "op8_decontamination": op8_decontamination, "op9_language_model": op9_language_model,
     "op10_suffix_dedup": op10_suffix_dedup, "repeated_strings": repeated_strings,
-    "op11_packing": op11_packing, "op13_periodic_runs": op13_periodic_runs,
+    "op11_packing": op11_packing, "op12_collocations": op12_collocations, "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLES = {"op2_mixing": OP2_SQL, "op3_chat": OP3_SQL, "op7_repetition": OP7_SQL, "op8_decontamination": OP8_SQL, "repeated_strings": REPEATED_SQL}
+ORACLES = {"op2_mixing": OP2_SQL, "op3_chat": OP3_SQL, "op7_repetition": OP7_SQL, "op8_decontamination": OP8_SQL, "repeated_strings": REPEATED_SQL, "op12_collocations": OP12_SQL}
