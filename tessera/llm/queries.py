@@ -230,23 +230,29 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read(spark, sf_dir, "documents"))
 
 
-#: Words are numbered in a document; a word of another piece starts after a gap in the numbers.
 OP12_SQL = """
 WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
 p AS (SELECT r, lang, unnest(regexp_extract_all(text, '[^.,;:!?\x0A-\x0D]+')) AS piece FROM d),
 w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
-grams AS (SELECT lang, k, w[i:i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS ks(k) WHERE len(w) >= k)),
-f AS (SELECT lang, k, g, count(*)::HUGEINT AS f FROM grams GROUP BY lang, k, g),
-n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
-c AS (SELECT lang, k, g, f AS a FROM f WHERE k > 1 AND f >= 10),
+f1 AS MATERIALIZED (SELECT lang, x, count(*)::HUGEINT AS f FROM (SELECT lang, unnest(w) AS x FROM w) GROUP BY lang, x),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang),
+f2 AS MATERIALIZED (
+  SELECT lang, x, y, count(*)::HUGEINT AS f FROM (SELECT lang, w[i] AS x, w[i + 1] AS y FROM (SELECT lang, w, unnest(range(1, len(w))) AS i FROM w))
+  GROUP BY lang, x, y HAVING count(*) >= 10),
+f3 AS MATERIALIZED (
+  SELECT lang, x, y, z, count(*)::HUGEINT AS f FROM (SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z FROM (SELECT lang, w, unnest(range(1, len(w) - 1)) AS i FROM w))
+  GROUP BY lang, x, y, z HAVING count(*) >= 10),
 cuts AS (
-  SELECT c.lang, c.k, c.g, c.a, x.cut, l.f AS l, r.f AS r, (1000000::HUGEINT * c.a * c.a) // (l.f * r.f) AS score
-  FROM c JOIN (VALUES (1), (2)) AS x(cut) ON x.cut < c.k JOIN f l ON l.lang = c.lang AND l.g = c.g[1:x.cut] JOIN f r ON r.lang = c.lang AND r.g = c.g[x.cut + 1:c.k]),
-best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
-inner2 AS (SELECT lang, a, unnest([g[1:2], g[2:3]]) AS g FROM c WHERE k = 3),
-kept AS (SELECT b.* FROM best b WHERE NOT EXISTS (SELECT 1 FROM inner2 i WHERE i.lang = b.lang AND i.g = b.g AND 100 * i.a >= 50 * b.a)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM kept)
-SELECT lang, rank, array_to_string(g, ' ') AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+  SELECT c.lang, c.x || ' ' || c.y AS phrase, c.f AS a, 1 AS cut, l.f AS l, r.f AS r FROM f2 c JOIN f1 l ON l.lang = c.lang AND l.x = c.x JOIN f1 r ON r.lang = c.lang AND r.x = c.y
+  UNION ALL SELECT c.lang, c.x || ' ' || c.y || ' ' || c.z, c.f, 1, l.f, r.f FROM f3 c JOIN f1 l ON l.lang = c.lang AND l.x = c.x JOIN f2 r ON r.lang = c.lang AND r.x = c.y AND r.y = c.z
+  UNION ALL SELECT c.lang, c.x || ' ' || c.y || ' ' || c.z, c.f, 2, l.f, r.f FROM f3 c JOIN f2 l ON l.lang = c.lang AND l.x = c.x AND l.y = c.y JOIN f1 r ON r.lang = c.lang AND r.x = c.z),
+best AS (
+  SELECT *, (1000000::HUGEINT * a * a) // (l * r) AS score FROM cuts
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY (1000000::HUGEINT * a * a) // (l * r), cut) = 1),
+longer AS (SELECT lang, phrase, max(f) AS f FROM (SELECT lang, x || ' ' || y AS phrase, f FROM f3 UNION ALL SELECT lang, y || ' ' || z, f FROM f3) GROUP BY lang, phrase),
+kept AS (SELECT b.* FROM best b LEFT JOIN longer i ON i.lang = b.lang AND i.phrase = b.phrase WHERE i.f IS NULL OR 100 * i.f < 50 * b.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
 FROM ranked JOIN n USING (lang) WHERE rank <= 2000
 """
 
