@@ -16,20 +16,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
+import zstandard
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import wordspans
-from tessera.llm.common import materialize, small_batches
+from tessera.llm.common import materialize, release, small_batches, written
 
 INNER, MARK = 2, 1
 #: Blanks, marks that end a piece, and all other bytes.
 KIND = wordspans.classes(b"\x20\t", marks=b".,;:!?\n\x0b\x0c\r")
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-PART = 1 << 14  # buckets that travel together
+PART = 1 << 17  # buckets that travel together
 FOUND = "lang string, phrase string, part int, f long, bits binary"
 
 
@@ -97,7 +97,7 @@ def _pass(n: int, longest: int, least: int, bits: int, seen: Broadcast | None, p
     """Counts of the phrases of n words that can be frequent, and buckets of longer ones. seen: bits of buckets of n words, and of frequent phrases of n - 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = np.zeros(1 << bits, np.uint16) if n < longest else None
+        buckets = np.zeros(1 << bits, np.uint8) if n < longest else None
         for b in wordspans.pieces(batches, 0, piece):
             w = Words(b.column(0), b.column(1))
             if not len(w.id):
@@ -124,14 +124,13 @@ def _pass(n: int, longest: int, least: int, bits: int, seen: Broadcast | None, p
                 more, many = distinct([w.id[nxt + k] for k in range(n + 1)])
                 at = spot([w.hash[i] for i in more], bits).astype(np.int64)
                 at, back = np.unique(at, return_inverse=True)
-                add = np.bincount(back, np.minimum(many, least), len(at))
-                buckets[at] = np.minimum(buckets[at] + np.minimum(add, least).astype(np.uint16), least)
+                buckets[at] = np.minimum(buckets[at] + np.bincount(back, many, len(at)), least)
             lang, text = w.phrase(ids)
             yield rows(lang, text, count)
         for k in range(0, len(buckets) if buckets is not None else 0, PART):
             part = buckets[k : k + PART]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([None], pa.string())] * 2 + [pa.array([k // PART], pa.int32()), pa.array([TaskContext.get().partitionId()]), pa.array([part.astype(np.uint8).tobytes()])], names=["lang", "phrase", "part", "f", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string())] * 2 + [pa.array([k // PART], pa.int32()), pa.nulls(1, pa.int64()), pa.array([zstandard.compress(part.tobytes(), 3)])], names=["lang", "phrase", "part", "f", "bits"])
 
     def rows(lang: pa.Array, text: pa.Array, count: np.ndarray) -> pa.RecordBatch:
         none = lambda kind: pa.nulls(len(count), kind)
@@ -152,11 +151,10 @@ def _bucket_bits(parts: DataFrame, least: int) -> bytes:
     """The table of buckets that reach the least count. Tasks' counts of a part are added up as they come; no more than one part is held."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, part = np.zeros(PART, np.int64), 0
+        total, part = np.int64(0), 0
         for b in batches:
             for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                part = k
-                total = np.minimum(total + np.frombuffer(x, np.uint8, count=len(x)), least) if len(x) == PART else total
+                part, total = k, np.minimum(total + np.frombuffer(zstandard.decompress(x), np.uint8), least)
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(total >= least, bitorder="little").tobytes()])], names=["part", "bits"])
 
     return parts.groupBy("part").applyInArrow(add, "part int, bits binary")
@@ -166,7 +164,8 @@ def table_of(rows: list, bits: int) -> np.ndarray:
     """The whole table of a few parts."""
     out = np.zeros((1 << bits) // 8, np.uint8)
     for r in rows:
-        out[r.part * PART // 8 : (r.part + 1) * PART // 8] = np.frombuffer(r.bits, np.uint8)
+        got = np.frombuffer(r.bits, np.uint8)
+        out[r.part * PART // 8 : r.part * PART // 8 + len(got)] = got
     return out
 
 
@@ -191,15 +190,15 @@ def _phrase_bits(bits: int) -> Callable:
 
 def _either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One part of which any of the parts sets a bit."""
-    total, part = np.zeros(PART // 8, np.uint8), 0
+    total, part = np.uint8(0), 0
     for b in batches:
         for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             part, total = k, total | np.frombuffer(x, np.uint8)
-    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()])], names=["part", "bits"])
+    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.asarray(total).tobytes()])], names=["part", "bits"])
 
 
 def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 3, least: int = 10, bits: int | None = None, piece: int = 1 << 22) -> list[DataFrame]:
-    """For 1 to `longest` words, (lang, phrase, f) of the phrases that occur `least` times or more in texts of the language; for single words all, whatever their number.
+    """The number n of words by lang; then for 1 to `longest` words, (lang, phrase, f) of the phrases that occur `least` times or more in texts of the language.
 
     The tables are written. bits: 2 ** bits buckets; without it one for each 16 bytes of file, from 2 ** 20 to 2 ** 25 (32 MB in a
     worker, 4 MB as bits). Their number changes no result.
@@ -212,16 +211,19 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
         size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         bits = min(25, max(20, math.ceil(math.log2(max(1, size / 16)))))
     texts = docs.select(F.col(text_col).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
-    out, seen = [], None
+    out, seen, since = [], None, written()
     for n in range(1, longest + 1):
         both = materialize(texts.mapInArrow(_pass(n, longest, least, bits, seen, piece), FOUND), f"phrases-{n}")
-        counted = both.where("part is null").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-        out.append(materialize(counted if n == 1 else counted.where(F.col("f") >= least), f"counted-{n}"))
+        counted = both.where("part is null").select("lang", "phrase", "f")
+        if n == 1:
+            out.append(materialize(counted.groupBy("lang").agg(F.sum("f").alias("n")), "words"))
+        out.append(materialize(counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least), f"counted-{n}"))
         if n < longest:
             buckets = _bucket_bits(both.where("part is not null").select("part", "bits"), least).collect()  # 2 ** bits bits in all
-            often = out[-1].where(F.col("f") >= least).select("lang", "phrase").mapInArrow(_phrase_bits(bits), "part int, bits binary")
+            often = out[-1].select("lang", "phrase").mapInArrow(_phrase_bits(bits), "part int, bits binary")
             often = often.groupBy("part").applyInArrow(_either, "part int, bits binary").collect()  # as many
             seen = spark.sparkContext.broadcast((table_of(buckets, bits), table_of(often, bits)))
+        release(spark, since, tuple(out))
     return out
 
 
@@ -243,9 +245,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     read. Only tables of bits of bounded size are broadcast; counts meet in shuffles, and a language's best
     are taken from the best of some parts of it.
     """
-    counts = frequent_phrases(docs, text_col, lang_col, longest, least, bits)
-    total = counts[0].groupBy("lang").agg(F.sum("f").alias("n"))
-    often = [c.where(F.col("f") >= least) for c in counts]
+    total, *often = frequent_phrases(docs, text_col, lang_col, longest, least, bits)
     wide = lambda c: c.cast("decimal(38,0)")
     parts = []
     for k in range(2, longest + 1):
