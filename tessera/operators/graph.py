@@ -160,40 +160,126 @@ def mark_stale(nodes: DataFrame, changed: DataFrame) -> DataFrame:
     return out.select(*nodes.columns, *["embedding_status"] * ("embedding_status" not in nodes.columns))
 
 
-def reachable(edges: DataFrame, depth: int | None = None, limit: int = 60) -> DataFrame:
-    """(source, target): pairs joined by a path of directed edges; to a depth, or until nothing is new."""
+def reachable(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """(source, target): pairs joined by a path of directed edges, of `depth` edges at most or of any number.
+
+    To a depth, a step a round. Without one, the paths found so far are joined with each other, which doubles their
+    length, until nothing is new: a path of n edges takes some log2(n) rounds, and none is left out.
+    """
     from tessera.operators.tables import materialize
 
     step = edges.select("source", "target").distinct()
     seen = new = materialize(step)
-    for _ in range((depth or limit) - 1):
-        new = materialize(new.select("source", F.col("target").alias("m")).join(step.select(F.col("source").alias("m"), "target"), "m").select("source", "target").distinct().join(seen, ["source", "target"], "left_anti"))
+    rounds = 0
+    while depth is None or rounds < depth - 1:
+        on = seen if depth is None else step
+        further = new.select("source", F.col("target").alias("m")).join(on.select(F.col("source").alias("m"), "target"), "m").select("source", "target")
+        if depth is None:  # a new path may be the second half, too
+            further = further.unionByName(on.select("source", F.col("target").alias("m")).join(new.select(F.col("source").alias("m"), "target"), "m").select("source", "target"))
+        new = materialize(further.distinct().join(seen, ["source", "target"], "left_anti"))
         if new.isEmpty():
             break
-        seen = materialize(seen.unionByName(new))
+        seen, rounds = materialize(seen.unionByName(new)), rounds + 1
     return seen
 
 
-def cycle_nodes(edges: DataFrame, limit: int = 200) -> DataFrame:
-    """(id): nodes that are left when those without incoming or without outgoing edges are taken away again and again.
+def strong_components(edges: DataFrame, at_once: int = 1_000_000, trims: int = 2) -> DataFrame:
+    """(id, component): nodes that lie on a cycle, with the least node that each is in a cycle with; a loop is a cycle.
 
-    There is a cycle just if some are left: every node of a cycle is, and so are paths between cycles. Each
-    round is linear in the edges, where path arrays would grow with the number of paths.
+    Nodes without incoming or outgoing edges are taken away a few times. Then colours spread forward: each node
+    takes the greatest node that reaches it. The nodes of a colour that reach its namesake backward are a component; edges between
+    colours are on no cycle and go, and so on with what is left. Once `at_once` edges are left at most (32 MB of a task),
+    one task ends the work by depth-first search, so chains of any length take no rounds of their own.
     """
     from tessera.operators.tables import materialize
 
-    e = materialize(edges.select("source", "target").distinct())
-    n = e.count()
-    for _ in range(limit):
+    e = materialize(edges.select(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target")).where("source is not null and target is not null").distinct())
+    found = []
+    while (n := e.count()) > at_once:
+        for _ in range(trims):
+            inner = materialize(e.select(F.col("target").alias("id")).intersect(e.select(F.col("source").alias("id"))))
+            e = materialize(e.join(inner.withColumnRenamed("id", "source"), "source", "left_semi").join(inner.withColumnRenamed("id", "target"), "target", "left_semi"))
+            m = e.count()
+            if m == n:
+                break
+            n = m
         if not n:
             break
-        inner = e.select(F.col("target").alias("id")).intersect(e.select(F.col("source").alias("id")))
-        e = materialize(e.join(inner.withColumnRenamed("id", "source"), "source", "left_semi").join(inner.withColumnRenamed("id", "target"), "target", "left_semi"))
-        m = e.count()
-        if m == n:
-            break
-        n = m
-    return e.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+        colour = materialize(e.select(F.explode(F.array("source", "target")).alias("id")).distinct().withColumn("colour", F.col("id")))
+        while True:
+            sent = e.join(colour.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg(F.max("colour").alias("sent"))
+            new = materialize(colour.join(sent, "id", "left").select("id", F.greatest("colour", "sent").alias("colour"), (F.coalesce("sent", "colour") > F.col("colour")).alias("moved")))
+            colour = new.select("id", "colour")
+            if new.where("moved").isEmpty():
+                break
+        same = e.join(colour.select(F.col("id").alias("source"), F.col("colour").alias("c")), "source").join(colour.select(F.col("id").alias("target"), F.col("colour").alias("d")), "target")
+        same = materialize(same.where("c = d").select("source", "target", "c"))
+        back = front = materialize(same.where("target = c").select(F.col("source").alias("id"), "c").distinct())
+        while not front.isEmpty():
+            front = materialize(same.join(front.select(F.col("id").alias("target")), "target").select(F.col("source").alias("id"), "c").distinct().join(back, "id", "left_anti").select("id", "c"))
+            back = materialize(back.unionByName(front))
+        found.append(_least_of_each(back))
+        e = materialize(same.join(back.select(F.col("id").alias("source")), "source", "left_anti").join(back.select(F.col("id").alias("target")), "target", "left_anti").select("source", "target"))
+    out = e.groupBy(F.lit(0).alias("all")).applyInArrow(_depth_first, "id string, component string")
+    for f in found:
+        out = out.unionByName(f)
+    return out
+
+
+def _least_of_each(nodes: DataFrame) -> DataFrame:
+    """(id, component) of nodes (id, c): the least id of each c."""
+    from tessera.operators.tables import materialize
+
+    return materialize(nodes.join(nodes.groupBy("c").agg(F.min("id").alias("component")), "c").select("id", "component"))
+
+
+def _depth_first(edges):
+    """Components by the path of open nodes: a node closes a component if nothing below it reaches further back."""
+    import pyarrow as pa
+
+    after: dict[str, list[str]] = {}
+    loops = set()
+    for a, b in zip(edges.column("source").to_pylist(), edges.column("target").to_pylist(), strict=True):
+        after.setdefault(a, []).append(b)
+        if a == b:
+            loops.add(a)
+    order, low, path, on_path, ids, component = {}, {}, [], set(), [], []
+    for root in after:
+        if root in order:
+            continue
+        work = [(root, iter(after[root]))]
+        order[root] = low[root] = len(order)
+        path.append(root)
+        on_path.add(root)
+        while work:
+            node, rest = work[-1]
+            for b in rest:
+                if b not in order:
+                    order[b] = low[b] = len(order)
+                    path.append(b)
+                    on_path.add(b)
+                    work.append((b, iter(after.get(b, ()))))
+                    break
+                if b in on_path:
+                    low[node] = min(low[node], order[b])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == order[node]:
+                    group = [path.pop()]
+                    while group[-1] != node:
+                        group.append(path.pop())
+                    on_path.difference_update(group)
+                    if len(group) > 1 or node in loops:
+                        ids += group
+                        component += [min(group)] * len(group)
+    return pa.table({"id": pa.array(ids, pa.string()), "component": pa.array(component, pa.string())})
+
+
+def cycle_nodes(edges: DataFrame) -> DataFrame:
+    """(id): nodes on a cycle of directed edges; those on paths between cycles are not."""
+    return strong_components(edges).select(F.col("id").cast(edges.schema["source"].dataType))
 
 
 def codex_hints(nodes: DataFrame, codex: DataFrame) -> DataFrame:

@@ -116,13 +116,16 @@ def signals(project: Project, found: DataFrame) -> DataFrame:
 
 def closures(project: Project) -> DataFrame:
     """(file, fn, vars): what functions capture of the functions around them."""
-    scopes = project.table("scope")
-    up = scopes.select("file", "scope_id", F.col("scope_id").alias("ancestor_id"), F.lit(0).alias("depth"), "parent_id")
-    all_ = up
-    for d in range(1, 5):
-        up = up.where("parent_id >= 0").select("file", "scope_id", F.col("parent_id").alias("ancestor_id"), F.lit(d).alias("depth")).join(scopes.select("file", F.col("scope_id").alias("ancestor_id"), "parent_id"), ["file", "ancestor_id"])
-        all_ = all_.unionByName(up)
-    return detect.closure_captures(project.table("use").where("scope_id >= 0"), project.table("binding"), all_.drop("parent_id"))
+    scopes = materialize(project.table("scope").select("file", "scope_id", "parent_id"))
+    own = scopes.select("file", "scope_id", F.col("scope_id").alias("ancestor_id"), F.lit(0).alias("depth"))
+    up = materialize(scopes.where("parent_id >= 0").select("file", "scope_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("depth")))
+    reach = 1
+    while not up.where(F.col("depth") == reach).isEmpty():  # functions in functions to any depth, twice as deep each round
+        further = up.where(F.col("depth") == reach).join(up.select("file", F.col("scope_id").alias("ancestor_id"), F.col("ancestor_id").alias("above"), F.col("depth").alias("more")), ["file", "ancestor_id"])
+        up = materialize(up.unionByName(further.select("file", "scope_id", F.col("above").alias("ancestor_id"), (F.col("depth") + F.col("more")).alias("depth"))))
+        reach *= 2
+    all_ = own.unionByName(up)
+    return detect.closure_captures(project.table("use").where("scope_id >= 0"), project.table("binding"), all_)
 
 
 def analyze(project: Project, symptom: str, store: DataFrame) -> dict[str, DataFrame]:

@@ -1,5 +1,7 @@
 """Golden values worked out by hand, and properties."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,6 +164,44 @@ def test_cycles(spark):
     assert graph.reachable(e(("a", "b"), ("b", "c"), ("c", "a"))).count() == 9
 
 
+def tarjan(pairs):
+    """Components of two nodes and more, or with a loop, by reachability."""
+    after = {}
+    for a, b in pairs:
+        after.setdefault(a, set()).add(b)
+    reach = {}
+    for a in after:
+        seen, todo = set(), [a]
+        while todo:
+            for b in after.get(todo.pop(), ()):
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        reach[a] = seen
+    return {a: min(b for b in r if a in reach.get(b, ())) for a, r in reach.items() if a in r}
+
+
+@pytest.mark.parametrize("at_once", [0, 1_000_000])
+def test_components_of_random_graphs(spark, at_once):
+    r = random.Random(at_once)
+    pairs = []
+    for g, (n, m) in enumerate([(12, 18), (30, 40), (8, 30), (25, 25)]):
+        pairs += [(f"{g}-{r.randrange(n)}", f"{g}-{r.randrange(n)}") for _ in range(m)]
+    e = spark.createDataFrame(pairs, "source string, target string")
+    assert {x.id: x.component for x in graph.strong_components(e, at_once=at_once).collect()} == tarjan(pairs)
+
+
+def test_long_chains_are_no_cycles(spark):
+    chain = [(i, i + 1) for i in range(10_000)]
+    kind = "source long, target long"
+    assert graph.cycle_nodes(spark.createDataFrame(chain, kind)).count() == 0
+    assert graph.cycle_nodes(spark.createDataFrame([*chain, (10_000, 5_000), (3, 3)], kind)).count() == 5_002
+    path = [(i, i + 1) for i in range(100)]
+    assert graph.reachable(spark.createDataFrame(path, kind)).count() == 100 * 101 // 2
+    assert graph.reachable(spark.createDataFrame(path, kind), depth=3).count() == 100 + 99 + 98
+    assert graph.cycle_nodes(spark.createDataFrame([], kind)).count() == 0
+
+
 def test_contradictions(spark):
     s = spark.createDataFrame([(1, "the click handler is not firing, render() is wrong"), (2, "count grows with navigation, 5 pages 5x"), (3, "fine")], "symptom_id int, text string")
     files = spark.createDataFrame([("src/view.js",)], "path string")

@@ -184,3 +184,12 @@ def test_stream_upserts(spark, tmp_path):
     assert streaming.upsert(b(("a", "1", 6), ("b", "3", 6), ("c", None, 6)), t, 1) == {"changed": 1, "added": 1}
     assert streaming.upsert(b(("a", "1", 6), ("b", "3", 6), ("c", None, 6)), t, 1) == {"changed": 1, "added": 1}
     assert {(x.path, x.content) for x in streaming.current(spark, t).collect()} == {("a", "1"), ("b", "3"), ("c", None)}
+
+
+def test_closures_of_any_depth(spark):
+    """A variable seven functions up is captured, and so are all on the way."""
+    head = "".join(f"{'  ' * k}function f{k}() {{\n{'  ' * k}  let v{k} = {k};\n" for k in range(8))
+    source = head + "  " * 8 + "return v0 + v1 + v6 + v7;\n" + "".join("  " * k + "}\n" for k in range(7, -1, -1))
+    p = services.load(spark.createDataFrame([("src/deep.js", source)], "path string, content string"))
+    got = {x.fn: x.vars for x in services.closures(p).collect()}
+    assert got["f7"] == ["v0", "v1", "v6"]
