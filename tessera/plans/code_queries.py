@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import crossfile, detect, graph, patterns, rank, verify
-from tessera.operators.tables import materialize
+from tessera.operators.tables import materialize, shared_dir
 from tessera.plans import code, services
 from tessera.plans.code import CONTENT_SQL, FILES_SQL
 from tessera.plans.registry import query
 from tessera.sources import extract, sinks
+from tessera.sources.buckets import Store
 
 
 def _t(spark: SparkSession, d: str, fact: str) -> DataFrame:
@@ -464,6 +467,30 @@ def code_refresh(spark: SparkSession, d: str) -> DataFrame:
     return hashes.join(status, "path", "left").select("path", "content_hash", "status")
 
 
+def _updated(spark: SparkSession, d: str) -> tuple:
+    """A stored map of an earlier code base, brought up to date: every second nation's file had another text, and the box was not there."""
+    files = materialize(code.files(spark, d))
+    old = files.where("path <> 'src/box.js'").withColumn("content", F.when(nation() % 2 == 0, F.concat("content", F.lit("// old\n"))).otherwise(F.col("content")))
+    store = Store(spark, f"{shared_dir(spark)}/tessera-map-{uuid.uuid4().hex}", buckets=16)
+    services.update_map(store, old)
+    return services.update_map(store, files)
+
+
+@query(f"""WITH {GRAPH_SQL} SELECT source, target, type FROM edge""")
+def incremental_update(spark: SparkSession, d: str) -> DataFrame:
+    """The edges of a stored map after an update of few files: those of a full build."""
+    return _updated(spark, d)[0][1].select("source", "target", "type")
+
+
+@query(f"""WITH {FILES_SQL}, n AS (SELECT count(*) FILTER (n % 2 = 0) AS changed FROM g), b AS (SELECT count(*) AS own, count(DISTINCT n) FILTER (n % 2 = 1) AS odd FROM f WHERE seg = 'BUILDING')
+SELECT changed::BIGINT AS changed, 1::BIGINT AS added, (changed + 1)::BIGINT AS scanned, (changed + 1 + own)::BIGINT AS linked, (changed + 1 + own + odd)::BIGINT AS described FROM n, b""")
+def incremental_work(spark: SparkSession, d: str) -> DataFrame:
+    """What that update took: changed files are scanned; they and the importers of the new file are linked; files at the ends of these links are described anew."""
+    done = _updated(spark, d)[1]
+    row = (done.changes["changed"], done.changes["added"], done.scanned, done.linked, done.described)
+    return spark.createDataFrame([row], "changed long, added long, scanned long, linked long, described long")
+
+
 @query(f"""WITH {CONTENT_SQL} SELECT path, CASE WHEN starts_with(path, 'src/n') THEN 'braces not closed' END AS warning FROM code WHERE starts_with(path, 'src/n')""")
 def code_completeness(spark: SparkSession, d: str) -> DataFrame:
     """Files that look cut: the nations' files have three braces too many."""

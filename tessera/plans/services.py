@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import content_hash
-from tessera.operators import crossfile, detect, graph, memory, patterns, rank, verify
+from tessera.operators import crossfile, detect, graph, incremental, memory, patterns, rank, verify
 from tessera.operators.tables import materialize
 from tessera.sources import extract
+from tessera.sources.buckets import Store
 
 
 @dataclass
@@ -178,7 +179,7 @@ def learn(store: DataFrame, matched: DataFrame, passed: bool) -> DataFrame:
 def refresh(spark: SparkSession, files: DataFrame, stored: tuple[DataFrame, DataFrame, DataFrame]) -> tuple[tuple[DataFrame, DataFrame, DataFrame], dict[str, int]]:
     """The stored graph, patched where few files changed and built anew otherwise, with the numbers of changes.
 
-    Edges come from the facts of all files, so what unchanged files import and call of changed ones is not lost.
+    For maps that are kept as three tables. All files are scanned; update_map() scans the changed ones alone. Edges come from the facts of all files, so what unchanged files import and call of changed ones is not lost.
     """
     now = files.select("path", content_hash(F.col("content")).alias("content_hash"))
     changed = materialize(graph.changed_files(now, stored[2]))
@@ -194,6 +195,12 @@ def refresh(spark: SparkSession, files: DataFrame, stored: tuple[DataFrame, Data
     return (nodes, new[1], h), counts
 
 
+def update_map(store: Store, files: DataFrame, complete: bool = True) -> tuple[tuple[DataFrame, DataFrame, DataFrame], incremental.Update]:
+    """(nodes, edges, hashes) of a stored map brought up to date, and what that took: only changed files are scanned."""
+    done = incremental.update(store, files, complete)
+    return incremental.stored_graph(store), done
+
+
 def memory_hints(archive: DataFrame, codex: DataFrame, symptom: str, now, vector: list[float] | None = None) -> dict[str, DataFrame]:
     """What past diagnoses and notes say about a symptom."""
     out = {"codex": memory.search_codex(codex, symptom, now)}

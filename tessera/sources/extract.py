@@ -117,7 +117,7 @@ IMPORT_TAGS = [("http-server", r"express|fastify|koa|hono|http"), ("ui-framework
 
 
 def node_metadata(files: DataFrame) -> DataFrame:
-    """files (path, content, fn_names, n_async, sources, degree, n_lines) with tags, complexity and summary."""
+    """files (path, content or doc, fn_names, n_async, sources, degree, n_lines) with tags, complexity and summary."""
     any_name = lambda p: F.exists("fn_names", lambda n: n.rlike(p))
     tags = [F.when(any_name(r"(?i)\bmain\b") | F.col("path").rlike(r"/index\.|/cli\."), "entry-point")]
     tags += [F.when(any_name(p), t) for t, p in NAME_TAGS] + [F.when(F.exists("sources", lambda s: F.lower(s).rlike(p)), t) for t, p in IMPORT_TAGS]
@@ -125,7 +125,7 @@ def node_metadata(files: DataFrame) -> DataFrame:
     n = F.size("fn_names")
     level = F.when((n > 20) | (F.col("n_lines") > 500) | (F.col("n_async") > 6), "high").when((n > 8) | (F.col("n_lines") > 200) | (F.col("n_async") > 2), "moderate").otherwise("low")
     role = F.when(n > 0, F.concat(n.cast("string"), F.lit(" functions: "), F.array_join(F.slice("fn_names", 1, 5), ", "), F.when(n > 5, "...").otherwise(""), F.lit("."))).otherwise(F.concat(stem(F.col("path")), F.lit(" -> "), F.when(F.size("sources") > 0, F.concat(F.lit("imports: "), F.array_join(F.slice("sources", 1, 3), ", "))).otherwise("no functions detected"), F.lit(".")))
-    doc = doc_summary(F.col("content"))
+    doc = F.col("doc") if "doc" in files.columns else doc_summary(F.col("content"))
     return files.withColumn("tags", F.array_compact(F.array(*tags))).withColumn("complexity", level).withColumn("summary", F.left(F.when(doc.isNotNull(), F.concat(doc, F.lit(" - "), role)).otherwise(role), F.lit(200)))
 
 

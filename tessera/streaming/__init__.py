@@ -1,4 +1,4 @@
-"""Continuous upkeep: files as they arrive, patched into stored tables by content hash."""
+"""Continuous upkeep: files as they arrive, put into a bucketed store by content hash."""
 
 from __future__ import annotations
 
@@ -8,41 +8,41 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tessera.functions.text import content_hash
 from tessera.operators.graph import changed_files, first_by
+from tessera.operators.tables import materialize
+from tessera.sources.buckets import Store
 
 
 def upsert(batch: DataFrame, table: str, version: int) -> dict[str, int]:
-    """Puts a batch of files (path, content, ts) on a table of versions and says what changed.
+    """Puts a batch of files (path, content, ts) into a store and says what changed.
 
-    The table is appended to, a version at a time: a batch that runs again writes its version again and
-    readers take the last row of each path, so an executor or driver may be lost at any point.
+    Only the buckets of the batch's paths are read and written. What is stored notes its batch, so one that runs again, because
+    an executor or the driver was lost, finds what it did and does the rest.
     """
-    spark = batch.sparkSession
+    store = Store(batch.sparkSession, table)
     last = first_by(batch, ["path"], F.desc("ts"), F.desc("content")).select("path", "content", content_hash(F.col("content")).alias("content_hash"))
-    try:
-        stored = current(spark, table, version, last)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        stored = last.limit(0)
-    changed = changed_files(last, stored)
-    last.join(changed, "path").withColumn("version", F.lit(version)).write.mode("overwrite").parquet(f"{table}/version={version}")
-    return {r.status: r.n for r in spark.read.parquet(f"{table}/version={version}").groupBy("status").agg(F.count("*").alias("n")).collect()}
+    stored = store.read("files", last.select("path"))
+    stored = last.limit(0).withColumns({"batch": F.lit(0), "status": F.lit("")}) if stored is None else stored
+    done = materialize(stored.where(F.col("batch") == version).select("path", "status"))
+    changed = materialize(changed_files(last, stored).join(done, "path", "left_anti"))
+    if not changed.isEmpty():
+        rows = last.join(changed, "path").withColumn("batch", F.lit(version))
+        store.commit({"files": ("path", "path", rows, None)})
+    return {r.status: r.n for r in changed.unionByName(done).groupBy("status").agg(F.count("*").alias("n")).collect()}
 
 
-def current(spark: SparkSession, table: str, before: int | None = None, of: DataFrame | None = None) -> DataFrame:
-    """(path, content, content_hash): the last version of each file; of: only of these paths, so that a batch sorts no more than its own files."""
-    rows = spark.read.parquet(table)
-    rows = rows if of is None else rows.join(of.select("path"), "path", "left_semi")
-    rows = rows.where(F.col("version") < before) if before is not None else rows
-    return first_by(rows, ["path"], F.desc("version")).select("path", "content", "content_hash")
+def current(spark: SparkSession, table: str) -> DataFrame:
+    """(path, content, content_hash): the last version of each file."""
+    return Store(spark, table).read("files").select("path", "content", "content_hash")
 
 
-def compact(spark: SparkSession, table: str, to: str) -> None:
-    """Writes the last version of each file as the only one of a new table, which readers and streams then take."""
-    current(spark, table).withColumns({"ts": F.lit(None).cast("timestamp"), "status": F.lit("compacted")}).write.mode("overwrite").parquet(f"{to}/version=-1")
+def compact(spark: SparkSession, table: str) -> None:
+    """Writes each bucket of several segments as one, and deletes what no reader of the last version needs."""
+    store = Store(spark, table)
+    store.compact()
+    store.vacuum()
 
 
 def watch(spark: SparkSession, landing: str, table: str, checkpoint: str, schema: str = "path string, content string, ts timestamp", source: str = "parquet", files_a_batch: int = 1000) -> StreamingQuery:
-    """Starts a stream that takes files as they land and patches the table; it ends when nothing is left."""
+    """Starts a stream that takes files as they land and puts them into the store; it ends when nothing is left."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).format(source).load(landing)
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, i: upsert(df, table, i) and None).start()
