@@ -78,9 +78,7 @@ def contexts(docs: list[bytes], length: int, gram: int = GRAM, window: int | Non
     inside[start[ok]] += 1
     np.subtract.at(inside, (start + size - window + 1)[ok], 1)
     at = np.flatnonzero(np.cumsum(inside) > 0)
-    m, doc = least[at], np.searchsorted(start, at, side="right") - 1
-    while len(at) and (size[doc] == 0).any():  # empty documents share a start with the next
-        doc = np.where(size[doc] == 0, doc - 1, doc)
+    m, doc = least[at], np.repeat(np.arange(len(docs)), size)[at]
     cut = np.flatnonzero((m[1:] != m[:-1]) | (doc[1:] != doc[:-1])) + 1
     a = np.concatenate([[0], cut])
     if (np.diff(np.append(a, len(m))) > longest).any():  # a text that repeats a gram throughout; its pieces are mostly equal
@@ -88,7 +86,7 @@ def contexts(docs: list[bytes], length: int, gram: int = GRAM, window: int | Non
         a = np.flatnonzero(into % longest == 0)
         cut = a[1:]
     b = np.append(cut, len(m)) - 1
-    twice = _occurs_twice(h, least, w, m[a], at[a], at[b])
+    twice = _occurs_twice(h, w, m[a], at[a], at[b])
     s, e = at[a], np.minimum(at[b] + length, (start + size)[doc[a]])
     ch = np.fromiter((xxhash.xxh3_64_intdigest(buf[i:j]) for i, j in zip(s.tolist(), e.tolist(), strict=True)), np.uint64, len(s))
     d, low = doc[a], m[a]
@@ -103,14 +101,14 @@ def contexts(docs: list[bytes], length: int, gram: int = GRAM, window: int | Non
     return d, low.view(np.int64), s - start[d], e - s, b - a + 1, twice, ch.view(np.int64), left, right
 
 
-def _occurs_twice(h: np.ndarray, least: np.ndarray, w: int, low: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+def _occurs_twice(h: np.ndarray, w: int, low: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Whether a run's least hash stands at two places or more of its windows, which start from first to last.
 
-    Such a place is the least of a window that holds it, so it is equal to the greatest of these windows' least values.
+    Places whose hash could be one of the runs' are found by some of its bits, so that few are sorted.
     """
-    around = np.zeros(len(least) + 2 * (w - 1), np.uint64)
-    around[w - 1 : w - 1 + len(least)] = least
-    places = np.flatnonzero(h == ~sliding_least(~around, w))
+    seen = np.zeros(1 << 20, bool)
+    seen[low >> np.uint64(44)] = True
+    places = np.flatnonzero(seen[h >> np.uint64(44)])
     values, of = np.unique(h[places], return_inverse=True)
     key = np.sort(of * len(h) + places)
     base = np.searchsorted(values, low) * len(h)
