@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from tessera import streaming
 from tessera.functions import text as T
 from tessera.functions import vector as V
-from tessera.operators import crossfile, detect, graph, memory, patterns, rank, tables, verify
+from tessera.operators import crossfile, detect, graph, memory, patterns, rank, search, tables, verify
 from tessera.plans import standin
 from tessera.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from tessera.plans.standin import EDGES_SQL, GROW_SQL, NODES_SQL, read, score_sql
 from tessera.sources import extract, sinks
+from tessera.sources.buckets import Store
 
 SYMPTOM = "red widget promo"
 
@@ -252,6 +253,61 @@ def route_files(spark: SparkSession, d: str) -> DataFrame:
     return rank.route(standin.nodes(spark, d), tables.materialize(standin.edges(spark, d)), SYMPTOM).select(long_("rank"), "file_path", F.round("score", 6).alias("score"))
 
 
+#: Every hundredth part's name and type is a question; points of each token at each node.
+QUESTIONS_SQL = f"""
+{NODES_SQL}, {EDGES_SQL},
+asked AS (SELECT p_partkey AS qid, unnest(string_split(lower(p_name || ' ' || p_type), ' ')) AS token, generate_subscripts(string_split(p_name || ' ' || p_type, ' '), 1) AS pos FROM part WHERE p_partkey % 100 = 0),
+points AS (
+  SELECT * FROM (SELECT token, id, ord, CASE WHEN lower(name) = token THEN 0.4::DOUBLE WHEN contains(lower(name), token) THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END
+      + CASE WHEN len([x FOR x IN tags IF lower(x) = token]) > 0 THEN 0.3::DOUBLE WHEN len([x FOR x IN tags IF contains(lower(x), token)]) > 0 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END
+      + CASE WHEN contains(lower(summary), token) THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN contains(lower(file_path), token) THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END AS points
+    FROM (SELECT DISTINCT token FROM asked WHERE token <> ''), nodes) WHERE points > 0),
+n AS (SELECT qid, count(*) AS n FROM asked WHERE token <> '' GROUP BY qid),
+scored AS (
+  SELECT qid, id, min(ord) AS ord, least(max(points) * 0.7::DOUBLE + list_reduce(list(points ORDER BY pos), lambda a, b: a + b) / any_value(n)::DOUBLE * 0.3::DOUBLE, 1.0::DOUBLE) AS score
+  FROM asked JOIN points USING (token) JOIN n USING (qid) GROUP BY qid, id)"""
+
+
+def _questions(spark: SparkSession, d: str) -> tuple[Store, DataFrame]:
+    store = Store(spark, f"{tables.shared_dir(spark)}/tessera-index-{uuid.uuid4().hex}", buckets=16)
+    search.write_index(store, standin.nodes(spark, d))
+    return store, read(spark, d, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("qid"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
+
+
+@query(f"""
+WITH {QUESTIONS_SQL}
+SELECT qid, row_number() OVER w AS rank, id, round(score, 6) AS score FROM scored WHERE score >= 0.1 WINDOW w AS (PARTITION BY qid ORDER BY score DESC, ord) QUALIFY row_number() OVER w <= 15""")
+def search_many(spark: SparkSession, d: str) -> DataFrame:
+    """The best nodes for a table of questions, by postings of grams."""
+    store, q = _questions(spark, d)
+    return search.search_many(store, q).select("qid", long_("rank"), "id", F.round("score", 6).alias("score"))
+
+
+@query(f"""
+WITH {QUESTIONS_SQL},
+hits AS (
+  SELECT qid, id, score, 0 AS pass, ord FROM scored WHERE score >= 0.1 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, ord) <= 20
+  UNION ALL SELECT qid, id, least(points * 0.7::DOUBLE + points * 0.3::DOUBLE, 1.0::DOUBLE), pos, ord FROM asked JOIN (SELECT * FROM points WHERE points * 0.7::DOUBLE + points * 0.3::DOUBLE >= 0.25 QUALIFY row_number() OVER (PARTITION BY token ORDER BY points * 0.7::DOUBLE + points * 0.3::DOUBLE DESC, ord) <= 5) USING (token)),
+first_hits AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY qid, id ORDER BY pass, score DESC, ord) = 1),
+seeds AS (SELECT qid, id, score AS own, row_number() OVER (PARTITION BY qid ORDER BY pass, score DESC, ord) AS rank FROM first_hits),
+step1 AS (SELECT s.qid, l.other AS id, 0.7::DOUBLE + l.worth * 0.3::DOUBLE AS score, s.rank AS prank, l.ord FROM links l JOIN seeds s ON l.node = s.id WHERE (s.qid, l.other) NOT IN (SELECT (qid, id) FROM seeds)),
+new1 AS (SELECT * FROM step1 QUALIFY row_number() OVER (PARTITION BY qid, id ORDER BY prank, ord, score) = 1),
+best1 AS (
+  SELECT qid, id, score, row_number() OVER w AS rank FROM new1 WHERE score >= 0.2 WINDOW w AS (PARTITION BY qid ORDER BY round(score, 9) DESC, prank, ord) QUALIFY row_number() OVER w <= 5),
+step2 AS (
+  SELECT b.qid, l.other AS id, b.score * 0.7::DOUBLE + l.worth * 0.3::DOUBLE AS score, -b.score AS p, b.rank AS prank, l.ord FROM links l JOIN best1 b ON l.node = b.id
+  WHERE (b.qid, l.other) NOT IN (SELECT (qid, id) FROM seeds UNION ALL SELECT (qid, id) FROM new1)),
+new2 AS (SELECT * FROM step2 QUALIFY row_number() OVER (PARTITION BY qid, id ORDER BY p, prank, ord, score) = 1),
+pool AS (
+  SELECT qid, id, greatest(1.0::DOUBLE, own + 1.5::DOUBLE) AS score FROM seeds UNION ALL SELECT qid, id, score FROM new1 UNION ALL SELECT qid, id, score FROM new2),
+files AS (SELECT qid, file_path, max(score) AS score, min(ord) AS o FROM pool JOIN nodes USING (id) WHERE coalesce(file_path, '') <> '' GROUP BY qid, file_path)
+SELECT qid, row_number() OVER w AS rank, file_path, round(score, 6) AS score FROM files WINDOW w AS (PARTITION BY qid ORDER BY round(score, 9) DESC, o) QUALIFY row_number() OVER w <= 12""")
+def route_many(spark: SparkSession, d: str) -> DataFrame:
+    """The files to read first, for a table of questions in one plan."""
+    store, q = _questions(spark, d)
+    return search.route_many(store, tables.materialize(standin.edges(spark, d)), q).select("qid", long_("rank"), "file_path", F.round("score", 6).alias("score"))
+
+
 FRONTIER_SQL = f"""
 WITH {NODES_SQL}, {EDGES_SQL},
 w(w) AS (VALUES ('red'), ('widget'), ('promo')),
