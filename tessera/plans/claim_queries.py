@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import jsontext, reports
 from tessera.functions import text as T
 from tessera.functions import vector as V
-from tessera.operators import detect, graph, memory, patterns, rank, verify
+from tessera.operators import detect, graph, memory, nearest, patterns, rank, verify
 from tessera.plans import standin
 from tessera.plans.registry import query
 from tessera.plans.standin import EDGES_SQL, NODES_SQL, read
@@ -147,6 +147,16 @@ def node_boosts(spark: SparkSession, d: str) -> DataFrame:
     return rank.node_boosts(n, m).select("id", F.round("score", 6).alias("score"))
 
 
+@query("""WITH u AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+s AS (SELECT q.vec_id AS qid, u.vec_id, round(list_dot_product(q.v, u.v) / (q.n * u.n), 9) AS score FROM u q, u WHERE q.vec_id % 100 = 0 AND q.n > 0 AND u.n > 0)
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank, vec_id, round(score, 6) AS score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) <= 10""")
+def nearest_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The ten vectors nearest to every hundredth, by coarse lists and their bounds."""
+    e = read(spark, d, "embeddings")
+    index = nearest.build(e, "vec_id")
+    return nearest.nearest(index, e.where("vec_id % 100 = 0"), "vec_id").select("qid", F.col("rank").cast("long").alias("rank"), F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
 @query("""WITH q AS (SELECT embedding AS v FROM embeddings ORDER BY vec_id LIMIT 1), s AS (
   SELECT vec_id, list_dot_product(embedding::DOUBLE[], (SELECT v FROM q)::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product((SELECT v FROM q)::DOUBLE[], (SELECT v FROM q)::DOUBLE[]))) AS score FROM embeddings)
 SELECT vec_id, round(score, 5) AS score FROM s WHERE score > 0""")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,14 +83,18 @@ class Store:
         new = json.loads(json.dumps(self.manifest))
         new["version"] += 1
         name = f"v{new['version']:09d}-{uuid.uuid4().hex[:8]}"
-        for table, (key, owner, rows, gone) in changes.items():
-            self._add(new, table, name, key, owner, rows, gone)
+        self._add_all(new, [(table, name, *x) for table, x in changes.items()])
         self._publish(new)
         full = {t: [b for b, s in x["segments"].items() if len(s) > self.most_segments] for t, x in self.manifest["tables"].items()}
         if any(full.values()):
             self.compact({t: b for t, b in full.items() if b})
         return self.version
 
+    def _add_all(self, new: dict, of: list[tuple]) -> None:
+        """Writes the tables' segments, some at a time: they are small jobs that don't wait for each other."""
+        with ThreadPoolExecutor(4) as pool:
+            list(pool.map(lambda x: self._add(new, *x), of))
+
     def _add(self, new: dict, table: str, name: str, key: str, owner: str, rows: DataFrame, gone: DataFrame | None, replace: list[str] | None = None) -> None:
         rows = rows.withColumns({"__version": F.lit(new["version"]), "__live": F.lit(True)})
         if gone is not None:
@@ -126,10 +131,8 @@ class Store:
         buckets = buckets or {t: [b for b, s in x["segments"].items() if len(s) > 1] for t, x in self.manifest["tables"].items()}
         new = json.loads(json.dumps(self.manifest))
         new["version"] += 1
-        for table, of in buckets.items():
-            if of:
-                t = self.manifest["tables"][table]
-                self._add(new, table, f"v{new['version']:09d}-{uuid.uuid4().hex[:8]}", t["key"], t["owner"], self._merged(table, of), None, replace=of)
+        name, tables = f"v{new['version']:09d}-{uuid.uuid4().hex[:8]}", self.manifest["tables"]
+        self._add_all(new, [(t, name, tables[t]["key"], tables[t]["owner"], self._merged(t, of), None, of) for t, of in buckets.items() if of])
         self._publish(new)
 
     def vacuum(self) -> int:
