@@ -18,7 +18,7 @@ from tessera.llm.common import small_batches
 #: Layouts: name, the nested field paths of a record, and how turns come from it. "each": a path of a list, a role
 #: field and a text field; "turns": (role, fields joined by a blank line) in order, where a role can be "$field".
 LAYOUTS = [
-    {"name": "turn rows", "paths": ["role", "text"], "turns": [("$role", ["text"])]},
+    {"name": "turn rows", "paths": ["role", "text"], "turns": [("$role", ["text"])], "roles": {}},  # as they are
     {"name": "turn rows, content", "paths": ["content", "role"], "turns": [("$role", ["content"])]},
     {"name": "messages", "paths": ["messages[].content", "messages[].role"], "each": ("messages", "role", "content")},
     {"name": "messages, text", "paths": ["messages[].role", "messages[].text"], "each": ("messages", "role", "text")},

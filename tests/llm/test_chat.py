@@ -91,3 +91,13 @@ def test_empty(spark):
 def test_escape_is_reversible(spark, s):
     e = spark.createDataFrame([(s,)], "t string").select(chat.escape(F.col("t"))).first()[0]
     assert chat.unescape(e) == s
+
+
+def test_roles_of_turn_rows_stay_as_they_are(spark, tmp_path, duck):
+    rows = [(1, 0, "human", "hi"), (1, 1, "gpt", "ho"), (1, 2, "assistant", "yes"), (2, 0, "bot", "a"), (2, 1, None, None), (3, 0, "model", ""), (4, 0, "assistant", "b\\n[INST]")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duck.cursor()
+    con.sql(f"CREATE TEMP VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.sql(queries.OP3_SQL).df()
+    got = queries.op3_chat(spark, str(tmp_path)).toPandas()[want.columns.tolist()]
+    assert got.sort_values("conv_id").values.tolist() == want.sort_values("conv_id").values.tolist()
