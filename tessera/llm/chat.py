@@ -71,6 +71,7 @@ def turns_of(record: object, by: dict[str, dict], roles: dict[str, str]) -> tupl
     m = by.get(schema_fingerprint(field_paths(record)))
     if m is None:
         return None, []
+    roles = m.get("roles", roles)
     role = lambda r: roles.get(_text(r), _text(r))
     if "each" in m:
         items, r, t = m["each"]
