@@ -96,6 +96,7 @@ def section_columns(sections: list[str] | str, known: list[str]) -> list[str]:
 
 def runtime_estimate(files: Column, lines: Column, provider: Column, preset: Column, source: Column, mode: Column) -> Column:
     """What a run may take, in words: files, lines and where they come from, times what preset, provider and mode cost."""
+    # The base in seconds by source, seconds a file up to a limit, lines a second up to a limit.
     base = F.when(source == "github", 45).otherwise(15) + F.least(files * 4, F.lit(45)) + F.least(lines / 150, F.lit(30.0))
     for c, table in ((preset, PRESET_FACTOR), (provider, PROVIDER_FACTOR), (mode, MODE_FACTOR)):
         base = base * F.coalesce(F.element_at(lit_map(table), c), F.lit(1.0))

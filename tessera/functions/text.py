@@ -15,19 +15,21 @@ LANGUAGES = {
     "md": "markdown", "sql": "sql",
 }
 # Words that a memory search ignores.
-MEMORY_STOP_WORDS = (
-    "the a an is are was were in on at to for of and or not but with from by that this it as be "
-    "has have had do does did will would could should can may might i we you they my our your its when how "
-    "what which who whom where why if then so no yes up out about into after before between under over "
-    "also just more some any each every all both few most bug error issue problem broken fix fails failing wrong"
-).split()
+MEMORY_STOP_WORDS = [
+    "the", "a", "an", "is", "are", "was", "were", "in", "on", "at", "to", "for", "of", "and", "or", "not", "but", "with", "from", "by", "that",
+    "this", "it", "as", "be", "has", "have", "had", "do", "does", "did", "will", "would", "could", "should", "can", "may", "might", "i", "we", "you",
+    "they", "my", "our", "your", "its", "when", "how", "what", "which", "who", "whom", "where", "why", "if", "then", "so", "no", "yes", "up", "out",
+    "about", "into", "after", "before", "between", "under", "over", "also", "just", "more", "some", "any", "each", "every", "all", "both", "few",
+    "most", "bug", "error", "issue", "problem", "broken", "fix", "fails", "failing", "wrong",
+]
 # Words that a section ranking ignores.
-SECTION_STOP_WORDS = (
-    "the a an is are was were be been being have has had do does did will would could should may might can shall "
-    "to of in for on with at by from as into through during before after and but or nor not so yet both "
-    "either neither each every all any few more most other some such no only own same than too very just how "
-    "what where when why which who whom this that these those about work use using get set make like"
-).split()
+SECTION_STOP_WORDS = [
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "can", "shall", "to", "of", "in", "for", "on", "with", "at", "by", "from", "as", "into", "through", "during", "before",
+    "after", "and", "but", "or", "nor", "not", "so", "yet", "both", "either", "neither", "each", "every", "all", "any", "few", "more", "most",
+    "other", "some", "such", "no", "only", "own", "same", "than", "too", "very", "just", "how", "what", "where", "when", "why", "which", "who",
+    "whom", "this", "that", "these", "those", "about", "work", "use", "using", "get", "set", "make", "like",
+]
 
 
 def lit_array(xs: list | tuple, kind: str = "string") -> Column:

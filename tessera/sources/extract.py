@@ -73,6 +73,7 @@ def table(facts: DataFrame, fact: str) -> DataFrame:
 
 # The regular-expression bridge: names only, native.
 
+# The forms in which a module is named.
 IMPORTS = [r"""\bimport\s+(?:[^'"]+?\s+from\s+)?['"]([^'"]+)['"]""", r"""\bexport\s+(?:\*|\{[^}]*\})\s+from\s+['"]([^'"]+)['"]""", r"""\brequire\s*\(\s*['"]([^'"]+)['"]\s*\)""", r"""\bimport\s*\(\s*['"]([^'"]+)['"]\s*\)"""]
 
 
