@@ -4,7 +4,9 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, compression, decontam, lm_bloom, mixing, pii, repetition, simhash, suffix_dedup, tokens
+from tessera.llm import chat, collocations, compression, decontam, lm_bloom, mixing, packing, periodic, pii, repetition, simhash, suffix_dedup, tokens
+from tests.llm.test_collocations import brute as phrases
+from tests.llm.test_packing import library
 
 TEXTS = [
     None, "", " \n\t", "0" * 5000, "1.2.3." + "0" * 5000 + "1", "a" * 300_000, "\0", "a\0b " * 50, "!?#&" * 3000, "1 2 " * 400, "@" * 3000, "+1 " * 500, "\u00e9\u6f22\U0001f600 " * 300,
@@ -28,6 +30,7 @@ def results(spark, docs):
         4: tokens.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")), 5: docs.select(pii.pii_spans(F.col("text"), pii.train()).alias("found")),
         6: compression.score_documents(docs, compression.train(docs, labels)), 7: docs.select(repetition.repetition(F.col("text")).alias("m")),
         8: decontam.contamination(docs, items), 9: lm_bloom.score(docs, m, exact, keep=("score",)), 10: suffix_dedup.repeated_spans(docs),
+        13: docs.select(periodic.periodic_runs(F.col("text")).alias("m")),
     }
 
 
@@ -47,3 +50,16 @@ def test_no_rows(spark, docs):
 def test_near_copies_stay_one_of_each(spark, docs):
     got = simhash.one_of_each(docs).collect()
     assert len(got) < len(TEXTS) and {x.text for x in got} >= {t for t in TEXTS if t and len(t.split()) > 1 and TEXTS.count(t) == 1}
+
+
+def test_packing_holds_every_id(spark, docs):
+    ids = library(TEXTS)
+    rows = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), group=4).collect()
+    assert sorted(x.doc_tokens for x in rows if x.start == 0) == sorted(len(x) + 1 for x in ids)
+    assert sum(x.length for x in rows) == sum(len(x) + 1 for x in ids)
+    assert packing.pack(docs.limit(0), public_tokenizers.path("word_bpe_49k.json")).count() == 0
+
+
+def test_collocations_of_odd_texts(spark, docs):
+    rows = [(x.text, x.lang) for x in docs.select("text", "lang").collect()]
+    assert sorted(tuple(x) for x in collocations.collocations(docs, bits=17).collect()) == phrases(rows)
