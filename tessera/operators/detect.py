@@ -95,17 +95,22 @@ def setter_tag(name: Column, is_local: Column) -> Column:
 def causal_chains(triggers: DataFrame, writes: DataFrame, reads: DataFrame, guards: list[str] | None = None, write_like: str | None = r"^set[A-Z]|^dispatch$|^setState$", guard_like: str = r"(?i)abort|cancel|mounted|stale|ignore") -> DataFrame:
     """(file, fn, trigger, trigger_line, var, write_line, guarded, confidence): async triggers and the later state writes in their function.
 
-    A read of a guard's name after the trigger and up to the write guards it. Guards are joined by function and
-    range, once for each chain.
+    A read of a guard's name after the trigger and up to the write guards it. A function's rows are swept once by
+    line: a write learns how many triggers are open before it and where the last guard stood. It then meets triggers by
+    their number, so rows are made for chains alone, and the chains of a long function lie in many tasks.
+    Triggers and writes that occur twice give a chain each time; rows without file, function or line give none.
     """
-    t = triggers.select("file", "fn", F.col("api").alias("trigger"), F.col("line").alias("trigger_line"))
-    w = writes.select("file", "fn", "var", F.col("line").alias("write_line"))
-    w = w.where(F.col("var").rlike(write_like)) if write_like else w
-    j = t.join(w, ["file", "fn"]).where("write_line > trigger_line")
-    g = reads.where(F.col("var").isin(*guards) if guards else F.col("var").rlike(guard_like)).select("file", "fn", F.col("line").alias("g"))
-    keys = ["file", "fn", "trigger", "trigger_line", "var", "write_line"]
-    guarded = j.join(g, ["file", "fn"]).where("g > trigger_line and g <= write_line").select(*keys).distinct().withColumn("guarded", F.lit(True))
-    out = j.join(guarded, keys, "left").withColumn("guarded", F.coalesce("guarded", F.lit(False)))
+    row = lambda df, kind, name: df.where("file is not null and fn is not null and line is not null").select("file", "fn", "line", F.lit(kind).alias("kind"), name.alias("name"))
+    g = reads.where(F.col("var").isin(*guards) if guards else F.col("var").rlike(guard_like))
+    w = writes.where(F.col("var").rlike(write_like)) if write_like else writes
+    # of rows on one line a guard comes first, for it guards the write there, and a trigger last, for it is not open yet
+    rows = row(g, 0, F.lit(None).cast("string")).unionByName(row(w, 1, F.col("var"))).unionByName(row(triggers, 2, F.col("api")))
+    so_far = W.partitionBy("file", "fn").orderBy("line", "kind", "name").rowsBetween(W.unboundedPreceding, W.currentRow)
+    swept = rows.withColumn("n", F.count(F.when(F.col("kind") == 2, 1)).over(so_far)).withColumn("guard", F.last(F.when(F.col("kind") == 0, F.col("line")), ignorenulls=True).over(so_far))
+    opened = swept.where("kind = 2").select("file", "fn", "n", F.col("name").alias("trigger"), F.col("line").alias("trigger_line"))
+    later = swept.where("kind = 1 and n > 0").select("file", "fn", F.col("name").alias("var"), F.col("line").alias("write_line"), "guard", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("n"))
+    out = opened.join(later, ["file", "fn", "n"]).withColumn("guarded", F.coalesce(F.col("guard") > F.col("trigger_line"), F.lit(False)))
+    out = out.select("file", "fn", "trigger", "trigger_line", "var", "write_line", "guarded")
     return out.withColumn("confidence", F.when(F.col("guarded"), None).when(F.col("trigger").isin("then", "fetch"), "high").otherwise("low"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import fnv_signature, lit_array
 from tessera.operators.graph import first_by
+from tessera.operators.tables import materialize
 
 # The patterns a new store holds (id, events, type, severity, CWE, weight).
 STARTERS = [
@@ -88,15 +89,36 @@ def events_column() -> Column:
 def match_patterns(subjects: DataFrame, patterns: DataFrame, min_weight: float = 0.3, min_coverage: float = 0.7) -> DataFrame:
     """subjects (..., events) with pattern_id, coverage and confidence for each pattern of which enough events occur.
 
-    A subject meets a pattern on one of its events, so the join is by event and not of every pair.
+    Candidates come from match_candidates; a subject without events or a pattern without any matches nothing.
     """
-    p = patterns.where(F.col("weight") >= min_weight).select(F.col("id").alias("pattern_id"), "signature", "weight")
-    keys = subjects.columns
-    s = subjects.withColumn("__e", F.explode(F.array_distinct("events")))
-    hit = s.join(p.withColumn("__e", F.explode(F.array_distinct("signature"))), "__e").dropDuplicates([*[k for k in keys if k != "events"], "pattern_id"])
+    s, p, columns = subjects, patterns.where(F.col("weight") >= min_weight), subjects.columns
+    hit = match_candidates(s, p.select(F.col("id").alias("pattern_id"), "signature", "weight"), min_coverage)
     coverage = F.size(F.filter("signature", lambda e: F.array_contains("events", e))) / F.size("signature")
     out = hit.withColumn("coverage", coverage).where(F.col("coverage") >= min_coverage)
-    return out.select(*keys, "pattern_id", "coverage", F.least(F.col("weight") * F.col("coverage"), F.lit(1.0)).alias("confidence"))
+    return out.select(*columns, "pattern_id", "coverage", F.least(F.col("weight") * F.col("coverage"), F.lit(1.0)).alias("confidence"))
+
+
+def match_candidates(subjects: DataFrame, patterns: DataFrame, min_coverage: float) -> DataFrame:
+    """Each subject (..., events) beside each pattern (signature, ...) that it may cover by min_coverage, once.
+
+    A pattern of n events of which k must occur shares, with any subject that has k, one of its n - k + 1 rarest. So the
+    join is by those events only, and one that most subjects have is no key but for patterns made of such alone. Subjects
+    with fewer distinct events than a pattern needs go before the join's rows are made; a pair met by several events is kept at
+    the rarest, so nothing is shuffled again to drop repeats.
+    """
+    n = F.size("signature")
+    each = patterns.where(n > 0).withColumn("__id", F.monotonically_increasing_id()).withColumn("__need", F.greatest(F.ceil(n * F.lit(float(min_coverage)) - 1e-9), F.lit(1)).cast("int"))
+    each = materialize(each)  # the numbers of rows must not change between the uses
+    names = each.select(F.explode("signature").alias("__e")).distinct()
+    own = subjects.select(F.explode(F.array_distinct("events")).alias("__e"))
+    often = names.join(own.join(names, "__e", "left_semi").groupBy("__e").agg(F.count("*").alias("__f")), "__e", "left").fillna(0, ["__f"])
+    ranked = each.select("__id", F.explode("signature").alias("__e")).join(often, "__e").groupBy("__id").agg(F.array_sort(F.collect_list(F.struct("__f", "__e")))["__e"].alias("__rare"))
+    p = each.join(ranked, "__id").withColumn("__rare", F.array_distinct(F.slice("__rare", F.lit(1), F.size("signature") - F.col("__need") + 1)))
+    p = p.drop("__id").withColumn("__e", F.explode("__rare"))
+    s = subjects.withColumn("__has", F.size(F.array_distinct("events"))).withColumn("__e", F.explode(F.array_distinct("events"))).join(names, "__e", "left_semi")
+    hit = s.join(p, "__e").where((F.col("__has") >= F.col("__need")) | (F.size(F.array_distinct("signature")) < F.size("signature")))
+    first = F.get(F.filter("__rare", lambda e: F.array_contains("events", e)), F.lit(0))
+    return hit.where(F.col("__e") == first).drop("__e", "__has", "__need", "__rare")
 
 
 def reinforce(patterns: DataFrame, matched: DataFrame, step: float = 0.05) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import SECTION_STOP_WORDS, lit_array, search_tokens, slashes, symptom_words
 from tessera.functions.vector import cosine, fuse
+from tessera.operators.literals import literal_hits
 from tessera.operators.tables import materialize
 
 # What an edge is worth to a ranking, by type; another type has its own weight, or a half.
@@ -157,6 +158,14 @@ def symptom_boosts(patterns: DataFrame, symptom: str) -> DataFrame:
     return patterns.where(hit).select("id", "bug_type", (F.col("weight") * 0.6).alias("confidence"))
 
 
+def symptom_boosts_of(patterns: DataFrame, symptoms: DataFrame) -> DataFrame:
+    """(qid, id, bug_type, confidence) of symptoms (qid, text), as symptom_boosts gives for each: the patterns' words are looked for in all texts in one scan."""
+    long_words = F.filter(F.split(F.lower("description"), r"\W+"), lambda w: F.length(w) > 4)
+    said = patterns.select("id", "bug_type", "weight", F.explode(F.array_distinct(F.array_append(long_words, F.replace(F.col("bug_type"), F.lit("_"), F.lit(" "))))).alias("lit"))
+    hits = literal_hits(symptoms.select("qid", F.lower("text").alias("text")), said, "qid", "text")
+    return hits.join(said, "lit").select("qid", "id", "bug_type", (F.col("weight") * 0.6).alias("confidence")).distinct()
+
+
 def node_boosts(nodes: DataFrame, matches: DataFrame, top: int = 5) -> DataFrame:
     """(id, score): half the best confidence of the top matches that share a word of their type with the node's name."""
     m = matches.orderBy(F.desc("confidence"), "id").limit(top).select(F.filter(F.split(F.lower("bug_type"), "_"), lambda w: F.length(w) > 3).alias("ws"), "confidence")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.text import contains_any, lit_array
+from tessera.operators.literals import MAX_BYTES, literal_hits
 
 # Penalties of failed checks.
 PENALTY = {"evidence": 0.2, "location": 0.3, "line": 0.15, "cross_repo": 0.05, "completeness": 0.15, "security": 0.2}
@@ -50,30 +51,11 @@ def literal_candidates(text: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(all_, normalized), lambda s: F.length(s) >= 5))
 
 
-def literal_exists(claims: DataFrame, files: DataFrame, claim_id: str = "claim_id", text: str = "text", path: str = "path", content: str = "content") -> DataFrame:
-    """(claim_id, path): files in which a literal of the claim stands, both with normalized quotes and blanks.
-
-    A literal's inner words are words of any text that holds it, so files and literals meet on the one that the fewest
-    files have, and are compared then. The longest part of a literal of two words or fewer lies within one word: it
-    meets the words by its first characters, five at most, and those words' files are compared.
-    """
+def literal_exists(claims: DataFrame, files: DataFrame, claim_id: str = "claim_id", text: str = "text", path: str = "path", content: str = "content", max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(claim_id, path): files in which a literal of the claim stands, both with normalized quotes and blanks. See literal_hits."""
     lits = claims.select(F.col(claim_id).alias("claim_id"), F.explode(literal_candidates(F.col(text))).alias("lit")).distinct()
-    parts = F.split("lit", " ")
     docs = files.select(F.col(path).alias("path"), normalized(F.col(content)).alias("content"))
-    words = docs.select("path", F.explode(F.array_distinct(F.split("content", " "))).alias("key"))
-    inner = lits.where(F.size(parts) > 2).select("claim_id", "lit", F.explode(F.array_distinct(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))))).alias("key"))
-    met = words.join(inner.select("key").distinct(), "key", "left_semi")
-    rare = inner.join(met.groupBy("key").agg(F.count("*").alias("n")), "key", "left").groupBy("claim_id", "lit").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("r"))
-    pairs = met.join(rare.where("r.n > 0").select("claim_id", "lit", F.col("r.key").alias("key")), "key").select("path", "claim_id", "lit")
-    longest = F.array_max(F.transform(parts, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    short = lits.where(F.size(parts) <= 2).select("claim_id", "lit", longest.alias("probe")).withColumn("gram", F.left("probe", F.lit(5)))
-    sizes = [r[0] for r in short.select(F.length("gram")).distinct().collect()]  # numbers from 1 to 5
-    if sizes:
-        pieces = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("key") - n + 1, F.lit(1))), lambda i: F.substring(F.col("key"), i, F.lit(n)))
-        cuts = F.array_distinct(F.flatten(F.array(*[F.when(F.length("key") >= n, pieces(n)).otherwise(lit_array([])) for n in sizes])))
-        near = words.select("key").distinct().select("key", F.explode(cuts).alias("gram")).join(short, "gram").where(F.contains("key", F.col("probe"))).select("key", "claim_id", "lit").distinct()
-        pairs = pairs.unionByName(words.join(near, "key").select("path", "claim_id", "lit").distinct())
-    return pairs.join(docs, "path").where(F.contains("content", F.col("lit"))).select("claim_id", "path").distinct()
+    return literal_hits(docs, lits, max_bytes=max_bytes).join(lits, "lit").select("claim_id", "path").distinct()
 
 
 def fill_down(rows: DataFrame, keys: list[str], order: list[str], value: Column, name: str = "filled") -> DataFrame:

@@ -130,13 +130,19 @@ def graded_runs(spark: SparkSession, d: str) -> DataFrame:
 # Ranking
 
 
-@query(f"""
-WITH p(id, bug_type, description, weight) AS (VALUES {", ".join(f"('{i}', '{t}', '{x}', {w}::DOUBLE)" for (i, _, t, _, _, w), x in zip(patterns.STARTERS, patterns.descriptions(), strict=True))}),
-s AS (SELECT 'a race condition: the listener is called twice after await' AS s)
-SELECT id, bug_type, round(weight * 0.6, 6) AS confidence FROM p, s WHERE contains(s.s, replace(bug_type, '_', ' ')) OR len([w FOR w IN regexp_split_to_array(lower(description), '\\W+') IF length(w) > 4 AND contains(s.s, w)]) > 0""")
+@query(r"""
+WITH w AS (SELECT item_id, regexp_split_to_array(lower(text), '\W+') AS ws FROM benchmark),
+p AS (SELECT item_id, array_to_string(ws[1:3], ' ') AS said, list_max([{'n': length(x), 'w': x} FOR x IN ws]).w AS word, 0.5 + (length(ws[1]) % 5) / 10.0 AS weight FROM w)
+SELECT doc_id, item_id, round(weight * 0.6, 6)::DOUBLE AS confidence FROM documents, p
+WHERE (said <> '' AND contains(lower(text), said)) OR (length(word) > 4 AND contains(lower(text), word))""")
 def symptom_boosts(spark: SparkSession, d: str) -> DataFrame:
-    """Patterns that a symptom speaks of."""
-    return rank.symptom_boosts(patterns.starters(spark), "a race condition: the listener is called twice after await").select("id", "bug_type", F.round("confidence", 6).alias("confidence"))
+    """Documents stand for symptoms, benchmark items for patterns: their first three words for the type, their longest word for the description."""
+    ws = F.split(F.lower("text"), r"\W+")
+    longest = F.array_max(F.transform("ws", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    p = read(spark, d, "benchmark").select(F.col("item_id").alias("id"), ws.alias("ws"))
+    p = p.select("id", F.array_join(F.slice("ws", 1, 3), "_").alias("bug_type"), longest.alias("description"), (F.lit(0.5) + (F.length(F.col("ws")[0]) % 5) / 10).alias("weight"))
+    found = rank.symptom_boosts_of(p, read(spark, d, "documents").select(F.col("doc_id").alias("qid"), "text"))
+    return found.select(F.col("qid").alias("doc_id"), F.col("id").alias("item_id"), F.round("confidence", 6).alias("confidence"))
 
 
 @query("""SELECT p_partkey::BIGINT AS id, CASE WHEN contains(lower(p_name), 'widget') THEN 0.45 ELSE 0.4 END::DOUBLE AS score FROM part WHERE contains(lower(p_name), 'widget') OR contains(lower(p_name), 'ring')""")
@@ -229,15 +235,23 @@ def signature_hashes(spark: SparkSession, d: str) -> DataFrame:
     return p.unionByName(u).select("id", T.signature_hash(F.col("sig")).alias("hash"))
 
 
-@query(f"""WITH p(id, n, weight, cwe) AS (VALUES {", ".join(f"('{i}', {len(s)}, {w}::DOUBLE, '{c}')" for i, s, _, _, c, w in patterns.STARTERS)})
-SELECT id, n::BIGINT AS n_events, CASE WHEN weight > 0.88 THEN 0.5 ELSE weight END AS weight, cwe FROM p""")
+@query("""
+WITH u AS (SELECT 'user ' || user_id AS id, list_sort(list_distinct(list(event_type))) AS sig FROM events GROUP BY user_id),
+v AS (SELECT 'day ' || user_id AS id, list_sort(list_distinct(list(event_type))) AS sig FROM events GROUP BY user_id, date_trunc('day', ts)),
+a AS (SELECT min(id) AS id, sig, 0.9 AS weight, 1 AS layer FROM u GROUP BY sig UNION ALL SELECT min(id), sig, 0.5, 2 FROM v WHERE len(sig) > 1 GROUP BY sig)
+SELECT id, array_to_string(sig, ',') AS signature, len(sig)::BIGINT AS n_events, weight::DOUBLE AS weight FROM a QUALIFY row_number() OVER (PARTITION BY sig ORDER BY layer DESC) = 1""")
 def pattern_layers(spark: SparkSession, d: str) -> DataFrame:
-    """The starters under a layer in which the heavy ones weigh less, and rows without a hash are nothing; the last version of each."""
-    p = patterns.starters(spark)
-    mine = p.where("weight > 0.88").withColumn("weight", F.lit(0.5)).unionByName(p.limit(1).withColumn("hash", F.lit(None).cast("string")))
-    over = patterns.overlay(p, mine)
-    versions = p.withColumn("version", F.lit(1)).unionByName(over.withColumn("version", F.lit(2)))
-    return patterns.latest(versions).select("id", F.size("signature").cast("long").alias("n_events"), "weight", "cwe")
+    """The kinds of events of whole users are the patterns of one layer, those of a user's days lie over it; rows without a hash, here single events, are nothing. The last version of each."""
+    e = read(spark, d, "events")
+
+    def layer(keys: list, prefix: str, weight: float) -> DataFrame:
+        sig = e.groupBy("user_id", *keys).agg(F.array_sort(F.collect_set("event_type")).alias("signature"))
+        return sig.groupBy("signature").agg(F.min(F.concat(F.lit(prefix), "user_id")).alias("id")).select("id", T.signature_hash(F.col("signature")).alias("hash"), "signature", F.lit(weight).alias("weight"))
+
+    base = layer([], "user ", 0.9)
+    over = layer([F.date_trunc("day", "ts")], "day ", 0.5).withColumn("hash", F.when(F.size("signature") > 1, F.col("hash")))
+    versions = base.withColumn("version", F.lit(1)).unionByName(patterns.overlay(base, over).withColumn("version", F.lit(2)))
+    return patterns.latest(versions).select("id", F.array_join("signature", ",").alias("signature"), F.size("signature").cast("long").alias("n_events"), "weight")
 
 
 # Vectors

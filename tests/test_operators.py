@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import vector as V
-from tessera.operators import crossfile, detect, graph, memory, patterns, rank, verify
+from tessera.operators import crossfile, detect, graph, literals, memory, patterns, rank, verify
 
 NODES = [
     ("n1", "function", "login", [], "", "src/auth.js"), ("n2", "function", "createSession", [], "opens a session", "src/session.js"),
@@ -111,6 +111,61 @@ def test_literals(spark):
     assert {(x.claim_id, x.path) for x in verify.literal_exists(claims, files).collect()} == {(1, "a.js"), (3, "a.js"), (5, "a.js")}
 
 
+def test_literal_ways_agree(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abé ") for _ in range(rng.randint(1, 6)))
+    texts = [(i, " ".join(word() for _ in range(rng.randint(0, 60)))) for i in range(120)] + [(900, None), (901, ""), (902, "a" * 5000)]
+    lits = [x for x in {word().strip() + " " * rng.randint(0, 1) + word().strip() for _ in range(150)} | {"aaaaa", "a b a", " ", "nowhere at all"} if x] + ["", None]
+    want = {(i, x) for i, t in texts for x in lits if t is not None and x and x in t}
+    t, q = spark.createDataFrame(texts, "path long, content string"), spark.createDataFrame([(x,) for x in lits + lits[:20]], "lit string")
+    assert any(" " in x for _, x in want) and len(want) > 500
+    for more in ({}, {"block": 40}, {"max_bytes": 0}):  # one automaton, many, joins
+        got = [tuple(r) for r in literals.literal_hits(t, q, **more).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert literals.literal_hits(t, q.limit(0)).count() == 0 == literals.literal_hits(t.limit(0), q).count()
+    assert literals.literal_hits(t, q).schema["path"].dataType.typeName() == "long"
+    assert [len(b) for b in literals.blocks(["aaa", "bb", "c"], 4)] == [2, 1]
+
+
+def test_symptom_boosts_of_tables(spark):
+    said = [(1, "A RACE condition: the listener is called twice after await"), (2, "floating promise"), (3, ""), (4, None), (5, "ghost constructor")]
+    p = patterns.starters(spark)
+    got = {(x.qid, x.id, round(x.confidence, 6)) for x in rank.symptom_boosts_of(p, spark.createDataFrame(said, "qid int, text string")).collect()}
+    assert got == {(i, x.id, round(x.confidence, 6)) for i, t in said if t is not None for x in rank.symptom_boosts(p, t).collect()} and got
+
+
+def test_causal_sweep(spark):
+    rng = random.Random(3)
+    some = lambda names, n: [(f"f{rng.randrange(2)}", rng.choice(["g", "h"]), rng.choice(names), rng.randrange(40)) for _ in range(n)]
+    t, w, r = some(["then", "fetch", "x"], 60), some(["setA", "dispatch", "other"], 60), some(["aborted", "mounted", "y"], 14)
+    t += t[:5]
+    df = lambda rows, name: spark.createDataFrame([*rows, (None, "g", "then", 1), ("f0", None, "setA", 2), ("f0", "g", "fetch", None)], f"file string, fn string, {name} string, line int")
+    got = sorted((x.file, x.fn, x.trigger, x.trigger_line, x["var"], x.write_line, x.guarded, x.confidence or "") for x in detect.causal_chains(df(t, "api"), df(w, "var"), df(r, "var")).collect())
+    want = []
+    for f, n, a, i in t:
+        for g, m, v, j in w:
+            if (f, n) == (g, m) and j > i and v != "other":
+                guarded = any((x, y) == (f, n) and z != "y" and i < k <= j for x, y, z, k in r)
+                want.append((f, n, a, i, v, j, guarded, "" if guarded else "high" if a != "x" else "low"))
+    assert got == sorted(want) and {x[6] for x in want} == {True, False}
+
+
+def test_match_by_rare_events(spark):
+    rng = random.Random(8)
+    events = [f"e{i}" for i in range(12)]
+    subjects = [(i, ["hot", *rng.sample(events, rng.randint(0, 6))]) for i in range(200)] + [(900, []), (901, None), (902, ["e1", "e1"])]
+    store = [(f"p{i}", rng.choice([["hot"], []]) + rng.sample(events, rng.randint(1, 5)), rng.choice([0.2, 0.5, 0.9])) for i in range(60)]
+    store += [("dup", ["e1", "e1", "e2"], 0.9), ("hot", ["hot"], 0.9), ("none", [], 0.9)]
+    s, p = spark.createDataFrame(subjects, "u int, events array<string>"), spark.createDataFrame(store, "id string, signature array<string>, weight double")
+    for least in (0.5, 0.7, 1.0):
+        got = sorted((x.u, x.pattern_id, round(x.coverage, 6)) for x in patterns.match_patterns(s, p, min_coverage=least).collect())
+        cover = [(u, i, sum(e in ev for e in sig) / len(sig)) for u, ev in subjects if ev for i, sig, w in store if sig and w >= 0.3]
+        assert got == sorted((u, i, round(c, 6)) for u, i, c in cover if c >= least and c > 0)
+    # all subjects have the hot event, which is a key for the pattern of nothing else only
+    tried = patterns.match_candidates(s, p.where("weight >= 0.3"), 1.0)
+    assert tried.where("id <> 'hot'").count() < sum(1 for _, ev in subjects for _, sig, w in store if ev and w >= 0.3 and set(ev) & set(sig)) / 3
+
+
 def test_incremental_equals_full(spark):
     def build(files):
         fn = files.select("path", F.explode(F.split("content", " ")).alias("name"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end"))
