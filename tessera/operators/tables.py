@@ -30,9 +30,9 @@ def release(spark: SparkSession) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read again."""
+def materialize(df: DataFrame, by: str | None = None) -> DataFrame:
+    """df, written to the shared folder and read again. With `by` a folder for each value of that column, so that a filter on it reads those files only."""
     path = f"{shared_dir(df.sparkSession)}/tessera-table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     _SCRATCH.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)

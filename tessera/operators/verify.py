@@ -37,7 +37,8 @@ def citation_gate(root_cause: Column) -> Column:
 
 def normalized(text: Column) -> Column:
     """Typographic quotes as plain ones, white space as single blanks."""
-    return F.trim(F.regexp_replace(F.translate(text, "‘’“”`", "''\"\"'"), r"\s+", " "))
+    # any run of white space but a single blank, which may stay and is what most runs are
+    return F.trim(F.regexp_replace(F.translate(text, "‘’“”`", "''\"\"'"), r"[^\S ]\s*| \s+", " "))
 
 
 def without_citation(text: Column) -> Column:

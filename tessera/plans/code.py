@@ -6,6 +6,8 @@ box.js has one class. What the scripts say is fixed by the templates, so SQL ove
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,12 +96,14 @@ def files(spark: SparkSession, d: str) -> DataFrame:
 _LOADED: dict[tuple, services.Project] = {}
 
 
-def project(spark: SparkSession, d: str) -> services.Project:
+def project(spark: SparkSession, d: str, make: Callable[[SparkSession, str], DataFrame] = files) -> services.Project:
     """The code base with its facts. They are extracted once a session and table folder: queries share the written tables."""
-    key = (spark.sparkContext.applicationId, d)
+    session = (spark.sparkContext.applicationId, d)
+    for other in [k for k in _LOADED if k[:2] != session]:
+        del _LOADED[other]
+    key = (*session, f"{make.__module__}.{make.__name__}")
     if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = services.load(materialize(files(spark, d)))
+        _LOADED[key] = services.load(materialize(make(spark, d)))
     return _LOADED[key]
 
 

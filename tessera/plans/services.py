@@ -27,8 +27,8 @@ class Project:
 
 
 def load(files: DataFrame) -> Project:
-    """Extracts the facts of all files once."""
-    facts = materialize(extract.extract_facts(files))
+    """Extracts the facts of all files once, into a folder for each kind of fact."""
+    facts = materialize(extract.extract_facts(files), by="fact")
     known = files.select("path", F.col("path").alias("ord"))  # a project is read in the order of its paths
     imports = crossfile.resolve_paths(extract.table(facts, "import"), known)
     return Project(files, facts, materialize(imports.withColumnRenamed("target", "from_file")))

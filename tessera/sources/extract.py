@@ -46,7 +46,8 @@ def extract_facts(files: DataFrame, extractor: Callable[[str], list[tuple[str, d
     """(file, fact, fields, error) of files (path, content); fields are JSON.
 
     The extractor is a plain function of a source and can be replaced. A file it fails on gives one row
-    with the error, so no file stops a job; files that are no scripts give none.
+    with the error, so no file stops a job; files that are no scripts give none. A fact that a file states twice is
+    one row, but for hooks, of which each is its own; a path is one file, so tables need no shuffle to be distinct.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,20 +56,23 @@ def extract_facts(files: DataFrame, extractor: Callable[[str], list[tuple[str, d
             out = []
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
-                    out += [(path, fact, json.dumps(f), None) for fact, f in extractor(content or "")]
+                    facts = [(path, fact, json.dumps(f), None) for fact, f in extractor(content or "")]
+                    out += [x for x in facts if x[1] == "hook"] + list(dict.fromkeys(x for x in facts if x[1] != "hook"))
                 except Exception as e:  # the row keeps it
                     out.append((path, None, None, f"{type(e).__name__}: {e}"[:300]))
             cols = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, kinds, strict=True)], names=[n for n, _ in kinds])
 
     scripts = files.where(extension(F.col("path")).isin(*SCRIPT_EXTENSIONS)).select("path", "content")
-    return scripts.mapInArrow(run, "file string, fact string, fields string, error string")
+    # scanning a text takes far longer than moving it, so few or uneven splits are dealt out to all workers first
+    spark = files.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return scripts.repartition(n, "path").mapInArrow(run, "file string, fact string, fields string, error string")
 
 
 def table(facts: DataFrame, fact: str) -> DataFrame:
-    """The rows of one kind of fact, with their fields as columns, without repeats."""
-    out = facts.where(F.col("fact") == fact).select("file", F.from_json("fields", FACTS[fact]).alias("x")).select("file", "x.*")
-    return out if fact == "hook" else out.distinct()
+    """The rows of one kind of fact, with their fields as columns."""
+    return facts.where(F.col("fact") == fact).select("file", F.from_json("fields", FACTS[fact]).alias("x")).select("file", "x.*")
 
 
 # The regular-expression bridge: names only, native.

@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from tessera.plans import claim_queries, code_queries, queries, store_queries  # noqa: F401
+from tessera.plans import claim_queries, code_queries, mixed, queries, store_queries  # noqa: F401
 
 
 def norm(x):
