@@ -88,7 +88,7 @@ def update(store: Store, files: DataFrame, complete: bool = True) -> Update:
         return Update(store.version, {}, 0, 0, 0, store.rows_read - read_before)
     # facts of the changed files, old and new
     fresh = materialize(files.join(changed.where("status <> 'deleted'").select(F.col("file").alias("path")), "path", "left_semi"))
-    facts = materialize(extract.extract_facts(fresh), by="fact")
+    facts = materialize(extract.extract_facts(fresh, kinds=extract.MAP_FACTS), by="fact")
     t = lambda k: extract.table(facts, k)
     fn = materialize(t("function").select("file", "name", F.col("line").alias("line_start"), "line_end").dropDuplicates(["file", "name"]))
     cls = t("class").select("file", "name", F.col("line").alias("line_start"), "line_end").dropDuplicates(["file", "name"])

@@ -96,15 +96,19 @@ def files(spark: SparkSession, d: str) -> DataFrame:
 _LOADED: dict[tuple, services.Project] = {}
 
 
-def project(spark: SparkSession, d: str, make: Callable[[SparkSession, str], DataFrame] = files) -> services.Project:
-    """The code base with its facts. They are extracted once a session and table folder: queries share the written tables."""
+def project(spark: SparkSession, d: str, make: Callable[[SparkSession, str], DataFrame] = files, kinds: frozenset[str] | None = None) -> services.Project:
+    """The code base with its facts, of the kinds asked for at least. They are extracted once a session and table folder: queries share the written tables."""
     session = (spark.sparkContext.applicationId, d)
     for other in [k for k in _LOADED if k[:2] != session]:
         del _LOADED[other]
     key = (*session, f"{make.__module__}.{make.__name__}")
-    if key not in _LOADED:
-        _LOADED[key] = services.load(materialize(make(spark, d)))
-    return _LOADED[key]
+    had = [p for k, p in _LOADED.items() if k[:3] == key]
+    for p in had:
+        if p.kinds is None or kinds is not None and kinds <= p.kinds:
+            return p
+    loaded = services.load(had[0].files if had else materialize(make(spark, d)), kinds)
+    _LOADED[(*key, kinds)] = loaded
+    return loaded
 
 
 def _text_sql(template: str, **values: str) -> str:

@@ -16,22 +16,34 @@ from tessera.sources.buckets import Store
 
 @dataclass
 class Project:
-    """A project's files (path, content, ...), its facts, and its imports with the files they mean."""
+    """A project's files (path, content, ...), its facts (of some kinds or all), and its imports with the files they mean."""
 
     files: DataFrame
     facts: DataFrame
     imports: DataFrame
+    kinds: frozenset[str] | None = None
 
     def table(self, fact: str) -> DataFrame:
+        if self.kinds is not None and fact not in self.kinds:
+            raise ValueError(f"the project was loaded without facts of kind {fact}")
         return extract.table(self.facts, fact)
 
 
-def load(files: DataFrame) -> Project:
-    """Extracts the facts of all files once, into a folder for each kind of fact."""
-    facts = materialize(extract.extract_facts(files), by="fact")
+# The kinds of facts that findings() and fixes' callers read; those of build_map() are extract.MAP_FACTS.
+FINDING_FACTS = frozenset({
+    "access", "call", "timing", "module_let", "hook", "declarator", "listener", "state_var", "callback", "function", "statement", "new_expr", "class_capture", "call_expr", "loop",
+    "comparison", "export", "import",
+})
+CALL_FACTS = frozenset({"call", "import"})
+
+
+def load(files: DataFrame, kinds: frozenset[str] | None = None) -> Project:
+    """Extracts the facts of all files once, into a folder for each kind of fact; with kinds these alone, and imports."""
+    kinds = None if kinds is None else kinds | {"import"}
+    facts = materialize(extract.extract_facts(files, kinds=kinds), by="fact")
     known = files.select("path", F.col("path").alias("ord"))  # a project is read in the order of its paths
     imports = crossfile.resolve_paths(extract.table(facts, "import"), known)
-    return Project(files, facts, materialize(imports.withColumnRenamed("target", "from_file")))
+    return Project(files, facts, materialize(imports.withColumnRenamed("target", "from_file")), kinds)
 
 
 def build_map(project: Project) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -186,7 +198,7 @@ def refresh(spark: SparkSession, files: DataFrame, stored: tuple[DataFrame, Data
     counts = {r.status: r.n for r in changed.groupBy("status").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return stored, counts
-    new = build_map(load(files))
+    new = build_map(load(files, extract.MAP_FACTS))
     if not graph.should_patch(sum(counts.values()), files.count()):
         return new, counts
     own = new[0].join(changed.select(F.col("path").alias("file_path")), "file_path", "left_semi").select(*new[0].columns)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from json.encoder import encode_basestring_ascii
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -39,33 +40,63 @@ FACTS = {
     "statement": "block_id string, stmt_idx int, write_subject string, write_kind string, line int, await_line int",
     "parse": "n_tokens int, errors int",
 }
+# The kinds of facts that a map is built of.
+MAP_FACTS = frozenset({"function", "class", "import", "import_source", "call"})
+#: Facts that a worker holds before it passes them on: beyond this only the file at hand.
+MOST_FACTS = 20_000
+#: Bytes of texts that a worker is given at once.
+ARROW_BYTES = 8 << 20
 SCRIPT_EXTENSIONS = ["js", "jsx", "ts", "tsx", "mjs", "cjs"]
 
 
-def extract_facts(files: DataFrame, extractor: Callable[[str], list[tuple[str, dict]]] = javascript.extract) -> DataFrame:
-    """(file, fact, fields, error) of files (path, content); fields are JSON.
+def extract_facts(files: DataFrame, extractor: Callable[[str], list[tuple[str, dict]]] | None = None, kinds: frozenset[str] | None = None) -> DataFrame:
+    """(file, fact, fields, error) of files (path, content); fields are JSON. With kinds only these kinds of facts are looked for.
 
     The extractor is a plain function of a source and can be replaced. A file it fails on gives one row
     with the error, so no file stops a job; files that are no scripts give none. A fact that a file states twice is
     one row, but for hooks, of which each is its own; a path is one file, so tables need no shuffle to be distinct.
     """
 
+    most = MOST_FACTS
+    extractor = extractor or (lambda code: javascript.extract(code, kinds))
+
+    def value(x) -> str:
+        if type(x) is str:
+            return encode_basestring_ascii(x)
+        if x is None or x is True or x is False:
+            return "null" if x is None else "true" if x else "false"
+        return str(x) if type(x) is int else json.dumps(x)
+
+    def as_json(f: dict) -> str:
+        return "{" + ", ".join([f'"{k}": {value(v)}' for k, v in f.items()]) + "}"
+
+    columns = [("file", pa.string()), ("fact", pa.string()), ("fields", pa.string()), ("error", pa.string())]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, columns, strict=True)], names=[n for n, _ in columns])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [("file", pa.string()), ("fact", pa.string()), ("fields", pa.string()), ("error", pa.string())]
+        out: list[tuple] = []
         for b in batches:
-            out = []
-            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for i in range(b.num_rows):
+                path, content = b.column(0)[i].as_py(), b.column(1)[i].as_py()
                 try:
-                    facts = [(path, fact, json.dumps(f), None) for fact, f in extractor(content or "")]
-                    out += [x for x in facts if x[1] == "hook"] + list(dict.fromkeys(x for x in facts if x[1] != "hook"))
+                    facts = [(path, fact, as_json(f), None) for fact, f in extractor(content or "") if kinds is None or fact in kinds]
+                    out += [x for x in facts if x[1] == "hook"]
+                    out += dict.fromkeys(x for x in facts if x[1] != "hook")
                 except Exception as e:  # the row keeps it
                     out.append((path, None, None, f"{type(e).__name__}: {e}"[:300]))
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, kinds, strict=True)], names=[n for n, _ in kinds])
+                for a in range(0, len(out), most) if len(out) >= most else ():
+                    yield batch(out[a : a + most])
+                out = out if len(out) < most else []
+        if out:
+            yield batch(out)
 
     scripts = files.where(extension(F.col("path")).isin(*SCRIPT_EXTENSIONS)).select("path", "content")
     # scanning a text takes far longer than moving it, so few or uneven splits are dealt out to all workers first
     spark = files.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)  # texts can be long
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return scripts.repartition(n, "path").mapInArrow(run, "file string, fact string, fields string, error string")
 
