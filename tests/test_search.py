@@ -69,3 +69,17 @@ def test_no_questions(spark, tmp_path):
     search.write_index(store, nodes)
     q = spark.createDataFrame([], "qid int, text string")
     assert search.search_many(store, q).count() == 0 and search.route_many(store, edges, q).count() == 0
+
+
+def test_equal_questions_and_equal_nodes_are_scored_once(spark, tmp_path):
+    rows = [(f"n{i}", i, ["red ring", "blue ring", "big red bolt"][i % 3], ["ring" if i % 2 else "x"], "", f"f{i % 5}") for i in range(400)]
+    nodes = spark.createDataFrame(rows, "id string, ord long, name string, tags array<string>, summary string, file_path string")
+    store = Store(spark, str(tmp_path / "i"), buckets=4)
+    search.write_index(store, nodes)
+    q = spark.createDataFrame([(i, ["Red  ring", "bolt red", "red ring"][i % 3]) for i in range(90)], "qid int, text string")
+    tokens, same = search._asked(q)
+    assert (tokens.count(), same.count()) == (4, 90)
+    found = search.search_many(store, q, limit=25).collect()
+    for i, text in enumerate(["red ring", "bolt red", "red ring"]):
+        want = [(k + 1, x.id, round(x.score, 9)) for k, x in enumerate(rank.search(nodes, text, limit=25).collect())]
+        assert {tuple(sorted((x.rank, x.id, round(x.score, 9)) for x in found if x.qid == j)) for j in range(i, 90, 3)} == {tuple(want)}
