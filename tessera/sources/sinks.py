@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.tables import materialize
+
 # Rules of the report, by detector: id, name, level.
 RULES = {
     "global_write_race": ("RACE_CONDITION", "GlobalWriteRace", "error"),
@@ -31,16 +33,22 @@ def append_diagnosis(entries: DataFrame, path: str) -> None:
     entries.where(F.col("embedding").isNotNull()).write.mode("append").parquet(path)
 
 
-def sarif(findings: DataFrame, tool: str, version: str) -> DataFrame:
-    """One row (report): findings (detector, severity, file, line, subject) as SARIF 2.1.0. A report is read as a whole, so it is one value."""
+def sarif(findings: DataFrame, tool: str, version: str, most: int | None = None) -> DataFrame:
+    """(report): findings (detector, severity, file, line, subject) as SARIF 2.1.0. One row, which is one value in one task; with `most` (part, report):
+    logs of about that many results, each whole by itself, and none if there are no findings."""
     rule = lambda i: F.coalesce(*[F.when(F.col("detector") == d, r[i]) for d, r in RULES.items()], F.col("detector"))
     level = F.coalesce(*[F.when(F.col("detector") == d, r[2]) for d, r in RULES.items()], F.lit("note"))
     place = F.struct(F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"), F.struct(F.greatest(F.col("line"), F.lit(1)).alias("startLine")).alias("region")).alias("physicalLocation"))
     result = F.struct(rule(0).alias("ruleId"), level.alias("level"), F.struct(F.concat_ws(": ", rule(1), "subject").alias("text")).alias("message"), F.array(place).alias("locations"))
     rules = F.array_sort(F.collect_set(F.struct(rule(0).alias("id"), rule(1).alias("name"))))
-    all_ = findings.agg(F.array_sort(F.collect_list(F.struct("file", "line", result.alias("r")))).alias("rs"), rules.alias("rules"))
+    if most:
+        findings = materialize(findings)
+        n = -(-findings.count() // most)
+        # by all columns, so that a file or detector of very many findings is in many parts, too
+        findings = findings.withColumn("part", F.pmod(F.xxhash64("file", "line", "detector", "subject"), F.lit(max(n, 1))))
+    all_ = findings.groupBy(*["part"] * bool(most)).agg(F.array_sort(F.collect_list(F.struct("file", "line", result.alias("r")))).alias("rs"), rules.alias("rules"))
     run = F.struct(F.struct(F.struct(F.lit(tool).alias("name"), F.lit(version).alias("version"), F.col("rules")).alias("driver")).alias("tool"), F.transform("rs", lambda x: x["r"]).alias("results"))
-    return all_.select(F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("report"))
+    return all_.select(*["part"] * bool(most), F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("report"))
 
 
 def json_report(findings: DataFrame, matches: DataFrame, top: int = 5) -> DataFrame:
