@@ -135,16 +135,28 @@ def captured_references(new_exprs: DataFrame, imports: DataFrame, lets: DataFram
     return out.where("field is not null").select("file", "line", "class", "arg", "source", "var", "field")
 
 
-def stale_captures(call_exprs: DataFrame, imports: DataFrame, stats: DataFrame) -> DataFrame:
+def variable_stats(accesses: DataFrame, keys: tuple[str, ...] = ("file", "var"), fn: str = "fn", write: str = "write", at_once: int = 500_000) -> DataFrame:
+    """(keys, n_reassigned, n_writers, n_readers) of accesses (keys, fn, write): writes, and the functions that write or read each variable, counted exactly.
+
+    Rows are dealt by variable and function, some at_once a task, and counted there; the functions of a variable are added up after that.
+    Distinct counts in one aggregate would send each row several times over.
+    """
+    n = max(int(accesses.sparkSession.conf.get("spark.sql.shuffle.partitions")), accesses.count() // at_once)
+    each = accesses.repartition(n, *keys, fn).groupBy(*keys, fn).agg(F.count_if(F.col(write)).alias("w"), F.count_if(~F.col(write)).alias("r"))
+    some = lambda k: F.count_if((F.col(k) > 0) & F.col(fn).isNotNull())
+    return each.groupBy(*keys).agg(F.sum("w").alias("n_reassigned"), some("w").alias("n_writers"), some("r").alias("n_readers"))
+
+
+def stale_captures(call_exprs: DataFrame, imports: DataFrame, stats: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Module constants that keep the result of an imported function over a variable its file changes later.
 
-    call_exprs (file, local_var, callee, line); stats (file, var, n_reassigned, n_writers, n_readers, ord). Of the
+    call_exprs (file, local_var, callee, line); stats (file, var, n_reassigned, n_writers, n_readers, ord, keep). Of the
     variables that are reassigned, written and read there, one named in the callee, else the first.
     """
     j = call_exprs.join(imports.select("file", F.col("local_name").alias("callee"), F.col("from_file").alias("source")), ["file", "callee"])
-    s = stats.where("n_reassigned >= 1 and n_writers >= 1 and n_readers >= 1").select(F.col("file").alias("source"), "var", "ord")
+    s = stats.where("n_reassigned >= 1 and n_writers >= 1 and n_readers >= 1").select(F.col("file").alias("source"), "var", "ord", *[c for c in keep if c != "ord"])
     j = j.join(s, "source").withColumn("named", F.contains(F.lower("callee"), F.lower("var")))
-    return first_by(j, ["file", "local_var", "line"], F.desc("named"), "ord", "var").select("file", "local_var", "callee", "line", "source", "var")
+    return first_by(j, ["file", "local_var", "line"], F.desc("named"), "ord", "var").select("file", "local_var", "callee", "line", "source", "var", *keep)
 
 
 def foreach_mutations(loops: DataFrame, mutations: DataFrame, calls: DataFrame) -> DataFrame:
