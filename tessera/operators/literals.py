@@ -15,6 +15,8 @@ from tessera.operators.tables import materialize
 
 #: Bytes of literals that every worker may have, and characters that one automaton is built of: some 100 MB of memory.
 MAX_BYTES, BLOCK = 16 << 20, 1_000_000
+#: Texts or literals with a word, beyond which the word is known to all workers and its texts are dealt to several tasks.
+OFTEN = 10_000
 
 
 def literal_hits(texts: DataFrame, literals: DataFrame, key: str = "path", content: str = "content", lit: str = "lit", max_bytes: int = MAX_BYTES, block: int = BLOCK) -> DataFrame:
@@ -69,26 +71,42 @@ def blocks(literals: list[str], block: int = BLOCK) -> list[list[str]]:
     return out
 
 
-def hits_by_words(texts: DataFrame, literals: DataFrame) -> DataFrame:
+def hits_by_words(texts: DataFrame, literals: DataFrame, often: int = OFTEN) -> DataFrame:
     """(key, lit) by joins: for literals (lit, distinct) of any number.
 
     A literal's inner words are words of any text that holds it, so texts (key, content) and literals meet on the one that the fewest
     texts have, and are compared then. The longest part of a literal of two words or fewer lies within one word: it
     meets the words by its first characters, five at most, and those words' texts are compared. Words end at blanks; a literal
     of blanks alone is compared with all texts that have a blank.
+
+    A word that more than `often` texts or literals have would send them all to one task. There are few such words, so all workers know them:
+    literals learn their numbers without a shuffle, and texts are not moved for them, or dealt to several tasks where a literal has no rarer word.
     """
     parts = F.split("lit", " ")
     words = texts.select("key", F.explode(F.array_distinct(F.split("content", " "))).alias("word"))
+    counts = materialize(words.groupBy("word").agg(F.count("*").alias("n")))
     inner = literals.where(F.size(parts) > 2).select("lit", F.explode(F.array_distinct(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))))).alias("word"))
-    met = words.join(inner.select("word").distinct(), "word", "left_semi")
-    rare = inner.join(met.groupBy("word").agg(F.count("*").alias("n")), "word", "left").groupBy("lit").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("r"))
-    pairs = met.join(rare.where("r.n > 0").select("lit", F.col("r.word").alias("word")), "word").select("key", "lit")
+    numbers = materialize(inner.groupBy("word").agg(F.count("*").alias("m")).join(counts, "word", "left").select("word", "m", F.coalesce("n", F.lit(0)).alias("n")))
+    known = F.broadcast(numbers.where(F.col("m") > often).select("word", "n"))
+    each = inner.join(known, "word").unionByName(inner.join(known.select("word"), "word", "left_anti").join(numbers.where(F.col("m") <= often).select("word", "n"), "word"))
+    rare = each.groupBy("lit").agg(F.min(F.struct("n", "word")).alias("r")).where("r.n > 0").select("lit", F.col("r.word").alias("word"))
+    pairs = _meet(words, counts, rare, often)
     longest = F.array_max(F.transform(parts, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     short = literals.where(F.size(parts) <= 2).select("lit", longest.alias("probe")).withColumn("gram", F.left("probe", F.lit(5)))
     sizes = [r[0] for r in short.select(F.length("gram")).distinct().collect()]  # numbers up to 5
     if sizes:
         pieces = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - n + 1, F.lit(1))), lambda i: F.substring(F.col("word"), i, F.lit(n)))
         cuts = F.array_distinct(F.flatten(F.array(*[F.when(F.length("word") >= n, pieces(n)).otherwise(lit_array([])) for n in sizes])))
-        near = words.select("word").distinct().select("word", F.explode(cuts).alias("gram")).join(short, "gram").where(F.contains("word", F.col("probe"))).select("word", "lit").distinct()
-        pairs = pairs.unionByName(words.join(near, "word").select("key", "lit").distinct())
+        near = counts.select("word", F.explode(cuts).alias("gram")).join(short, "gram").where(F.contains("word", F.col("probe"))).select("word", "lit").distinct()
+        pairs = pairs.unionByName(_meet(words, counts, near, often).distinct())
     return pairs.join(texts, "key").where(F.contains("content", F.col("lit"))).select("key", "lit").distinct()
+
+
+def _meet(words: DataFrame, counts: DataFrame, literals: DataFrame, often: int) -> DataFrame:
+    """(key, lit): words (key, word) of texts joined with literals (lit, word); counts (word, n) of texts."""
+    used = literals.select("word").distinct().withColumn("used", F.lit(True))
+    hot = counts.where(F.col("n") > often).select("word", F.ceil(F.col("n") / often).cast("int").alias("shares"))  # as many as all words of texts by `often` at most
+    w = words.join(F.broadcast(hot.join(used, "word", "left")), "word", "left").where("shares is null or used")
+    w = w.select("key", "word", F.when(F.col("used"), F.pmod(F.xxhash64("key"), F.col("shares"))).otherwise(F.lit(0)).cast("int").alias("share"))
+    of = literals.join(F.broadcast(hot), "word", "left").select("lit", "word", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)).alias("share"))
+    return w.join(of, ["word", "share"]).select("key", "lit")

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.tables import materialize
+from tessera.operators.tables import materialize, workers
 from tessera.plans import services
 from tessera.plans.standin import read
 
@@ -82,8 +82,8 @@ def _filled(template: str, **values: Column) -> Column:
 
 
 def files(spark: SparkSession, d: str) -> DataFrame:
-    """(path, content)"""
-    c = read(spark, d, "customer")
+    """(path, content). Customers are dealt out to all workers before their scripts are written: their table is one split, and a script is far longer than its row."""
+    c = read(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment").repartition(workers(spark), "c_custkey")
     key, nation = F.col("c_custkey"), F.col("c_nationkey")
     text = F.coalesce(*[F.when(F.col("c_mktsegment") == s, _filled(t, k=key, n=nation)) for s, t in CUSTOMER.items()])
     suffix = F.when(F.col("c_mktsegment") == "HOUSEHOLD", ".jsx").otherwise(".js")

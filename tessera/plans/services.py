@@ -167,8 +167,11 @@ def check_claims(claims: DataFrame, files: DataFrame) -> DataFrame:
     c = claims.withColumn("gate", gate).withColumn("root_file", F.regexp_extract("root_cause", p, 1)).withColumn("root_line", F.coalesce(F.expr(r"try_cast(nullif(regexp_extract(root_cause, '[\\w./-]+\\.(js|jsx|ts|tsx|mjs|cjs|py|vue|svelte)\\s*(:|\\s+L|\\s+line\\s+)\\s*(\\d+)', 3), '') as int)"), F.lit(0)))
     names = c.select(F.explode(F.array("root_file", "location_file")).alias("name")).where("name <> ''").distinct()
     match = crossfile.path_matches(names, known.select("path", "ord")).join(known.select("path", "n_lines"), "path").select("name", "n_lines")
-    root, loc = (match.select(F.col("name").alias(f"{k}_file"), F.col("n_lines").alias(n)) for k, n in (("root", "root_lines"), ("location", "file_lines")))
-    c = c.join(root, "root_file", "left").join(loc, "location_file", "left")
+    # claims that name no file would all meet in one task: they are dealt by their ids, and no match has the name ""
+    for k, n in (("root", "root_lines"), ("location", "file_lines")):
+        name = F.coalesce(f"{k}_file", F.lit(""))
+        c = c.withColumn("__name", F.struct(name.alias("name"), F.when(name == "", F.xxhash64("claim_id")).otherwise(F.lit(0)).alias("of")))  # one key: of two a fixed one is taken out of the join
+        c = c.join(match.select(F.struct("name", F.lit(0).cast("long").alias("of")).alias("__name"), F.col("n_lines").alias(n)), "__name", "left").drop("__name")
     said = claims.select("claim_id", F.posexplode("evidence").alias("i", "text")).select(F.concat_ws(":", "claim_id", "i").alias("claim_id"), F.col("claim_id").alias("of"), "text")
     hits = verify.literal_exists(said, files).select("claim_id").distinct()
     misses = said.join(hits, "claim_id", "left_anti").where(F.size(verify.literal_candidates(F.col("text"))) > 0).groupBy(F.col("of").alias("claim_id")).agg(F.count("*").alias("n_literal_misses"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import extension, lit_array, slashes, stem
+from tessera.operators.tables import workers
 from tessera.sources import javascript
 
 #: Fields of each kind of fact, beside file.
@@ -97,8 +98,7 @@ def extract_facts(files: DataFrame, extractor: Callable[[str], list[tuple[str, d
     # scanning a text takes far longer than moving it, so few or uneven splits are dealt out to all workers first
     spark = files.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)  # texts can be long
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return scripts.repartition(n, "path").mapInArrow(run, "file string, fact string, fields string, error string")
+    return scripts.repartition(workers(spark), "path").mapInArrow(run, "file string, fact string, fields string, error string")
 
 
 def table(facts: DataFrame, fact: str) -> DataFrame:
