@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import basename, directory, lit_array, slashes, stem
 from tessera.operators.graph import first_by
+from tessera.operators.tables import materialize
 
 # Extensions and index files that an import may leave out, in order.
 SUFFIXES = ("", ".js", ".ts", ".jsx", ".tsx", ".mjs", ".cjs", "/index.js", "/index.ts", "/index.jsx", "/index.tsx")
 # Stems so common that a file is not looked for by them.
 AMBIGUOUS_STEMS = ["index", "types", "utils", "helpers", "constants", "common", "shared", "base", "config", "main", "core", "hooks", "styles", "theme", "api", "model", "models", "service", "services"]
+#: Imports of one source from one folder, beyond which what it means is known to all workers.
+OFTEN = 10_000
 # Names of calls that give promises.
 ASYNC_CALLS = ["fetch", "axios", "got", "request", "then", "catch", "finally", "readFile", "writeFile", "readdir", "connect", "query", "findOne", "save", "create", "send", "post", "put", "patch"]
 
@@ -31,17 +34,27 @@ def resolve_paths(imports: DataFrame, files: DataFrame) -> DataFrame:
 
     The folded path itself, then with each extension, then an index file; else the first file of its stem, or
     base name, unless the stem is too common. Candidates are joined, best first, not compared with every file.
+    What a source means depends on the folder that it is written in, so it is looked for once a folder, however many files have it;
+    sources that more than OFTEN imports have are known to all workers.
     """
-    written = imports.select("file", "source").distinct().where(F.col("source").startswith(".") | F.col("source").startswith("/"))
-    at = directory(F.col("file"))
+    keys = ["__at", "source"]
+    relative = F.coalesce(F.col("source").startswith(".") | F.col("source").startswith("/"), F.lit(False))
+    asked = imports.where(relative).withColumn("__at", directory(F.col("file")))
+    written = asked.groupBy(*keys).agg(F.count("*").alias("uses"))
+    at = F.col("__at")
     base = folded(F.when(at != "", F.concat(at, F.lit("/"), "source")).otherwise(F.col("source")))
-    exact = written.select("file", "source", F.posexplode(F.transform(lit_array(SUFFIXES), lambda s: F.concat(base, s))).alias("p", "key"))
+    exact = written.select(*keys, "uses", F.posexplode(F.transform(lit_array(SUFFIXES), lambda s: F.concat(base, s))).alias("p", "key"))
     known = files.select(F.col("path").alias("target"), "ord")
-    hits = exact.join(known, exact["key"] == known["target"]).select("file", "source", "p", "ord", "target")
-    loose = written.where(~stem(F.col("source")).isin(*AMBIGUOUS_STEMS)).select("file", "source", stem(F.col("source")).alias("key"))
-    by_stem = loose.join(known.withColumn("key", stem(F.col("target"))), "key").select("file", "source", F.lit(len(SUFFIXES)).alias("p"), "ord", "target")
-    best = hits.unionByName(by_stem).groupBy("file", "source").agg(F.min(F.struct("p", "ord", "target")).alias("b")).select("file", "source", "b.target")
-    return imports.join(best, ["file", "source"], "left")
+    hits = exact.join(known, exact["key"] == known["target"]).select(*keys, "uses", "p", "ord", "target")
+    loose = written.where(~stem(F.col("source")).isin(*AMBIGUOUS_STEMS)).select(*keys, "uses", stem(F.col("source")).alias("key"))
+    by_stem = loose.join(known.withColumn("key", stem(F.col("target"))), "key").select(*keys, "uses", F.lit(len(SUFFIXES)).alias("p"), "ord", "target")
+    best = hits.unionByName(by_stem).groupBy(*keys, "uses").agg(F.min(F.struct("p", "ord", "target")).alias("b")).select(*keys, "uses", "b.target")
+    best = materialize(written.join(best, [*keys, "uses"], "left"))
+    often = F.broadcast(best.where(F.col("uses") > OFTEN).drop("uses"))  # as many as all imports by OFTEN at most
+    rest = asked.join(often.select(*keys), keys, "left_anti").join(best.where(F.col("uses") <= OFTEN).drop("uses"), keys)
+    none = imports.where(~relative).withColumn("target", F.lit(None).cast(known.schema["target"].dataType))
+    columns = ["file", "source", *[c for c in imports.columns if c not in ("file", "source")], "target"]
+    return asked.join(often, keys).select(*columns).unionByName(rest.select(*columns)).unionByName(none.select(*columns))
 
 
 def is_external(source: Column) -> Column:
