@@ -37,17 +37,28 @@ FINDING_FACTS = frozenset({
 CALL_FACTS = frozenset({"call", "import"})
 
 
-def load(files: DataFrame, kinds: frozenset[str] | None = None) -> Project:
-    """Extracts the facts of all files once, into a folder for each kind of fact; with kinds these alone, and imports."""
+def load(files: DataFrame, kinds: frozenset[str] | None = None, before: Project | None = None, changed: DataFrame | None = None) -> Project:
+    """Extracts the facts of all files once, into a folder for each kind of fact; with kinds these alone, and imports.
+
+    With the project of before, which has these kinds at least, only changed files (path) are scanned: a file's facts depend on its text alone.
+    """
     kinds = None if kinds is None else kinds | {"import"}
-    facts = materialize(extract.extract_facts(files, kinds=kinds), by="fact")
+    if before is None or before.kinds is not None and (kinds is None or not kinds <= before.kinds):
+        facts = materialize(extract.extract_facts(files, kinds=kinds), by="fact")
+    else:
+        fresh = extract.extract_facts(files.join(changed.select("path"), "path", "left_semi"), kinds=kinds)
+        kept = before.facts.join(changed.select(F.col("path").alias("file")), "file", "left_anti")
+        facts = kept.select(*before.facts.columns).unionByName(materialize(fresh, by="fact"))
     known = files.select("path", F.col("path").alias("ord"))  # a project is read in the order of its paths
     imports = crossfile.resolve_paths(extract.table(facts, "import"), known)
     return Project(files, facts, materialize(imports.withColumnRenamed("target", "from_file")), kinds)
 
 
-def build_map(project: Project) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, hashes): files, functions and classes, what contains, imports and calls what. Calls are resolved by import, else by the only file that defines the name."""
+def build_map(project: Project, keep: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, hashes): files, functions and classes, what contains, imports and calls what. Calls are resolved by import, else by the only file that defines the name.
+
+    keep: edges are written at once, for callers that want nodes, too: these have the edges' degrees, and edges would be found twice.
+    """
     fn = project.table("function").select(F.col("file").alias("path"), "name", F.col("line").alias("line_start"), F.col("line_end").alias("line_end")).dropDuplicates(["path", "name"])
     cls = project.table("class").select(F.col("file").alias("path"), "name", F.col("line").alias("line_start"), "line_end").dropDuplicates(["path", "name"])
     resolved = project.imports.where("from_file is not null")
@@ -60,6 +71,7 @@ def build_map(project: Project) -> tuple[DataFrame, DataFrame, DataFrame]:
     edges = far.unionByName(near).where("fn <> callee or path <> callee_file")
     edges = edges.join(fn.select(F.col("path").alias("callee_file"), F.col("name").alias("callee")), ["callee_file", "callee"], "left_semi").select(ids("path", "fn").alias("caller_id"), ids("callee_file", "callee").alias("callee_id")).distinct()
     nodes, edges = graph.build_graph(project.files.select("path"), fn, cls, imports, edges)
+    edges = materialize(edges) if keep else edges
     names = fn.groupBy(F.col("path")).agg(F.array_sort(F.collect_list("name")).alias("fn_names"))
     sources = project.table("import_source").groupBy(F.col("file").alias("path")).agg(F.array_sort(F.collect_set("source")).alias("sources"))
     n_async = project.table("function").where("is_async").groupBy(F.col("file").alias("path")).agg(F.count("*").alias("n_async"))
@@ -191,17 +203,17 @@ def learn(store: DataFrame, matched: DataFrame, passed: bool) -> DataFrame:
     return patterns.reinforce(store, matched) if passed else patterns.penalize(store, matched)
 
 
-def refresh(spark: SparkSession, files: DataFrame, stored: tuple[DataFrame, DataFrame, DataFrame]) -> tuple[tuple[DataFrame, DataFrame, DataFrame], dict[str, int]]:
+def refresh(spark: SparkSession, files: DataFrame, stored: tuple[DataFrame, DataFrame, DataFrame], before: Project | None = None) -> tuple[tuple[DataFrame, DataFrame, DataFrame], dict[str, int]]:
     """The stored graph, patched where few files changed and built anew otherwise, with the numbers of changes.
 
-    For maps that are kept as three tables. All files are scanned; update_map() scans the changed ones alone. Edges come from the facts of all files, so what unchanged files import and call of changed ones is not lost.
+    For maps that are kept as three tables. All files are scanned, or with the project that the stored graph was built of the changed ones alone. Edges come from the facts of all files, so what unchanged files import and call of changed ones is not lost.
     """
     now = files.select("path", content_hash(F.col("content")).alias("content_hash"))
     changed = materialize(graph.changed_files(now, stored[2]))
     counts = {r.status: r.n for r in changed.groupBy("status").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return stored, counts
-    new = build_map(load(files, extract.MAP_FACTS))
+    new = build_map(load(files, extract.MAP_FACTS, before, changed))
     if not graph.should_patch(sum(counts.values()), files.count()):
         return new, counts
     own = new[0].join(changed.select(F.col("path").alias("file_path")), "file_path", "left_semi").select(*new[0].columns)
