@@ -6,7 +6,7 @@ count q. Scoring probes an n-gram with 1, 2, ... until a probe misses; probabili
 the counts so found. The filter in every worker is bounded; what it does not know is asked of the hash
 ranges by shuffle, a block a chunk of texts and range, so no count is left out at any size. Exact token
 counts, which the add-one base score needs, are kept beside it: the most frequent in every worker (a
-fixed number), the rest joined by shuffle.
+fixed number); the rest are asked of the same ranges by the same shuffle.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -30,6 +31,7 @@ BASE = 1.5  # of the log that quantises counts
 LEVELS = 64
 LOW_BITS = 16  # dropped from the hash of a pair
 ONE = np.uint64(1)
+_RAW = (3, 5)  # how many low bytes of differences of 4 and 8 bytes are kept as they are
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -66,35 +68,61 @@ def add_up(h: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, np.n
 
 
 def pack(h: np.ndarray, c: np.ndarray) -> bytes:
-    """Sorted distinct values and counts: differences in 4 bytes where they fit, counts in one where they fit."""
+    """Sorted distinct values and counts: differences in 4 bytes where they fit, of which the leading compress well, counts in one where they fit."""
     d = np.diff(h, prepend=np.uint64(0))
     wide = bool(len(d) and d[1:].size and d[1:].max() >> np.uint64(32))
     over = c >= 255
-    head = np.array([len(h), int(over.sum()), wide, d[0] if len(d) else 0], np.uint64)
-    return b"".join([head.tobytes(), d[1:].astype(np.uint64 if wide else np.uint32).tobytes(), np.minimum(c, 255).astype(np.uint8).tobytes(), c[over].astype(np.uint64).tobytes()])
+    bytes_of = d[1:].astype(np.uint64 if wide else np.uint32)
+    planes = bytes_of.view(np.uint8).reshape(-1, bytes_of.itemsize).T
+    led = zstandard.compress(planes[_RAW[wide] :].tobytes(), 1)
+    head = np.array([len(h), int(over.sum()), wide, d[0] if len(d) else 0, len(led)], np.uint64)
+    return b"".join([head.tobytes(), planes[: _RAW[wide]].tobytes(), led, np.minimum(c, 255).astype(np.uint8).tobytes(), c[over].astype(np.uint64).tobytes()])
 
 
 def unpack(b: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, over, wide, first = (int(x) for x in np.frombuffer(b, np.uint64, 4))
+    n, over, wide, first, led = (int(x) for x in np.frombuffer(b, np.uint64, 5))
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    d = np.frombuffer(b, np.uint64 if wide else np.uint32, n - 1, 32)
-    at = 32 + d.nbytes
+    raw, kind = _RAW[wide], np.dtype(np.uint64 if wide else np.uint32)
+    at = 40 + raw * (n - 1)
+    planes = np.empty((n - 1, kind.itemsize), np.uint8)
+    planes[:, :raw] = np.frombuffer(b, np.uint8, raw * (n - 1), 40).reshape(raw, -1).T
+    planes[:, raw:] = np.frombuffer(zstandard.decompress(b[at : at + led]), np.uint8).reshape(kind.itemsize - raw, -1).T
+    at += led
     c = np.frombuffer(b, np.uint8, n, at).astype(np.int64)
     c[c == 255] = np.frombuffer(b, np.uint64, over, at + n)
     h = np.empty(n, np.uint64)
-    h[0], h[1:] = first, d
+    h[0], h[1:] = first, planes.view(kind)[:, 0]
     return np.cumsum(h, dtype=np.uint64), c
 
 
+def pack_counts(c: np.ndarray) -> bytes:
+    """Counts in one byte where they fit."""
+    over = c >= 255
+    return b"".join([np.uint64(len(c)).tobytes(), np.minimum(c, 255).astype(np.uint8).tobytes(), c[over].astype(np.uint64).tobytes()])
+
+
+def unpack_counts(b: bytes) -> np.ndarray:
+    n = int(np.frombuffer(b, np.uint64, 1)[0])
+    c = np.frombuffer(b, np.uint8, n, 8).astype(np.int64)
+    c[c == 255] = np.frombuffer(b, np.uint64, -1, 8 + n)
+    return c
+
+
 def pack_codes(codes: np.ndarray) -> bytes | None:
-    """Three rows of codes as their byte planes, which compress well; none if there are none."""
-    return zstandard.compress(np.ascontiguousarray(codes).view(np.uint8).reshape(3, -1, 4).transpose(0, 2, 1).tobytes(), 1) if codes.size else None
+    """Rows of codes, by the first row in order, as their byte planes, which compress well; none if there are none."""
+    if not codes.size:
+        return None
+    codes = codes[:, np.argsort(codes[0], kind="stable")]
+    codes[0] = np.diff(codes[0], prepend=0)
+    return zstandard.compress(codes.astype(np.int32, order="C").view(np.uint8).reshape(len(codes), -1, 4).transpose(0, 2, 1).tobytes(), 1)
 
 
-def unpack_codes(b: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(b), np.uint8).reshape(3, 4, -1)
-    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.int32).reshape(3, -1)
+def unpack_codes(b: bytes | None, rows: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(b) if b else b"", np.uint8).reshape(rows, 4, -1 if b else 0)
+    codes = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.int32).reshape(rows, -1).astype(np.int64)
+    codes[0] = np.cumsum(codes[0])
+    return codes
 
 
 def level_of(c: np.ndarray) -> np.ndarray:
@@ -274,26 +302,43 @@ def _or_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
+DOC = ["no", "row", "n_tokens", "known", "base", "score", "tail", "open"]  # what a text has besides its chunk
+
+
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Levels of the asked n-grams, in their order; in each range the model's blocks come first."""
-    now, held, table, out = None, [], None, []
-    done = lambda: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "range", "u", "b"])
+    """Counts of the asked tokens and levels of the asked pairs, in their order; in each range the model's blocks come first.
+
+    Texts pass through on their way to the answers.
+    """
+    now, held, table, out, docs = None, [], None, [], []
+
+    def done() -> pa.RecordBatch:
+        found = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)]
+        return pa.RecordBatch.from_arrays([*found, *(pa.nulls(len(out), t) for t in docs)], names=["chunk", "range", "u", "b", *DOC])
+
     for x in batches:
-        for r, chunk, *blocks in zip(*(x.column(i).to_pylist() for i in range(4)), strict=True):
+        docs = [x.schema.field(c).type for c in DOC]
+        is_doc = x.column("n_tokens").is_valid()
+        if is_doc.true_count:
+            texts = x.filter(is_doc)
+            nothing = [pa.nulls(texts.num_rows, t) for t in (pa.int32(), pa.binary(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([texts.column("chunk"), *nothing, *(texts.column(c) for c in DOC)], names=["chunk", "range", "u", "b", *DOC])
+            x = x.filter(pc.invert(is_doc))
+        for r, chunk, *blocks in zip(*(x.column(c).to_pylist() for c in ("range", "chunk", "u", "b")), strict=True):
             if r != now:
                 now, held, table = r, [], None
-            grams = [unpack(g) for g in blocks]
+            (u, c), (b, n) = map(unpack, blocks)
             if chunk is None:
-                held.append([(h, level_of(c).astype(np.uint8)) for h, c in grams])
+                held.append(((u, c), (b, level_of(n).astype(np.uint8))))
                 continue
             if table is None:
-                table = [tuple(np.concatenate(y) for y in zip(*z, strict=True)) for z in zip(*held, strict=True)] if held else [(np.empty(0, np.uint64), np.empty(0, np.uint8))] * 2
+                table = [tuple(np.concatenate(y) for y in zip(*z, strict=True)) for z in zip(*held, strict=True)] if held else [(np.empty(0, np.uint64), np.empty(0, t)) for t in (np.int64, np.uint8)]
                 held = []
             found = []
-            for (h, q), (key, _) in zip(table, grams, strict=True):
+            for (h, q), key in zip(table, (u, b), strict=True):
                 at = np.minimum(np.searchsorted(h, key), max(len(h) - 1, 0))
-                found.append(np.where(h[at] == key, q[at], 0).astype(np.uint8).tobytes() if len(h) else bytes(len(key)))
-            out.append((chunk, r, *found))
+                found.append(np.where(h[at] == key, q[at], 0).astype(q.dtype) if len(h) else np.zeros(len(key), q.dtype))
+            out.append((chunk, r, pack_counts(found[0]), found[1].tobytes()))
             if len(out) >= 1000:
                 yield done()
                 out = []
@@ -434,36 +479,46 @@ def matched_weight(levels: np.ndarray, once: int, tokens_of_single_texts: float)
 def _look_up(shared, kind: str, flush: int, ranges: int):
     """Rows with what the worker's filter and frequent counts tell, and what each chunk of texts has to ask.
 
-    `open` has three packed values for each token that waits, null if none does: the level of the token, of the one
-    before (LEVELS: a text's start) and of the pair, or -1 - i for the chunk's i-th asked token or pair.
+    The first text of a chunk has for all of them: in `open` four packed values for each token that waits, that is the level
+    of the pair, of the token and of the one before (LEVELS: a text's start), or -1 - i for the chunk's i-th asked pair or
+    token, and the text's number; in `tail` i and the text's number for each token whose exact count is asked. Both go by
+    what is asked, not by place, so the first value costs next to nothing. A chunk is named by its content and task: should
+    a task run again over texts in another order, its texts find no answers, not wrong ones. Texts are dealt to ranges in turn.
     """
-    doc_names = ["row_no", "chunk", "row", "n_tokens", "known", "base", "score", "tail", "open"]
-    ask_names = ["slice", "u", "b"]
+    names = ["range", "chunk", "slice", "u", "b", *DOC]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model_of(shared.value)
         top, logs = m.frequent
         worth = np.append(WORTH, m.n_texts)
-        number = TaskContext.get().partitionId() << 33
+        made = 0
 
         def out() -> Iterator[pa.RecordBatch]:
             h, n = (np.concatenate([x[i] for x in held]) for i in (0, 1))
             row = pa.chunked_array([x[2] for x in held]).combine_chunks()
+            chunk = int(np.uint64(xxhash.xxh64_intdigest(np.concatenate([np.array([TaskContext.get().partitionId(), made], np.uint64), n.astype(np.uint64), h]))).view(np.int64))
             start = np.cumsum(n) - n
-            at = np.minimum(np.searchsorted(top, h), max(len(top) - 1, 0))
-            hit = top[at] == h if len(top) else np.zeros(len(h), bool)
-            base = np.add.reduceat(np.where(hit, logs[at] if len(top) else 0.0, 0.0), start)
-            known = np.add.reduceat(hit.astype(np.int64), start)
-            ends = np.concatenate([[0], np.cumsum(np.add.reduceat((~hit).astype(np.int64), start))])
-            tail = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h[~hit].view(np.int64)))
             code, asked = [], []
             for kind_no, x in enumerate((h, pairs(h, n))):
                 key, back = np.unique(x, return_inverse=True)
                 q = m.filter.levels(key, kind_no)
                 miss = q < m.least[kind_no]
-                q[miss] = -1 - np.arange(miss.sum())
+                ask = miss
+                if kind_no == 0:
+                    at = np.minimum(np.searchsorted(top, key), max(len(top) - 1, 0))
+                    hit = top[at] == key if len(top) else np.zeros(len(key), bool)
+                    ask = miss | ~hit
+                    base = np.add.reduceat(np.where(hit, logs[at], 0.0)[back] if len(top) else np.zeros(len(h)), start)
+                    hit = hit[back]
+                    rare = (np.cumsum(ask) - 1).astype(np.int32)[back[~hit]]
+                q[miss] = -np.cumsum(ask)[miss]
                 code.append(q.astype(np.int32)[back])
-                asked.append((key[miss], np.ones(int(miss.sum()), np.int64)))
+                asked.append((key[ask], np.ones(int(ask.sum()), np.int64)))
+            known = np.add.reduceat(hit.astype(np.int64), start)
+            no = np.arange(len(n), dtype=np.int32)
+            of = np.repeat(no, n)
+            rest = [None] * (len(n) - 1)
+            tail = pa.array([pack_codes(np.stack([rare, of[~hit]])), *rest], pa.binary())
             own, both = code
             before = np.empty_like(own)
             before[1:] = own[:-1]
@@ -471,17 +526,14 @@ def _look_up(shared, kind: str, flush: int, ranges: int):
             waits = (own < 0) | (before < 0) | (both < 0)
             prob = np.zeros(len(h))
             prob[~waits] = m.terms(*(worth[x[~waits]] for x in (own, before, both)), m.weight)
-            codes, cut = np.stack([own, before, both]).astype(np.int32), np.concatenate([[0], np.cumsum(n)])
-            late = pa.array([pack_codes(codes[:, i:j][:, waits[i:j]]) for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary())
-            ids = pa.array(np.arange(number, number + len(n)))
-            docs = [ids, pa.array(np.full(len(n), number)), row, pa.array(n), pa.array(known), pa.array(base), pa.array(np.add.reduceat(prob, start)), tail, late]
+            late = pa.array([pack_codes(np.stack([x[waits] for x in (both, own, before, of)])), *rest], pa.binary())
+            docs = [pa.array(no), row, pa.array(n), pa.array(known), pa.array(base), pa.array(np.add.reduceat(prob, start)), tail, late]
             nothing = [pa.nulls(len(n), t) for t in (pa.int32(), pa.binary(), pa.binary())]
-            yield pa.RecordBatch.from_arrays(docs + nothing, names=doc_names + ask_names)
+            ranged = pa.array(((chunk + np.arange(len(n))) % ranges).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([ranged, pa.array(np.full(len(n), chunk)), *nothing, *docs], names=names)
             ask = dealt(*asked, ranges)
             if ask.num_rows:
-                empty = [pa.nulls(ask.num_rows, x.type) for x in docs]
-                empty[1] = pa.array(np.full(ask.num_rows, number))
-                yield pa.RecordBatch.from_arrays(empty + ask.columns, names=doc_names + ask_names)
+                yield pa.RecordBatch.from_arrays([ask.column(0), pa.array(np.full(ask.num_rows, chunk)), *ask.columns, *(pa.nulls(ask.num_rows, x.type) for x in docs)], names=names)
 
         held, size = [], 0
         for x in batches:
@@ -492,81 +544,83 @@ def _look_up(shared, kind: str, flush: int, ranges: int):
                 size += len(h)
                 if size >= flush:
                     yield from out()
-                    number += sum(len(y[1]) for y in held)
+                    made += 1
                     held, size = [], 0
         if held:
             yield from out()
 
-    return run, f"row_no long, chunk long, row {kind}, n_tokens long, known long, base double, score double, tail array<long>, open binary, slice int, u binary, b binary"
+    return run, f"range int, chunk long, slice int, u binary, b binary, no int, row {kind}, n_tokens long, known long, base double, score double, tail binary, open binary"
+
 
+def _resolve(shared, kind: str):
+    """Texts with the answers that they waited for; of each chunk the answers come first, in the order of ranges."""
 
-def _resolve(shared):
-    """Sums of the log probabilities that waited; of each chunk the answers come first, in the order of ranges."""
+    def added(m: Model, worth: np.ndarray, tail: bytes | None, waits: bytes | None, us: list[bytes], bs: list[bytes]) -> dict[str, np.ndarray]:
+        """What the answers add to each text of a chunk."""
+        counts = np.concatenate([np.empty(0, np.int64), *map(unpack_counts, us)])
+        own, both = np.where(counts > 0, level_of(counts), 0), np.frombuffer(b"".join(bs), np.uint8)
+        rare, of = unpack_codes(tail, 2)
+        out = {"known": np.bincount(of[counts[rare] > 0]), "base": np.bincount(of, np.log10(counts[rare] + 1.0))}
+        *codes, of = unpack_codes(waits, 4)
+        for q, c in zip((both, own, own), codes, strict=True):
+            c[c < 0] = q[-1 - c[c < 0]]
+        pair, token, before = (worth[c] for c in codes)
+        return out | {"score": np.bincount(of, m.terms(token, before, pair, m.weight))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model_of(shared.value)
         worth = np.append(WORTH, m.n_texts)
         now, answers = None, [[], []]
-        levels: list[np.ndarray] | None = None
+        late: dict[str, np.ndarray] = {}
         for x in batches:
-            chunk = x.column(0).to_numpy()
-            is_answer = x.column(1).is_valid().to_numpy(zero_copy_only=False)
+            chunk = x.column("chunk").to_numpy()
+            is_answer = x.column("range").is_valid().to_numpy(zero_copy_only=False)
             cut = np.flatnonzero((chunk[1:] != chunk[:-1]) | (is_answer[1:] != is_answer[:-1])) + 1
             for s, e in zip([0, *cut], [*cut, len(chunk)], strict=True):
                 if s == e:
                     continue
                 if chunk[s] != now:
-                    now, answers, levels = chunk[s], [[], []], None
+                    now, answers, late = chunk[s], [[], []], {}
+                part = x.slice(s, e - s)
                 if is_answer[s]:
-                    for a, i in zip(answers, (2, 3), strict=True):
-                        a += x.column(i).slice(s, e - s).to_pylist()
+                    for a, c in zip(answers, ("u", "b"), strict=True):
+                        a += part.column(c).to_pylist()
                     continue
-                if levels is None:
-                    levels = [np.frombuffer(b"".join(a), np.uint8) for a in answers]
-                parts = [unpack_codes(b) for b in x.column(5).slice(s, e - s).to_pylist()]
-                n = np.array([y.shape[1] for y in parts])
-                code = np.concatenate(parts, axis=1)
-                counts = []
-                for j, q in enumerate((levels[0], levels[0], levels[1])):
-                    c = code[j].astype(np.int64)
-                    c[c < 0] = q[-1 - c[c < 0]]
-                    counts.append(worth[c])
-                late = np.add.reduceat(m.terms(*counts, m.weight), np.cumsum(n) - n)
-                yield pa.RecordBatch.from_arrays([x.column(4).slice(s, e - s), pa.array(late)], names=["row_no", "score"])
+                no = part.column("no").to_numpy()
+                if no[0] == 0:
+                    late = added(m, worth, *(part.column(c)[0].as_py() for c in ("tail", "open")), *answers)
+                known, base, score = (part.column(c).to_numpy() + np.append(late[c], np.zeros(max(0, no[-1] + 1 - len(late[c])), late[c].dtype))[no] for c in ("known", "base", "score"))
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("n_tokens"), pa.array(known), pa.array(base), pa.array(score)], names=DOC[1:6])
 
-    return run
+    return run, f"row {kind}, n_tokens long, known long, base double, score double"
 
 
-def score(docs: DataFrame, model: Model, exact: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), flush: int = 1_000_000, fan_out: int = 4096) -> DataFrame:
+def score(docs: DataFrame, model: Model, exact: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), flush: int = 1_000_000, fan_out: int = 4096) -> DataFrame:
     """(id, *keep, n_tokens, n_known, train_tokens, base_score, score) for each row.
 
     base_score adds log10((c + 1) / (N + V + 1)) over the tokens with exact counts c; score is the
     model's log10 probability. A null text is empty and has one token, its end. Repeated rows are each
     scored, ties in chunks do not matter, and no rows give none; a long text is scored whole. Other columns are
     only read if kept; a kept column with the name of a result ends in _in.
+
+    exact is not read: the model's blocks have the same counts. Nothing is written for it, and kept columns are
+    dealt twice: what a chunk asks goes to the hash ranges together with its rows, and the answers with the rows to the chunk.
     """
     small_batches(docs.sparkSession)
     chosen = docs.select(F.col(text_col).alias("__text"), F.struct(F.col(id_col).alias("id"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]).alias("row"))
+    kind = chosen.schema["row"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model.parts())
     ranges = min(model.slices, fan_out)
-    rows = materialize(chosen.mapInArrow(*_look_up(shared, chosen.schema["row"].dataType.simpleString(), flush, ranges)), "scored")
-    asks = rows.where("slice IS NOT NULL").select(F.col("slice").alias("range"), "chunk", "u", "b", F.lit(0).alias("slice"))
-    rows = rows.where("slice IS NULL")
+    rows = chosen.mapInArrow(*_look_up(shared, kind, flush, ranges))
     coarse = (model.slices // ranges).bit_length() - 1
-    held = model.grams.select(F.shiftright("slice", coarse).alias("range"), F.lit(None).cast("long").alias("chunk"), "u", "b", "slice")
-    answers = held.unionByName(asks).repartition("range").sortWithinPartitions("range", "chunk", "slice").mapInArrow(_answer, "chunk long, range int, u binary, b binary")
-    answers = materialize(answers, "answers")
-    waiting = rows.where("open IS NOT NULL").select("chunk", F.lit(None).cast("int").alias("range"), F.lit(None).cast("binary").alias("u"), F.lit(None).cast("binary").alias("b"), "row_no", "open")
-    answers = answers.withColumns({"row_no": F.lit(None).cast("long"), "open": F.lit(None).cast("binary")})
-    late = waiting.unionByName(answers).repartition("chunk").sortWithinPartitions("chunk", F.col("range").isNull(), "range").mapInArrow(_resolve(shared), "row_no long, score double")
-    rare = rows.select("row_no", F.explode("tail").alias("h")).join(exact, "h").select("row_no", F.log10(F.col("c") + F.lit(1.0)).alias("more"), F.lit(1).alias("also"), F.lit(0.0).alias("late"))
-    rest = rare.unionByName(late.select("row_no", F.lit(0.0).alias("more"), F.lit(0).alias("also"), F.col("score").alias("late"))).groupBy("row_no").agg(*(F.sum(c).alias(c) for c in ("more", "also", "late")))
-    out = rows.select("row_no", "row", "n_tokens", "known", "base", "score").join(rest, "row_no", "left")
+    held = model.grams.select(F.shiftright("slice", coarse).alias("range"), "slice", "u", "b")
+    answered = held.unionByName(rows, allowMissingColumns=True).repartition("range").sortWithinPartitions("range", "chunk", "slice")
+    answered = answered.mapInArrow(_answer, f"chunk long, range int, u binary, b binary, no int, row {kind}, n_tokens long, known long, base double, score double, tail binary, open binary")
+    out = answered.repartition("chunk").sortWithinPartitions("chunk", F.col("range").isNull(), "range", "no").mapInArrow(*_resolve(shared, kind))
     each = float(np.log10(model.n_tokens + model.n_words + 1.0))
     made = [id_col, "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     names = clear_of(list(keep), made)
     return out.select(
         F.col("row.id").alias(id_col), *[F.col(f"row.k{i}").alias(c) for i, c in enumerate(names)], "n_tokens",
-        (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(model.n_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * each).alias("base_score"), (F.col("score") + F.coalesce("late", F.lit(0.0))).alias("score"),
+        F.col("known").alias("n_known"), F.lit(model.n_tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * each).alias("base_score"), "score",
     )

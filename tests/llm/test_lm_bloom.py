@@ -2,12 +2,13 @@ import math
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm import lm_bloom, queries
+from tessera.llm import common, lm_bloom, queries
 
 
 def words(t):
@@ -183,3 +184,46 @@ def test_a_fitted_weight_does_better_than_far_ones(spark):
         m.weight = w
         likely.append(lm_bloom.score(df.where("doc_id >= 300"), m, exact).agg({"score": "sum"}).first()[0])
     assert likely[0] > max(likely[1:])
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(-(2**31), 2**31 - 1), st.integers(0, 3000), st.integers(0, 10**9)), max_size=40))
+def test_packed_codes_and_counts(rows):
+    codes = np.array(rows, np.int64).reshape(-1, 3).T
+    got = lm_bloom.unpack_codes(lm_bloom.pack_codes(codes.copy()), 3)
+    assert sorted(got.T.tolist()) == sorted(codes.T.tolist()) and got[0].tolist() == sorted(codes[0].tolist())
+    assert lm_bloom.unpack_counts(lm_bloom.pack_counts(codes[2])).tolist() == codes[2].tolist()
+
+
+def test_no_token_counts_in_the_workers(spark):
+    rows = docs(200, seed=2) + [(500, "often " * 1000 + "once"), (501, "new new often"), (502, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).cache()
+    m, exact = lm_bloom.train(df.where("doc_id <> 501"), frequent=0, flush=3000, slice_bytes=1000)
+    assert not len(m.frequent[0])
+    n, want = base(rows, lambda i: i == 501)
+    got = lm_bloom.score(df, m, exact, keep=("text",), flush=2000, fan_out=8).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        w = want[x.doc_id, x.text]
+        assert (x.n_tokens, x.n_known, x.train_tokens) == (w[0], w[1], n) and math.isclose(x.base_score, w[2], rel_tol=1e-9)
+
+
+def put_on_disk(spark, since):
+    """Bytes that the session has shuffled and those of the tables written after a mark."""
+    sc = spark._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(10000)
+    files = [f for p in common._SCRATCH[since:] for f in Path(p.removeprefix("file:")).glob("*.parquet")]
+    return sc.statusStore().executorList(True).apply(0).totalShuffleWrite() + sum(f.stat().st_size for f in files)
+
+
+def test_disk_of_a_run(spark):
+    r = random.Random(3)
+    vocab = [f"v{i}" for i in range(5000)]
+    df = spark.createDataFrame([(i, " ".join(r.choices(vocab, k=400))) for i in range(500)], "doc_id long, text string").repartition(2).cache()
+    assert df.count() == 500
+    since = common.written()
+    began = put_on_disk(spark, since)
+    m, exact = lm_bloom.train(df, frequent=100)
+    lm_bloom.score(df, m, exact).write.format("noop").mode("overwrite").save()
+    assert common.written() > since
+    assert put_on_disk(spark, since) - began < 32 * 200_500  # tokens; 41 bytes each before rare tokens and waiting codes went by what is asked
