@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
-from json.encoder import encode_basestring_ascii
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -41,6 +40,23 @@ FACTS = {
     "statement": "block_id string, stmt_idx int, write_subject string, write_kind string, line int, await_line int",
     "parse": "n_tokens int, errors int",
 }
+# Arrow's and Python's types for the types of fields.
+TYPES = {"string": (pa.string(), str), "int": (pa.int32(), int), "boolean": (pa.bool_(), bool), "array<string>": (pa.list_(pa.string()), list)}
+
+
+def _columns() -> tuple[dict[str, dict[str, str]], dict[str, str]]:
+    """The column that each field of each kind lies in, and the columns' types: a kind's first string in string0, and so on, so that all kinds share few columns."""
+    places, types = {}, {}
+    for fact, fields in FACTS.items():
+        places[fact], n = {}, dict.fromkeys(TYPES, 0)
+        for name, kind in (x.replace("`", "").split(" ") for x in fields.split(", ")):
+            column = f"{kind.split('<')[0]}{n[kind]}"
+            n[kind] += 1
+            places[fact][name], types[column] = column, kind
+    return places, dict(sorted(types.items()))
+
+
+PLACES, COLUMNS = _columns()
 # The kinds of facts that a map is built of.
 MAP_FACTS = frozenset({"function", "class", "import", "import_source", "call"})
 #: Facts that a worker holds before it passes them on: beyond this only the file at hand.
@@ -51,31 +67,48 @@ SCRIPT_EXTENSIONS = ["js", "jsx", "ts", "tsx", "mjs", "cjs"]
 
 
 def extract_facts(files: DataFrame, extractor: Callable[[str], list[tuple[str, dict]]] | None = None, kinds: frozenset[str] | None = None) -> DataFrame:
-    """(file, fact, fields, error) of files (path, content); fields are JSON. With kinds only these kinds of facts are looked for.
+    """(file, fact, ..., fields, error) of files (path, content), for table(): fields lie in columns of their types, which kinds share, or as JSON in
+    `fields` if the kind is none of FACTS. With kinds only these kinds of facts are looked for.
 
-    The extractor is a plain function of a source and can be replaced. A file it fails on gives one row
+    The extractor is a plain function of a source and can be replaced; what is not of its field's type is null. A file it fails on gives one row
     with the error, so no file stops a job; files that are no scripts give none. A fact that a file states twice is
     one row, but for hooks, of which each is its own; a path is one file, so tables need no shuffle to be distinct.
     """
 
-    most = MOST_FACTS
+    most, places, columns, types = MOST_FACTS, PLACES, COLUMNS, TYPES
     extractor = extractor or (lambda code: javascript.extract(code, kinds))
+    said = {fact: {c: k for k, c in by.items()} for fact, by in places.items()}
 
-    def value(x) -> str:
-        if type(x) is str:
-            return encode_basestring_ascii(x)
-        if x is None or x is True or x is False:
-            return "null" if x is None else "true" if x else "false"
-        return str(x) if type(x) is int else json.dumps(x)
+    def array(values: list, kind: str) -> pa.Array:
+        arrow, python = types[kind]
 
-    def as_json(f: dict) -> str:
-        return "{" + ", ".join([f'"{k}": {value(v)}' for k, v in f.items()]) + "}"
+        def fitting(x):
+            if type(x) is not python or python is int and abs(x) >= 1 << 31 or python is list and not all(type(y) is str for y in x):
+                return None
+            return x.encode("utf-8", "replace").decode() if python is str else x
 
-    columns = [("file", pa.string()), ("fact", pa.string()), ("fields", pa.string()), ("error", pa.string())]
+        try:
+            return pa.array(values, arrow)
+        except (pa.ArrowException, TypeError, ValueError, OverflowError):
+            return pa.array([fitting(x) for x in values], arrow)
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True)) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, columns, strict=True)], names=[n for n, _ in columns])
+        by: dict[str | None, list[tuple]] = {}
+        for r in rows:
+            by.setdefault(r[1], []).append(r)
+        cols = {"file": pa.array([r[0] for g in by.values() for r in g], pa.string()), "fact": pa.array([f for f, g in by.items() for _ in g], pa.string())}
+        for c, kind in columns.items():
+            parts = [(said.get(f, {}).get(c), g) for f, g in by.items()]
+            cols[c] = pa.concat_arrays([array([r[2].get(k) for r in g], kind) if k else pa.nulls(len(g), types[kind][0]) for k, g in parts])
+        cols["fields"] = pa.array([None if f is None or f in places else json.dumps(r[2]) for f, g in by.items() for r in g], pa.string())
+        cols["error"] = pa.array([r[3] for g in by.values() for r in g], pa.string())
+        return pa.RecordBatch.from_pydict(cols)
+
+    def distinct(facts: list[tuple]) -> list[tuple]:
+        try:
+            return list({(x[1], *x[2], *x[2].values()) if x[1] in places else (x[1], json.dumps(x[2])): x for x in facts}.values())
+        except TypeError:  # there are lists in fields that have none
+            return list({(x[1], json.dumps(x[2])): x for x in facts}.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -83,11 +116,11 @@ def extract_facts(files: DataFrame, extractor: Callable[[str], list[tuple[str, d
             for i in range(b.num_rows):
                 path, content = b.column(0)[i].as_py(), b.column(1)[i].as_py()
                 try:
-                    facts = [(path, fact, as_json(f), None) for fact, f in extractor(content or "") if kinds is None or fact in kinds]
-                    out += [x for x in facts if x[1] == "hook"]
-                    out += dict.fromkeys(x for x in facts if x[1] != "hook")
+                    facts = [(path, fact, f, None) for fact, f in extractor(content or "") if kinds is None or fact in kinds]
+                    once = distinct([x for x in facts if x[1] != "hook"])
+                    out += [x for x in facts if x[1] == "hook"] + once
                 except Exception as e:  # the row keeps it
-                    out.append((path, None, None, f"{type(e).__name__}: {e}"[:300]))
+                    out.append((path, None, {}, f"{type(e).__name__}: {e}"[:300]))
                 for a in range(0, len(out), most) if len(out) >= most else ():
                     yield batch(out[a : a + most])
                 out = out if len(out) < most else []
@@ -98,12 +131,12 @@ def extract_facts(files: DataFrame, extractor: Callable[[str], list[tuple[str, d
     # scanning a text takes far longer than moving it, so few or uneven splits are dealt out to all workers first
     spark = files.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)  # texts can be long
-    return scripts.repartition(workers(spark), "path").mapInArrow(run, "file string, fact string, fields string, error string")
+    return scripts.repartition(workers(spark), "path").mapInArrow(run, ", ".join(["file string", "fact string", *[f"{c} {k}" for c, k in columns.items()], "fields string", "error string"]))
 
 
 def table(facts: DataFrame, fact: str) -> DataFrame:
     """The rows of one kind of fact, with their fields as columns."""
-    return facts.where(F.col("fact") == fact).select("file", F.from_json("fields", FACTS[fact]).alias("x")).select("file", "x.*")
+    return facts.where(F.col("fact") == fact).select("file", *[F.col(c).alias(k) for k, c in PLACES[fact].items()])
 
 
 # The regular-expression bridge: names only, native.
