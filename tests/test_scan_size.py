@@ -22,6 +22,16 @@ def test_time_grows_as_the_script():
     assert took(6400) < 16 * 3 * small  # sixteen times as long; it took over a hundred times as long
 
 
+def test_a_source_keeps_lists_of_brackets_only():
+    text = mixed.HEAD + "a + b;\n" * 500 + "if (x) { y = 1; }\n"
+    s = javascript.Source.__new__(javascript.Source)
+    s.module_kinds, s.module_words = {}, set()
+    s.__init__(text)
+    assert not hasattr(s, "toks") and len(s.around) == len(s.branch) == sum(x in javascript.STRUCTURE for x in s.texts) < 20  # a value for each of 2,000 tokens before, and an object
+    y = s.texts.index("y")
+    assert s.conditional(y) and not s.conditional(s.texts.index("a"))
+
+
 def test_kinds_are_those_of_all():
     text = script(40)
     all_ = javascript.extract(text)
